@@ -11,10 +11,12 @@ How it scales:
 - Equal sets are one member (their key), so a group of copies costs one member.
 - Frequent shingles come last in the order, so that they seldom are in a prefix. Their list has at most HOT_SHINGLES entries
   and only changes the order, never the result.
-- First round: each member joins the largest of its groups only, cut into blocks of at most BLOCK members that share one
-  pivot. Large groups of near copies get connected here at linear cost.
-- Second round: only groups that still hold several components, with at most one block or pair of blocks of compatible sizes
-  a task unit. Pairs inside one component are skipped at the nodes.
+- A group is split by classes of set sizes; what shares a shingle with no set of a similar size goes no further.
+- Trees hold bitmaps (a few bits for each shingle); full sets move only for the pairs that the bounds leave.
+- First round: each member is tried against one pivot of its largest group. Large groups of near copies get connected here,
+  at linear cost.
+- Second round: only groups that still hold several components; a task unit is a group of at most BLOCK members, or a pair of
+  blocks of a larger one. Node pairs inside one component are skipped.
 - Components of what is linked come from large-star and small-star rounds on a written table.
 """
 
@@ -24,7 +26,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .numtext import U64, set_key, shingle_set
@@ -43,6 +45,21 @@ _FLUSH = 2_000_000
 # ---- sets of documents -------------------------------------------------------------------------------------------------
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """Token bitmap of a set: two to four bits for each element, from 256 to 65,536 bits, as 64-bit words."""
+    size = 1 << min(16, max(8, (2 * len(s) - 1).bit_length() if len(s) else 8))
+    flags = np.zeros(size, bool)
+    flags[((s >> U64(40)) & U64(size - 1)).astype(np.int64)] = True
+    return np.packbits(flags, bitorder="little").view(U64)
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap at a smaller size."""
+    while len(bits) > words:
+        bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
+    return bits
+
+
 def _profiles(batches):
     """(id, n, key) of every document, and the shingles that are frequent within this task's run of documents."""
     held, size = [], 0
@@ -54,15 +71,16 @@ def _profiles(batches):
         keep = hits >= 8
         k = int(keep.sum())
         return pa.RecordBatch.from_arrays(
-            [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.array(shingle[keep].view(np.int64)), pa.array(hits[keep].astype(np.int64))],
-            ["id", "n", "key", "hot", "hits"],
+            [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(shingle[keep].view(np.int64)), pa.array(hits[keep].astype(np.int64))],
+            ["id", "n", "key", "bits", "hot", "hits"],
         )
 
     for batch in batches:
-        sizes, keys = [], []
+        sizes, keys, bits = [], [], []
         for text in batch.column(1).to_pylist():
             s = shingle_set(text, WORDS)
             sizes.append(len(s))
+            bits.append(bitmap(s).tobytes())
             keys.append(set_key(s) if len(s) else None)
             held.append(s)
             size += len(s)
@@ -71,8 +89,8 @@ def _profiles(batches):
                 held, size = [], 0
         k = len(sizes)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int32()), pa.array(keys, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())],
-            ["id", "n", "key", "hot", "hits"],
+            [batch.column(0), pa.array(sizes, pa.int32()), pa.array(keys, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())],
+            ["id", "n", "key", "bits", "hot", "hits"],
         )
     if (rest := frequent()) is not None:
         yield rest
@@ -119,19 +137,16 @@ def _sets(batches):
 
 
 class SignatureTree:
-    """Nodes level by level, leaves first. A node: OR of the bitmaps, smallest and largest set, largest excess (set size less
-    bits set), and the component if all leaves below share one (else -1)."""
+    """Nodes level by level, leaves first, in the order given. A node: OR of the bitmaps, smallest and largest set, largest
+    excess (set size less bits set), and the component if all leaves below share one (else -1)."""
 
     FAN = 8
 
-    def __init__(self, sets: list[np.ndarray], component: np.ndarray):
-        n = np.array([len(s) for s in sets], np.int64)
-        bits = 1 << min(14, max(8, int(2 * n.max()).bit_length()))
-        bitmap = np.zeros((len(sets), bits // 64), U64)
-        for row, s in zip(bitmap, sets):
-            b = (s >> U64(40)) & U64(bits - 1)
-            np.bitwise_or.at(row, (b >> U64(6)).astype(np.int64), U64(1) << (b & U64(63)))
-        self.levels = [(bitmap, n, n, n - np.bitwise_count(bitmap).sum(1).astype(np.int64), component)]
+    def __init__(self, bitmaps: list[np.ndarray], sizes: np.ndarray, component: np.ndarray):
+        words = min(map(len, bitmaps))
+        bm = np.stack([folded(b, words) for b in bitmaps])
+        n = sizes.astype(np.int64)
+        self.levels = [(bm, n, n, n - np.bitwise_count(bm).sum(1).astype(np.int64), component)]
         while len(self.levels[-1][1]) > 1:
             bm, low, high, excess, comp = self.levels[-1]
             at = np.arange(0, len(low), self.FAN)
@@ -139,7 +154,8 @@ class SignatureTree:
             self.levels.append((np.bitwise_or.reduceat(bm, at, axis=0), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(excess, at), np.where(lo == hi, lo, -1)))
 
     def pairs(self, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs x < y of leaves that the bounds at no level exclude."""
+        """Pairs x < y of leaves of different components that the bounds at no level exclude: the sizes must be compatible, and
+        bits in common plus the smaller excess bound the overlap."""
         x = y = np.zeros(1, np.int64)
         for level in range(len(self.levels) - 1, -1, -1):
             bm, low, high, excess, comp = self.levels[level]
@@ -150,19 +166,20 @@ class SignatureTree:
                 x, y = x[fits], y[fits]
             if level == 0:
                 x, y = x[x < y], y[x < y]
-            keep = (np.maximum(low[x], low[y]) * threshold <= np.minimum(high[x], high[y])) & ((comp[x] != comp[y]) | (comp[x] < 0))
+            keep = (np.maximum(low[x], low[y]) * threshold <= np.minimum(high[x], high[y]) + 1e-9) & ((comp[x] != comp[y]) | (comp[x] < 0))
             x, y = x[keep], y[keep]
             need = np.ceil((low[x] + low[y]) * (threshold / (1 + threshold)) - 1e-9)
             keep = np.zeros(len(x), bool)
-            for i in range(0, len(x), 8192):
-                p, q = x[i : i + 8192], y[i : i + 8192]
-                keep[i : i + 8192] = np.bitwise_count(bm[p] & bm[q]).sum(1) + np.minimum(excess[p], excess[q]) >= need[i : i + 8192]
+            for i in range(0, len(x), 4096):
+                p, q = x[i : i + 4096], y[i : i + 4096]
+                keep[i : i + 4096] = np.bitwise_count(bm[p] & bm[q]).sum(1) + np.minimum(excess[p], excess[q]) >= need[i : i + 4096]
             x, y = x[keep], y[keep]
         return x, y
 
 
 def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
-    if min(len(a), len(b)) < threshold * max(len(a), len(b)):
+    """Whether the Jaccard similarity of two sorted sets reaches the threshold, in whole numbers."""
+    if min(len(a), len(b)) < threshold * max(len(a), len(b)) - 1e-9:
         return False
     if len(a) > len(b):
         a, b = b, a
@@ -170,61 +187,53 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
     return 10_000 * both >= round(10_000 * threshold) * (len(a) + len(b) - both)
 
 
-def unit_links(keys: np.ndarray, sets: list[np.ndarray], component: np.ndarray, threshold: float) -> list[tuple[int, int]]:
-    """Links that connect all components of members which are linked: pairs of positions in `keys`."""
-    order = np.lexsort((keys, [len(s) for s in sets]))
-    tree = SignatureTree([sets[i] for i in order], np.unique(component[order], return_inverse=True)[1].astype(np.int64))
-    x, y = tree.pairs(threshold)
-    label, links = component[order].copy(), []
-    while len(x):
-        first = x[0]  # the pairs of one leaf at a time, so that what it links is skipped for the others
-        now = x == first
-        for j in y[now]:
-            if label[first] != label[j] and similar(sets[order[first]], sets[order[j]], threshold):
-                links.append((int(order[first]), int(order[j])))
-                label[label == label[j]] = label[first]
-        keep = ~now & (label[x] != label[y])
-        x, y = x[keep], y[keep]
-    return links
+def _pivot_pairs(threshold):
+    """(a, na, bits a, b, nb, bits b) -> the pairs (a, b) that a tree of the two leaves doesn't exclude."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for a, na, x, b, nb, y in zip(*(c.to_pylist() for c in batch.columns)):
+                tree = SignatureTree([np.frombuffer(x, U64), np.frombuffer(y, U64)], np.array([na, nb]), np.arange(2))
+                if len(tree.pairs(threshold)[0]):
+                    out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return run
 
 
-def _joined_units(threshold, labels):
-    """Rows sorted by unit -> links (a, b), or with `labels` the members' components (key, comp) after the unit's links."""
+def _tree_pairs(threshold):
+    """Rows (unit, key, n, bits, comp) sorted by unit -> the pairs (a, b) of keys that the unit's tree doesn't exclude."""
 
     def finish(rows):
+        rows.sort(key=lambda r: (r[1], r[0]))
+        comp = np.unique([r[3] for r in rows], return_inverse=True)[1].astype(np.int64)
+        tree = SignatureTree([np.frombuffer(r[2], U64) for r in rows], np.array([r[1] for r in rows]), comp)
         keys = np.array([r[0] for r in rows], np.int64)
-        sets = [np.frombuffer(r[1], U64) for r in rows]
-        comp = np.array([r[2] for r in rows], np.int64)
-        links = unit_links(keys, sets, comp, threshold)
-        if not labels:
-            return [(int(comp[a]), int(comp[b])) for a, b in links]
-        pivot = rows[0][3]
-        label = keys.copy()
-        for a, b in links:
-            label[label == label[b]] = label[a]
-        out = []
-        for v in np.unique(label):
-            own = keys[label == v]
-            name = pivot if pivot in own else int(own.min())
-            out += [(int(k), name) for k in own]
-        return out
+        x, y = tree.pairs(threshold)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(keys[x], keys[y])), pa.array(np.maximum(keys[x], keys[y]))], ["a", "b"])
 
     def run(batches):
-        unit, rows, out = None, [], []
+        unit, rows = None, []
         for batch in batches:
             for u, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if u != unit:
-                    if len(rows) > 1 or labels and rows:
-                        out += finish(rows)
+                    if len(rows) > 1:
+                        yield finish(rows)
                     unit, rows = u, []
                 rows.append(row)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["a", "b"])
-                out = []
-        if len(rows) > 1 or labels and rows:
-            out += finish(rows)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+        if len(rows) > 1:
+            yield finish(rows)
+
+    return run
+
+
+def _verified(threshold):
+    def run(batches):
+        for batch in batches:
+            a, x, b, y = (c.to_pylist() for c in batch.columns)
+            ok = [similar(np.frombuffer(p, U64), np.frombuffer(q, U64), threshold) for p, q in zip(x, y)]
+            yield pa.RecordBatch.from_arrays([pa.array([v for v, k in zip(c, ok) if k], pa.int64()) for c in (a, b)], ["a", "b"])
 
     return run
 
@@ -247,7 +256,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = down.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b"))).distinct()
         edges = materialize(small.select(F.col("b").alias("a"), F.col("a").alias("b")), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == before:
+        if tuple(now) in (before, (0, None)):
             return edges.select(F.col("b").alias("node"), F.col("a").alias("comp"))
         before = tuple(now)
 
@@ -263,65 +272,77 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    found = materialize(rows.mapInArrow(_profiles, "id bigint, n int, key bigint, hot bigint, hits bigint"), "profiles")
+    found = materialize(rows.mapInArrow(_profiles, "id bigint, n int, key bigint, bits binary, hot bigint, hits bigint"), "profiles")
     profiles = found.filter("hot is null").select("id", "n", "key")
-    keys = materialize(profiles.filter("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n")), "keys")
+    keys = materialize(profiles.filter("key is not null").groupBy("key").agg(F.min("id").alias("id")), "keys")
+    bits = found.filter("key is not null").join(keys, ["id", "key"]).select("key", "n", "bits").dropDuplicates(["key"])
     hot = found.filter("hot is not null").groupBy("hot").agg(F.sum("hits").alias("hits")).orderBy(F.desc("hits"), "hot").limit(HOT_SHINGLES)
     hot = spark.sparkContext.broadcast(np.sort(np.array([r.hot for r in hot.collect()], np.int64).view(U64)))
 
-    by_shingle = Window.partitionBy("s")
+    # units (s, class): the sets of a size class with those of the next one, for each shared prefix shingle
     prefix = rows.select("text").mapInArrow(_prefixes(hot, threshold), "s bigint, key bigint, n int").repartition("s").dropDuplicates(["s", "key"])
-    shared = materialize(prefix.withColumn("cnt", F.count("*").over(by_shingle)).filter("cnt > 1"), "shared")
-
-    sets = _sets_of(rows, keys, shared.select("key").distinct())
-    label = _first_round(shared, sets, threshold)
-    links = _second_round(shared, sets, label, threshold)
+    own = F.floor(F.log("n") / math.log(1 / threshold)).cast("int")
+    shared = prefix.withColumn("cnt", F.count("*").over(Window.partitionBy("s"))).filter("cnt > 1")
+    unit = Window.partitionBy("s", "class")
+    shared = shared.withColumn("own", own).withColumn("class", F.explode(F.array(F.col("own"), F.col("own") - 1)))
+    shared = shared.withColumn("cnt", F.count("*").over(unit)).withColumn("owned", F.max(F.col("own") == F.col("class")).over(unit))
+    shared = materialize(shared.filter("cnt > 1 and owned").select("s", "class", "key", "n", "cnt"), "shared")
+
+    pivots = _first_round(shared, bits, threshold)
+    links = _links(rows, keys, pivots, threshold)
+    label = links.select(F.col("b").alias("node"), F.col("a").alias("comp"))  # a pivot is its own pivot: these are stars
+    candidates = _second_round(shared, bits, label, threshold)
+    links = links.unionByName(_links(rows, keys, candidates, threshold))
     merged = components(links)
-    top = label.join(merged, label.comp == merged.node, "left").select("key", F.coalesce(merged.comp, label.comp).alias("comp"))
-    named = keys.join(top, "key", "left").select("key", "id", F.coalesce("comp", "key").alias("comp"))
+    named = keys.join(merged.withColumnRenamed("node", "key"), "key", "left").select("key", "id", F.coalesce("comp", "key").alias("comp"))
     smallest = named.groupBy("comp").agg(F.min("id").alias("component_id"))
-    named = materialize(named.join(smallest, "comp").select("key", "component_id"), "named")
+    named = named.join(smallest, "comp").select("key", "component_id")
     return profiles.join(named, "key", "left").select(F.col("id").alias(id_col), F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
-def _sets_of(rows: DataFrame, keys: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, members) of the wanted keys, each from the document with the smallest id that has it."""
+def _links(rows: DataFrame, keys: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of keys whose full sets are similar. A set comes from the document with the smallest id that has it."""
+    pairs = materialize(pairs.distinct(), "pairs")
+    wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     ids = materialize(keys.join(wanted, "key", "left_semi").select("id", "key"), "ids")
-    few = ids.count() <= FEW_IDS
-    texts = rows.join(F.broadcast(ids) if few else ids, "id").select("key", "text")
-    return materialize(texts.mapInArrow(_sets, "key bigint, members binary").dropDuplicates(["key"]), "sets")
-
-
-def _first_round(shared: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(key, comp): each member joins its largest group, in blocks that share a pivot."""
-    chosen = shared.groupBy("key").agg(F.max_by(F.struct("s", "n"), F.struct("cnt", "s")).alias("g")).select("key", F.col("g.s").alias("s"), F.col("g.n").alias("n"))
-    w = Window.partitionBy("s").orderBy("n", "key")
-    ranked = chosen.withColumn("pivot", F.first("key").over(w)).withColumn("block", F.expr(f"cast((row_number() over (partition by s order by n, key) - 1) div {BLOCK} as int)"))
-    ranked = materialize(ranked.select("key", "pivot", "block", F.xxhash64("s", "block").alias("unit")), "blocks")
-    extra = ranked.filter("block > 0").select(F.col("pivot").alias("key"), "pivot", "block", "unit").distinct()
-    units = ranked.unionByName(extra).join(sets, "key").select("unit", "key", "members", F.col("key").alias("comp"), "pivot")
-    got = units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_joined_units(threshold, True), "a bigint, b bigint")
-    return materialize(got.groupBy(F.col("a").alias("key")).agg(F.min_by("b", F.when(F.col("a") == F.col("b"), 1).otherwise(0)).alias("comp")), "label")
-
-
-def _second_round(shared: DataFrame, sets: DataFrame, label: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) between components that the first round left apart."""
-    w = Window.partitionBy("s")
-    members = shared.join(label, "key").withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w)).filter("lo <> hi")
-    members = materialize(members.select("s", "key", "n", "comp", "cnt"), "members")
-    # groups of one block: equal lists of members are one unit
-    small = members.filter(F.col("cnt") <= BLOCK).groupBy("s").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    texts = rows.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "id").select("key", "text")
+    sets = texts.mapInArrow(_sets, "key bigint, members binary").dropDuplicates(["key"])
+    a, b = (sets.select(F.col("key").alias(k), F.col("members").alias(f"set_{k}")) for k in "ab")
+    both = pairs.join(a, "a").join(b, "b").select("a", "set_a", "b", "set_b")
+    return materialize(both.mapInArrow(_verified(threshold), "a bigint, b bigint"), "links")
+
+
+def _first_round(shared: DataFrame, bits: DataFrame, threshold: float) -> DataFrame:
+    """Each member with the pivot of its largest unit."""
+    chosen = shared.groupBy("key").agg(F.max_by(F.struct("s", "class", "n"), F.struct("cnt", "s", "class")).alias("u")).select("key", "u.*")
+    w = Window.partitionBy("s", "class").orderBy("n", "key")
+    pairs = chosen.select("key", F.first("key").over(w).alias("pivot")).filter("key <> pivot")
+    a, b = (bits.select(F.col("key").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")) for k in ("pivot", "key"))
+    both = pairs.join(a, "pivot").join(b, "key").select("pivot", "n_pivot", "bits_pivot", "key", "n_key", "bits_key")
+    return both.mapInArrow(_pivot_pairs(threshold), "a bigint, b bigint")
+
+
+def _second_round(shared: DataFrame, bits: DataFrame, label: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of keys of different components that the trees of their units don't exclude."""
+    unit = Window.partitionBy("s", "class")
+    named = shared.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    members = named.withColumn("lo", F.min("comp").over(unit)).withColumn("hi", F.max("comp").over(unit)).filter("lo <> hi")
+    members = materialize(members.select("s", "class", "key", "n", "comp", "cnt"), "members")
+    # units of one block: equal lists of members are one unit
+    small = members.filter(F.col("cnt") <= BLOCK).groupBy("s", "class").agg(F.array_sort(F.collect_list("key")).alias("keys"))
     small = small.groupBy(F.xxhash64("keys").alias("unit")).agg(F.first("keys").alias("keys")).select("unit", F.explode("keys").alias("key"))
     # larger ones: blocks by size, and pairs of blocks whose sizes are compatible and that aren't one component
-    ranked = members.filter(F.col("cnt") > BLOCK).withColumn("block", F.expr(f"cast((row_number() over (partition by s order by n, key) - 1) div {BLOCK // 2} as int)"))
-    ranked = materialize(ranked, "ranked")
-    block = ranked.groupBy("s", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-    a, b = block.alias("a"), block.alias("b")
-    pairs = a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.block") <= F.col("b.block")) & (F.col("b.low") * threshold <= F.col("a.high")) & ~((F.col("a.c0") == F.col("b.c1")) & (F.col("a.c1") == F.col("b.c0"))))
-    pairs = pairs.select(F.col("a.s").alias("s"), F.xxhash64("a.s", "a.block", "b.block").alias("unit"), F.explode(F.array_distinct(F.array("a.block", "b.block"))).alias("block"))
-    large = ranked.join(pairs, ["s", "block"]).select("unit", "key")
-    units = small.unionByName(large).join(label, "key").join(sets, "key").select("unit", "key", "members", "comp", F.lit(None).cast("bigint").alias("pivot"))
-    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_joined_units(threshold, False), "a bigint, b bigint")
+    block = F.expr(f"cast((row_number() over (partition by s, class order by n, key) - 1) div {BLOCK // 2} as int)")
+    ranked = materialize(members.filter(F.col("cnt") > BLOCK).withColumn("block", block), "ranked")
+    blocks = ranked.groupBy("s", "class", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    a, b = blocks.alias("a"), blocks.alias("b")
+    pairs = a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.class") == F.col("b.class")) & (F.col("a.block") <= F.col("b.block")) & (F.col("b.low") * threshold <= F.col("a.high")) & ~((F.col("a.c0") == F.col("b.c1")) & (F.col("a.c1") == F.col("b.c0"))))
+    pairs = pairs.select("a.s", "a.class", F.xxhash64("a.s", "a.class", "a.block", "b.block").alias("unit"), F.explode(F.array_distinct(F.array("a.block", "b.block"))).alias("block"))
+    large = ranked.join(pairs, ["s", "class", "block"]).select("unit", "key")
+    comps = label.withColumnRenamed("node", "key")
+    signed = bits.join(comps, "key", "left").select("key", "n", "bits", F.coalesce("comp", "key").alias("comp"))
+    units = small.unionByName(large).join(signed, "key").select("unit", "key", "n", "bits", "comp")
+    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_tree_pairs(threshold), "a bigint, b bigint")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

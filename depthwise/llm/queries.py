@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join, sharding
+from . import decontaminate, fuzzy_hash, html_text, ngram_join, packing, sharding
 from .storage import documents
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_components(documents(spark, sf_dir))
 
@@ -18,7 +22,19 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(documents(spark, sf_dir).select("doc_id"), "doc_id", SHARDS)
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_sharding)}
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op6_fuzzy_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_hash.fingerprints_with_edits(documents(spark, sf_dir))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.benchmark_matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_ngram_join, op3_sharding, op5_html_text, op6_fuzzy_hash, op7_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
