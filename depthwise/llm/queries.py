@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fuzzy_hash, html_text, ngram_join, packing, quality, sharding
+from . import decontaminate, fuzzy_hash, html_text, ngram_join, packing, quality, sharding, suffix_dedup
 from .storage import documents
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
@@ -34,11 +34,15 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.benchmark_matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_ngram_join, op3_sharding, op5_html_text, op6_fuzzy_hash, op7_decontamination, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_ngram_join, op3_sharding, op5_html_text, op6_fuzzy_hash, op7_decontamination, op8_suffix_dedup, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
