@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, fuzzy_hash, html_text, ngram_join, packing, quality, sharding, suffix_dedup
+from . import decontaminate, fuzzy_hash, html_text, line_dedup, ngram_join, packing, pii, quality, sharding, suffix_dedup
 from .storage import documents
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
@@ -22,6 +23,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(documents(spark, sf_dir).select("doc_id"), "doc_id", SHARDS)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(documents(spark, sf_dir))
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -38,11 +43,17 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(documents(spark, sf_dir))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document: its lines, how many went, and the digest of what is left."""
+    kept = line_dedup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_ngram_join, op3_sharding, op5_html_text, op6_fuzzy_hash, op7_decontamination, op8_suffix_dedup, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_ngram_join, op3_sharding, op4_pii, op5_html_text, op6_fuzzy_hash, op7_decontamination, op8_suffix_dedup, op9_line_dedup, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
