@@ -13,10 +13,11 @@ How it scales:
   and only changes the order, never the result.
 - A group is split by classes of set sizes; what shares a shingle with no set of a similar size goes no further.
 - Trees hold bitmaps (a few bits for each shingle); full sets move only for the pairs that the bounds leave.
-- First round: each member is tried against one pivot of its largest group. Large groups of near copies get connected here,
-  at linear cost.
+- First round: each member is tried against the pivots of two of its groups, the largest and the one whose list of members
+  recurs most. A pivot is the member that shares most with others, so that the original of a family of near copies is tried
+  against all of them. Large families get connected here, at linear cost.
 - Second round: only groups that still hold several components; a task unit is a group of at most BLOCK members, or a pair of
-  blocks of a larger one. Node pairs inside one component are skipped.
+  blocks of a larger one. Node pairs inside one component are skipped, and pairs that a task has sent before.
 - Components of what is linked come from large-star and small-star rounds on a written table.
 """
 
@@ -40,6 +41,8 @@ HOT_SHINGLES = 65_536
 #: Bound of a broadcast list of document ids: 8 bytes each.
 FEW_IDS = 1_000_000
 _FLUSH = 2_000_000
+#: Pairs that a task remembers, so as not to send them again.
+SENT = 1_000_000
 
 
 # ---- sets of documents -------------------------------------------------------------------------------------------------
@@ -204,6 +207,7 @@ def _pivot_pairs(threshold):
 
 def _tree_pairs(threshold):
     """Rows (unit, key, n, bits, comp) sorted by unit -> the pairs (a, b) of keys that the unit's tree doesn't exclude."""
+    sent: set[tuple[int, int]] = set()
 
     def finish(rows):
         rows.sort(key=lambda r: (r[1], r[0]))
@@ -211,7 +215,11 @@ def _tree_pairs(threshold):
         tree = SignatureTree([np.frombuffer(r[2], U64) for r in rows], np.array([r[1] for r in rows]), comp)
         keys = np.array([r[0] for r in rows], np.int64)
         x, y = tree.pairs(threshold)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(keys[x], keys[y])), pa.array(np.maximum(keys[x], keys[y]))], ["a", "b"])
+        new = set(zip(np.minimum(keys[x], keys[y]).tolist(), np.maximum(keys[x], keys[y]).tolist())) - sent
+        if len(sent) > SENT:
+            sent.clear()
+        sent.update(new)
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in new], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     def run(batches):
         unit, rows = None, []
@@ -290,7 +298,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     pivots = _first_round(shared, bits, threshold)
     links = _links(rows, keys, pivots, threshold)
-    label = links.select(F.col("b").alias("node"), F.col("a").alias("comp"))  # a pivot is its own pivot: these are stars
+    label = components(links)
     candidates = _second_round(shared, bits, label, threshold)
     links = links.unionByName(_links(rows, keys, candidates, threshold))
     merged = components(links)
@@ -313,12 +321,18 @@ def _links(rows: DataFrame, keys: DataFrame, pairs: DataFrame, threshold: float)
 
 
 def _first_round(shared: DataFrame, bits: DataFrame, threshold: float) -> DataFrame:
-    """Each member with the pivot of its largest unit."""
-    chosen = shared.groupBy("key").agg(F.max_by(F.struct("s", "class", "n"), F.struct("cnt", "s", "class")).alias("u")).select("key", "u.*")
-    w = Window.partitionBy("s", "class").orderBy("n", "key")
-    pairs = chosen.select("key", F.first("key").over(w).alias("pivot")).filter("key <> pivot")
+    """Each member with the pivots of two of its units."""
+    lists = shared.withColumn("list", F.bit_xor("key").over(Window.partitionBy("s", "class")))
+    recurs = lists.groupBy("key", "list").agg(F.count("*").alias("times"), F.max("cnt").alias("cnt"), F.sum("cnt").alias("all"), F.first("n").alias("n"), F.max_by(F.struct("s", "class"), F.struct("cnt", "s", "class")).alias("u"))
+    chosen = recurs.groupBy("key").agg(F.first("n").alias("n"), F.sum("all").alias("rank"), F.max_by("u", F.struct("cnt", "u")).alias("large"), F.max_by("list", F.struct("times", "cnt", "list")).alias("often"))
+    chosen = materialize(chosen, "chosen")
+    found = None
+    for group in ("large", "often"):
+        w = Window.partitionBy(group).orderBy(F.desc("rank"), "n", "key")
+        part = chosen.select("key", F.first("key").over(w).alias("pivot")).filter("key <> pivot")
+        found = part if found is None else found.unionByName(part)
     a, b = (bits.select(F.col("key").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")) for k in ("pivot", "key"))
-    both = pairs.join(a, "pivot").join(b, "key").select("pivot", "n_pivot", "bits_pivot", "key", "n_key", "bits_key")
+    both = found.distinct().join(a, "pivot").join(b, "key").select("pivot", "n_pivot", "bits_pivot", "key", "n_key", "bits_key")
     return both.mapInArrow(_pivot_pairs(threshold), "a bigint, b bigint")
 
 
@@ -330,7 +344,7 @@ def _second_round(shared: DataFrame, bits: DataFrame, label: DataFrame, threshol
     members = materialize(members.select("s", "class", "key", "n", "comp", "cnt"), "members")
     # units of one block: equal lists of members are one unit
     small = members.filter(F.col("cnt") <= BLOCK).groupBy("s", "class").agg(F.array_sort(F.collect_list("key")).alias("keys"))
-    small = small.groupBy(F.xxhash64("keys").alias("unit")).agg(F.first("keys").alias("keys")).select("unit", F.explode("keys").alias("key"))
+    small = small.groupBy(F.xxhash64("keys").alias("unit")).agg(F.first("keys").alias("keys")).select("unit", F.get("keys", F.lit(0)).alias("deal"), F.explode("keys").alias("key"))
     # larger ones: blocks by size, and pairs of blocks whose sizes are compatible and that aren't one component
     block = F.expr(f"cast((row_number() over (partition by s, class order by n, key) - 1) div {BLOCK // 2} as int)")
     ranked = materialize(members.filter(F.col("cnt") > BLOCK).withColumn("block", block), "ranked")
@@ -338,11 +352,12 @@ def _second_round(shared: DataFrame, bits: DataFrame, label: DataFrame, threshol
     a, b = blocks.alias("a"), blocks.alias("b")
     pairs = a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.class") == F.col("b.class")) & (F.col("a.block") <= F.col("b.block")) & (F.col("b.low") * threshold <= F.col("a.high")) & ~((F.col("a.c0") == F.col("b.c1")) & (F.col("a.c1") == F.col("b.c0"))))
     pairs = pairs.select("a.s", "a.class", F.xxhash64("a.s", "a.class", "a.block", "b.block").alias("unit"), F.explode(F.array_distinct(F.array("a.block", "b.block"))).alias("block"))
-    large = ranked.join(pairs, ["s", "class", "block"]).select("unit", "key")
+    large = ranked.join(pairs, ["s", "class", "block"]).select("unit", F.col("unit").alias("deal"), "key")
     comps = label.withColumnRenamed("node", "key")
     signed = bits.join(comps, "key", "left").select("key", "n", "bits", F.coalesce("comp", "key").alias("comp"))
-    units = small.unionByName(large).join(signed, "key").select("unit", "key", "n", "bits", "comp")
-    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_tree_pairs(threshold), "a bigint, b bigint")
+    units = small.unionByName(large).join(signed, "key").select("unit", "key", "n", "bits", "comp", "deal")
+    units = units.repartition("deal").sortWithinPartitions("deal", "unit").drop("deal")  # units with one first member meet in a task
+    return units.mapInArrow(_tree_pairs(threshold), "a bigint, b bigint")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
