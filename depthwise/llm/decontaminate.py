@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .numtext import POSITION_FACTORS, PUNCTUATION, U64, as_bytes, mix, word_hashes
+from .storage import bounded
 
 #: Positions with 1 count.
 MASKS = ("111011010111", "110111101011", "101101111101")
@@ -22,6 +23,8 @@ OVERLAP, AGREEMENT = 16, 0.8
 SHORTEST = 5
 #: Benchmark tokens that are broadcast at once; larger benchmarks go block by block.
 BLOCK_TOKENS = 500_000
+#: Bound of a broadcast list of document ids: 8 bytes each.
+FEW_IDS = 1_000_000
 
 
 def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
@@ -128,4 +131,5 @@ def _matched(table):
 def without_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the documents that hold a benchmark passage; rows with a null id stay."""
     hits = benchmark_matches(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("__hit")).distinct()
+    hits = bounded(hits, FEW_IDS, "hits")
     return docs.join(hits, docs[id_col] == hits["__hit"], "left_anti")

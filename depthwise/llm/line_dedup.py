@@ -5,11 +5,10 @@ similar. The join orders the tokens of each line by rarity and compares only lin
 (prefix filter), at places that leave room for the overlap needed (positional filter), and of compatible lengths; then it
 verifies the Jaccard similarity on the whole sets.
 
-How it scales: equal lines are one member of the join. Rarity comes from counts of all tokens in 2**16 hash buckets, a table
-of fixed size that stands in the plan as one byte a bucket; tokens of buckets about the average are taken as the rarer the
-longer they are. A token is written as its bucket's level, its length and 40 bits of its hash in one number, so that numbers
-sort by rarity and no join is needed to rank them. Frequent tokens come last in the lines and leave the prefixes. Lines are
-dealt out by token; what a hot token still gathers is split by Spark's skew join.
+How it scales: equal lines are one member of the join. Rarity comes from counts of all tokens in 2**18 hash buckets, a table
+of fixed size that stands in the plan as one small number a bucket. A token is written as its bucket's level and 55 bits of its
+hash in one number, so that numbers sort by rarity and no join is needed to rank them. Frequent tokens come last in the lines
+and leave the prefixes. Lines are dealt out by token; what a hot token still gathers is split by Spark's skew join.
 """
 
 from __future__ import annotations
@@ -19,46 +18,41 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import bounded, materialize
 
-THRESHOLD = 0.8
+THRESHOLD = 0.9
 #: Lines with fewer different words are left alone.
 SHORTEST = 2
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
 #: Bounds of broadcast tables, in rows of a few dozen bytes.
 FEW_ROWS = 300_000
-_HASH = (1 << 40) - 1
+_HASH = (1 << 55) - 1
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(F.translate(F.lower(line), "\t\x0b\x0c\r", "    "), " "), lambda w: w != "")
+    return F.array_remove(F.split(F.translate(F.lower(line), "\t\x0b\x0c\r\n", "     "), " "), "")
 
 
 def _tokens(line: Column) -> Column:
-    """Hashes of the distinct words of a line: up to 63 characters of length, the longer the lower, then the hash."""
-    def token(w: Column) -> Column:
-        return F.shiftleft(F.lit(63) - F.least(F.length(w), F.lit(63)).cast("bigint"), 56).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit((1 << 56) - 1)))
-
-    return F.array_distinct(F.transform(_words(line), token))
+    """Hashes of the distinct words of a line."""
+    return F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
 
 
 def _bucket(token: Column) -> Column:
-    return token.bitwiseAND(F.lit(BUCKETS - 1))
-
+    return token.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
-def _ranked(tokens: Column, levels: bytes) -> Column:
-    """Tokens as (level of the bucket, length, hash) in one number, rarest first."""
-    def rank(t: Column) -> Column:
-        level = F.ascii(F.substring(F.lit(levels), (_bucket(t) + 1).cast("int"), F.lit(1)).cast("string")).cast("bigint")
-        return F.shiftleft(level, 55).bitwiseOR(F.shiftrightunsigned(t, 7))
 
-    return F.sort_array(F.transform(tokens, rank))
+def _ranked(tokens: Column, levels: Column) -> Column:
+    """Tokens as (level of the bucket, hash) in one number, rarest first."""
+    return F.sort_array(F.transform(tokens, lambda t: F.get(levels, _bucket(t)).bitwiseOR(t.bitwiseAND(F.lit(_HASH)))))
 
 
-def _levels(counts: dict[int, int]) -> bytes:
-    """One byte for each bucket: 1 up to one and a half times the average count, then three steps for each doubling."""
+def _levels(counts: dict[int, int]) -> Column:
+    """For each bucket its level times 2**55: 0 up to one and a half times the average count, then three steps for each
+    doubling. The table is one literal of BUCKETS numbers, whatever the data's size."""
     mean = max(sum(counts.values()) / BUCKETS, 8)
-    return bytes(min(127, max(1, int(3 * math.log2(c / mean)))) if (c := counts.get(k, 0)) > 1.5 * mean else 1 for k in range(BUCKETS))
+    level = [min(127, max(1, int(3 * math.log2(c / mean)))) if (c := counts.get(k, 0)) > 1.5 * mean else 0 for k in range(BUCKETS)]
+    return F.from_json(F.lit(str([v << 55 if v else 0 for v in level])), "array<bigint>")
 
 
 def _ceil(x: Column) -> Column:
@@ -69,7 +63,8 @@ def line_decisions(docs: DataFrame, id_col: str, text_col: str, threshold: float
     """(id, no) of the lines to remove."""
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     lines = texts.select("id", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    counted = lines.select(F.explode(_tokens(F.col("line"))).alias("t")).groupBy(_bucket(F.col("t")).alias("bucket")).agg(F.count("*").alias("n"))
+    words = texts.select(F.explode(_words(F.col("text"))).alias("w"))
+    counted = words.groupBy(_bucket(F.xxhash64("w")).alias("bucket")).agg(F.count("*").alias("n"))
     levels = _levels({r.bucket: r.n for r in counted.collect()})
 
     own = lines.withColumn("ranked", _ranked(_tokens(F.col("line")), levels)).withColumn("n", F.size("ranked")).filter(F.col("n") >= SHORTEST)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .numtext import U64, set_key, shingle_set
-from .storage import materialize
+from .storage import bounded, materialize
 
 WORDS = 5
 THRESHOLD = 0.75
@@ -312,8 +312,8 @@ def _links(rows: DataFrame, keys: DataFrame, pairs: DataFrame, threshold: float)
     """The pairs (a, b) of keys whose full sets are similar. A set comes from the document with the smallest id that has it."""
     pairs = materialize(pairs.distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    ids = materialize(keys.join(wanted, "key", "left_semi").select("id", "key"), "ids")
-    texts = rows.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "id").select("key", "text")
+    ids = bounded(keys.join(wanted, "key", "left_semi").select("id", "key"), FEW_IDS, "ids")
+    texts = rows.join(ids, "id").select("key", "text")
     sets = texts.mapInArrow(_sets, "key bigint, members binary").dropDuplicates(["key"])
     a, b = (sets.select(F.col("key").alias(k), F.col("members").alias(f"set_{k}")) for k in "ab")
     both = pairs.join(a, "a").join(b, "b").select("a", "set_a", "b", "set_b")
@@ -364,5 +364,5 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The rows of docs whose id is the smallest of its component, with their own columns. Rows that repeat an id stay as they
     are; rows with a null id stay too."""
     found = link_components(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, threshold)
-    drop = found.filter(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("__dropped")).distinct()
+    drop = bounded(found.filter(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("__dropped")).distinct(), FEW_IDS, "dropped")
     return docs.join(drop, docs[id_col] == drop["__dropped"], "left_anti")

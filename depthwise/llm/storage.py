@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,3 +28,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def bounded(df: DataFrame, rows: int, name: str = "few") -> DataFrame:
+    """df, written out, with a hint to broadcast it only if it has at most `rows` rows; beyond, joins with it shuffle."""
+    df = materialize(df, name)
+    return F.broadcast(df) if df.count() <= rows else df
