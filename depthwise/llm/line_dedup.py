@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import bounded, materialize
@@ -27,6 +27,8 @@ BUCKETS = 1 << 18
 #: Bounds of broadcast tables, in rows of a few dozen bytes.
 FEW_ROWS = 300_000
 _HASH = (1 << 55) - 1
+#: Tokens that stand for a line, as a multiple of its prefix.
+HEAD = 3
 
 
 def _words(line: Column) -> Column:
@@ -70,39 +72,59 @@ def line_decisions(docs: DataFrame, id_col: str, text_col: str, threshold: float
     own = lines.withColumn("ranked", _ranked(_tokens(F.col("line")), levels)).withColumn("n", F.size("ranked")).filter(F.col("n") >= SHORTEST)
     n = F.col("n")
     probe = n - _ceil(n * threshold) + 1
-    own = materialize(own.select("id", "no", F.xxhash64("ranked").alias("key"), "n", F.slice("ranked", 1, probe).alias("prefix")), "lines")
+    low = lambda t: t.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+    head = F.transform(F.slice("ranked", 1, F.least(probe * HEAD, n)), low)
+    own = materialize(own.select("id", "no", F.xxhash64("ranked").alias("key"), "n", head.alias("head")), "lines")
 
-    members = own.groupBy("key").agg(F.min(F.struct("id", "no")).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    members = own.groupBy("key").agg(F.min(F.struct("id", "no")).alias("first"), F.first("n").alias("n"), F.first("head").alias("head"))
     members = materialize(members, "members")
-    tokens = members.select("key", "n", F.posexplode("prefix").alias("at", "t"))
-    a, b = tokens.alias("a"), tokens.alias("b")
-    index = F.col("a.n") - _ceil(F.col("a.n") * (2 * threshold / (1 + threshold))) + 1  # prefix of the shorter line of a pair
-    need = _ceil((F.col("a.n") + F.col("b.n")) * (threshold / (1 + threshold)))
-    pairs = a.join(
-        b,
-        (F.col("a.t") == F.col("b.t"))
-        & (F.col("a.at") < index)
-        & ((F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.key") < F.col("b.key"))))
-        & (F.col("a.n") >= F.col("b.n") * threshold - 1e-9)
-        & (F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) >= need),
-    )
-    pairs = materialize(pairs.select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct(), "pairs")
-
-    # whole sets of the lines in pairs, from their first occurrences
+    # first the earliest line of each token and class of lengths against the others; most families of similar lines end here
+    tokens = members.select("key", "first", "n", F.floor(F.log("n") / math.log(1 / threshold)).cast("int").alias("class"), F.posexplode(F.slice("head", 1, probe)).alias("at", "t"))
+    head = tokens.withColumn("p", F.min(F.struct("first", "key", "n", "at")).over(Window.partitionBy("t", "class")))
+    near = _fits(threshold, "p.n", "p.at", "n", "at") & (F.col("p.key") != F.col("key"))
+    found = _later(texts, members, head.filter(near).select(F.col("p.key").alias("a"), F.col("key").alias("b")), threshold)
+    # then all earlier lines against those that are left
+    left = tokens.join(found, "key", "left_anti")
+    a, b = tokens.alias("a"), left.alias("b")
+    pairs = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.first") < F.col("b.first")) & _fits(threshold, "a.n", "a.at", "b.n", "b.at"))
+    found = found.unionByName(_later(texts, members, pairs.select(F.col("a.key").alias("a"), F.col("b.key").alias("b")), threshold))
+    members = members.select("key", "first").join(found.withColumn("later", F.lit(True)), "key", "left")
+    gone = own.select("id", "no", "key").join(members, "key").filter(F.col("later").isNotNull() | (F.struct("id", "no") > F.col("first"))).select("id", "no")
+    return materialize(gone.distinct(), "gone")
+
+
+def _fits(threshold: float, n: str, at: str, m: str, k: str) -> Column:
+    """Whether lines of n and m tokens that share the tokens at places `at` and k, and none before, can be similar: lengths, the
+    room for the overlap from those places on, and the place within the shorter line's own prefix."""
+    n, at, m, k = (F.col(c) for c in (n, at, m, k))
+    index = lambda x: x - _ceil(x * (2 * threshold / (1 + threshold))) + 1
+    return (
+        (n >= m * threshold - 1e-9) & (m >= n * threshold - 1e-9) & (F.least(n - at, m - k) >= _ceil((n + m) * (threshold / (1 + threshold))))
+        & F.when(n <= m, at < index(n)).otherwise(k < index(m))
+    )
+
+
+def _later(texts: DataFrame, members: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """Keys b of the pairs (a, b), a being earlier, that are similar on the whole sets, taken from the lines' first places.
+
+    Before, the heads are compared: of two similar lines' first k tokens all but those agree that the lines have not in common,
+    which the sizes bound.
+    """
+    a, b = (members.select(F.col("key").alias(k), F.col("n").alias(f"n_{k}"), F.col("head").alias(f"head_{k}")) for k in "ab")
+    need = _ceil((F.col("n_a") + F.col("n_b")) * (threshold / (1 + threshold)))
+    least = F.least(F.size("head_a"), F.size("head_b")) - (F.col("n_a") - need) - (F.col("n_b") - need)
+    likely = pairs.distinct().join(a, "a").join(b, "b").filter(F.size(F.array_intersect("head_a", "head_b")) >= least)
+    pairs = materialize(likely.select("a", "b"), "pairs")
     wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     wanted = materialize(members.select("key", "first").join(wanted, "key", "left_semi"), "wanted")
     places = wanted.groupBy(F.col("first.id").alias("id")).agg(F.collect_list(F.struct(F.col("first.no").alias("no"), "key")).alias("places"))
-    few = wanted.count() <= FEW_ROWS
-    picked = texts.join(F.broadcast(places) if few else places, "id").select(F.split("text", "\n").alias("lines"), F.explode("places").alias("p"))
+    places = F.broadcast(places) if wanted.count() <= FEW_ROWS else places
+    picked = texts.join(places, "id").select(F.split("text", "\n").alias("lines"), F.explode("places").alias("p"))
     picked = picked.select(F.col("p.key").alias("key"), _tokens(F.get("lines", F.col("p.no"))).alias("tokens")).dropDuplicates(["key"])
-    picked = picked.join(wanted, "key").select("key", "first", "tokens")
-    x, y = (picked.select(F.col("key").alias(k), F.col("first").alias(f"first_{k}"), F.col("tokens").alias(f"tokens_{k}")) for k in "ab")
+    x, y = (picked.select(F.col("key").alias(k), F.col("tokens").alias(f"tokens_{k}")) for k in "ab")
     both = F.size(F.array_intersect("tokens_a", "tokens_b"))
     similar = pairs.join(x, "a").join(y, "b").filter(both * 10_000 >= round(threshold * 10_000) * (F.size("tokens_a") + F.size("tokens_b") - both))
-    later = similar.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("key")).distinct()
-    members = members.select("key", "first").join(later.withColumn("later", F.lit(True)), "key", "left")
-    gone = own.select("id", "no", "key").join(members, "key").filter(F.col("later").isNotNull() | (F.struct("id", "no") > F.col("first"))).select("id", "no")
-    return materialize(gone.distinct(), "gone")
+    return materialize(similar.select(F.col("b").alias("key")).distinct(), "later")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
