@@ -17,7 +17,8 @@ How it scales:
   recurs most. A pivot is the member that shares most with others, so that the original of a family of near copies is tried
   against all of them. Large families get connected here, at linear cost.
 - Second round: only groups that still hold several components; a task unit is a group of at most BLOCK members, or a pair of
-  blocks of a larger one. Node pairs inside one component are skipped, and pairs that a task has sent before.
+  blocks of a larger one. Node pairs inside one component are skipped, and pairs that meet in a group of a lower shingle too,
+  as far as the first HEAD shared shingles of each member tell.
 - Components of what is linked come from large-star and small-star rounds on a written table.
 """
 
@@ -41,8 +42,8 @@ HOT_SHINGLES = 65_536
 #: Bound of a broadcast list of document ids: 8 bytes each.
 FEW_IDS = 1_000_000
 _FLUSH = 2_000_000
-#: Pairs that a task remembers, so as not to send them again.
-SENT = 1_000_000
+#: Shared shingles of a member, the lowest, that travel with it.
+HEAD = 12
 
 
 # ---- sets of documents -------------------------------------------------------------------------------------------------
@@ -206,20 +207,25 @@ def _pivot_pairs(threshold):
 
 
 def _tree_pairs(threshold):
-    """Rows (unit, key, n, bits, comp) sorted by unit -> the pairs (a, b) of keys that the unit's tree doesn't exclude."""
-    sent: set[tuple[int, int]] = set()
+    """Rows (unit, s, key, n, bits, comp, head) sorted by unit -> the pairs (a, b) of keys that the unit's tree doesn't exclude,
+    unless both have a shingle below s in their heads and so meet in its unit, too."""
 
     def finish(rows):
-        rows.sort(key=lambda r: (r[1], r[0]))
-        comp = np.unique([r[3] for r in rows], return_inverse=True)[1].astype(np.int64)
-        tree = SignatureTree([np.frombuffer(r[2], U64) for r in rows], np.array([r[1] for r in rows]), comp)
-        keys = np.array([r[0] for r in rows], np.int64)
+        rows.sort(key=lambda r: (r[2], r[1]))
+        comp = np.unique([r[4] for r in rows], return_inverse=True)[1].astype(np.int64)
+        tree = SignatureTree([np.frombuffer(r[3], U64) for r in rows], np.array([r[2] for r in rows]), comp)
+        keys = np.array([r[1] for r in rows], np.int64)
+        head = np.full((len(rows), HEAD), np.iinfo(np.int64).max)
+        for k, r in enumerate(rows):
+            lower = [v for v in r[5] if v < r[0]]
+            head[k, : len(lower)] = lower
         x, y = tree.pairs(threshold)
-        new = set(zip(np.minimum(keys[x], keys[y]).tolist(), np.maximum(keys[x], keys[y]).tolist())) - sent
-        if len(sent) > SENT:
-            sent.clear()
-        sent.update(new)
-        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in new], pa.int64()) for k in (0, 1)], ["a", "b"])
+        new = np.ones(len(x), bool)
+        for i in range(0, len(x), 4096):
+            p, q = head[x[i : i + 4096]], head[y[i : i + 4096]]
+            new[i : i + 4096] = ~((p[:, :, None] == q[:, None, :]) & (p[:, :, None] < np.iinfo(np.int64).max)).any((1, 2))
+        x, y = x[new], y[new]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(keys[x], keys[y])), pa.array(np.maximum(keys[x], keys[y]))], ["a", "b"])
 
     def run(batches):
         unit, rows = None, []
@@ -344,7 +350,7 @@ def _second_round(shared: DataFrame, bits: DataFrame, label: DataFrame, threshol
     members = materialize(members.select("s", "class", "key", "n", "comp", "cnt"), "members")
     # units of one block: equal lists of members are one unit
     small = members.filter(F.col("cnt") <= BLOCK).groupBy("s", "class").agg(F.array_sort(F.collect_list("key")).alias("keys"))
-    small = small.groupBy(F.xxhash64("keys").alias("unit")).agg(F.first("keys").alias("keys")).select("unit", F.get("keys", F.lit(0)).alias("deal"), F.explode("keys").alias("key"))
+    small = small.groupBy(F.xxhash64("keys").alias("unit")).agg(F.first("keys").alias("keys"), F.min("s").alias("s")).select("unit", "s", F.explode("keys").alias("key"))
     # larger ones: blocks by size, and pairs of blocks whose sizes are compatible and that aren't one component
     block = F.expr(f"cast((row_number() over (partition by s, class order by n, key) - 1) div {BLOCK // 2} as int)")
     ranked = materialize(members.filter(F.col("cnt") > BLOCK).withColumn("block", block), "ranked")
@@ -352,12 +358,12 @@ def _second_round(shared: DataFrame, bits: DataFrame, label: DataFrame, threshol
     a, b = blocks.alias("a"), blocks.alias("b")
     pairs = a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.class") == F.col("b.class")) & (F.col("a.block") <= F.col("b.block")) & (F.col("b.low") * threshold <= F.col("a.high")) & ~((F.col("a.c0") == F.col("b.c1")) & (F.col("a.c1") == F.col("b.c0"))))
     pairs = pairs.select("a.s", "a.class", F.xxhash64("a.s", "a.class", "a.block", "b.block").alias("unit"), F.explode(F.array_distinct(F.array("a.block", "b.block"))).alias("block"))
-    large = ranked.join(pairs, ["s", "class", "block"]).select("unit", F.col("unit").alias("deal"), "key")
+    large = ranked.join(pairs, ["s", "class", "block"]).select("unit", "s", "key")
     comps = label.withColumnRenamed("node", "key")
-    signed = bits.join(comps, "key", "left").select("key", "n", "bits", F.coalesce("comp", "key").alias("comp"))
-    units = small.unionByName(large).join(signed, "key").select("unit", "key", "n", "bits", "comp", "deal")
-    units = units.repartition("deal").sortWithinPartitions("deal", "unit").drop("deal")  # units with one first member meet in a task
-    return units.mapInArrow(_tree_pairs(threshold), "a bigint, b bigint")
+    heads = members.groupBy("key").agg(F.slice(F.array_sort(F.collect_set("s")), 1, HEAD).alias("head"))
+    signed = bits.join(comps, "key", "left").join(heads, "key").select("key", "n", "bits", F.coalesce("comp", "key").alias("comp"), "head")
+    units = small.unionByName(large).join(signed, "key").select("unit", "s", "key", "n", "bits", "comp", "head")
+    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_tree_pairs(threshold), "a bigint, b bigint")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
