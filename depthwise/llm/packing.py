@@ -78,28 +78,42 @@ def _pieces(counts, weights, totals, window, slot):
 
     def run(batches):
         for batch in batches:
-            out = [[] for _ in range(7)]
-            for doc, q, start, ids in zip(*(c.to_pylist() for c in batch.columns)):
-                ids = np.frombuffer(ids, "<u2").astype("<u4")
-                n, full = len(ids), counts[q] * slot
-                cut = np.arange(start // slot * slot, min(start + n, full), slot, dtype=np.int64)
+            docs, queues, starts, ids = (c.to_pylist() for c in batch.columns)
+            if not docs:
+                continue
+            lengths = [len(x) // 2 for x in ids]
+            cuts = [np.arange(a // slot * slot, min(a + n, counts[q] * slot), slot, dtype=np.int64) for q, a, n in zip(queues, starts, lengths)]
+            places: list[np.ndarray] = [np.zeros(0, np.int64)] * len(docs)
+            for q in set(queues):  # all slots of a queue at once
+                own = [k for k, v in enumerate(queues) if v == q]
+                joined = slot_places(q, np.concatenate([cuts[k] for k in own]) // slot, counts, weights) * slot
+                for k, part in zip(own, np.split(joined, np.cumsum([len(cuts[k]) for k in own])[:-1])):
+                    places[k] = part
+            begins, spots, pieces = [], [], []
+            for q, start, n, cut, place in zip(queues, starts, lengths, cuts, places):
+                full = counts[q] * slot
                 begin = np.maximum(cut, start)
-                place = slot_places(q, cut // slot, counts, weights) * slot + begin - cut if len(cut) else begin
+                place = place + begin - cut
                 if start + n > full:  # the tail of the queue
                     at = max(start, full)
                     g = int(tails[q]) + at - full
                     more = np.unique(np.append(np.arange((g // window + 1) * window, g + start + n - at, window), g))
                     begin, place = np.append(begin, at + more - g), np.append(place, more)
-                begin = begin - start
-                length = np.diff(np.append(begin, n))
-                out[0] += [doc] * len(begin)
-                out[1] += begin.tolist()
-                out[2] += length.tolist()
-                out[3] += [zlib.crc32(ids[b : b + k]) for b, k in zip(begin.tolist(), length.tolist())]
-                out[4] += [n] * len(begin)
-                out[5] += (place // window).tolist()
-                out[6] += (place % window).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+                begins.append(begin - start)
+                spots.append(place)
+                pieces.append(len(begin))
+            begin, place = np.concatenate(begins), np.concatenate(spots)
+            n = np.repeat(lengths, pieces)
+            last = np.cumsum(pieces) - 1
+            length = np.append(begin[1:], 0) - begin
+            length[last] = n[last] - begin[last]
+            sums, at = [], 0
+            for x, k in zip(ids, pieces):
+                wide = memoryview(np.frombuffer(x, "<u2").astype("<u4").tobytes())
+                sums += [zlib.crc32(wide[4 * i : 4 * (i + j)]) for i, j in zip(begin[at : at + k].tolist(), length[at : at + k].tolist())]
+                at += k
+            columns = [[d for d, k in zip(docs, pieces) for _ in range(k)], begin, length, sums, n, place // window, place % window]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     return run
 
