@@ -47,7 +47,7 @@ def source_of(name: Column, kind: Column | None = None) -> Column:
     )
     if kind is None:
         return by_name
-    return F.when(F.lower(kind) == "snp", "snp").when(F.lower(kind) == "mirna", "mirna").otherwise(by_name)
+    return F.when(F.lower(kind).contains("snp"), "snp").when(F.lower(kind).contains("mirna"), "mirna").otherwise(by_name)
 
 
 def peak_size(mean: Column) -> Column:
