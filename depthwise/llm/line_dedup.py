@@ -28,11 +28,14 @@ BUCKETS = 1 << 18
 FEW_ROWS = 300_000
 _HASH = (1 << 55) - 1
 #: Tokens that stand for a line, as a multiple of its prefix.
-HEAD = 3
+HEAD = 2
 
 
 def _words(line: Column) -> Column:
-    return F.array_remove(F.split(F.translate(F.lower(line), "\t\x0b\x0c\r\n", "     "), " "), "")
+    line = F.lower(line)
+    for space in "\t\x0b\x0c\r\n":
+        line = F.replace(line, F.lit(space), F.lit(" "))
+    return F.array_remove(F.split(line, " "), "")
 
 
 def _tokens(line: Column) -> Column:
@@ -78,17 +81,19 @@ def line_decisions(docs: DataFrame, id_col: str, text_col: str, threshold: float
 
     members = own.groupBy("key").agg(F.min(F.struct("id", "no")).alias("first"), F.first("n").alias("n"), F.first("head").alias("head"))
     members = materialize(members, "members")
-    # first the earliest line of each token and class of lengths against the others; most families of similar lines end here
-    tokens = members.select("key", "first", "n", F.floor(F.log("n") / math.log(1 / threshold)).cast("int").alias("class"), F.posexplode(F.slice("head", 1, probe)).alias("at", "t"))
-    head = tokens.withColumn("p", F.min(F.struct("first", "key", "n", "at")).over(Window.partitionBy("t", "class")))
-    near = _fits(threshold, "p.n", "p.at", "n", "at") & (F.col("p.key") != F.col("key"))
-    found = _later(texts, members, head.filter(near).select(F.col("p.key").alias("a"), F.col("key").alias("b")), threshold)
+    # a member is named by its first place; first the earliest line of each token and class of lengths against the others, where
+    # most families of similar lines end
+    tokens = members.select("first", "n", F.posexplode(F.slice("head", 1, probe)).alias("at", "t"))
+    classed = Window.partitionBy("t", F.floor(F.log("n") / math.log(1 / threshold)))
+    head = tokens.withColumn("p", F.min(F.struct("first", "n", "at")).over(classed))
+    near = _fits(threshold, "p.n", "p.at", "n", "at") & (F.col("p.first") != F.col("first"))
+    found = _later(texts, members, head.filter(near).select(F.col("p.first").alias("a"), F.col("first").alias("b")), threshold)
     # then all earlier lines against those that are left
-    left = tokens.join(found, "key", "left_anti")
+    left = tokens.join(bounded(found, FEW_ROWS), "first", "left_anti")
     a, b = tokens.alias("a"), left.alias("b")
     pairs = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.first") < F.col("b.first")) & _fits(threshold, "a.n", "a.at", "b.n", "b.at"))
-    found = found.unionByName(_later(texts, members, pairs.select(F.col("a.key").alias("a"), F.col("b.key").alias("b")), threshold))
-    members = members.select("key", "first").join(found.withColumn("later", F.lit(True)), "key", "left")
+    found = found.unionByName(_later(texts, members, pairs.select(F.col("a.first").alias("a"), F.col("b.first").alias("b")), threshold))
+    members = members.select("key", "first").join(found.withColumn("later", F.lit(True)), "first", "left")
     gone = own.select("id", "no", "key").join(members, "key").filter(F.col("later").isNotNull() | (F.struct("id", "no") > F.col("first"))).select("id", "no")
     return materialize(gone.distinct(), "gone")
 
@@ -105,26 +110,24 @@ def _fits(threshold: float, n: str, at: str, m: str, k: str) -> Column:
 
 
 def _later(texts: DataFrame, members: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """Keys b of the pairs (a, b), a being earlier, that are similar on the whole sets, taken from the lines' first places.
+    """Members b of the pairs (a, b), a being earlier, that are similar on the whole sets.
 
     Before, the heads are compared: of two similar lines' first k tokens all but those agree that the lines have not in common,
     which the sizes bound.
     """
-    a, b = (members.select(F.col("key").alias(k), F.col("n").alias(f"n_{k}"), F.col("head").alias(f"head_{k}")) for k in "ab")
+    a, b = (members.select(F.col("first").alias(k), F.col("n").alias(f"n_{k}"), F.col("head").alias(f"head_{k}")) for k in "ab")
     need = _ceil((F.col("n_a") + F.col("n_b")) * (threshold / (1 + threshold)))
     least = F.least(F.size("head_a"), F.size("head_b")) - (F.col("n_a") - need) - (F.col("n_b") - need)
     likely = pairs.distinct().join(a, "a").join(b, "b").filter(F.size(F.array_intersect("head_a", "head_b")) >= least)
     pairs = materialize(likely.select("a", "b"), "pairs")
-    wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    wanted = materialize(members.select("key", "first").join(wanted, "key", "left_semi"), "wanted")
-    places = wanted.groupBy(F.col("first.id").alias("id")).agg(F.collect_list(F.struct(F.col("first.no").alias("no"), "key")).alias("places"))
-    places = F.broadcast(places) if wanted.count() <= FEW_ROWS else places
-    picked = texts.join(places, "id").select(F.split("text", "\n").alias("lines"), F.explode("places").alias("p"))
-    picked = picked.select(F.col("p.key").alias("key"), _tokens(F.get("lines", F.col("p.no"))).alias("tokens")).dropDuplicates(["key"])
-    x, y = (picked.select(F.col("key").alias(k), F.col("tokens").alias(f"tokens_{k}")) for k in "ab")
+    wanted = pairs.select(F.col("a").alias("first")).unionByName(pairs.select(F.col("b").alias("first"))).distinct()
+    places = bounded(wanted.groupBy(F.col("first.id").alias("id")).agg(F.collect_list("first").alias("places")), FEW_ROWS, "places")
+    picked = texts.join(places, "id").select(F.split("text", "\n").alias("lines"), F.explode("places").alias("first"))
+    picked = picked.select("first", _tokens(F.get("lines", F.col("first.no"))).alias("tokens")).dropDuplicates(["first"])
+    x, y = (picked.select(F.col("first").alias(k), F.col("tokens").alias(f"tokens_{k}")) for k in "ab")
     both = F.size(F.array_intersect("tokens_a", "tokens_b"))
     similar = pairs.join(x, "a").join(y, "b").filter(both * 10_000 >= round(threshold * 10_000) * (F.size("tokens_a") + F.size("tokens_b") - both))
-    return materialize(similar.select(F.col("b").alias("key")).distinct(), "later")
+    return materialize(similar.select(F.col("b").alias("first")).distinct(), "later")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
