@@ -7,6 +7,8 @@ overlap is verified token by token, with substitutions allowed.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,6 +29,15 @@ BLOCK_TOKENS = 500_000
 FEW_IDS = 1_000_000
 
 
+#: Signs beyond ASCII that separate words.
+_SIGNS = re.compile("[\x80-\xa9\xab-\xb4\xb6-\xb9\xbb-\xbf\xd7\xf7\u2000-\u206f\u3000-\u303f]+")
+
+
+def tokens(text: str | None) -> np.ndarray:
+    """Hashes of the lower-cased words of letters and digits."""
+    return word_hashes(as_bytes(_SIGNS.sub(" ", (text or "").lower())), PUNCTUATION)
+
+
 def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
     n = len(words) - len(mask) + 1
     if n <= 0:
@@ -98,7 +109,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     items = benchmark.select(F.col(item_col).cast("bigint").alias("item"), F.col(item_text_col).alias("text")).filter("text is not null")
     block, size, blocks = [], 0, []
     for r in items.toLocalIterator():
-        w = word_hashes(as_bytes(r.text), PUNCTUATION)
+        w = tokens(r.text)
         if len(w) < SHORTEST:
             continue
         if block and size + len(w) > BLOCK_TOKENS:
@@ -121,7 +132,7 @@ def _matched(table):
         for batch in batches:
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for k, (matched, at) in t.matches(word_hashes(as_bytes(text), PUNCTUATION)).items():
+                for k, (matched, at) in t.matches(tokens(text)).items():
                     out.append((doc, t.ids[k], matched, at))
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(4)], ["id", "item", "matched", "at"])
 

@@ -128,7 +128,9 @@ def test_benchmark(spark, words):
             text[20:20] = passage
             wanted.add((k, item[0]))
         rows.append((k, ", ".join(text).upper()))
-    rows += [(70, items[-1][1]), (71, None), (72, "")]
+    items.append((93, "Été à l’école «très» ÉLEVÉ " + " ".join(r.choice(words, 12))))
+    rows += [(70, items[-2][1]), (71, None), (72, ""), (73, items[-1][1].upper().replace("’", " ").replace("«", "“"))]
+    wanted.add((73, 93))
     wanted.add((70, 92))
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "0 as item", "1 as id")
     bench = spark.createDataFrame(items, "item_id long, text string")
