@@ -57,7 +57,7 @@ QUERIES = {f.__name__: f for f in (op1_packing, op2_ngram_join, op3_sharding, op
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": NGRAM_SQL, "op3_sharding": _sharding_sql(), "op9_line_dedup": LINE_SQL}
+    return {"op2_ngram_join": NGRAM_SQL, "op3_sharding": _sharding_sql(), "op8_suffix_dedup": REPEATS_SQL, "op9_line_dedup": LINE_SQL}
 
 
 def _sharding_sql() -> str:
@@ -100,3 +100,15 @@ later AS (SELECT DISTINCT b AS place FROM cand JOIN s x ON x.place = a JOIN s y
 gone AS (SELECT w.place FROM w JOIN s ON s.t = w.t WHERE w.place > s.place OR s.place IN (SELECT place FROM later))
 SELECT w.doc_id, count(*) FILTER (p.text IS NOT NULL) AS n_lines, count(g.place) AS n_removed, sha256(coalesce(string_agg(w.line, chr(10) ORDER BY w.no) FILTER (g.place IS NULL), '')) AS kept_sha256
 FROM w JOIN parts p ON p.doc_id = w.doc_id LEFT JOIN gone g ON g.place = w.place GROUP BY w.doc_id"""
+
+REPEATS_SQL = """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, CAST(length(hex(encode(coalesce(text, '')))) // 2 AS BIGINT) AS n FROM documents),
+win AS (SELECT doc_id, i, doc_id * 1000000000 + i AS place, substr(x, 2 * i + 1, 200) AS s FROM (SELECT *, unnest(range(0, n - 99)) AS i FROM h)),
+firsts AS (SELECT s, min(place) AS f FROM win GROUP BY s),
+dup AS (SELECT doc_id, i FROM win JOIN firsts USING (s) WHERE place > f),
+marked AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM dup),
+spans AS (SELECT doc_id, min(i) AS low, max(i) + 100 AS high FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM marked) GROUP BY doc_id, k),
+gaps AS (SELECT *, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low), 0) AS since FROM spans),
+kept AS (SELECT h.doc_id, count(*) AS n_spans, sum(high - low) AS n_removed, string_agg(substr(x, 2 * since + 1, 2 * (low - since)), '' ORDER BY low) || substr(any_value(x), 2 * max(high) + 1) AS x FROM gaps JOIN h ON h.doc_id = gaps.doc_id GROUP BY h.doc_id)
+SELECT h.doc_id, h.n AS n_bytes, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(k.n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k.x, h.x))) AS kept_sha256
+FROM h LEFT JOIN kept k ON k.doc_id = h.doc_id"""
