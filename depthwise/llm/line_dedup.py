@@ -77,35 +77,49 @@ def line_decisions(docs: DataFrame, id_col: str, text_col: str, threshold: float
     probe = n - _ceil(n * threshold) + 1
     low = lambda t: t.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
     head = F.transform(F.slice("ranked", 1, F.least(probe * HEAD, n)), low)
-    own = materialize(own.select("id", "no", F.xxhash64("ranked").alias("key"), "n", head.alias("head")), "lines")
+    own = own.select("id", "no", F.xxhash64("ranked").alias("key"), "n", head.alias("head"))
+    bits = F.aggregate("head", F.lit(0).cast("bigint"), lambda acc, t: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), t.bitwiseAND(F.lit(63)).cast("int"))))
+    own = materialize(own.withColumn("bits", bits), "lines")
 
-    members = own.groupBy("key").agg(F.min(F.struct("id", "no")).alias("first"), F.first("n").alias("n"), F.first("head").alias("head"))
+    members = own.groupBy("key").agg(F.min(F.struct("id", "no")).alias("first"), F.first("n").alias("n"), F.first("head").alias("head"), F.first("bits").alias("bits"))
     members = materialize(members, "members")
     # a member is named by its first place; first the earliest line of each token and class of lengths against the others, where
     # most families of similar lines end
-    tokens = members.select("first", "n", F.posexplode(F.slice("head", 1, probe)).alias("at", "t"))
+    tokens = members.select("first", "n", "bits", F.posexplode(F.slice("head", 1, probe)).alias("at", "t"))
     classed = Window.partitionBy("t", F.floor(F.log("n") / math.log(1 / threshold)))
-    head = tokens.withColumn("p", F.min(F.struct("first", "n", "at")).over(classed))
-    near = _fits(threshold, "p.n", "p.at", "n", "at") & (F.col("p.first") != F.col("first"))
+    head = tokens.withColumn("p", F.min(F.struct("first", "n", "at", "bits")).over(classed))
+    near = _fits(threshold, "p.", "") & (F.col("p.first") != F.col("first"))
     found = _later(texts, members, head.filter(near).select(F.col("p.first").alias("a"), F.col("first").alias("b")), threshold)
     # then all earlier lines against those that are left
     left = tokens.join(bounded(found, FEW_ROWS), "first", "left_anti")
     a, b = tokens.alias("a"), left.alias("b")
-    pairs = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.first") < F.col("b.first")) & _fits(threshold, "a.n", "a.at", "b.n", "b.at"))
+    pairs = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.first") < F.col("b.first")) & _fits(threshold, "a.", "b."))
     found = found.unionByName(_later(texts, members, pairs.select(F.col("a.first").alias("a"), F.col("b.first").alias("b")), threshold))
     members = members.select("key", "first").join(found.withColumn("later", F.lit(True)), "first", "left")
     gone = own.select("id", "no", "key").join(members, "key").filter(F.col("later").isNotNull() | (F.struct("id", "no") > F.col("first"))).select("id", "no")
     return materialize(gone.distinct(), "gone")
 
 
-def _fits(threshold: float, n: str, at: str, m: str, k: str) -> Column:
-    """Whether lines of n and m tokens that share the tokens at places `at` and k, and none before, can be similar: lengths, the
-    room for the overlap from those places on, and the place within the shorter line's own prefix."""
-    n, at, m, k = (F.col(c) for c in (n, at, m, k))
+def _head_size(n: Column, threshold: float) -> Column:
+    """Tokens in the head of a line of n tokens."""
+    return F.least((n - _ceil(n * threshold) + 1) * HEAD, n)
+
+
+def _fits(threshold: float, x: str, y: str) -> Column:
+    """Whether two lines (columns n, at, bits with the prefixes x and y) that share the tokens at their places, and none before,
+    can be similar: the lengths, the room for the overlap from those places on, the place within the shorter line's own prefix,
+    and the bits of their heads. Of two similar lines' heads all tokens but those agree that the lines have not in common, and
+    each common token but the excess of tokens over bits shows as a common bit.
+    """
+    n, at, m, k = (F.col(c) for c in (x + "n", x + "at", y + "n", y + "at"))
     index = lambda x: x - _ceil(x * (2 * threshold / (1 + threshold))) + 1
+    need = _ceil((n + m) * (threshold / (1 + threshold)))
+    size, other = _head_size(n, threshold), _head_size(m, threshold)
+    excess = F.least(size - F.bit_count(x + "bits"), other - F.bit_count(y + "bits"))
+    common = F.bit_count(F.col(x + "bits").bitwiseAND(F.col(y + "bits"))) + excess
     return (
-        (n >= m * threshold - 1e-9) & (m >= n * threshold - 1e-9) & (F.least(n - at, m - k) >= _ceil((n + m) * (threshold / (1 + threshold))))
-        & F.when(n <= m, at < index(n)).otherwise(k < index(m))
+        (n >= m * threshold - 1e-9) & (m >= n * threshold - 1e-9) & (F.least(n - at, m - k) >= need)
+        & F.when(n <= m, at < index(n)).otherwise(k < index(m)) & (common >= F.least(size, other) - (n - need) - (m - need))
     )
 
 
