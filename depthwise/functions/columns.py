@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Depths for which bases are counted. 0 counts bases of exactly that depth, the others bases of at least it.
+#: Depths for which bases are counted. 0 counts bases of exactly that depth, the others bases of at least it.
 THRESHOLDS = (0, 1, 5, 6, 10, 11, 15, 20, 30, 40, 50, 60, 70, 100, 150, 500, 1000)
-#: Contigs that the uniformity histogram leaves out.
+#: Contigs that the uniformity histogram leaves out.
 SEX_CONTIGS = ("chrX", "chrY", "X", "Y", "CHRX", "CHRY")
 
 
@@ -51,7 +51,7 @@ def source_of(name: Column, kind: Column | None = None) -> Column:
 
 
 def peak_size(mean: Column) -> Column:
-    """Histogram bins of the peak, by mean depth."""
+    """Histogram bins of the peak, by mean depth (fixed values)."""
     steps = ((20, 3), (25, 4), (30, 5), (35, 6), (55, 7), (70, 8), (85, 9), (100, 10), (110, 11), (120, 12))
     out = None
     for limit, size in steps:
