@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .storage import bounded, materialize
 
-THRESHOLD = 0.9
+THRESHOLD = 0.8
 #: Lines with fewer different words are left alone.
 SHORTEST = 2
 BUCKETS = 1 << 18
