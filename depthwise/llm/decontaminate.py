@@ -2,12 +2,15 @@
 
 A mask ignores some token positions of a run. For every mask, every run of a benchmark item is hashed over the positions that
 count and put in a table; runs of the documents look themselves up. A hit fixes an alignment of the two texts, on which the
-overlap is verified token by token, with substitutions allowed.
+overlap is verified token by token, with substitutions allowed. The masks are chosen so that any overlap within the tolerance
+has a hit, wherever its substitutions are.
 """
 
 from __future__ import annotations
 
 import re
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +20,10 @@ from pyspark.sql import functions as F
 from .numtext import POSITION_FACTORS, PUNCTUATION, U64, as_bytes, mix, word_hashes
 from .storage import bounded
 
-#: Positions with 1 count.
-MASKS = ("111011010111", "110111101011", "101101111101")
+#: Masks for one length of overlap at most, and positions that count in one.
+MASKS, WEIGHT = 4, 9
+#: Span of a mask at most.
+SPAN = 32
 #: Tokens of an overlap, and the share of them that must be equal.
 OVERLAP, AGREEMENT = 16, 0.8
 #: Items with fewer tokens aren't looked for: such short runs occur by chance.
@@ -38,6 +43,34 @@ def tokens(text: str | None) -> np.ndarray:
     return word_hashes(as_bytes(_SIGNS.sub(" ", (text or "").lower())), PUNCTUATION)
 
 
+def substitutions(overlap: int, agreement: float) -> int:
+    """Tokens of an overlap that may differ."""
+    return max(k for k in range(overlap + 1) if overlap - k >= agreement * overlap or not k)
+
+
+@lru_cache(None)
+def covering_masks(overlap: int, substituted: int) -> tuple[str, ...]:
+    """Masks (positions with 1 count) of which, for any `substituted` positions of an overlap, one has a place in the overlap
+    where none of its own positions is among them. Of the heaviest weight at which few masks do, found greedily; for overlaps
+    with too many patterns to count, the run that is left between any substitutions.
+    """
+    if overlap <= 16 and 0 < substituted <= 4:
+        patterns = np.array([sum(1 << k for k in c) for c in combinations(range(overlap), substituted)])
+        for weight in range(min(overlap - substituted, WEIGHT), 1, -1):
+            masks = np.array([1 | sum(1 << k for k in c) for c in combinations(range(1, overlap), weight - 1)])
+            hit = np.zeros((len(masks), len(patterns)), bool)
+            for at in range(overlap):
+                inside = (masks << at) < (1 << overlap)
+                hit[inside] |= ((masks[inside, None] << at) & patterns) == 0
+            chosen, left = [], np.ones(len(patterns), bool)
+            while left.any() and len(chosen) <= MASKS:
+                chosen.append(int((hit & left).sum(1).argmax()))
+                left &= ~hit[chosen[-1]]
+            if len(chosen) <= MASKS:
+                return tuple(bin(masks[k])[:1:-1] for k in chosen)
+    return ("1" * max(1, min(overlap // (substituted + 1), SPAN)),)
+
+
 def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
     n = len(words) - len(mask) + 1
     if n <= 0:
@@ -55,11 +88,17 @@ class SeedTable:
         self.overlap, self.agreement = overlap, agreement
         self.ids = [i for i, _ in items]
         self.words = [w for _, w in items]
-        short = {len(w) for w in self.words if len(w) < len(MASKS[0])}
+        # items that allow for as many substitutions share the masks of the shortest overlap among them, which cover longer ones
+        needs = np.array([min(overlap, len(w)) for w in self.words], int)
+        allowed = {n: substitutions(n, agreement) for n in set(needs.tolist())}
+        users: dict[str, set[int]] = {}
+        for k in sorted(set(allowed.values())):
+            lengths = [n for n in allowed if allowed[n] == k]
+            for mask in covering_masks(min(lengths), k):
+                users.setdefault(mask, set()).update(lengths)
         found = []
-        for mask in (*MASKS, *("1" * k for k in sorted(short))):
-            whole = len(mask) if mask == "1" * len(mask) else 0
-            seeds = [(k, seed_hashes(w, mask)) for k, w in enumerate(self.words) if not whole or len(w) == whole]
+        for mask, lengths in users.items():
+            seeds = [(k, seed_hashes(w, mask)) for k, w in enumerate(self.words) if needs[k] in lengths]
             h = np.concatenate([s for _, s in seeds] or [np.zeros(0, U64)])
             item = np.concatenate([np.full(len(s), k) for k, s in seeds] or [np.zeros(0, int)])
             at = np.concatenate([np.arange(len(s)) for _, s in seeds] or [np.zeros(0, int)])
