@@ -1,9 +1,10 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to a list of lines, one for each block element, in page order. Elements that are no part of any article
-(menus, forms, scripts and the like) leave a gap of empty lines. Text lengths are summed over sliding windows of lines; where
-the sum surges from nothing the text starts, where it dives to nothing it ends. Every run between a surge and a dive is a
-candidate; a page's article elements, or else the run with the most text outside links, give the result.
+(menus, forms, scripts and the like) are taken out, so that the text on their two sides is one run. Text lengths are summed over
+sliding windows of lines; where the sum surges from nothing the text starts, where it dives to nothing it ends. Every run between
+a surge and a dive is a candidate, of the lines in article elements and of the others; the one with the most text gives the
+result. Text outside articles counts without links, text inside more by a weight.
 """
 
 from __future__ import annotations
@@ -15,8 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Lines of a sliding window; a gap of as many empty lines is where the sum dives.
+#: Lines of a sliding window; as many lines without text of their own are where the sum dives.
 WINDOW = 3
+#: Weight of text inside article elements.
+ARTICLE = 4
 #: Elements whose content is never text of the article.
 SKIPPED = frozenset("head title style script noscript template nav header footer aside form button select option textarea iframe object svg canvas math audio video map dialog menu".split())
 #: Elements whose content isn't parsed as markup.
@@ -44,7 +47,7 @@ def _other(attributes: str) -> bool:
 
 
 def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, its characters in links, inside an article element) for each block; gaps are runs of WINDOW empty lines."""
+    """(text, its characters in links, inside an article element) for each block with text."""
     out: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     linked = article = depth = 0
@@ -61,10 +64,6 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         parts.clear()
         linked = 0
 
-    def gap():
-        flush()
-        out.extend([("", 0, article > 0)] * WINDOW)
-
     while at < end:
         m = _TOKEN.search(page, at)
         stop = m.start() if m else end
@@ -94,7 +93,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
                 skip.append(name)
             continue
         if not closing and name not in VOID and (name in SKIPPED and not (name == "header" and article) or name not in ("html", "body", "main", "article") and _other(attributes)):
-            gap()
+            flush()
             if name in RAW:
                 lower = lower or page.lower()
                 close = lower.find(f"</{name}", at)
@@ -108,7 +107,6 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         elif name in ("article",):
             flush()
             article = max(0, article + (-1 if closing else 1))
-            out.append(("", 0, article > 0))
         if name in ("br", "wbr"):
             if name == "br":
                 parts.append(" ")
@@ -118,27 +116,35 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
     return out
 
 
-def main_text(page: str | None) -> str:
-    """The text between surge and dive; '' without any."""
-    if not page:
-        return ""
-    found = lines(page)
-    inside = [k for k, x in enumerate(found) if x[2] and x[0]]
-    if inside:
-        return "\n".join(found[k][0] for k in inside)
-    size = [len(text) - link for text, link, _ in found]
+def runs(size: list[int]) -> list[tuple[int, int]]:
+    """(first, end) of the lines between each surge of the window sums and the dive after it."""
     sums = [sum(size[k : k + WINDOW]) for k in range(len(size))]
-    runs, start = [], None
+    out, start = [], None
     for k, total in enumerate([*sums, 0]):
         if total and start is None:
-            start = k  # surge
+            start = k  # surge; the window reaches over lines of the stretch without text before it
+            while start and not size[start]:
+                start += 1
         elif not total and start is not None:
-            runs.append((start, k))  # dive
+            out.append((start, k))  # dive
             start = None
-    if not runs:
+    return out
+
+
+def main_text(page: str | None) -> str:
+    """The text between surge and dive; '' without any."""
+    if not page:
         return ""
-    low, high = max(runs, key=lambda r: (sum(size[r[0] : r[1]]), -r[0]))
-    return "\n".join(text for text, _, _ in found[low:high] if text)
+    found = lines(page)
+    best, text = 0, ""
+    for inside in (True, False):
+        part = [x for x in found if x[2] == inside]
+        size = [len(line) if inside else len(line) - link for line, link, _ in part]
+        for low, high in runs(size):
+            total = sum(size[low:high]) * (ARTICLE if inside else 1)
+            if total > best:
+                best, text = total, "\n".join(line for line, _, _ in part[low:high])
+    return text
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
