@@ -10,6 +10,8 @@ same anchor, and anchors deal out the work:
   before it. Prefix polynomial hashes and binary search give the common extension of two suffixes in logarithmic time, a
   merge sort uses it to compare, and neighbours in the two orders bound how far an occurrence can match any other. Where that
   reaches DEPTH, the windows through the anchor are matched one by one, and equal hashes are verified on the bytes.
+- An anchor of more than UNIT surroundings is split by the bytes next to it; where more than UNIT rows share these too, each of
+  their windows is a row of its own and Spark finds the earliest of its digest, so that no task gathers more than two units.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .numtext import BYTE_VALUES, U64, as_bytes, inverse_powers, mix, powers, prefix_polynomial
-from .storage import materialize
+from .storage import bounded, materialize
 
 DEPTH = 100
 GRAM = 32
@@ -96,6 +98,18 @@ def _surroundings(batches):
         yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], ["unit", "id", "at", "lead", "bytes", "anchor"])
 
 
+def _windows(batches):
+    """(id, at, begin, digest) of each window through the anchor of a row of surroundings."""
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    for batch in batches:
+        for k in range(0, batch.num_rows, 500):
+            out = []
+            for doc, at, lead, piece in zip(*(c.to_pylist() for c in batch.slice(k, 500).columns)):
+                for b in range(min(lead, len(piece) - DEPTH) + 1):
+                    out.append((doc, at, at - lead + b, hashlib.blake2b(piece[b : b + DEPTH], digest_size=16).digest()))
+            yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], t) for j, t in enumerate(kinds)], ["id", "at", "begin", "digest"])
+
+
 # ---- suffix sort -------------------------------------------------------------------------------------------------------------
 
 
@@ -245,6 +259,14 @@ def _kept_rows(batches):
         yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], ["id", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
+def _hot_runs(rows: DataFrame) -> DataFrame:
+    """(id, low, high) of what earlier occurrences cover, for rows of surroundings, by the digests of their windows."""
+    windows = rows.select("id", "at", "lead", "bytes").dropDuplicates(["id", "at"]).mapInArrow(_windows, "id bigint, at int, begin int, digest binary")
+    firsts = windows.groupBy("digest").agg(F.min(F.struct("id", "begin")).alias("first"), F.count("*").alias("cnt")).filter("cnt > 1").drop("cnt")
+    again = windows.join(firsts, "digest").filter(F.struct("id", "begin") > F.col("first"))
+    return again.groupBy("id", "at").agg(F.min("begin").alias("low"), (F.max("begin") + DEPTH).alias("high")).drop("at")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row: each byte is removed that a DEPTH-byte string covers which
     also starts earlier in the corpus (smaller id, or same text and earlier start). Strings are taken from the input.
@@ -267,10 +289,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = materialize(found.select("anchor", "id", "at", "nth", "kinds"), "anchors")
     settled = found.filter("nth > 1").join(ids.select("id", "n_bytes"), "id").select("id", F.greatest(F.col("at") - AROUND, F.lit(0)).alias("low"), F.least(F.col("at") + DEPTH, F.col("n_bytes").cast("int")).alias("high"))
 
-    mixed = found.filter("nth = 1 and kinds > 1").groupBy("id").agg(F.collect_list(F.struct("at", "anchor", (F.col("kinds") > UNIT).alias("many"))).alias("found"))
-    around = own.join(mixed, "id").select("id", "text", "found").mapInArrow(_surroundings, "unit bigint, id bigint, at int, lead int, bytes binary, anchor bigint")
-    sorted_units = around.drop("anchor").repartition("unit").sortWithinPartitions("unit")
-    runs = settled.unionByName(sorted_units.mapInArrow(_covered_rows, "id bigint, low int, high int"))
+    def surroundings(rows):
+        mixed = rows.groupBy("id").agg(F.collect_list(F.struct("at", "anchor", (F.col("kinds") > UNIT).alias("many"))).alias("found"))
+        return own.join(mixed, "id").select("id", "text", "found").mapInArrow(_surroundings, "unit bigint, id bigint, at int, lead int, bytes binary, anchor bigint").drop("anchor")
+
+    mixed = found.filter("nth = 1 and kinds > 1")
+    many = mixed.filter(F.col("kinds") > UNIT)
+    units = surroundings(mixed.filter(F.col("kinds") <= UNIT))
+    runs = settled
+    if not many.isEmpty():
+        many = materialize(surroundings(many), "many")
+        hot = bounded(many.groupBy("unit").count().filter(F.col("count") > UNIT).select("unit"), FEW_IDS, "hot")
+        units = units.unionByName(many.join(hot, "unit", "left_anti"))
+        runs = runs.unionByName(_hot_runs(many.join(hot, "unit", "left_semi")))
+    runs = runs.unionByName(units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_covered_rows, "id bigint, low int, high int"))
     runs = runs.groupBy("id").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
     kept = own.join(runs, "id").select("id", "text", "runs").mapInArrow(_kept_rows, "id bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary").drop("kept")
     nothing = F.sha2(F.lit("").cast("binary"), 256)
