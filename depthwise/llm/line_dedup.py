@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .storage import bounded, materialize
 
 THRESHOLD = 0.8
-#: Lines with fewer different words are left alone.
-SHORTEST = 2
+#: Lines with fewer different words are left alone: those without words.
+SHORTEST = 1
 BUCKETS = 1 << 18
 #: Bounds of broadcast tables, in rows of a few dozen bytes.
 FEW_ROWS = 300_000
