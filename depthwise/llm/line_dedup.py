@@ -1,46 +1,39 @@
 """Removal of repeated lines by an exact set-similarity join, with DataFrame functions only.
 
 A line is the set of its lower-cased words. A line goes if an earlier one (smaller id, or same text and smaller line number) is
-similar. The join orders the tokens of each line by rarity and compares only lines that share a token of their prefixes
-(prefix filter), at places that leave room for the overlap needed (positional filter), and of compatible lengths; then it
-verifies the Jaccard similarity on the whole sets.
-
-How it scales: equal lines are one member of the join. Rarity comes from counts of all tokens in 2**18 hash buckets, a table
-of fixed size that stands in the plan as one small number a bucket. A token is written as its bucket's level and 55 bits of its
-hash in one number, so that numbers sort by rarity and no join is needed to rank them. Frequent tokens come last in the lines
-and leave the prefixes. Lines are dealt out by token; what a hot token still gathers is split by Spark's skew join.
+similar. The join orders the tokens of each line by rarity and looks for two tokens that stand next to each other in both
+lines. Two similar lines have few tokens that the other lacks, and each of these parts at most one pair of neighbours, so that
+some pair near the front is the same in both: the prefix filter bounds how far from the front, the positional filter how far
+the two places can differ, the length filter the sizes. The Jaccard similarity is then verified on the whole sets.
+
+How it scales: equal lines are one member of the join. Rarity comes from counts of all tokens in 2**18 hash buckets, a table of
+fixed size that stands in the plan as one small number a bucket. A token is written as its bucket's level and 55 bits of its
+hash in one number, so that numbers sort by rarity and no join is needed to rank them. Pairs of tokens are much rarer than
+tokens, so that most stand in one line only and go no further. A line is compared with the line before it and with the first
+one of each pair; those that are similar to neither go on to all earlier lines of their pairs, and by then the large families
+of similar lines are settled.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import bounded, materialize
 
 THRESHOLD = 0.8
-#: Lines with fewer different words are left alone: those without words.
+#: Lines with fewer different words are left alone; 1: those without words.
 SHORTEST = 1
 BUCKETS = 1 << 18
-#: Bounds of broadcast tables, in rows of a few dozen bytes.
-FEW_ROWS = 300_000
-_HASH = (1 << 55) - 1
-#: Tokens that stand for a line, as a multiple of its prefix.
-HEAD = 2
-
-
-def _words(line: Column) -> Column:
-    line = F.lower(line)
-    for space in "\t\x0b\x0c\r\n":
-        line = F.replace(line, F.lit(space), F.lit(" "))
-    return F.array_remove(F.split(line, " "), "")
+#: Bounds of broadcast tables, in lines; a line takes a dozen bytes there.
+FEW_LINES = 1_000_000
+_BREAKS = "[\x20\t\x0b\x0c\r]+"
 
 
 def _tokens(line: Column) -> Column:
-    """Hashes of the distinct words of a line."""
-    return F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
+    """Hashes of the distinct lower-cased words of a line."""
+    hashes = F.transform(F.split(F.lower(line), _BREAKS), lambda w: F.xxhash64(w))
+    return F.array_except(hashes, F.array(F.xxhash64(F.lit(""))))
 
 
 def _bucket(token: Column) -> Column:
@@ -49,115 +42,111 @@ def _bucket(token: Column) -> Column:
 
 def _ranked(tokens: Column, levels: Column) -> Column:
     """Tokens as (level of the bucket, hash) in one number, rarest first."""
-    return F.sort_array(F.transform(tokens, lambda t: F.get(levels, _bucket(t)).bitwiseOR(t.bitwiseAND(F.lit(_HASH)))))
+    level = lambda t: F.coalesce(F.get(levels, _bucket(t)), F.lit(0).cast("tinyint")).cast("bigint")
+    return F.sort_array(F.transform(tokens, lambda t: F.shiftleft(level(t), 55).bitwiseOR(F.shiftrightunsigned(t, 9))))
 
 
-def _levels(counts: dict[int, int]) -> Column:
-    """For each bucket its level times 2**55: 0 up to one and a half times the average count, then three steps for each
-    doubling. The table is one literal of BUCKETS numbers, whatever the data's size."""
-    mean = max(sum(counts.values()) / BUCKETS, 8)
-    level = [min(127, max(1, int(3 * math.log2(c / mean)))) if (c := counts.get(k, 0)) > 1.5 * mean else 0 for k in range(BUCKETS)]
-    return F.from_json(F.lit(str([v << 55 if v else 0 for v in level])), "array<bigint>")
+def _levels(texts: DataFrame) -> Column:
+    """For each bucket its level: 0 up to one and a half times the average count, then three steps for each doubling. The table
+    is one literal of BUCKETS small numbers, whatever the data's size."""
+    words = texts.select(F.explode(F.split(F.lower("text"), "[\x20\t\n\x0b\x0c\r]")).alias("w"))
+    counted = words.groupBy(_bucket(F.xxhash64("w")).alias("bucket")).agg(F.count("*").alias("c"))
+    mean = F.greatest(F.coalesce(F.sum("c").over(Window.partitionBy(F.lit(0))), F.lit(0)) / BUCKETS, F.lit(8.0))
+    level = F.when(F.col("c") > 1.5 * mean, F.least(F.lit(127), F.greatest(F.lit(1), F.floor(3 * F.log2(F.col("c") / mean))))).otherwise(F.lit(0)).cast("int")
+    every = texts.sparkSession.range(0, BUCKETS, 1, 1).select(F.col("id").cast("int").alias("bucket"))
+    dense = every.join(F.broadcast(counted), "bucket", "left").select("bucket", F.coalesce(level, F.lit(0)).alias("level"))
+    table = dense.agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "level"))), lambda s: s["level"])).alias("table")).first().table
+    return F.from_json(F.lit(table), "array<tinyint>")
 
 
 def _ceil(x: Column) -> Column:
     return F.ceil(x - 1e-9).cast("int")
 
 
-def line_decisions(docs: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
+def _fits(threshold: float, x: str, y: str) -> Column:
+    """Whether two lines (columns n, at with the prefixes x and y) can be similar, if the pair of neighbouring tokens at their
+    places is the first that both have. Of the c common tokens before it, each is parted from the next by a token that one line
+    lacks, so that 3 * c is at most the sum of the places; the other tokens before it count against the overlap needed."""
+    n, i, m, j = (F.col(c) for c in (x + "n", x + "at", y + "n", y + "at"))
+    need = _ceil((n + m) * (threshold / (1 + threshold)))
+    common = F.least(i, j, F.floor((i + j) / 3))
+    return (i - common <= n - need) & (j - common <= m - need)
+
+
+def _similar(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """Places (id, no) of the lines b of the pairs (a, b) that are similar on the whole sets."""
+    pairs = materialize(pairs, "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("place")).distinct()
+    wanted = materialize(wanted.groupBy(F.col("place.id").alias("id")).agg(F.collect_set("place.no").alias("nos")), "wanted")
+    few = (wanted.agg(F.sum(F.size("nos") + 1)).first()[0] or 0) <= FEW_LINES
+    picked = texts.join(F.broadcast(wanted) if few else wanted, "id").select("id", F.split("text", "\n").alias("lines"), F.explode("nos").alias("no"))
+    picked = picked.select(F.struct("id", "no").alias("place"), F.get("lines", F.col("no")).alias("line")).dropDuplicates(["place"])
+    a, b = (picked.select(F.col("place").alias(k), F.col("line").alias(f"line_{k}")) for k in "ab")
+    sets = pairs.join(a, "a").join(b, "b").select("b", _tokens(F.col("line_a")).alias("x"), _tokens(F.col("line_b")).alias("y"))
+    sizes = sets.select("b", (F.size("x") + F.size("y")).alias("total"), F.size(F.array_intersect("x", "y")).alias("both"))
+    enough = F.col("both") * 10_000 >= round(threshold * 10_000) * (F.col("total") - F.col("both"))
+    return materialize(sizes.filter(enough).select("b.id", "b.no").distinct(), "similar")
+
+
+def line_decisions(docs: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD, shortest: int = SHORTEST) -> DataFrame:
     """(id, no) of the lines to remove."""
+    if not 0.75 <= threshold <= 1:
+        raise ValueError("threshold must be from 0.75 to 1")
+    shortest = max(shortest, 1)
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     lines = texts.select("id", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    words = texts.select(F.explode(_words(F.col("text"))).alias("w"))
-    counted = words.groupBy(_bucket(F.xxhash64("w")).alias("bucket")).agg(F.count("*").alias("n"))
-    levels = _levels({r.bucket: r.n for r in counted.collect()})
-
-    own = lines.withColumn("ranked", _ranked(_tokens(F.col("line")), levels)).withColumn("n", F.size("ranked")).filter(F.col("n") >= SHORTEST)
-    n = F.col("n")
-    probe = n - _ceil(n * threshold) + 1
+    # the size is filtered only behind the exchange, else the tokens would be made once more for the filter
+    sets = lines.select("id", "no", _ranked(_tokens(F.col("line")), _levels(texts)).alias("ranked"))
+    n = F.size("ranked")
+    reach = F.floor(n * (2 * (1 - threshold)) + 1e-9).cast("int") + 2
     low = lambda t: t.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
-    head = F.transform(F.slice("ranked", 1, F.least(probe * HEAD, n)), low)
-    own = own.select("id", "no", F.xxhash64("ranked").alias("key"), "n", head.alias("head"))
-    bits = F.aggregate("head", F.lit(0).cast("bigint"), lambda acc, t: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), t.bitwiseAND(F.lit(63)).cast("int"))))
-    own = materialize(own.withColumn("bits", bits), "lines")
-
-    members = own.groupBy("key").agg(F.min(F.struct("id", "no")).alias("first"), F.first("n").alias("n"), F.first("head").alias("head"), F.first("bits").alias("bits"))
-    members = materialize(members, "members")
-    # a member is named by its first place; first the earliest line of each token and class of lengths against the others, where
-    # most families of similar lines end
-    tokens = members.select("first", "n", "bits", F.posexplode(F.slice("head", 1, probe)).alias("at", "t"))
-    classed = Window.partitionBy("t", F.floor(F.log("n") / math.log(1 / threshold)))
-    head = tokens.withColumn("p", F.min(F.struct("first", "n", "at", "bits")).over(classed))
-    near = _fits(threshold, "p.", "") & (F.col("p.first") != F.col("first"))
-    found = _later(texts, members, head.filter(near).select(F.col("p.first").alias("a"), F.col("first").alias("b")), threshold)
-    # then all earlier lines against those that are left
-    left = tokens.join(bounded(found, FEW_ROWS), "first", "left_anti")
-    a, b = tokens.alias("a"), left.alias("b")
-    pairs = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.first") < F.col("b.first")) & _fits(threshold, "a.", "b."))
-    found = found.unionByName(_later(texts, members, pairs.select(F.col("a.first").alias("a"), F.col("b.first").alias("b")), threshold))
-    members = members.select("key", "first").join(found.withColumn("later", F.lit(True)), "first", "left")
-    gone = own.select("id", "no", "key").join(members, "key").filter(F.col("later").isNotNull() | (F.struct("id", "no") > F.col("first"))).select("id", "no")
-    return materialize(gone.distinct(), "gone")
-
-
-def _head_size(n: Column, threshold: float) -> Column:
-    """Tokens in the head of a line of n tokens."""
-    return F.least((n - _ceil(n * threshold) + 1) * HEAD, n)
-
-
-def _fits(threshold: float, x: str, y: str) -> Column:
-    """Whether two lines (columns n, at, bits with the prefixes x and y) that share the tokens at their places, and none before,
-    can be similar: the lengths, the room for the overlap from those places on, the place within the shorter line's own prefix,
-    and the bits of their heads. Of two similar lines' heads all tokens but those agree that the lines have not in common, and
-    each common token but the excess of tokens over bits shows as a common bit.
-    """
-    n, at, m, k = (F.col(c) for c in (x + "n", x + "at", y + "n", y + "at"))
-    index = lambda x: x - _ceil(x * (2 * threshold / (1 + threshold))) + 1
-    need = _ceil((n + m) * (threshold / (1 + threshold)))
-    size, other = _head_size(n, threshold), _head_size(m, threshold)
-    excess = F.least(size - F.bit_count(x + "bits"), other - F.bit_count(y + "bits"))
-    common = F.bit_count(F.col(x + "bits").bitwiseAND(F.col(y + "bits"))) + excess
-    return (
-        (n >= m * threshold - 1e-9) & (m >= n * threshold - 1e-9) & (F.least(n - at, m - k) >= need)
-        & F.when(n <= m, at < index(n)).otherwise(k < index(m)) & (common >= F.least(size, other) - (n - need) - (m - need))
+    sets = sets.select(
+        "id", "no", n.alias("n"), F.xxhash64("ranked").alias("key"), F.xxhash64(F.lit(1), "ranked").alias("key2"),
+        F.transform(F.slice("ranked", 1, reach), low).alias("head"),
     )
-
-
-def _later(texts: DataFrame, members: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """Members b of the pairs (a, b), a being earlier, that are similar on the whole sets.
-
-    Before, the heads are compared: of two similar lines' first k tokens all but those agree that the lines have not in common,
-    which the sizes bound.
-    """
-    a, b = (members.select(F.col("first").alias(k), F.col("n").alias(f"n_{k}"), F.col("head").alias(f"head_{k}")) for k in "ab")
-    need = _ceil((F.col("n_a") + F.col("n_b")) * (threshold / (1 + threshold)))
-    least = F.least(F.size("head_a"), F.size("head_b")) - (F.col("n_a") - need) - (F.col("n_b") - need)
-    likely = pairs.distinct().join(a, "a").join(b, "b").filter(F.size(F.array_intersect("head_a", "head_b")) >= least)
-    pairs = materialize(likely.select("a", "b"), "pairs")
-    wanted = pairs.select(F.col("a").alias("first")).unionByName(pairs.select(F.col("b").alias("first"))).distinct()
-    places = bounded(wanted.groupBy(F.col("first.id").alias("id")).agg(F.collect_list("first").alias("places")), FEW_ROWS, "places")
-    picked = texts.join(places, "id").select(F.split("text", "\n").alias("lines"), F.explode("places").alias("first"))
-    picked = picked.select("first", _tokens(F.get("lines", F.col("first.no"))).alias("tokens")).dropDuplicates(["first"])
-    x, y = (picked.select(F.col("first").alias(k), F.col("tokens").alias(f"tokens_{k}")) for k in "ab")
-    both = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    similar = pairs.join(x, "a").join(y, "b").filter(both * 10_000 >= round(threshold * 10_000) * (F.size("tokens_a") + F.size("tokens_b") - both))
-    return materialize(similar.select(F.col("b").alias("first")).distinct(), "later")
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    equal = Window.partitionBy("key", "key2").orderBy("id", "no")
+    own = sets.withColumn("turn", F.row_number().over(equal)).filter((F.col("turn") == 1) | (F.col("n") >= shortest))
+    own = materialize(own.select("id", "no", "n", (F.col("turn") > 1).alias("equal"), F.when(F.col("turn") == 1, F.col("head")).alias("head")), "lines")
+
+    # below so many tokens only equal lines are similar
+    members = own.filter(~F.col("equal") & (F.col("n") >= max(shortest, int(threshold / (1 - threshold) + 1e-9) if threshold < 1 else 1 << 30)))
+    near = F.arrays_zip(F.slice("head", 1, F.size("head") - 1).alias("x"), F.slice("head", 2, F.size("head")).alias("y"))
+    rows = members.select("id", "no", "n", F.posexplode(near).alias("at", "two"))
+    pair = F.shiftleft(F.col("two.x").cast("bigint"), 32).bitwiseOR(F.col("two.y").cast("bigint"))
+    rows = rows.select(pair.alias("pair"), "id", "no", "n", "at").repartition("pair")
+    # pairs of tokens that more than one line has: one row a pair, from the shuffle that the lines' rows come from
+    often = rows.groupBy("pair").agg(F.count("*").alias("k"), F.min("id").alias("low"), F.max("no").alias("high"), F.min("n").alias("least"), F.max("at").alias("last"))
+    often = often.filter((F.col("k") > 1) & (F.coalesce("low", "high", "least", "last").isNotNull())).select("pair")
+    shared = materialize(rows.join(often.hint("shuffle_hash"), "pair"), "shared")
+
+    order = Window.partitionBy("pair").orderBy("id", "no")
+    line = F.struct("id", "no", "n", "at")
+    seen = shared.withColumn("p", F.lag(line).over(order)).withColumn("f", F.first(line).over(order)).filter(F.col("p").isNotNull())
+    place = F.struct("id", "no").alias("b")
+    tried = [seen.filter(_fits(threshold, f"{k}.", "")).select(F.struct(f"{k}.id", f"{k}.no").alias("a"), place) for k in "pf"]
+    found = _similar(texts, tried[0].unionByName(tried[1]).distinct(), threshold)
+    left = shared.join(bounded(found, FEW_LINES, "found"), ["id", "no"], "left_anti")
+    x, y = shared.alias("x"), left.alias("y")
+    both = (F.col("x.pair") == F.col("y.pair")) & (F.struct("x.id", "x.no") < F.struct("y.id", "y.no")) & _fits(threshold, "x.", "y.")
+    rest = x.join(y, both).select(F.struct("x.id", "x.no").alias("a"), F.struct("y.id", "y.no").alias("b")).distinct()
+    found = found.unionByName(_similar(texts, rest, threshold))
+    return materialize(own.filter("equal").select("id", "no").unionByName(found).distinct(), "gone")
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shortest: int = SHORTEST) -> DataFrame:
     """docs with the later lines removed from the text, and columns n_lines, n_removed (replaced if there are such).
 
-    What is earlier counts, removed or not, so the result does not depend on the order of work. Lines of fewer than SHORTEST
-    different words stay. A text whose lines all go is empty; a null text stays null and has no lines; an empty one has one
-    line. Ids should be unique: of rows that share an id, the lines at one place count as one. Lines of rows with a null id
-    stay.
+    What is earlier counts, removed or not, so the result does not depend on the order of work. Lines of fewer than `shortest`
+    different words stay, and always those without words. A text whose lines all go is empty; a null text stays null and has no
+    lines; an empty one has one line. Ids should be unique: of rows that share an id, the lines at one place count as one.
+    Lines of rows with a null id stay.
     """
-    gone = line_decisions(docs, id_col, text_col, threshold)
+    gone = line_decisions(docs, id_col, text_col, threshold, shortest)
     runs = gone.groupBy(F.col("id").alias("__id")).agg(F.collect_list("no").alias("__gone"))
-    joined = docs.join(F.broadcast(runs) if gone.count() <= FEW_ROWS else runs, docs[id_col] == runs["__id"], "left")
+    joined = docs.join(F.broadcast(runs) if gone.count() <= FEW_LINES else runs, docs[id_col] == runs["__id"], "left")
     lines = F.split(F.col(text_col), "\n")
-    left = F.filter(F.transform(lines, lambda line, no: F.struct(line.alias("line"), no.alias("no"))), lambda s: ~F.array_contains("__gone", s["no"]))
-    kept = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda s: s["line"]), "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
+    kept = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda no: F.get(lines, no)), "\n"))
     counts = {
         "n_lines": F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("bigint"),
         "n_removed": F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone")).cast("bigint"),

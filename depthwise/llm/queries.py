@@ -90,13 +90,13 @@ LINE_SQL = """
 WITH parts AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, no, lines[no + 1] AS line, doc_id * 10000000 + no AS place FROM (SELECT doc_id, lines, unnest(range(len(lines))) AS no FROM parts)),
 w AS (SELECT *, list_sort(list_distinct(list_filter(string_split(translate(lower(line), chr(9) || chr(11) || chr(12) || chr(13), '    '), ' '), lambda x: x <> ''))) AS t FROM l),
-s AS (SELECT t, min(place) AS place, len(t) AS n FROM w WHERE len(t) >= 2 GROUP BY t),
+s AS (SELECT t, min(place) AS place, len(t) AS n FROM w WHERE len(t) >= 1 GROUP BY t),
 tok AS (SELECT place, n, unnest(t) AS tok FROM s),
 freq AS (SELECT tok, count(*) AS f FROM tok GROUP BY tok),
 ranked AS (SELECT place, n, tok, row_number() OVER (PARTITION BY place ORDER BY f, tok) AS r FROM tok JOIN freq USING (tok)),
-prefix AS (SELECT * FROM ranked WHERE r <= n - ceil(n * 0.9) + 1),
-cand AS (SELECT DISTINCT a.place AS a, b.place AS b FROM prefix a JOIN prefix b ON a.tok = b.tok AND a.place < b.place AND 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n)),
-later AS (SELECT DISTINCT b AS place FROM cand JOIN s x ON x.place = a JOIN s y ON y.place = b WHERE 10 * len(list_intersect(x.t, y.t)) >= 9 * (x.n + y.n - len(list_intersect(x.t, y.t)))),
+prefix AS (SELECT * FROM ranked WHERE r <= n - ceil(n * 0.8) + 1),
+cand AS (SELECT DISTINCT a.place AS a, b.place AS b FROM prefix a JOIN prefix b ON a.tok = b.tok AND a.place < b.place AND 10 * least(a.n, b.n) >= 8 * greatest(a.n, b.n)),
+later AS (SELECT DISTINCT b AS place FROM cand JOIN s x ON x.place = a JOIN s y ON y.place = b WHERE 10 * len(list_intersect(x.t, y.t)) >= 8 * (x.n + y.n - len(list_intersect(x.t, y.t)))),
 gone AS (SELECT w.place FROM w JOIN s ON s.t = w.t WHERE w.place > s.place OR s.place IN (SELECT place FROM later))
 SELECT w.doc_id, count(*) FILTER (p.text IS NOT NULL) AS n_lines, count(g.place) AS n_removed, sha256(coalesce(string_agg(w.line, chr(10) ORDER BY w.no) FILTER (g.place IS NULL), '')) AS kept_sha256
 FROM w JOIN parts p ON p.doc_id = w.doc_id LEFT JOIN gone g ON g.place = w.place GROUP BY w.doc_id"""

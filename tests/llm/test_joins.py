@@ -84,7 +84,7 @@ def test_tree_bounds_keep_similar_pairs():
     assert len(found) < 200 and sets[0].dtype == U64
 
 
-def brute_lines(rows, threshold=0.9):
+def brute_lines(rows, threshold=0.8):
     seen, out = [], {}
     for doc, text, *_ in sorted(rows, key=lambda r: r[0]):
         kept = []
