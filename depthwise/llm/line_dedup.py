@@ -9,9 +9,9 @@ the two places can differ, the length filter the sizes. The Jaccard similarity i
 How it scales: equal lines are one member of the join. Rarity comes from counts of all tokens in 2**18 hash buckets, a table of
 fixed size that stands in the plan as one small number a bucket. A token is written as its bucket's level and 55 bits of its
 hash in one number, so that numbers sort by rarity and no join is needed to rank them. Pairs of tokens are much rarer than
-tokens, so that most stand in one line only and go no further. A line is compared with the line before it and with the first
-one of each pair; those that are similar to neither go on to all earlier lines of their pairs, and by then the large families
-of similar lines are settled.
+tokens, so that most stand in one line only and go no further. Of the lines just before it and those that come first at its
+pairs, a line is compared with the one that it shares most with, then with the others; a line that is similar to none of them
+goes on to all earlier lines of its pairs, and by then the large families of similar lines are settled.
 """
 
 from __future__ import annotations
@@ -124,7 +124,11 @@ def line_decisions(docs: DataFrame, id_col: str, text_col: str, threshold: float
     seen = shared.withColumn("p", F.lag(line).over(order)).withColumn("f", F.first(line).over(order)).filter(F.col("p").isNotNull())
     place = F.struct("id", "no").alias("b")
     tried = [seen.filter(_fits(threshold, f"{k}.", "")).select(F.struct(f"{k}.id", f"{k}.no").alias("a"), place) for k in "pf"]
-    found = _similar(texts, tried[0].unionByName(tried[1]).distinct(), threshold)
+    tried = materialize(tried[0].unionByName(tried[1]).groupBy("a", "b").agg(F.count("*").alias("k")), "tried")
+    best = tried.groupBy("b").agg(F.max_by("a", F.struct("k", "a")).alias("a"))
+    found = _similar(texts, best.select("a", "b"), threshold)
+    others = tried.join(found.select(F.struct("id", "no").alias("b")), "b", "left_anti").join(best, ["a", "b"], "left_anti")
+    found = found.unionByName(_similar(texts, others.select("a", "b"), threshold))
     left = shared.join(bounded(found, FEW_LINES, "found"), ["id", "no"], "left_anti")
     x, y = shared.alias("x"), left.alias("y")
     both = (F.col("x.pair") == F.col("y.pair")) & (F.struct("x.id", "x.no") < F.struct("y.id", "y.no")) & _fits(threshold, "x.", "y.")
