@@ -24,7 +24,6 @@ FIT_ROWS, FIT_INDICATORS = 2_000, 20_000_000
 RUNS = (2, 3, 4, 6, 8, 12)
 #: Bound of the broadcast labels: 16 bytes each.
 FEW_LABELS = 2_000_000
-CHUNKS = 16
 COST, EPOCHS, SMOOTH = 1.0, 12, 1.0
 THRESHOLD = 0.3
 _SHIFT = U64(64 - 18)
@@ -61,17 +60,17 @@ def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.nda
     """Weights, with the intercept last, of the linear hinge-loss model on the scaled indicators, each row of unit length.
     Classes weigh alike in sum."""
     w = np.zeros(len(ratio) + 1)
-    x = [scaled(r, ratio) for r in rows]
-    square = np.array([float(v @ v) + 1 for v in x])
+    square = np.array([float(v @ v) + 1 for v in (scaled(r, ratio) for r in rows)])
     most = cost * len(y) / (2 * np.where(y > 0, (y > 0).sum(), (y < 0).sum()))
     alpha, order = np.zeros(len(y)), np.random.default_rng(seed)
     for _ in range(epochs):
         for i in order.permutation(len(y)):
-            g = y[i] * (w[rows[i]] @ x[i] + w[-1]) - 1
+            x = scaled(rows[i], ratio)  # made anew: kept, all of them take several times the room of the rows
+            g = y[i] * (w[rows[i]] @ x + w[-1]) - 1
             new = min(max(alpha[i] - g / square[i], 0.0), most[i])
             if new != alpha[i]:
                 step = (new - alpha[i]) * y[i]
-                w[rows[i]] += step * x[i]
+                w[rows[i]] += step * x
                 w[-1] += step
                 alpha[i] = new
     return w
@@ -119,32 +118,29 @@ def held_out(id_col) -> F.Column:
 
 
 def _learnt(batches):
-    """Sampled rows with their indicators, and at the end this task's counts of each indicator by class."""
+    """Sampled rows with their indicators, and at the end this task's counts by class of each indicator that it saw."""
     counts = np.zeros((2, FEATURES), np.int64)
-    names = ["label", "draw", "indicators", "chunk", "counts"]
     for batch in batches:
         label, draw, found = [], [], []
-        for text, y, taken, d in zip(*(c.to_pylist() for c in batch.columns)):
+        for k in range(batch.num_rows):
+            text, y, taken, d = (c[k].as_py() for c in batch.columns)
             row = indicators(text)
             counts[y, row] += 1
             if taken:
                 label.append(y)
                 draw.append(d)
                 found.append(row.tobytes())
-        k = len(label)
-        yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(draw, pa.int64()), pa.array(found, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
-    if counts.any():
-        parts = [np.ascontiguousarray(c).tobytes() for c in np.split(counts, CHUNKS, axis=1)]
-        yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, pa.int32()), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.binary()), pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], names)
+        yield _learnt_batch([label, draw, found], [[]] * 3)
+    seen = np.flatnonzero(counts.any(axis=0))
+    for part in np.array_split(seen, max(1, len(seen) // 16384)):
+        yield _learnt_batch([[]] * 3, [part, counts[0, part], counts[1, part]])
 
 
-def _summed(batches):
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for chunk, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            part = np.frombuffer(part, np.int64)
-            total[chunk] = total[chunk] + part if chunk in total else part.copy()
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["chunk", "counts"])
+def _learnt_batch(rows, counts):
+    n, m = len(rows[0]), len(counts[0])
+    columns = [pa.concat_arrays([pa.array(v, t), pa.nulls(m, t)]) for v, t in zip(rows, (pa.int32(), pa.int64(), pa.binary()))]
+    columns += [pa.concat_arrays([pa.nulls(n, t), pa.array(v, t)]) for v, t in zip(counts, (pa.int32(), pa.int64(), pa.int64()))]
+    return pa.RecordBatch.from_arrays(columns, ["label", "draw", "indicators", "bucket", "negative", "positive"])
 
 
 def _fitted(ratio, prior):
@@ -185,12 +181,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = known.withColumn("draw", draw).withColumn("taken", F.col("draw") < share * (1 << 40))
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     joined = texts.join(F.broadcast(known) if total <= FEW_LABELS else known, "id").select("text", "label", "taken", "draw")
-    learnt = materialize(joined.mapInArrow(_learnt, "label int, draw bigint, indicators binary, chunk int, counts binary"), "learnt")
+    learnt = materialize(joined.mapInArrow(_learnt, "label int, draw bigint, indicators binary, bucket int, negative bigint, positive bigint"), "learnt")
     counts = np.zeros((2, FEATURES), np.int64)
-    parts = learnt.filter("chunk is not null").select("chunk", "counts").repartition(CHUNKS, "chunk").mapInArrow(_summed, "chunk int, counts binary")
-    for r in parts.collect():
-        width = FEATURES // CHUNKS
-        counts[:, r.chunk * width : (r.chunk + 1) * width] = np.frombuffer(r.counts, np.int64).reshape(2, width)
+    summed = learnt.filter("bucket is not null").groupBy("bucket").agg(F.sum("negative").alias("negative"), F.sum("positive").alias("positive")).toArrow()
+    at = summed["bucket"].to_numpy()
+    counts[0, at], counts[1, at] = summed["negative"].to_numpy(), summed["positive"].to_numpy()
     ratio = log_count_ratio(counts[1], counts[0])
     sample = learnt.filter("label is not null").select("label", "draw", "indicators").repartition(1)
     got = sample.mapInArrow(_fitted(spark.sparkContext.broadcast(ratio), prior), "w binary, a double, b double").collect()
@@ -204,10 +199,11 @@ def score(docs: DataFrame, model: tuple, text_col: str = "text", score_col: str
     shuffle. A column of that name is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def of(texts):
+    @F.arrow_udf("double")
+    def of(texts: pa.Array) -> pa.Array:
         w, ratio, a, b = shared.value
-        return texts.map(lambda t: 1 / (1 + float(np.exp(-np.clip(a * margin(indicators(t), w, ratio) + b, -30, 30)))))
+        margins = np.array([margin(indicators(t.as_py()), w, ratio) for t in texts])
+        return pa.array(1 / (1 + np.exp(-np.clip(a * margins + b, -30, 30))), pa.float64())
 
     return docs.withColumn(score_col, of(F.coalesce(F.col(text_col), F.lit(""))))
 
