@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import JOIN_BIN, merge, overlap_join
@@ -12,13 +12,28 @@ from .intervals import JOIN_BIN, merge, overlap_join
 CDS = ["contig", "gene", "transcript", "exon_id", "start", "end"]
 
 
+def cds_in_targets(cds: DataFrame, targets: DataFrame, width: int = JOIN_BIN) -> DataFrame:
+    """cds cut to the first target, in order of place, that each overlaps; those outside of all targets go. (Targets of one set are
+    disjoint; what a CDS has in a second target doesn't count.)"""
+    rows = cds.distinct()
+    pairs = overlap_join(rows, targets.select("contig", "start", "end"), width=width)
+    first = pairs.groupBy(*rows.columns).agg(F.min(F.struct("lo", "hi")).alias("p"))
+    return first.withColumns({"start": F.col("p.lo"), "end": F.col("p.hi")}).drop("p")
+
+
+def exon_label(exon_id: Column) -> Column:
+    """`cds_<number>`, or `_` for an exon without one (-1)."""
+    return F.when(exon_id == -1, "_").otherwise(F.concat(F.lit("cds_"), exon_id.cast("string")))
+
+
 def cds_coverage(cds: DataFrame, low: DataFrame, by: Sequence[str] = (), width: int = JOIN_BIN) -> DataFrame:
-    """(by, contig, gene, transcript, exon_id, start, end, length, low_bases, pct, low_regions) of each distinct CDS.
+    """(by, contig, gene, transcript, exon_id, start, end, length, low_bases, pct, low_regions) of each distinct CDS of a
+    transcript; of several exon ids at one place the highest counts.
 
     `low` (by, contig, start, end) are the low runs inside the targets, so that bases outside of them count as covered. An
     exon id of -1 has no number of its own; below -1 the exon was not designed, and its percentage is 0.
     """
-    rows = cds.select(*CDS).distinct()
+    rows = cds.groupBy(*(c for c in CDS if c != "exon_id")).agg(F.max("exon_id").alias("exon_id")).select(*CDS)
     if by:
         rows = rows.join(low.select(*by).distinct())
     pieces = overlap_join(rows, low.select(*by, "contig", "start", "end"), by, width)

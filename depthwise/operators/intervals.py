@@ -54,14 +54,14 @@ def overlap_join(a: DataFrame, b: DataFrame, by: Sequence[str] = (), width: int
 def sweep(inputs: dict[str, DataFrame], by: Sequence[str] = (), width: int = BIN, within: DataFrame | None = None, all_breaks: bool = False) -> DataFrame:
     """Segments (by, contig, bin, start, end) with, for each input, the number of its intervals that cover the segment.
 
-    Equal neighbours inside a bin are one segment unless `all_breaks`. `within` (contig, length, with the keys if there are
+    An input with a column `weight` counts its intervals that often. Equal neighbours inside a bin are one segment unless `all_breaks`. `within` (contig, length, with the keys if there are
     any) also gives the segments that nothing covers; without it those outside of all intervals are left out.
     """
     keys, names = [*by, "contig"], list(inputs)
     parts = []
     for name, df in inputs.items():
-        cut = clipped_to_bins(df.select(*keys, "start", "end"), width)
-        event = lambda at, d: F.struct(F.col(at).cast("bigint").alias("pos"), *(F.lit(d if n == name else 0).cast("bigint").alias(n) for n in names))  # noqa: E731, B023
+        cut = clipped_to_bins(df.select(*keys, "start", "end", F.col("weight") if "weight" in df.columns else F.lit(1).alias("weight")), width)
+        event = lambda at, d: F.struct(F.col(at).cast("bigint").alias("pos"), *((F.col("weight") * d if n == name else F.lit(0)).cast("bigint").alias(n) for n in names))  # noqa: E731, B023
         parts.append(cut.select(*keys, "bin", F.explode(F.array(event("start", 1), event("end", -1))).alias("e")).select(*keys, "bin", "e.*"))
     if within is not None:
         nothing = [F.lit(0).cast("bigint").alias(n) for n in names]

@@ -1,6 +1,6 @@
 """Alignments: filter cascade, counters, aligned blocks, base qualities, mate overlap, class against targets.
 
-An alignment row has read_id (any key that tells reads apart), contig, pos (0-based), mapq, flag, cigar, l_qseq, mate_contig,
+An alignment row has read_id (any key that tells reads apart), qname (for sampling only), contig, pos (0-based), mapq, flag, cigar, l_qseq, mate_contig,
 mate_pos, isize, mc (the mate's CIGAR or null) and quals; `by` names further key columns such as a sample.
 """
 
@@ -17,6 +17,7 @@ from .intervals import JOIN_BIN, overlap_join
 
 #: Beyond the end of any contig.
 FAR = 2_000_000_000
+#: Flag bits of the alignment format.
 PAIRED, PROPER, UNMAPPED, MATE_UNMAPPED, SECONDARY, QC_FAIL, DUPLICATE, SUPPLEMENTARY = 1, 2, 4, 8, 256, 512, 1024, 2048
 
 
@@ -33,20 +34,21 @@ class ReadOptions:
     exclude_overlap: bool = False
 
 
+def _drawn(fraction: float, seed: int) -> Column:
+    """By a hash of the read's name, so that a repeated run keeps the same reads, whatever the order of files, and both of a pair."""
+    digest = F.md5(F.concat_ws(":", "qname", F.lit(str(seed))).cast("binary"))
+    return F.conv(F.substring(digest, 1, 7), 16, 10).cast("bigint") < int(fraction * (1 << 28))
+
+
 def downsample(reads: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
-    """Reads kept with the given probability, by a hash of the read, so that a repeated run keeps the same."""
-    if fraction >= 1:
-        return reads
-    return reads.filter(F.pmod(F.xxhash64("read_id", F.lit(seed)), F.lit(1 << 20)) < int(fraction * (1 << 20)))
+    """Reads kept with the given probability."""
+    return reads if fraction >= 1 else reads.filter(_drawn(fraction, seed))
 
 
 def staged(reads: DataFrame, options: ReadOptions = ReadOptions()) -> DataFrame:
     """reads with the stage of the cascade that each one ends in; "used" is what adds depth."""
     flag = F.col("flag")
-    if options.fraction < 1:
-        kept = F.pmod(F.xxhash64("read_id", F.lit(options.seed)), F.lit(1 << 20)) < int(options.fraction * (1 << 20))
-    else:
-        kept = F.lit(True)
+    kept = _drawn(options.fraction, options.seed) if options.fraction < 1 else F.lit(True)
     stage = (
         F.when(~kept, "skipped").when(has(flag, UNMAPPED), "unmapped").when(F.col("mapq") < options.min_map_qual, "low_mapq")
         .when(has(flag, QC_FAIL), "qc_fail").when(has(flag, SECONDARY), "secondary")
@@ -101,7 +103,9 @@ def metric_rows(df: DataFrame, rows: list[tuple[str, Column]], by: Sequence[str]
 
 # ---- aligned blocks ------------------------------------------------------------------------------------------------------------
 
-_CIGAR = "([0-9]+)([MIDNSHPX=])"
+_CIGAR = "[0-9]+[MIDNSHPX=]"
+#: Bound of the broadcast table of different CIGARs: their lengths and 64 bytes each.
+CIGAR_BYTES = 16_000_000
 
 
 def reference_length(cigar: Column) -> Column:
@@ -110,26 +114,39 @@ def reference_length(cigar: Column) -> Column:
     return F.aggregate(counts, F.lit(0), lambda total, n: total + n.cast("int"))
 
 
-def blocks(used: DataFrame, contigs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """(keep, read_id, contig, kind, start, end, q_start, n): a row for each run of aligned bases (kind M, half-open on the
-    contig and clipped to its end) and each insertion (kind I, start = end, n bases)."""
-    long = used.join(F.broadcast(contigs.select("contig", F.col("length").alias("clen"))), "contig")
-    ops = F.transform(
-        F.arrays_zip(F.regexp_extract_all("cigar", F.lit(_CIGAR), F.lit(1)).alias("n"), F.regexp_extract_all("cigar", F.lit(_CIGAR), F.lit(2)).alias("op")),
-        lambda x: F.struct(x["n"].cast("int").alias("n"), x["op"].alias("op")),
-    )
-    none = F.expr("cast(array() as array<struct<kind:string,start:int,end:int,q_start:int,n:int>>)")
+def cigar_pieces(cigar: Column) -> Column:
+    """Array of (kind, r, q, n): aligned runs (kind M) and insertions (kind I) of a CIGAR, by their offsets on the reference and in
+    the read. Neither hard clips nor padding move either."""
+    none = F.expr("cast(array() as array<struct<kind:string,r:int,q:int,n:int>>)")
 
     def step(acc: Column, x: Column) -> Column:
-        match, insert = x["op"].isin("M", "X", "="), x["op"] == "I"
-        on_ref, on_query = match | x["op"].isin("D", "N"), match | insert | (x["op"] == "S")
-        r, q, n = acc["r"], acc["q"], x["n"]
-        piece = F.struct(F.when(match, "M").otherwise("I").alias("kind"), r.alias("start"), F.when(match, F.least(r + n, F.col("clen"))).otherwise(r).alias("end"), q.alias("q_start"), n.alias("n"))
-        use = (match | insert) & (r < F.col("clen"))
-        return F.struct((r + F.when(on_ref, n).otherwise(0)).alias("r"), (q + F.when(on_query, n).otherwise(0)).alias("q"), F.when(use, F.concat(acc["out"], F.array(piece))).otherwise(acc["out"]).alias("out"))
+        op, n, r, q = F.right(x, F.lit(1)), F.substring(x, F.lit(1), F.length(x) - 1).cast("int"), acc["r"], acc["q"]
+        match, insert = op.isin("M", "X", "="), op == "I"
+        piece = F.struct(F.when(match, "M").otherwise("I").alias("kind"), r.alias("r"), q.alias("q"), n.alias("n"))
+        ref, query = F.when(match | op.isin("D", "N"), n).otherwise(0), F.when(match | insert | (op == "S"), n).otherwise(0)
+        return F.struct((r + ref).alias("r"), (q + query).alias("q"), F.when(match | insert, F.concat(acc["out"], F.array(piece))).otherwise(acc["out"]).alias("out"))
+
+    start = F.struct(F.lit(0).alias("r"), F.lit(0).alias("q"), none.alias("out"))
+    return F.aggregate(F.regexp_extract_all(cigar, F.lit(_CIGAR), F.lit(0)), start, step, lambda acc: acc["out"])
 
-    start = F.struct(F.col("pos").alias("r"), F.lit(0).alias("q"), none.alias("out"))
-    return long.select(*keep, "read_id", "contig", F.inline(F.aggregate(ops, start, step, lambda acc: acc["out"])))
+
+def blocks(used: DataFrame, contigs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """(keep, read_id, contig, kind, start, end, q_start, n): a row for each run of aligned bases (kind M, half-open on the
+    contig and clipped to its end) and each insertion (kind I, start = end, n bases).
+
+    Short reads share few CIGARs: those are taken apart once each and broadcast, if a sum of their lengths shows that they are
+    few; else each read's own is taken apart.
+    """
+    long = used.join(F.broadcast(contigs.select("contig", F.col("length").alias("clen"))), "contig")
+    forms = used.select("cigar").distinct()
+    if (forms.agg(F.sum(F.length("cigar") + 64)).first()[0] or 0) <= CIGAR_BYTES:
+        long = long.join(F.broadcast(forms.withColumn("pieces", cigar_pieces(F.col("cigar")))), "cigar")
+    else:
+        long = long.withColumn("pieces", cigar_pieces(F.col("cigar")))
+    pieces = long.select(*keep, "read_id", "contig", "pos", "clen", F.inline("pieces")).filter(F.col("pos") + F.col("r") < F.col("clen"))
+    start = F.col("pos") + F.col("r")
+    end = F.when(F.col("kind") == "M", F.least(start + F.col("n"), F.col("clen"))).otherwise(start)
+    return pieces.select(*keep, "read_id", "contig", "kind", start.alias("start"), end.alias("end"), F.col("q").alias("q_start"), "n")
 
 
 def depth_blocks(used: DataFrame, contigs: DataFrame, options: ReadOptions = ReadOptions(), keep: Sequence[str] = ()) -> DataFrame:
@@ -197,20 +214,19 @@ def _outside(pieces: DataFrame) -> DataFrame:
 
 
 def quality_counts(used: DataFrame, contigs: DataFrame, options: ReadOptions = ReadOptions(), by: Sequence[str] = ()) -> DataFrame:
-    """Bases of quality at least 20, 30 and 40, over aligned and inserted bases, whatever the minimum base quality; aligned
-    bases in a mate overlap don't count, inserted ones always do."""
+    """(by, q20_bases, q30_bases, q40_bases, aligned_bases): bases of quality at least 20, 30 and 40, over aligned and inserted
+    bases, and the aligned ones, whatever the minimum base quality; aligned bases in a mate overlap don't count, inserted ones
+    always do."""
     if options.exclude_overlap:
         found = blocks(mate_overlap(used).filter("not inside_mate"), contigs, [*by, "quals", "cut_from", "cut_to"])
         aligned = _outside(found.filter("kind = 'M'"))
-        pieces = aligned.select(*by, "quals", "q_start", (F.col("end") - F.col("start")).alias("n")).unionByName(found.filter("kind = 'I'").select(*by, "quals", "q_start", "n"))
+        pieces = aligned.select(*by, "kind", "quals", "q_start", (F.col("end") - F.col("start")).alias("n")).unionByName(found.filter("kind = 'I'").select(*by, "kind", "quals", "q_start", "n"))
     else:
         found = blocks(used, contigs, [*by, "quals"])
-        pieces = found.select(*by, "quals", "q_start", F.when(F.col("kind") == "M", F.col("end") - F.col("start")).otherwise(F.col("n")).alias("n"))
-    part = F.slice("quals", F.col("q_start") + 1, F.col("n"))
-    levels = (20, 30, 40)
-    at_least = lambda t: F.size(F.filter(part, lambda q: q >= t))
-    counted = pieces.select(*by, *(at_least(t).alias(f"q{t}") for t in levels))
-    return counted.groupBy(*by).agg(*(F.coalesce(F.sum(f"q{t}"), F.lit(0)).cast("bigint").alias(f"q{t}_bases") for t in levels))
+        pieces = found.select(*by, "kind", "quals", "q_start", F.when(F.col("kind") == "M", F.col("end") - F.col("start")).otherwise(F.col("n")).alias("n"))
+    # a row for each base, summed before it leaves the task
+    bases = pieces.select(*by, (F.col("kind") == "M").alias("aligned"), F.explode(F.slice("quals", F.col("q_start") + 1, F.col("n"))).alias("q"))
+    return bases.groupBy(*by).agg(*(F.count_if(F.col("q") >= t).alias(f"q{t}_bases") for t in (20, 30, 40)), F.count_if("aligned").alias("aligned_bases"))
 
 
 # ---- targets -----------------------------------------------------------------------------------------------------------------------

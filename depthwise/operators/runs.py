@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import half_up
-from .intervals import BIN, islands, overlap_join, runs, subtract
+from .intervals import BIN, runs, sweep
 
 
 def depth_runs(segments: DataFrame, keep: Column, by: Sequence[str] = (), width: int = BIN) -> DataFrame:
@@ -32,13 +32,18 @@ def off_target(rle: DataFrame, targets: DataFrame, level: int = 20, pad: int = 5
     """(set_id, contig, start, end, max_depth): runs of depth outside of all targets of this and the earlier sets, padded by `pad`
     bases (one more after the end), that exceed `level` somewhere; each is reported from its first base that does."""
     padded = targets.select("set_id", "contig", F.greatest(F.col("start") - pad, F.lit(0)).alias("start"), (F.col("end") + pad + 1).alias("end"))
-    sets = targets.select("set_id").distinct()
-    upto = padded.join(sets.select(F.col("set_id").alias("for_set")), F.col("set_id") <= F.col("for_set")).select(F.col("for_set").alias("set_id"), "contig", "start", "end")
-    depth = sets.join(rle.filter("depth > 0").select("contig", "start", "end", "depth"))
-    free = subtract(depth.select("set_id", "contig", "start", "end"), upto, ["set_id"], width)
-    pieces = overlap_join(free, depth, ["set_id"], width).select("set_id", "contig", F.col("start").alias("r_start"), F.col("end").alias("r_end"), F.col("lo").alias("start"), F.col("b_depth").alias("depth"))
-    hot = pieces.groupBy("set_id", "contig", "r_start", "r_end").agg(F.max("depth").alias("max_depth"), F.min(F.when(F.col("depth") > level, F.col("start"))).alias("start"))
-    return hot.filter(F.col("max_depth") > level).select("set_id", "contig", "start", F.col("r_end").alias("end"), "max_depth")
-
-
-__all__ = ["depth_runs", "high_runs", "islands", "low_runs", "off_target"]
+    sets = sorted(r.set_id for r in targets.select("set_id").distinct().collect())  # the lines of a manifest
+    if not sets:
+        return rle.filter("false").select(F.lit(None).cast(dict(targets.dtypes)["set_id"]).alias("set_id"), "contig", "start", "end", F.col("depth").alias("max_depth"))
+    # one sweep over the depth and the targets of all sets; each set then reads the same segments
+    inputs = {"depth": rle.filter("depth > 0").select("contig", "start", "end", F.col("depth").alias("weight"))}
+    inputs |= {f"set_{k}": padded.filter(F.col("set_id") == s) for k, s in enumerate(sets)}
+    segments = sweep(inputs, (), width).filter("depth > 0")
+    free, clear = [], F.lit(True)
+    for k, s in enumerate(sets):
+        clear = clear & (F.col(f"set_{k}") == 0)
+        free.append(F.when(clear, F.lit(s)))
+    rows = segments.select("contig", "bin", "start", "end", "depth", F.explode(F.array_compact(F.array(*free))).alias("set_id"))
+    rows = rows.withColumns({"free": F.lit(True), "max_depth": F.col("depth"), "first": F.when(F.col("depth") > level, F.col("start"))})
+    found = runs(rows, ["free"], ["set_id"], width, {"max_depth": "max", "first": "min"})
+    return found.filter(F.col("max_depth") > level).select("set_id", "contig", F.col("first").alias("start"), "end", "max_depth")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import THRESHOLDS, half_up, percent
-from .intervals import JOIN_BIN, overlap_join
+from .intervals import JOIN_BIN, overlap_join, sweep
 
 CAP = 1000
 #: Depths from here on don't enter the median.
@@ -88,24 +88,31 @@ def flank_profile(rle: DataFrame, targets: DataFrame, reach: int = 1000, shortes
     side = lambda name, a, b: F.struct(F.lit(name).alias("side"), a.alias("start"), b.alias("end"))
     flanks = long.select("set_id", "contig", F.col("start").alias("s"), F.col("end").alias("e"), F.inline(F.array(side("up", F.greatest(F.col("start") - reach, F.lit(0)), F.col("start")), side("down", F.col("end"), F.col("end") + reach))))
     pairs = overlap_join(flanks, rle.filter("depth > 0").select("contig", "start", "end", "depth"), width=width)
-    base = pairs.select("set_id", "side", "s", "e", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("pos"), F.col("b_depth").alias("depth"))
-    distance = F.when(F.col("side") == "up", F.col("s") - 1 - F.col("pos")).otherwise(F.col("pos") - F.col("e"))
-    return base.groupBy("set_id", "side", distance.cast("bigint").alias("distance")).agg(F.sum("depth").cast("bigint").alias("sum_depth"))
+    # runs of depth become runs of distances; what they add is summed at their ends only
+    up = F.col("side") == "up"
+    near = F.when(up, F.col("s") - F.col("hi")).otherwise(F.col("lo") - F.col("e"))
+    far = F.when(up, F.col("s") - F.col("lo")).otherwise(F.col("hi") - F.col("e"))
+    spans = pairs.select("set_id", "side", F.lit("").alias("contig"), near.alias("start"), far.alias("end"), F.col("b_depth").alias("weight"))
+    summed = sweep({"sum_depth": spans}, ["set_id", "side"], max(reach, 1))
+    return summed.select("set_id", "side", F.explode(F.sequence("start", F.col("end") - 1)).alias("distance"), "sum_depth")
 
 
 def target_profile(on_target: DataFrame, shortest: int = 100) -> DataFrame:
     """(set_id, pct_bin, value): the bases of each target of at least `shortest` bases go to 101 bins by their relative place, the
     rounded mean depth of each bin is summed over the targets."""
     long = on_target.filter(F.col("t_end") - F.col("t_start") >= shortest)
-    base = long.select("set_id", "contig", "interval_id", "t_start", "t_end", F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"), "depth")
-    pct = F.floor((F.col("pos") - F.col("t_start")) * 100.0 / (F.col("t_end") - F.col("t_start")) + 0.5).cast("bigint")
-    each = base.groupBy("set_id", "contig", "interval_id", pct.alias("pct_bin")).agg(half_up(F.sum("depth") / F.count("*")).alias("v"))
+    # runs of depth are cut at the bins' edges: bin k starts at the first base x of the target with (200 x + n) / 2 n >= k
+    n, bin_of = F.col("t_end") - F.col("t_start"), lambda x: F.floor((x * 200 + n) / (n * 2)).cast("int")
+    first = lambda k: F.col("t_start") + F.ceil((k * 2 - 1) * n / 200)
+    cut = long.withColumn("pct_bin", F.explode(F.sequence(bin_of(F.col("start") - F.col("t_start")), bin_of(F.col("end") - 1 - F.col("t_start")))))
+    bases = F.least("end", first(F.col("pct_bin") + 1)) - F.greatest("start", first(F.col("pct_bin")))
+    each = cut.withColumn("bases", bases).groupBy("set_id", "contig", "interval_id", F.col("pct_bin").cast("bigint").alias("pct_bin")).agg(half_up(F.sum(F.col("depth") * F.col("bases")) / F.sum("bases")).alias("v"))
     return each.groupBy("set_id", "pct_bin").agg(F.sum("v").cast("bigint").alias("value"))
 
 
 def coverage_categories(rows: DataFrame, pct: str = "pct", by: Sequence[str] = ("level",)) -> DataFrame:
     """(by, category, n, share): how many rows are covered by 100, at least 97, at least 90 and less than 90 per cent."""
     category = F.when(F.col(pct) >= 100, "100").when(F.col(pct) >= 97, ">=97").when(F.col(pct) >= 90, ">=90").otherwise("<90")
-    plain = rows.filter(~F.col("contig").rlike("_alt|_random")) if "contig" in rows.columns else rows
+    plain = rows.filter(~F.col("contig").rlike("(?i)_alt|_random")) if "contig" in rows.columns else rows
     n = plain.groupBy(*by, category.alias("category")).agg(F.count("*").alias("n"))
     return n.withColumn("share", percent(F.col("n"), F.sum("n").over(Window.partitionBy(*by))))

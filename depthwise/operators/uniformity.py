@@ -123,10 +123,15 @@ def mask_blocks(blocks: DataFrame, masks: DataFrame, by: Sequence[str] = (), wid
     return pairs.select(*keys, F.col("lo").alias("start"), F.col("hi").alias("end"), length.alias("length"), F.when(F.col("b_masked"), 0).otherwise(F.col("mean_depth")).cast("bigint").alias("mean_depth"))
 
 
-def plot_points(blocks: DataFrame, by: Sequence[str] = (), highest: int = 200, shown: int = 198, step: int = 2000) -> DataFrame:
-    """(by, contig, pos, value): a point at each block, clamped, and points of 0 every `step` bases of a gap between blocks."""
-    w = Window.partitionBy(*by, "contig").orderBy("start")
-    rows = blocks.withColumn("prev", F.lag("end").over(w))
+def plot_points(blocks: DataFrame, by: Sequence[str] = (), highest: int = 200, shown: int = 198, step: int = 2000, width: int = BIN) -> DataFrame:
+    """(by, contig, pos, value): a point at each block, clamped, and points of 0 every `step` bases of a gap between blocks. The
+    block before one is found in its bin, or else from one row for each bin."""
+    keys = [*by, "contig", "bin"]
+    binned = blocks.withColumn("bin", F.floor(F.col("start") / width).cast("int"))
+    last = binned.groupBy(*keys).agg(F.max_by("end", "start").alias("last"))
+    last = last.withColumn("before", F.lag("last").over(Window.partitionBy(*by, "contig").orderBy("bin"))).drop("last")
+    inside = F.lag("end").over(Window.partitionBy(*keys).orderBy("start"))
+    rows = binned.withColumn("inside", inside).join(last, keys).withColumn("prev", F.coalesce("inside", "before"))
     point = F.when(F.col("mean_depth") > highest, shown).otherwise(F.col("mean_depth")).cast("bigint")
     gaps = rows.filter(F.col("prev") < F.col("start")).select(*by, "contig", F.explode(F.sequence(F.col("prev"), F.col("start") - 1, F.lit(step).cast("bigint"))).alias("pos"), F.lit(0).cast("bigint").alias("value"))
     return rows.select(*by, "contig", F.col("start").cast("bigint").alias("pos"), point.alias("value")).unionByName(gaps.withColumn("pos", F.col("pos").cast("bigint")))

@@ -15,7 +15,7 @@ PIECES = """CASE ln % 5 WHEN 0 THEN [{'o': 0, 'n': n, 'q': 0}] WHEN 1 THEN [{'o'
 def _with(*names: str, used: str = USED) -> str:
     """A WITH clause of the parts named and those they need."""
     parts = {
-        "contigs": ("", fixtures.CONTIGS),
+        "contigs": ("", fixtures.sql("contigs")),
         "targets": ("", fixtures.sql("targets")),
         "n_regions": ("", fixtures.sql("n_regions")),
         "cds": ("", fixtures.sql("cds")),
@@ -47,7 +47,7 @@ def _with(*names: str, used: str = USED) -> str:
                 SELECT c.contig, c.gene, c.transcript, c.exon_id, c.s0, c.e0, l.p, l.p - row_number() OVER (PARTITION BY c.contig, c.gene, c.transcript, c.exon_id, c.s0, c.e0 ORDER BY l.p) AS g0
                 FROM (SELECT DISTINCT contig, gene, transcript, exon_id, s0, e0 FROM cds) c JOIN low l ON l.contig = c.contig AND l.p >= c.s0 AND l.p < c.e0) GROUP BY contig, gene, transcript, exon_id, s0, e0, g0) GROUP BY ALL) y
             USING (contig, gene, transcript, exon_id, s0, e0)"""),
-        "tx_rows": ("cds_rows", "SELECT contig, gene, transcript, sum(length) AS length, count(*) AS n_cds, (sum(length) - sum(low_bases)) * 100.0::DOUBLE / sum(length) AS pct FROM cds_rows GROUP BY ALL"),
+        "tx_rows": ("cds_rows", "SELECT contig, gene, transcript, sum(length) AS length, count(*) AS n_cds, (sum(length) - sum(CASE WHEN exon_id < -1 THEN length ELSE low_bases END)) * 100.0::DOUBLE / sum(length) AS pct FROM cds_rows GROUP BY ALL"),
         "spos": ("sample_regions", "SELECT DISTINCT sample_id, contig, unnest(range(s0, e0)) AS p FROM sample_regions"),
         "often": ("spos", "SELECT contig, p FROM spos GROUP BY ALL HAVING count(*) >= (SELECT floor(count(DISTINCT sample_id) * 40 / 100.0 + 0.4) FROM sample_regions)"),
         "bex": ("cds often", """SELECT x.*, x.e0 - x.s0 AS length, least(coalesce(y.n, 0), x.e0 - x.s0) AS low_bases FROM (SELECT DISTINCT contig, gene, transcript, exon_id, s0, e0 FROM cds) x LEFT JOIN
@@ -89,6 +89,7 @@ def _breadth(depth: str, keys: str, total: str, less: str) -> str:
     return f"SELECT {keys}threshold, n_bases, {_pct('n_bases', total)} AS pct FROM ({each})"
 
 
+CDS_PCT = "CASE WHEN exon_id < -1 THEN 0.0::DOUBLE ELSE CAST((length - low_bases) * 100.0 AS DOUBLE) / length END"
 GENOME = "(SELECT count(*) FILTER (NOT in_n) FROM depth)"
 NS = "(SELECT count(*) FROM in_n)"
 MEAN = "CAST(floor(total * 1.0 / (end_pos - start_pos) + 0.5) AS BIGINT)"
@@ -140,16 +141,16 @@ CLASSES = """SELECT t.set_id, a.read_id, max(CASE WHEN x.p IS NOT NULL THEN 2 WH
   FROM (SELECT DISTINCT set_id FROM targets) t CROSS JOIN bases a LEFT JOIN tpos x ON x.set_id = t.set_id AND x.contig = a.contig AND x.p = a.p LEFT JOIN flank f ON f.set_id = t.set_id AND f.contig = a.contig AND f.p = a.p GROUP BY ALL"""
 
 
-def _off_target(targets: str) -> str:
+def _off_target(targets: str, pad: int) -> str:
     """Positions outside of the padded targets of the sets up to each; runs of depth, from the first base over 20 on."""
-    return f"""pads AS (SELECT DISTINCT k.set_id, t.contig, unnest(range(greatest(t.s0 - 500, 0), t.e0 + 501)) AS p FROM {targets} t JOIN (SELECT DISTINCT set_id FROM {targets}) k ON t.set_id <= k.set_id),
+    return f"""pads AS (SELECT DISTINCT k.set_id, t.contig, unnest(range(greatest(t.s0 - {pad}, 0), t.e0 + {pad} + 1)) AS p FROM {targets} t JOIN (SELECT DISTINCT set_id FROM {targets}) k ON t.set_id <= k.set_id),
       free AS (SELECT k.set_id, d.contig, d.p, d.d FROM (SELECT DISTINCT set_id FROM {targets}) k CROSS JOIN depth d ANTI JOIN pads ON pads.set_id = k.set_id AND pads.contig = d.contig AND pads.p = d.p WHERE d.d > 0),
       hot AS (SELECT set_id, contig, CAST(min(p) FILTER (d > 20) AS BIGINT) AS start_pos, CAST(max(p) + 1 AS BIGINT) AS end_pos, max(d) AS max_depth
         FROM (SELECT *, p - row_number() OVER (PARTITION BY set_id, contig ORDER BY p) AS g FROM free) GROUP BY set_id, contig, g HAVING max(d) > 20)"""
 
 
 def _capture_summary() -> str:
-    facts = f"""cls AS ({CLASSES}), {_off_target('targets')},
+    facts = f"""cls AS ({CLASSES}), {_off_target('targets', 500)},
       per AS (SELECT set_id, sum(d) AS total, max(d) AS top, count(*) AS bases, {WIDE} FROM tdepth GROUP BY set_id),
       hit AS (SELECT set_id, interval_id, contig, s0, max(d) > 0 AS hit FROM tdepth GROUP BY ALL),
       near AS (SELECT DISTINCT h.set_id, h.interval_id FROM hit h JOIN depth d ON d.contig = h.contig AND d.p >= h.s0 - 100 AND d.p < h.s0 AND d.d > 0 WHERE NOT h.hit),
@@ -168,11 +169,44 @@ def _capture_summary() -> str:
     return f"{_with('tdepth', 'flank', 'counts')}, {facts} {_union(rows + _breadth_rows('bases'), 'facts', 'set_id, ')}"
 
 
+def _files() -> dict[str, str]:
+    """What the round trips through files must give: the derived tables themselves."""
+    return {
+        "read_sam": f"""{_with('al')} SELECT contig, count(*) AS n, sum(pos) AS pos, sum(mapq) AS mapq, sum(flag) AS flag, sum(l_qseq) AS l_qseq, sum(mate_pos) AS mate_pos, sum(isize) AS isize, count(mc) AS with_mc, sum(length(cigar)) AS cigar_length,
+          sum(list_sum(quals)) AS quals, count(*) FILTER (mate_contig = contig) AS same_contig, count(DISTINCT qname) AS n_names, CAST(max(clen) AS BIGINT) AS length FROM al GROUP BY contig""",
+        "read_contigs": f"{_with('contigs')} SELECT contig, CAST(length AS BIGINT) AS length, CAST(ordinal AS BIGINT) AS ordinal, (SELECT CAST(sum(length) AS BIGINT) FROM contigs) AS genome_size FROM contigs",
+        "read_manifest": f"""{_with('targets', 'cds')} SELECT 'targets' AS kind, CAST(set_id AS BIGINT) AS set_id, contig, count(*) AS n, sum(s0) AS starts, sum(e0) AS ends, 0 AS exons FROM targets GROUP BY ALL
+          UNION ALL SELECT 'annotation', 0, contig, count(*), sum(s0), sum(e0), sum(exon_id) FROM cds WHERE (exon_id % 2 + 2) % 2 = 0 GROUP BY contig""",
+        "read_gene_models": f"""{_with('gene_model')} SELECT name, contig, strand, CAST(tx_start AS BIGINT) AS tx_start, CAST(tx_end AS BIGINT) AS tx_end, CAST(cds_start AS BIGINT) AS cds_start, CAST(cds_end AS BIGINT) AS cds_end, CAST(exon_count AS BIGINT) AS exon_count,
+          CAST(list_sum(exon_starts) AS BIGINT) AS starts, CAST(list_sum(exon_ends) AS BIGINT) AS ends, symbol FROM gene_model""",
+        "read_registry": f"{_with('registry')} SELECT CAST(hgnc_id AS VARCHAR) AS hgnc_id, symbol, prev, refseq FROM registry",
+        "read_mirna": f"{_with('cds')} SELECT contig, CAST(s0 AS BIGINT) AS start_pos, CAST(e0 AS BIGINT) AS end_pos, transcript, concat('M', exon_id) AS gene, type FROM cds WHERE type = 'miRNA'",
+        "read_region_reports": f"{_with('sample_regions')} SELECT contig, count(DISTINCT sample_id) AS samples, count(*) AS n, sum(s0) AS starts, sum(e0) AS ends FROM sample_regions GROUP BY contig",
+        "write_depth_text": f"""{_with('depth')}, l AS (SELECT contig, string_agg(CAST(d AS VARCHAR), ' ') AS text FROM depth GROUP BY contig, floor(p / 100.0))
+          SELECT contig, 1 AS headers, count(*) + 1 AS n, CAST(sum(length(text)) + length(contig) + 1 AS BIGINT) AS characters FROM l GROUP BY contig""",
+        "write_target_depth": f"{_with('tdepth')} SELECT set_id, contig, count(*) AS n, CAST(sum(p) AS BIGINT) AS positions, CAST(sum(d) AS BIGINT) AS depths FROM tdepth GROUP BY set_id, contig",
+        "write_coverage_report": f"{_with('tx_rows')} SELECT contig, gene, transcript, CAST(length AS BIGINT) AS length, n_cds, pct FROM tx_rows",
+        "write_wig": f"""{_with('depth', 'targets')}, {_off_target('targets', 30)} SELECT h.set_id, count(DISTINCT (h.contig, h.start_pos)) AS regions, count(*) AS bases, CAST(sum(d.d) AS BIGINT) AS depths
+          FROM hot h JOIN depth d ON d.contig = h.contig AND d.p >= h.start_pos AND d.p < h.end_pos GROUP BY h.set_id""",
+        "gene_transcripts": f"{_with('cds')} SELECT DISTINCT gene, transcript FROM cds",
+        "shared_contigs": f"{_with('sample_regions', 'contigs')} SELECT count(*) > 0 AS shared FROM sample_regions s SEMI JOIN contigs c ON c.contig = s.contig",
+        "read_gene_list": f"{_with('cds')} SELECT gene, count(*) AS n FROM cds GROUP BY gene",
+        "unsorted_annotations": f"""{_with('cds')} SELECT contig, count(*) AS n, CAST(sum(s0) AS BIGINT) AS starts
+          FROM (SELECT *, lag(s0) OVER (PARTITION BY contig ORDER BY gene, e0, concat_ws('|', gene, transcript, type)) AS before FROM cds) WHERE before > s0 GROUP BY contig""",
+        "read_coverage_blocks": f"""{_with('depth')}, b AS (SELECT contig, start_pos, end_pos, {MEAN} AS m FROM ({_runs("(SELECT * FROM depth WHERE contig = 'chr2')", 'contig', CLASS30, 'd')})),
+          t AS (SELECT 'a' AS sample_id, * FROM b UNION ALL SELECT 'b', * FROM b WHERE m > 0), g AS (SELECT *, lag(end_pos) OVER (PARTITION BY sample_id ORDER BY start_pos) AS prev FROM t)
+          SELECT sample_id, contig, start_pos AS pos, CASE WHEN m > 200 THEN 198 ELSE m END AS value FROM t UNION ALL SELECT sample_id, contig, unnest(range(prev, start_pos, 2000)), 0 FROM g WHERE prev < start_pos""",
+        "read_summary_reports": f"""WITH w AS ({_wgs_summary()}), h AS ({_with('depth')} SELECT least(d, 1000) AS x, count(*) AS n FROM depth GROUP BY ALL),
+          lim AS (SELECT CASE WHEN value <= 30 THEN 60 WHEN value <= 55 THEN 100 WHEN value <= 80 THEN 150 WHEN value <= 120 THEN 200 WHEN value <= 160 THEN 250 ELSE 300 END AS k FROM w WHERE metric = 'Average_Coverage')
+          SELECT metric, round(value, 3) AS value FROM w UNION ALL SELECT concat('depth_', r.k), round(coalesce(h.n, 0) * 100.0::DOUBLE / (SELECT sum(n) FROM h), 6) FROM (SELECT unnest(range(0, (SELECT k + 1 FROM lim))) AS k) r LEFT JOIN h ON h.x = r.k""",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     low_hit = USED + " AND mapq >= 58"
     overlap_bases = "SELECT contig, unnest(range(pos + o, least(pos + o + k, clen))) AS p, pair, mc, mate_pos, mend, shared FROM msegs"
     kept = "shared = 0 OR p < mate_pos OR (mc IS NOT NULL AND p >= mend)"
-    regions = f"merged AS ({_runs('(SELECT DISTINCT contig, p FROM spos WHERE sample_id < 3)', 'contig', 'true')})"
+    regions = f"merged AS ({_runs('(SELECT DISTINCT contig, p FROM spos)', 'contig', 'true')})"
 
     sql = {
         "wgs_breadth": f"{_with('depth')} {_breadth('depth', '', GENOME, NS)}",
@@ -203,11 +237,13 @@ def oracle_sql() -> dict[str, str]:
           SELECT set_id, pct_bin, CAST(sum(v) AS BIGINT) AS value FROM b GROUP BY ALL""",
         "flank_profile": f"""{_with('depth', 'targets')}, j AS (SELECT set_id, CASE WHEN d.p < t.s0 THEN 'up' ELSE 'down' END AS side, CAST(CASE WHEN d.p < t.s0 THEN t.s0 - 1 - d.p ELSE d.p - t.e0 END AS BIGINT) AS distance, d.d FROM targets t JOIN depth d ON d.contig = t.contig AND (d.p >= t.s0 - 300 AND d.p < t.s0 OR d.p >= t.e0 AND d.p < t.e0 + 300) WHERE t.e0 - t.s0 >= 100 AND d.d > 0)
           SELECT set_id, side, distance, CAST(sum(d) AS BIGINT) AS sum_depth FROM j GROUP BY ALL""",
-        "low_runs": f"{_with('tdepth')} SELECT set_id, contig, start_pos, end_pos, end_pos - start_pos AS length FROM ({_runs('(SELECT * FROM tdepth WHERE d < 20)', 'set_id, interval_id, contig', 'true')})",
+        "low_runs": f"{_with('tdepth')} SELECT set_id, contig, start_pos, end_pos, end_pos - start_pos AS length, {MEAN} AS mean_depth FROM ({_runs('(SELECT * FROM tdepth WHERE d < 20)', 'set_id, interval_id, contig', 'true', 'd')})",
         "wgs_low_runs": f"{_with('depth')} SELECT contig, start_pos, end_pos, end_pos - start_pos AS length, {MEAN} AS mean_depth FROM ({_runs('(SELECT * FROM depth WHERE d < 20)', 'contig', 'true', 'd')})",
         "high_runs": f"{_with('depth')} SELECT contig, start_pos, end_pos, end_pos - start_pos AS length, {MEAN} AS mean_depth FROM ({_runs('(SELECT * FROM depth WHERE d >= 60)', 'contig', 'true', 'd')})",
         "all_sites": f"{_with('tdepth')} SELECT set_id, contig, CAST(s0 AS BIGINT) AS start_pos, CAST(e0 AS BIGINT) AS end_pos, CAST(e0 - s0 AS BIGINT) AS length, CAST(floor(sum(d) * 1.0 / (e0 - s0) + 0.5) AS BIGINT) AS mean_depth FROM tdepth GROUP BY set_id, contig, interval_id, s0, e0",
-        "off_target": f"{_with('depth', 'targets')}, chosen AS (SELECT * FROM targets WHERE interval_id % 12 < 6), {_off_target('chosen')} SELECT * FROM hot",
+        "downsample_counts": f"""{_with('al')} SELECT contig, count(*) AS reads FROM al
+            WHERE CAST('0x' || substr(md5(qname || ':11'), 1, 7) AS BIGINT) < {(1 << 28) // 4} GROUP BY contig""",
+        "off_target": f"{_with('depth', 'targets')}, {_off_target('targets', 30)} SELECT * FROM hot",
         "uniformity_blocks": f"{_with('depth')} SELECT contig, start_pos, end_pos, end_pos - start_pos AS length, CAST(cls AS BIGINT) AS class, {MEAN} AS mean_depth FROM ({_runs('depth', 'contig', CLASS30, 'd')})",
         "uniformity_gvcf": _gvcf("depth", 1, 10, 2),
         "uniformity_hist": f"""{_with('depth')}, b AS (SELECT least({MEAN}, 1000) AS m, end_pos - start_pos AS n FROM ({_runs('depth', 'contig', CLASS150, 'd')}) WHERE contig NOT IN ('chrX', 'chrY'))
@@ -230,11 +266,20 @@ def oracle_sql() -> dict[str, str]:
           e AS (SELECT contig, start_pos, end_pos, 'exon' AS kind, string_agg(DISTINCT gene, ';' ORDER BY gene) AS genes, string_agg(DISTINCT label, ';' ORDER BY label) FILTER (src = 'refseq') AS refseq, string_agg(DISTINCT label, ';' ORDER BY label) FILTER (src = 'mirna') AS mirna, string_agg(DISTINCT label, ';' ORDER BY label) FILTER (src = 'other') AS other FROM x GROUP BY ALL),
           i AS ({INTRONS}), f AS (SELECT DISTINCT ON (m.contig, m.start_pos, m.end_pos) m.contig, m.start_pos, m.end_pos, 'intron' AS kind, i.gene AS genes, i.name AS refseq FROM (SELECT * FROM merged ANTI JOIN e USING (contig, start_pos, end_pos)) m JOIN i ON i.contig = m.contig AND m.start_pos < i.end_pos AND i.start_pos < m.end_pos ORDER BY m.contig, m.start_pos, m.end_pos, i.start_pos, i.gene, i.name)
           SELECT m.contig, m.start_pos, m.end_pos, coalesce(e.kind, f.kind, 'intergenic') AS kind, coalesce(e.genes, f.genes) AS genes, CASE WHEN e.kind IS NULL THEN f.refseq ELSE e.refseq END AS refseq, CAST(NULL AS VARCHAR) AS ccds, CAST(NULL AS VARCHAR) AS vega, e.mirna, e.other FROM merged m LEFT JOIN e USING (contig, start_pos, end_pos) LEFT JOIN f USING (contig, start_pos, end_pos)""",
-        "cds_pct": f"{_with('cds_rows')} SELECT contig, gene, transcript, CAST(exon_id AS BIGINT) AS exon_id, CAST(s0 AS BIGINT) AS start_pos, CAST(e0 AS BIGINT) AS end_pos, CAST(length AS BIGINT) AS length, CAST(low_bases AS BIGINT) AS low_bases, CAST((length - low_bases) * 100.0 AS DOUBLE) / length AS pct, regions AS low_regions FROM cds_rows",
+        "cds_pct": f"{_with('cds_rows')} SELECT contig, gene, transcript, CAST(exon_id AS BIGINT) AS exon_id, CAST(s0 AS BIGINT) AS start_pos, CAST(e0 AS BIGINT) AS end_pos, CAST(length AS BIGINT) AS length, CAST(low_bases AS BIGINT) AS low_bases, {CDS_PCT} AS pct, CASE WHEN exon_id < -1 THEN 'NOT_Designed' ELSE regions END AS low_regions FROM cds_rows",
+        "cds_target_pct": f"""{_with('cds', 'targets', 'low')}, one AS (SELECT DISTINCT contig, gene, transcript, exon_id, s0, e0 FROM cds),
+            hit AS (SELECT c.*, greatest(c.s0, t.s0) AS a, least(c.e0, t.e0) AS b FROM one c JOIN targets t ON t.set_id = 0 AND t.contig = c.contig AND t.s0 < c.e0 AND c.s0 < t.e0),
+            cut AS (SELECT DISTINCT contig, gene, transcript, exon_id, a, b FROM (SELECT *, row_number() OVER (PARTITION BY contig, gene, transcript, exon_id, s0, e0 ORDER BY a) AS r FROM hit) WHERE r = 1),
+            p AS (SELECT c.*, l.p, l.p - row_number() OVER (PARTITION BY c.contig, c.gene, c.transcript, c.exon_id, c.a, c.b ORDER BY l.p) AS g FROM cut c JOIN low l ON l.contig = c.contig AND l.p >= c.a AND l.p < c.b),
+            r AS (SELECT contig, gene, transcript, exon_id, a, b, min(p) AS s, max(p) + 1 AS e FROM p GROUP BY contig, gene, transcript, exon_id, a, b, g),
+            lows AS (SELECT contig, gene, transcript, exon_id, a, b, sum(e - s) AS low_bases, string_agg(concat(s, '-', e), ';' ORDER BY s) AS regions FROM r GROUP BY ALL),
+            rows_ AS (SELECT cut.*, b - a AS length, coalesce(low_bases, 0) AS low_bases, regions FROM cut LEFT JOIN lows USING (contig, gene, transcript, exon_id, a, b))
+            SELECT contig, gene, transcript, CASE WHEN exon_id = -1 THEN '_' ELSE concat('cds_', exon_id) END AS label, CAST(a AS BIGINT) AS start_pos, CAST(b AS BIGINT) AS end_pos, CAST(length AS BIGINT) AS length,
+              CAST(low_bases AS BIGINT) AS low_bases, {CDS_PCT} AS pct, CASE WHEN exon_id < -1 THEN 'NOT_Designed' ELSE regions END AS low_regions FROM rows_""",
         "transcript_pct": f"{_with('tx_rows')} SELECT contig, gene, transcript, CAST(length AS BIGINT) AS length, n_cds, pct FROM tx_rows",
-        "gene_pct": f"{_with('tx_rows')} SELECT gene, count(*) AS n_transcripts, avg(pct) AS pct FROM tx_rows GROUP BY gene",
+        "gene_pct": f"{_with('tx_rows')} SELECT gene, count(*) AS n_transcripts, avg(pct) AS pct, string_agg(item, ';' ORDER BY item) AS transcripts FROM (SELECT *, concat(transcript, printf('(%.2f)', floor(pct * 100 + 0.5) / 100)) AS item FROM tx_rows) GROUP BY gene",
         "preferred_gene_pct": f"{_with('tx_rows')} SELECT gene, count(*) AS n_transcripts, avg(pct) AS pct FROM tx_rows x WHERE transcript LIKE 'NR%' OR NOT EXISTS (SELECT 1 FROM tx_rows y WHERE y.gene = x.gene AND y.transcript LIKE 'NR%') GROUP BY gene",
-        "coverage_categories": f"""{_with('tx_rows')}, l AS (SELECT 'exon' AS level, CAST((length - low_bases) * 100.0 AS DOUBLE) / length AS pct FROM cds_rows UNION ALL SELECT 'transcript', pct FROM tx_rows UNION ALL SELECT 'gene', avg(pct) FROM tx_rows GROUP BY gene),
+        "coverage_categories": f"""{_with('tx_rows')}, l AS (SELECT 'exon' AS level, {CDS_PCT} AS pct FROM cds_rows UNION ALL SELECT 'transcript', pct FROM tx_rows UNION ALL SELECT 'gene', avg(pct) FROM tx_rows GROUP BY gene),
           c AS (SELECT level, CASE WHEN pct >= 100 THEN '100' WHEN pct >= 97 THEN '>=97' WHEN pct >= 90 THEN '>=90' ELSE '<90' END AS category, count(*) AS n FROM l GROUP BY ALL) SELECT level, category, n, {_pct('n', '(sum(n) OVER (PARTITION BY level))')} AS share FROM c""",
         "batch_recurrence": f"{_with('often')} SELECT contig, start_pos, end_pos FROM ({_runs('often', 'contig', 'true')})",
         "batch_exon_pct": f"{_with('bex')} SELECT contig, gene, transcript, CAST(exon_id AS BIGINT) AS exon_id, CAST(s0 AS BIGINT) AS start_pos, CAST(e0 AS BIGINT) AS end_pos, CAST(length AS BIGINT) AS length, CAST(low_bases AS BIGINT) AS low_bases, CAST((length - low_bases) * 100.0 AS DOUBLE) / length AS pct FROM bex",
@@ -253,7 +298,7 @@ def oracle_sql() -> dict[str, str]:
           SELECT 'unmerged' AS problem, contig, count(*) AS n, CAST(sum(s0) AS BIGINT) AS sum_start FROM u GROUP BY contig UNION ALL SELECT 'contig_name', contig, count(*), CAST(sum(s0) AS BIGINT) FROM r GROUP BY contig""",
         "depth_lines": f"{_with('depth')} SELECT contig, CAST(floor(p / 100.0) AS BIGINT) AS line, string_agg(CAST(d AS VARCHAR), ' ' ORDER BY p) AS text FROM depth GROUP BY contig, floor(p / 100.0)",
     }
-    return sql
+    return sql | _files()
 
 
 PARTITION = "pts AS (SELECT DISTINCT contig, unnest([s0, e0]) AS s FROM cds), g AS (SELECT contig, s, lead(s) OVER (PARTITION BY contig ORDER BY s) AS e FROM pts)"

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..operators import annotate, annotation_etl, batch, depth, genes, intervals, reads, runs, stats, uniformity
 from ..operators.reads import ReadOptions
 from ..sources import fixtures, sinks, validate
-from . import reports
+from . import reports, roundtrips
 
 #: Bases of a bin in these queries: the derived contigs have 8,000 to 24,000 bases.
 WIDTH = 4096
-QUERIES = {}
+QUERIES = dict(roundtrips.QUERIES)
 
 
 def query(f):
@@ -164,7 +164,7 @@ def flank_profile(spark, sf_dir):
 @query
 def low_runs(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return _spans(reports.low_in_targets(t.sample(), t.targets).drop("mean_depth", "interval_id")).withColumn("length", F.col("length").cast("bigint"))
+    return _spans(reports.low_in_targets(t.sample(), t.targets).drop("interval_id")).withColumn("length", F.col("length").cast("bigint"))
 
 
 @query
@@ -186,7 +186,7 @@ def all_sites(spark, sf_dir):
 @query
 def off_target(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return _spans(runs.off_target(t.sample().rle(), t.targets.filter("interval_id % 12 < 6"), width=WIDTH))
+    return _spans(runs.off_target(t.sample().rle(), t.targets, pad=30, width=WIDTH))
 
 
 @query
@@ -214,7 +214,7 @@ def uniformity_metric(spark, sf_dir):
 @query
 def plot_points(spark, sf_dir):
     found = uniformity.classed_blocks(Tables(spark, sf_dir).sample().rle(), 1, 30, (), WIDTH).filter("class <> 0")
-    return uniformity.plot_points(found, highest=40, shown=38, step=100)
+    return uniformity.plot_points(found, highest=40, shown=38, step=100, width=WIDTH)
 
 
 @query
@@ -272,7 +272,7 @@ def multi_sample_depth(spark, sf_dir):
 
 
 def _regions_to_annotate(t: Tables) -> DataFrame:
-    return intervals.merge(t.sample_regions.filter("sample_id < 3"), (), WIDTH).select("contig", "start", "end")
+    return intervals.merge(t.sample_regions, (), WIDTH).select("contig", "start", "end")
 
 
 @query
@@ -287,6 +287,13 @@ def cds_pct(spark, sf_dir):
     return _spans(reports.cds_report(t.sample(), t.targets, t.cds)).withColumn("exon_id", F.col("exon_id").cast("bigint"))
 
 
+@query
+def cds_target_pct(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    rows = reports.cds_report(t.sample(), t.targets, genes.cds_in_targets(t.cds, t.targets.filter("set_id = 0"), WIDTH))
+    return _spans(rows.withColumn("label", genes.exon_label(F.col("exon_id")))).drop("exon_id")
+
+
 @query
 def transcript_pct(spark, sf_dir):
     t = Tables(spark, sf_dir)
@@ -296,7 +303,7 @@ def transcript_pct(spark, sf_dir):
 @query
 def gene_pct(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return genes.gene_coverage(genes.transcript_coverage(reports.cds_report(t.sample(), t.targets, t.cds))).select("gene", "n_transcripts", "pct")
+    return genes.gene_coverage(genes.transcript_coverage(reports.cds_report(t.sample(), t.targets, t.cds)))
 
 
 @query
@@ -386,7 +393,7 @@ def intron_table(spark, sf_dir):
 @query
 def validate_intervals(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    touching = validate.unmerged(t.sample_regions, ["sample_id"]).select(F.lit("unmerged").alias("problem"), "contig", "start", "end")
+    touching = validate.unmerged(t.sample_regions, ["sample_id"], WIDTH).select(F.lit("unmerged").alias("problem"), "contig", "start", "end")
     names = validate.wrong_contig_names(t.sample_regions, "hg37").select(F.lit("contig_name").alias("problem"), "contig", "start", "end")
     return _spans(touching.unionByName(names)).groupBy("problem", "contig").agg(F.count("*").alias("n"), F.sum("start_pos").alias("sum_start"))
 

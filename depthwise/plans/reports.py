@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import THRESHOLDS, percent
 from ..operators import batch, depth, genes, intervals, reads, runs, stats, uniformity
 from ..operators.reads import ReadOptions, metric_rows
+from .storage import stored
 
 
 @dataclass
@@ -21,6 +22,7 @@ class Sample:
     n_regions: DataFrame
     options: ReadOptions = ReadOptions()
     width: int = intervals.BIN
+    _depth: DataFrame | None = field(default=None, repr=False)
 
     def used(self) -> DataFrame:
         return reads.staged(self.alignments, self.options).filter("stage = 'used'")
@@ -31,6 +33,12 @@ class Sample:
     def rle(self) -> DataFrame:
         return depth.depth_rle(self.blocks(), self.contigs, (), self.width, self.n_regions)
 
+    def depth(self) -> DataFrame:
+        """rle, computed and written once, for reports that read it several times."""
+        if self._depth is None:
+            self._depth = stored(self.rle(), "depth")
+        return self._depth
+
     def genome(self) -> DataFrame:
         """One row: genome_bases, n_total, n_x, n_y, bases (without N)."""
         size = self.contigs.agg(F.sum("length").cast("bigint").alias("genome_bases"))
@@ -47,7 +55,7 @@ def wgs_breadth(s: Sample) -> DataFrame:
 
 
 def uniformity_metric(s: Sample, lower: int = 1, upper: int = 150, factor: float = 10) -> DataFrame:
-    rle = s.rle()
+    rle = s.depth()
     blocks = uniformity.gvcf_blocks(rle, lower, upper, factor, (), s.width)
     mean = stats.summary(wgs_counts(s, rle), "bases", excluded="n_total").select("mean_depth")
     facts = s.genome().join(F.broadcast(mean)).select("mean_depth", "n_total", "n_x", "n_y")
@@ -63,24 +71,28 @@ def _wide_breadth(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def wgs_summary(s: Sample) -> DataFrame:
-    """(metric, value) of the whole-genome report; every part is one row, joined by broadcast."""
-    counts = wgs_counts(s)
+    """(metric, value) of the whole-genome report; every part is one row, joined by broadcast. The alignments are read for the
+    depth, for the counters, and for the base qualities; with a minimum base quality once more."""
+    counts = wgs_counts(s, s.depth())
+    unique = F.col("aligned_bases")
     parts = [
         stats.summary(counts, "bases", excluded="n_total"),
         _wide_breadth(stats.breadth(counts, "bases", excluded="n_total")),
         reads.quality_counts(s.used(), s.contigs, s.options),
         s.genome().select("n_total", "genome_bases"),
-        s.blocks().agg(F.sum(F.col("end") - F.col("start")).cast("bigint").alias("unique_bases")),
         reads.mate_overlap(s.used()).agg(F.sum("overlap_bases").cast("bigint").alias("overlap_bases")) if s.options.exclude_overlap else s.contigs.agg(F.lit(0).cast("bigint").alias("overlap_bases")),
     ]
-    row = reads.counters(s.alignments, s.contigs, s.options)
+    if s.options.min_base_qual > 0:
+        parts.append(s.blocks().agg(F.sum(F.col("end") - F.col("start")).cast("bigint").alias("unique_bases")))
+        unique = F.col("unique_bases")
+    row = stored(reads.counters(s.alignments, s.contigs, s.options), "counters")
     general = reads.read_report(row)
     for p in parts:
         row = row.join(F.broadcast(p))
     rows = [
         ("Average_Coverage", percent(F.col("sum_depth"), F.col("bases")) / 100),
         ("WGS_Max_Coverage", F.col("max_depth")), ("Number_of_Bases_with_WGS_Max_Coverage", F.col("bases_at_max")), ("Total_Genome_Base_Targeted_wo_Ns", F.col("bases")), ("Total_Ns_Bases_in_Ns_Regions", F.col("n_total")),
-        ("Total_Mapped_Bases", F.col("mapped_bases")), ("Total_Uniquely_Aligned_Bases", F.col("unique_bases")), ("Total_Overlapped_Aligned_Bases", F.col("overlap_bases")),
+        ("Total_Mapped_Bases", F.col("mapped_bases")), ("Total_Uniquely_Aligned_Bases", unique), ("Total_Overlapped_Aligned_Bases", F.col("overlap_bases")),
         ("PCT_Overlapped_Aligned_Bases", percent(F.col("overlap_bases"), F.col("mapped_bases"))), ("Median_Coverage", F.col("median_depth")),
     ]
     for t in (20, 30, 40):
@@ -99,9 +111,9 @@ def target_counts(s: Sample, targets: DataFrame) -> DataFrame:
 
 def capture_summary(s: Sample, targets: DataFrame, buffer: int = 100) -> DataFrame:
     """(set_id, metric, value) of the capture report."""
-    rle = s.rle()
-    flanks = intervals.buffers(targets, s.contigs, buffer)
-    inside = depth.target_depth(rle, targets)
+    rle = s.depth()
+    flanks = stored(intervals.buffers(targets, s.contigs, buffer, width=s.width), "flanks")
+    inside = stored(depth.target_depth(rle, targets), "inside")
     counts = stats.depth_counts(inside, ["set_id"]).join(F.broadcast(stats.targeted_bases(targets, s.contigs).select("set_id", F.col("targeted_bases").alias("bases"))), "set_id")
     row = stats.targeted_bases(targets, s.contigs)
     for part in (

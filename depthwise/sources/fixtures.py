@@ -8,7 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-CONTIGS = "SELECT * FROM (VALUES ('chr1', 24000, 0), ('chr2', 20000, 1), ('chr3', 16000, 2), ('chr4', 12000, 3), ('chrX', 18000, 4), ('chrY', 8000, 5)) AS t(contig, length, ordinal)"
+#: The genome grows with the reads, so that depth stays alike at every scale.
+CONTIGS = "SELECT contig, CAST(base * {scale} AS INT) AS length, ordinal FROM (VALUES ('chr1', 24000, 0), ('chr2', 20000, 1), ('chr3', 16000, 2), ('chr4', 12000, 3), ('chrX', 18000, 4), ('chrY', 8000, 5)) AS t(contig, base, ordinal)"
+#: Reads for each time that the base lengths count.
+READS = 60_000
 
 ALIGNMENTS = """
 WITH base AS (
@@ -22,7 +25,7 @@ SELECT contig, pos, CAST(pk % 61 AS INT) AS mapq,
   CASE ln % 5 WHEN 0 THEN concat(n, 'M') WHEN 1 THEN concat('5S', n - 5, 'M') WHEN 2 THEN concat('20M2I', n - 22, 'M') WHEN 3 THEN concat('20M3D', n - 20, 'M') ELSE concat('10=', n - 20, 'X10M') END AS cigar,
   n AS l_qseq, CASE WHEN pk % 29 = 0 THEN 'chr1' ELSE contig END AS mate_contig,
   CAST(CASE WHEN isize > 0 THEN GREATEST(0, pos + isize - n) ELSE GREATEST(0, pos + isize) END AS INT) AS mate_pos, isize,
-  CASE WHEN pk % 3 = 0 THEN NULL ELSE concat(n, 'M') END AS mc, pk, ok, ln{more}
+  CASE WHEN pk % 3 = 0 THEN NULL ELSE concat(n, 'M') END AS mc, concat('r', ok, ':', ln) AS qname, pk, ok, ln{more}
 FROM base"""
 
 TARGETS = """
@@ -36,14 +39,14 @@ UNION ALL SELECT contig, CAST(FLOOR(length / 2.0) AS INT), CAST(FLOOR(length / 2
 
 CDS = """
 WITH t AS (SELECT x.contig, GREATEST(x.{start} - 30, 0) AS s, x.{end} + 15 AS e, p.p_brand AS gene, x.interval_id, p.p_size FROM ({targets}) x JOIN {part} p ON p.p_partkey = x.interval_id WHERE x.set_id = 0)
-SELECT contig, s AS {start}, e AS {end}, gene, concat(k.prefix, interval_id % 50) AS transcript, CAST(FLOOR(interval_id / 6.0) AS INT) AS exon_id,
+SELECT contig, s AS {start}, e AS {end}, gene, concat(k.prefix, interval_id % 50) AS transcript, CAST(CASE WHEN p_size % 17 = 0 THEN -1 WHEN p_size % 13 = 0 THEN -2 - FLOOR(interval_id / 6.0) ELSE FLOOR(interval_id / 6.0) END AS INT) AS exon_id,
   CASE WHEN p_size % 17 = 0 THEN 'snp' WHEN p_size % 19 = 0 THEN 'miRNA' ELSE 'gene' END AS type
 FROM t JOIN (SELECT * FROM (VALUES ('NM_', 1), ('NR_', 2)) AS v(prefix, every)) k ON interval_id % k.every = 0"""
 
 SAMPLE_REGIONS = """
 SELECT CAST(user_id % 8 AS INT) AS sample_id, c.contig, CAST((event_id * 7919) % (c.length - 400) AS INT) AS {start},
   CAST((event_id * 7919) % (c.length - 400) AS INT) + 20 + CAST(FLOOR(value) AS INT) % 300 AS {end}
-FROM {events} JOIN ({contigs}) c ON c.ordinal = event_id % 6 WHERE event_id % 10 = 0"""
+FROM {events} JOIN ({contigs}) c ON c.ordinal = event_id % 6"""
 
 GENE_MODEL = """
 SELECT concat('NM_', s_suppkey % 40) AS name, c.contig, CASE WHEN s_suppkey % 2 = 0 THEN '+' ELSE '-' END AS strand, t0 AS tx_start, t0 + n * 300 + 120 AS tx_end,
@@ -68,15 +71,21 @@ _DUCKDB = {
 NAMES = {"contigs": CONTIGS, "alignments": ALIGNMENTS, "targets": TARGETS, "n_regions": N_REGIONS, "cds": CDS, "sample_regions": SAMPLE_REGIONS, "gene_model": GENE_MODEL, "registry": REGISTRY}
 
 
-def sql(name: str, spark: bool = False) -> str:
+def sql(name: str, spark: bool = False, scale: str | None = None) -> str:
     """SQL of a derived table; in DuckDB's the interval columns are s0 and e0."""
     words = _SPARK if spark else _DUCKDB
     tables = {t: t for t in ("lineitem", "part", "events", "supplier")}
-    return NAMES[name].format(**words, **tables, contigs=CONTIGS, targets=TARGETS.format(**words, **tables, contigs=CONTIGS))
+    contigs = CONTIGS.format(scale=scale or f"(SELECT greatest(1, count(*) // {READS}) FROM lineitem)")
+    return NAMES[name].format(**words, **tables, scale=scale, contigs=contigs, targets=TARGETS.format(**words, **tables, contigs=contigs)) if name != "contigs" else contigs
+
+
+_scales: dict[str, int] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    text = sql(name, spark=True)
+    if sf_dir not in _scales:
+        _scales[sf_dir] = max(1, spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // READS)
+    text = sql(name, spark=True, scale=str(_scales[sf_dir]))
     for t in ("lineitem", "part", "events", "supplier"):
         text = text.replace(f"FROM {t}", f"FROM parquet.`{sf_dir}/{t}.parquet` AS {t}").replace(f"JOIN {t} ", f"JOIN parquet.`{sf_dir}/{t}.parquet` ")
     return spark.sql(text)

@@ -13,23 +13,21 @@ def _tsv(spark: SparkSession, path, schema: str) -> DataFrame:
 
 
 def alignments(spark: SparkSession, path, contigs: DataFrame | None = None) -> DataFrame:
-    """SAM text -> alignments, with the sample (file) each read comes from. Reads without a contig stay, with a null contig.
-
-    The read_id tells the lines of one run of the plan apart; write the table before using it twice.
-    """
+    """SAM text -> alignments, with the sample (file) each read comes from. Reads without a contig stay, with a null contig. The
+    read_id is made of the name, the flag and the place, so that it does not depend on files or splits."""
     lines = spark.read.text(path).filter(~F.col("value").startswith("@"))
     f = F.split("value", "\t")
-    tags = F.filter(F.slice(f, 12, 200), lambda t: t.startswith("MC:Z:"))
+    tags = F.filter(F.slice(f, F.lit(12), F.size(f)), lambda t: t.startswith("MC:Z:"))
     quals = F.get(f, F.lit(10))
     values = F.when(quals == "*", F.expr("cast(array() as array<tinyint>)")).otherwise(F.transform(F.split(quals, ""), lambda c: (F.ascii(c) - 33).cast("tinyint")))
     known = lambda i: F.when(F.get(f, F.lit(i)) != "*", F.get(f, F.lit(i)))
     whole = lambda i: F.get(f, F.lit(i)).cast("int")
     rows = lines.select(
-        F.element_at(F.split(F.input_file_name(), "/"), -1).alias("sample_id"), F.monotonically_increasing_id().alias("read_id"),
+        F.element_at(F.split(F.input_file_name(), "/"), -1).alias("sample_id"), F.concat_ws(":", F.get(f, F.lit(0)), F.get(f, F.lit(1)), F.get(f, F.lit(2)), F.get(f, F.lit(3))).alias("read_id"), F.get(f, F.lit(0)).alias("qname"),
         known(2).alias("contig"), (whole(3) - 1).alias("pos"), whole(4).alias("mapq"), whole(1).alias("flag"), known(5).alias("cigar"),
         F.when(F.get(f, F.lit(9)) == "*", 0).otherwise(F.length(F.get(f, F.lit(9)))).alias("l_qseq"),
         F.when(F.get(f, F.lit(6)) == "=", known(2)).otherwise(known(6)).alias("mate_contig"), (whole(7) - 1).alias("mate_pos"), whole(8).alias("isize"),
-        F.when(F.size(tags) > 0, F.substring(F.get(tags, F.lit(0)), 6, 100000)).alias("mc"), values.alias("quals"),
+        F.when(F.size(tags) > 0, F.substr(F.get(tags, F.lit(0)), F.lit(6))).alias("mc"), values.alias("quals"),
     )
     if contigs is None:
         return rows
@@ -81,17 +79,18 @@ def annotations(spark: SparkSession, path) -> DataFrame:
 
 def target_sets(spark: SparkSession, manifest) -> tuple[DataFrame, DataFrame]:
     """(targets, annotations) of a manifest with a target file and perhaps an annotation file on each line, each row with the
-    set_id of its line. The manifest is a handful of lines and is read by the driver; a target file may occur once."""
+    set_id of its line. The manifest is a handful of lines and is read by the driver, the files in one read each of targets and
+    annotations; a target file may occur once."""
     lines = [r.value.split() for r in spark.read.text(manifest).collect() if r.value.strip() and not r.value.startswith("#")]
     if len({x[0] for x in lines}) < len(lines):
         raise ValueError("a target file occurs twice in the manifest")
-    targets = annotated = None
-    for k, files in enumerate(lines):
-        part = intervals(spark, files[0]).withColumn("set_id", F.lit(k))
-        targets = part if targets is None else targets.unionByName(part)
-        if len(files) > 1:
-            part = annotations(spark, files[1]).withColumn("set_id", F.lit(k))
-            annotated = part if annotated is None else annotated.unionByName(part)
+    number = F.create_map(*(v for k, x in enumerate(lines) for v in (F.lit(x[0]), F.lit(k)))) if lines else None
+    pair = F.create_map(*(v for k, x in enumerate(lines) if len(x) > 1 for v in (F.lit(x[1]), F.lit(k)))) if any(len(x) > 1 for x in lines) else None
+    tail = lambda name: F.concat(F.lit("/"), F.regexp_replace(name, "^([a-z]+:)?/*", ""))
+    here = lambda name: F.input_file_name().endswith(tail(name)) | F.contains(F.input_file_name(), F.concat(tail(name), F.lit("/")))
+    at = lambda of: F.element_at(F.map_values(F.map_filter(of, lambda name, _: here(name))), 1)
+    targets = intervals(spark, [x[0] for x in lines]).withColumn("set_id", at(number))
+    annotated = annotations(spark, [x[1] for x in lines if len(x) > 1]).withColumn("set_id", at(pair)) if pair is not None else None
     return targets, annotated
 
 
@@ -131,10 +130,10 @@ def gene_list(spark: SparkSession, path) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("gene")).filter("gene <> ''").distinct()
 
 
-def low_coverage_reports(spark: SparkSession, path) -> DataFrame:
-    """(sample_id, contig, start, end) of many samples' region reports; the sample is the file's name."""
+def low_coverage_reports(spark: SparkSession, path, folders: bool = False) -> DataFrame:
+    """(sample_id, contig, start, end) of many samples' region reports; the sample is the name of the file, or of its folder."""
     rows = _tsv(spark, path, BED).filter("start is not null")
-    return rows.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("sample_id"), "contig", "start", "end")
+    return rows.select(F.element_at(F.split(F.input_file_name(), "/"), -2 if folders else -1).alias("sample_id"), "contig", "start", "end")
 
 
 def coverage_blocks(spark: SparkSession, path, contig: str | None = None) -> DataFrame:
@@ -148,7 +147,7 @@ def summary_reports(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
     lines = spark.read.text(path).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("sample_id"), "value")
     metrics = lines.filter(F.col("value").rlike("^[^#>=\t]+\t")).select("sample_id", F.split("value", "\t")[0].alias("metric"), F.regexp_replace(F.split("value", "\t")[1], "%", "").try_cast("double").alias("value"))
     numbers = lines.filter(F.col("value").rlike("^(>>|==)"))
-    items = F.filter(F.split(F.substring("value", 3, 1 << 20), ","), lambda x: x != "")
+    items = F.filter(F.split(F.substr("value", F.lit(3)), ","), lambda x: x != "")
     return metrics, numbers.select("sample_id", F.col("value").startswith("==").alias("smoothed"), F.posexplode(items).alias("depth", "n")).select("sample_id", "smoothed", "depth", F.col("n").cast("bigint").alias("n_bases"))
 
 

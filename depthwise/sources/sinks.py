@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.depth import base_depth
-from ..operators.intervals import overlap_join
+from ..operators.intervals import clipped_to_bins, overlap_join
 
+#: Columns of the region report.
 REGION_COLUMNS = ("contig", "start", "end", "length", "mean_depth", "genes", "synonyms", "prev", "refseq", "ccds", "vega", "mirna", "other")
 
 
 def depth_lines(rle: DataFrame, values: int = 100) -> DataFrame:
     """(contig, line, text): depths of the bases, `values` on a line, joined by spaces."""
-    rows = base_depth(rle).withColumn("line", F.floor(F.col("pos") / values).cast("bigint"))
-    listed = rows.groupBy("contig", "line").agg(F.array_sort(F.collect_list(F.struct("pos", "depth"))).alias("v"))
-    return listed.select("contig", "line", F.array_join(F.transform("v", lambda s: s["depth"].cast("string")), " ").alias("text"))
+    pieces = clipped_to_bins(rle.select("contig", "start", "end", "depth"), values).withColumnRenamed("bin", "line")
+    listed = pieces.groupBy("contig", F.col("line").cast("bigint").alias("line")).agg(_repeated("start", "end", " "))
+    return listed.select("contig", "line", "text")
+
+
+def _repeated(start: str, end: str, between: str) -> Column:
+    """The depths of all bases of a group's runs, in order."""
+    runs = F.array_sort(F.collect_list(F.struct(F.col(start).alias("a"), F.col(end).alias("b"), "depth")))
+    return F.array_join(F.flatten(F.transform(runs, lambda r: F.array_repeat(r["depth"].cast("string"), (r["b"] - r["a"]).cast("int")))), between).alias("text")
 
 
 def write_depth_lines(rle: DataFrame, path: str, values: int = 100) -> None:
@@ -60,10 +67,9 @@ def write_coverage(rows: DataFrame, path: str) -> None:
 def wig_lines(hot: DataFrame, rle: DataFrame) -> DataFrame:
     """(set_id, contig, start, text): a fixedStep header and the depths of each off-target region."""
     pairs = overlap_join(hot.select("set_id", "contig", "start", "end"), rle.select("contig", "start", "end", "depth"))
-    base = pairs.select("set_id", "contig", "start", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("pos"), F.col("b_depth").alias("depth"))
-    listed = base.groupBy("set_id", "contig", "start").agg(F.array_sort(F.collect_list(F.struct("pos", "depth"))).alias("v"))
+    listed = pairs.withColumnRenamed("b_depth", "depth").groupBy("set_id", "contig", "start").agg(_repeated("lo", "hi", "\n"))
     head = F.concat(F.lit("fixedStep chrom_name="), "contig", F.lit(" start="), F.col("start").cast("string"), F.lit(" step=1"))
-    return listed.select("set_id", "contig", "start", F.concat_ws("\n", head, F.array_join(F.transform("v", lambda s: s["depth"].cast("string")), "\n")).alias("text"))
+    return listed.select("set_id", "contig", "start", F.concat_ws("\n", head, "text").alias("text"))
 
 
 def write_wig(hot: DataFrame, rle: DataFrame, path: str) -> None:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.intervals import JOIN_BIN
+
 
 def wrong_contig_names(df: DataFrame, version: str) -> DataFrame:
     """Rows whose contig isn't named as in the reference version: hg38 with chr, hg37 and hs37 without."""
@@ -19,10 +21,19 @@ def shares_contigs(df: DataFrame, contigs: DataFrame) -> DataFrame:
     return df.select("contig").distinct().join(contigs.select("contig"), "contig", "left_semi").agg((F.count("*") > 0).alias("shared"))
 
 
-def unmerged(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Intervals that overlap or touch an earlier one of their key and contig."""
-    w = Window.partitionBy(*by, "contig").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("prev_end", F.max("end").over(w)).filter(F.col("prev_end") >= F.col("start"))
+def unmerged(df: DataFrame, by: Sequence[str] = (), width: int = JOIN_BIN) -> DataFrame:
+    """Intervals that overlap or touch an earlier one of their key and contig. Each is looked at in the bin of its start, which all
+    that reach it are dealt to."""
+    bin_of = lambda c: F.floor(F.col(c) / width).cast("int")
+    rows = df.withColumn("__bin", F.explode(F.sequence(bin_of("start"), F.greatest(bin_of("start"), bin_of("end")))))
+    w = Window.partitionBy(*by, "contig", "__bin").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("prev_end", F.max("end").over(w)).filter((F.col("__bin") == bin_of("start")) & (F.col("prev_end") >= F.col("start"))).drop("__bin")
+
+
+def out_of_order(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Rows that start before the row before them on their contig, in the order given (an annotation file's lines)."""
+    before = F.lag("start").over(Window.partitionBy("contig").orderBy(*order))
+    return rows.withColumn("__before", before).filter(F.col("__before") > F.col("start")).drop("__before")
 
 
 def bad_annotations(rows: DataFrame) -> DataFrame:
