@@ -8,8 +8,8 @@ same anchor, and anchors deal out the work:
 - Occurrences of an anchor whose whole surroundings are equal are settled by a hash: all but the earliest are covered.
 - The earliest ones of anchors with different surroundings are sorted, as suffixes from the anchor on and as reversed prefixes
   before it. Prefix polynomial hashes and binary search give the common extension of two suffixes in logarithmic time, a
-  merge sort uses it to compare, and neighbours in the two orders bound how far an occurrence can match any other. Where that
-  reaches DEPTH, the windows through the anchor are matched one by one, and equal hashes are verified on the bytes.
+  merge sort uses it to compare. What neighbours in the two orders have in common, verified on the bytes, tells which windows
+  through the anchor are the same in which rows.
 - An anchor of more than UNIT surroundings is split by the bytes next to it; where more than UNIT rows share these too, each of
   their windows is a row of its own and Spark finds the earliest of its digest, so that no task gathers more than two units.
 """
@@ -17,6 +17,7 @@ same anchor, and anchors deal out the work:
 from __future__ import annotations
 
 import hashlib
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ AROUND = DEPTH - GRAM
 UNIT = 4096
 #: Bound of a broadcast list of copies: 8 bytes each.
 FEW_IDS = 1_000_000
+#: Windows of a text that are looked at together; below 2**28.
+STRETCH = 1 << 22
 _POSITION = U64((1 << 28) - 1)
 
 
@@ -41,10 +44,23 @@ _POSITION = U64((1 << 28) - 1)
 
 
 def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gram hash, position, hash of the surroundings) of the anchors of a text's windows; none below DEPTH bytes."""
+    """(gram hash, position, hash of the surroundings) of the anchors of a text's windows; none below DEPTH bytes. Long texts go
+    by stretches of windows, each with the bytes around it, as a place has 28 bits."""
+    found = []
+    for first in range(0, len(data) - DEPTH + 1, STRETCH):
+        low = max(first - DEPTH, 0)
+        gram, at, around = _anchors(data[low : first + STRETCH + 3 * DEPTH], first - low, STRETCH)
+        found.append((gram, at + low, around))
+    if len(found) == 1:
+        return found[0]
+    joined = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, kind) for k, kind in enumerate((U64, np.int64, U64))]
+    once = np.append(True, joined[1][1:] != joined[1][:-1])[: len(joined[1])]  # windows on either side of an edge may share one
+    return joined[0][once], joined[1][once], joined[2][once]
+
+
+def _anchors(data: np.ndarray, first: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """anchors of the windows that start at `first` up to `first + most`."""
     n = len(data)
-    if n < DEPTH:
-        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, U64)
     c, inverse = prefix_polynomial(data), inverse_powers(n + 1)
     start = np.arange(n - GRAM + 1)
     gram = mix((c[GRAM:] - c[: n - GRAM + 1]) * inverse[: n - GRAM + 1])
@@ -55,7 +71,7 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     blocks = blocks.reshape(-1, width)
     ahead = np.minimum.accumulate(blocks, axis=1).ravel()
     behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    low = np.minimum(behind[: n - DEPTH + 1], ahead[AROUND : n - GRAM + 1])
+    low = np.minimum(behind[: n - DEPTH + 1], ahead[AROUND : n - GRAM + 1])[first : first + most]
     at = (low[np.append(True, low[1:] != low[:-1])] & _POSITION).astype(np.int64)
     left, right = np.maximum(at - AROUND, 0), np.minimum(at + DEPTH, n)
     around = mix((c[right] - c[left]) * inverse[left] + ((at - left) * 1024 + right - at).astype(U64))
@@ -166,51 +182,74 @@ class Suffixes:
     def _in_order(self, order: np.ndarray) -> bool:
         return not len(order) or bool(self.below(order[:-1], order[1:]).all())
 
-    def furthest(self) -> np.ndarray:
-        """For each suffix the longest common extension with another one of its group."""
+    def neighbours(self, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """The order of the suffixes, and how many bytes (up to `most`) each has in common with the one before it, 0 for the first
+        of a group. The common bytes are verified; should hashes have lied, the bytes themselves are sorted."""
         order = self.sorted()
         i, j = order[:-1], order[1:]
-        k = np.where(self.group[i] == self.group[j], self.common(i, j), 0)
-        best = np.zeros(len(order), np.int64)
-        best[order] = np.maximum(np.append(k, 0), np.append(0, k))
-        return best
+        k = np.minimum(np.where(self.group[i] == self.group[j], self.common(i, j), 0), most)
+        if not self._same(i, j, k):
+            text = [(int(g), self.data[s : s + min(n, most)].tobytes()) for g, s, n in zip(self.group, self.start, self.length)]
+            order = np.array(sorted(range(len(text)), key=text.__getitem__), np.int64)
+            k = np.array([len(commonprefix([text[a][1], text[b][1]])) if text[a][0] == text[b][0] else 0 for a, b in zip(order[:-1], order[1:])], np.int64)
+        return order, np.append(0, k)[: len(order)]
+
+    def _same(self, i: np.ndarray, j: np.ndarray, k: np.ndarray) -> bool:
+        step = np.arange(int(k.max(initial=0)))
+        for a in range(0, len(i), 20_000):
+            p, q, n = (x[a : a + 20_000, None] for x in (self.start[i], self.start[j], k))
+            top = len(self.data) - 1
+            if not ((self.data[np.minimum(p + step, top)] == self.data[np.minimum(q + step, top)]) | (step >= n)).all():
+                return False
+        return True
+
+
+def _classes(order: np.ndarray, k: np.ndarray, rows: np.ndarray, depths: np.ndarray) -> np.ndarray:
+    """For each of the rows and depths a number that two rows share if their suffixes agree so far: neighbours in suffix order do
+    unless they have fewer bytes in common."""
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    out = np.empty((len(rows), len(depths)), np.int64)
+    for j, depth in enumerate(depths):
+        out[:, j] = np.cumsum(k < depth)[place[rows]]
+    return out
+
+
+def _best(order: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """For each suffix the most bytes that it has in common with another one of its group."""
+    best = np.zeros(len(order), np.int64)
+    best[order] = np.maximum(k, np.append(k[1:], 0)) if len(k) else k
+    return best
 
 
 def covered(group: np.ndarray, ids: np.ndarray, at: np.ndarray, lead: np.ndarray, pieces: list[bytes]) -> list[tuple[int, int, int]]:
     """(id, start, end) of what earlier occurrences cover: for rows of one anchor (group), the union of all windows through the
-    anchor that occur earlier, which is one run."""
+    anchor that occur earlier, which is one run. A window with b bytes before the anchor is the same in two rows if b bytes before
+    it and the rest after it agree; the two suffix orders tell."""
     size = np.array([len(p) for p in pieces])
     data = np.frombuffer(b"".join(pieces), np.uint8)
     end = np.cumsum(size)
     start = end - size
-    anchor = start + lead
-    right = Suffixes(data, anchor + GRAM, end, group).furthest()
-    n = len(data)
-    left = Suffixes(data[::-1].copy(), n - anchor, n - start, group).furthest()
-    rows = np.flatnonzero(left + right >= AROUND)
+    anchor, n = start + lead, len(data)
+    right = Suffixes(data, anchor + GRAM, end, group).neighbours(AROUND)
+    left = Suffixes(data[::-1].copy(), n - anchor, n - start, group).neighbours(AROUND)
+    rows = np.flatnonzero(_best(*left) + _best(*right) >= AROUND)
     if not len(rows):
         return []
-    first = np.maximum(anchor[rows] - AROUND, start[rows])
-    count = np.maximum(np.minimum(anchor[rows], end[rows] - DEPTH) - first + 1, 0)
-    row = np.repeat(rows, count)
-    begin = np.repeat(first, count) + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    c, inverse = prefix_polynomial(data), inverse_powers(n + 1)
-    shift = (anchor[row] - begin).astype(U64)
-    key = mix((c[begin + DEPTH] - c[begin]) * inverse[begin] + shift * U64(0x9E3779B97F4A7C15) + mix(group[row].astype(U64)))
-    order = np.lexsort((at[row], ids[row], key))
-    head = np.append(True, key[order][1:] != key[order][:-1])
-    origin = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
-    again = order != origin
-    dup, origin = order[again], origin[again]
-    true = np.zeros(len(dup), bool)
-    step = np.arange(DEPTH)
-    for i in range(0, len(dup), 20_000):  # verification of equal hashes
-        true[i : i + 20_000] = (data[begin[dup[i : i + 20_000], None] + step] == data[begin[origin[i : i + 20_000], None] + step]).all(1)
-    if not true.all():
-        raise ValueError("two different strings have one hash")
+    before = np.arange(AROUND + 1)
+    both = np.stack([_classes(*left, rows, before), _classes(*right, rows, AROUND - before)], axis=2)
+    fits = (before <= lead[rows, None]) & (AROUND - before <= (size - lead)[rows, None] - GRAM)
+    row, b = np.nonzero(fits)
+    a, z = both[row, b, 0], both[row, b, 1]
+    row = rows[row]
+    order = np.lexsort((at[row], ids[row], z, a, b))
+    x, y, w = a[order], z[order], b[order]
+    head = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (w[1:] != w[:-1]))
+    again = order[~head]
     low, high = np.full(len(ids), np.iinfo(np.int64).max), np.full(len(ids), -1)
-    np.minimum.at(low, row[dup], begin[dup])
-    np.maximum.at(high, row[dup], begin[dup] + DEPTH)
+    begin = anchor[row[again]] - b[again]
+    np.minimum.at(low, row[again], begin)
+    np.maximum.at(high, row[again], begin + DEPTH)
     return [(int(ids[k]), int(at[k] + low[k] - anchor[k]), int(at[k] + high[k] - anchor[k])) for k in np.flatnonzero(high >= 0)]
 
 
@@ -271,11 +310,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row: each byte is removed that a DEPTH-byte string covers which
     also starts earlier in the corpus (smaller id, or same text and earlier start). Strings are taken from the input.
 
-    Null texts are empty; texts below DEPTH bytes stay whole. Ids should be unique integers: of rows that share an id and a
-    text, none is earlier. Other columns are ignored.
+    Null texts are empty; texts below DEPTH bytes stay whole. Ids should be unique integers: rows that share an id and a text are
+    one document and have its result each; of texts that share an id the one with the lowest digest keeps the id's place, the
+    others come where a hash of the id and the digest puts them. Rows with a null id come first. Other columns are ignored.
     """
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    ids = materialize(texts.select("id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.octet_length("text").cast("bigint").alias("n_bytes")), "ids")
+    sha = F.sha2(F.col("text").cast("binary"), 256)
+    texts = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    names = docs.select(F.col(id_col).alias("name"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    ids = materialize(names.select("name", "id", sha.alias("sha"), F.octet_length("text").cast("bigint").alias("n_bytes")), "ids")
+    repeated = bounded(ids.groupBy("id").agg(F.count("*").alias("k"), F.min("sha").alias("lowest")).filter("k > 1").select("id", "lowest"), FEW_IDS, "repeated")
+    if not repeated.isEmpty():
+        place = F.when(F.col("lowest").isNull() | (F.col("sha") == F.col("lowest")), F.col("id")).otherwise(F.xxhash64("id", "sha"))
+        ids = ids.join(repeated, "id", "left").withColumn("id", place).drop("lowest")
+        texts = texts.withColumn("sha", sha).join(repeated, "id", "left").select(place.alias("id"), "text").dropDuplicates(["id"])
     firsts = ids.groupBy("sha").agg(F.min("id").alias("first"))
     ids = materialize(ids.join(firsts, "sha").withColumn("copy", (F.col("id") > F.col("first")) & (F.col("n_bytes") >= DEPTH)), "ids")
     copies = ids.filter("copy").select("id").distinct()
@@ -287,7 +334,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = found.withColumn("nth", F.row_number().over(kind)).withColumn("cnt", F.count("*").over(by_anchor)).filter("cnt > 1")
     found = found.withColumn("kinds", F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(by_anchor)).filter("nth > 1 or kinds > 1")
     found = materialize(found.select("anchor", "id", "at", "nth", "kinds"), "anchors")
-    settled = found.filter("nth > 1").join(ids.select("id", "n_bytes"), "id").select("id", F.greatest(F.col("at") - AROUND, F.lit(0)).alias("low"), F.least(F.col("at") + DEPTH, F.col("n_bytes").cast("int")).alias("high"))
+    settled = found.filter("nth > 1").join(ids.select("id", "n_bytes").distinct(), "id").select("id", F.greatest(F.col("at") - AROUND, F.lit(0)).alias("low"), F.least(F.col("at") + DEPTH, F.col("n_bytes").cast("int")).alias("high"))
 
     def surroundings(rows):
         mixed = rows.groupBy("id").agg(F.collect_list(F.struct("at", "anchor", (F.col("kinds") > UNIT).alias("many"))).alias("found"))
@@ -309,4 +356,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     removed = F.when(F.col("copy"), F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0)))
     spans = F.when(F.col("copy"), 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("bigint")
     sha = F.when(F.col("copy"), nothing).otherwise(F.coalesce("kept_sha256", "sha"))
-    return ids.join(kept, "id", "left").select(F.col("id").alias(id_col), "n_bytes", removed.alias("n_removed"), spans.alias("n_spans"), sha.alias("kept_sha256"))
+    return ids.join(kept, "id", "left").select(F.col("name").alias(id_col), "n_bytes", removed.alias("n_removed"), spans.alias("n_spans"), sha.alias("kept_sha256"))
