@@ -173,7 +173,7 @@ def test_base_quality(spark):
     df, contigs = tables(spark, [read(1, 20, quals=quals), read(2, 60, "4M2I4M", quals=quals)])
     options = ReadOptions(min_base_qual=20)
     assert got(reads.depth_blocks(df, contigs, options), "read_id", "start", "end") == [(1, 20, 21), (1, 23, 26), (1, 27, 29), (2, 60, 61), (2, 63, 64), (2, 65, 67)]
-    assert tuple(reads.quality_counts(df, contigs, options).first()) == (12, 12, 2)
+    assert tuple(reads.quality_counts(df, contigs, options).first()) == (12, 12, 2, 18)
 
 
 def test_mate_overlap(spark):
