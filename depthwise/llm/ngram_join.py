@@ -334,8 +334,9 @@ def _first_round(shared: DataFrame, bits: DataFrame, threshold: float) -> DataFr
     chosen = materialize(chosen, "chosen")
     found = None
     for group in ("large", "often"):
-        w = Window.partitionBy(group).orderBy(F.desc("rank"), "n", "key")
-        part = chosen.select("key", F.first("key").over(w).alias("pivot")).filter("key <> pivot")
+        # summed up before the shuffle, so that a large group is not one task's
+        pivots = chosen.groupBy(group).agg(F.max_by("key", F.struct("rank", F.negative("n"), F.bitwise_not("key"))).alias("pivot"))
+        part = chosen.join(pivots, group).select("key", "pivot").filter("key <> pivot")
         found = part if found is None else found.unionByName(part)
     a, b = (bits.select(F.col("key").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")) for k in ("pivot", "key"))
     both = found.distinct().join(a, "pivot").join(b, "key").select("pivot", "n_pivot", "bits_pivot", "key", "n_key", "bits_key")
