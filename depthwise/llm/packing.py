@@ -25,7 +25,7 @@ from .tokens import encoder
 
 WINDOW = 1024
 SLOT = 256
-#: Sources with the most text that have queues of their own; the others share REST queues.
+#: Sources with the most text that have queues of their own, beside all that `weights` names; the others share REST queues.
 QUEUES, REST = 64, 16
 #: Bound of the broadcast table of queue lengths by task: 24 bytes a row.
 FEW_ROWS = 1_000_000
@@ -123,14 +123,17 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     """Pieces of all documents: (id, start, length, ids_crc32, doc_tokens, sequence_id, offset).
 
     A document is its token ids and a closing id 0, so that null and empty texts have one token. `weights` gives the sources'
-    target shares; by default they are the shares of the corpus. A null source is a source of its own. Repeated rows are packed
+    target shares, each source that it names having a queue of its own, and other sources coming in as late as can be; by default
+    the shares are those of the corpus. A null source is a source of its own. sequence_id and offset depend on how the input is
+    dealt to tasks: of one source, documents follow each other in the order of tasks and rows. Repeated rows are packed
     as often as they occur; an empty table gives no pieces; other columns are ignored. `ranks` is the path of the vocabulary.
     """
     if window % slot:
         raise ValueError("slot must divide window")
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
     largest = rows.groupBy("source").agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 1).alias("size")).orderBy(F.desc("size"), "source").limit(QUEUES)
-    names = [r.source for r in largest.collect()]
+    names = list(weights or {})
+    names += [r.source for r in largest.collect() if r.source not in names]
     tokens = materialize(rows.mapInArrow(_tokenised(ranks, names), "id bigint, queue int, lane int, before bigint, n bigint, ids binary"), "tokens")
     lanes = tokens.groupBy("queue", "lane").agg(F.sum("n").alias("n"))
     lanes = materialize(lanes.withColumn("base", F.sum("n").over(Window.partitionBy("queue").orderBy("lane")) - F.col("n")), "lanes")

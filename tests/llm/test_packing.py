@@ -9,11 +9,10 @@ from tokenizers import Tokenizer
 from depthwise.llm.packing import pack, slot_places
 
 TOKENIZER = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-TOKENIZER.encode_special_tokens = True
 
 
 def rows():
-    texts = ["The thing's  over-there; don't 12,345 naïve “quoted” ½ 東京  x", "", None, "a" * 700, "mot été_là\t\n\n  fin ", "été " * 3000]
+    texts = ["The thing's  over-there; don't 12,345 naïve “quoted” ½ 東京  x", "", None, "a" * 700, "mot été_là\t\n\n  fin ", "été " * 3000, "x <|endoftext|> y<|endoftext|>"]
     out = [(k, texts[k % len(texts)], f"s{k % 3}" if k % 7 else None) for k in range(60)]
     return out + [(60 + k, "word " * (10 + k), "hot") for k in range(200)] + [(5, "repeated row", "s1")] * 2
 
@@ -67,3 +66,31 @@ def test_places_follow_the_targets(weights):
     for at in range(1, int(until)):
         for k in range(3):
             assert abs((order[:at] == k).sum() - at * weights[k] / sum(weights)) <= 1.0 + 1e-9
+
+
+def test_weights_of_many_sources(spark):
+    """Every source that has a weight is held to it, beyond the number of queues for others too."""
+    sources, each = 90, 4 * 1024
+    weights = {f"s{k}": 1 + k % 3 for k in range(sources)}
+    rows = [(k, "a " * each, f"s{k}") for k in range(sources)] + [(900, "b " * 100, "unnamed")]
+    got = pack(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4), weights=weights).collect()
+    place = sorted((r.sequence_id * 1024 + r.offset, r.doc_id, r.length) for r in got)
+    until, taken = sum(weights.values()) * 256 * 4, defaultdict(int)
+    for at, doc, length in place:
+        if at < until:
+            taken[doc] += min(length, until - at)
+    for k in range(sources):
+        assert abs(taken[k] - weights[f"s{k}"] * 256 * 4) <= 256
+    assert taken[900] == 0
+
+
+def test_places_of_huge_counts():
+    """Beyond 64 bits: the same places by exact arithmetic."""
+    counts, weights = [1 << 40, 3, 1 << 41], [1 << 30, 7, 1 << 31]
+    slots = [0, 1, 2, 1 << 20, (1 << 40) - 1]
+    for i, place in zip(slots, slot_places(0, np.array(slots), counts, weights).tolist()):
+        before = i
+        for k in (1, 2):
+            due = (2 * i + 1) * weights[k] - weights[0]
+            before += min(max(-(-due // (2 * weights[0])), 0), counts[k])
+        assert place == before
