@@ -123,7 +123,7 @@ def runs(size: list[int]) -> list[tuple[int, int]]:
     for k, total in enumerate([*sums, 0]):
         if total and start is None:
             start = k  # surge; the window reaches over lines of the stretch without text before it
-            while start and not size[start]:
+            while not size[start]:
                 start += 1
         elif not total and start is not None:
             out.append((start, k))  # dive
