@@ -116,23 +116,25 @@ def line_decisions(docs: DataFrame, id_col: str, text_col: str, threshold: float
     rows = rows.select(pair.alias("pair"), "id", "no", "n", "at").repartition("pair")
     # pairs of tokens that more than one line has: one row a pair, from the shuffle that the lines' rows come from
     often = rows.groupBy("pair").agg(F.count("*").alias("k"), F.min("id").alias("low"), F.max("no").alias("high"), F.min("n").alias("least"), F.max("at").alias("last"))
-    often = often.filter((F.col("k") > 1) & (F.coalesce("low", "high", "least", "last").isNotNull())).select("pair")
-    shared = materialize(rows.join(often.hint("shuffle_hash"), "pair"), "shared")
+    often = often.filter((F.col("k") > 1) & (F.coalesce("low", "high", "least", "last").isNotNull())).select("pair", "k")
+    shared = rows.join(often.hint("shuffle_hash"), "pair")
 
     order = Window.partitionBy("pair").orderBy("id", "no")
-    line = F.struct("id", "no", "n", "at")
-    seen = shared.withColumn("p", F.lag(line).over(order)).withColumn("f", F.first(line).over(order)).filter(F.col("p").isNotNull())
-    place = F.struct("id", "no").alias("b")
-    tried = [seen.filter(_fits(threshold, f"{k}.", "")).select(F.struct(f"{k}.id", f"{k}.no").alias("a"), place) for k in "pf"]
+    line, place = F.struct("id", "no", "n", "at"), F.struct("id", "no").alias("b")
+    seen = shared.withColumns({"turn": F.row_number().over(order), "p": F.lag(line).over(order), "f": F.first(line).over(order)})
+    fit = lambda x: F.when((F.col("turn") > 1) & _fits(threshold, f"{x}.", ""), F.struct(f"{x}.id", f"{x}.no")).alias(x)
+    shared = materialize(seen.select("pair", "id", "no", "n", "at", "k", "turn", fit("p"), fit("f")), "shared")
+    tried = [shared.filter(F.col(x).isNotNull()).select(F.col(x).alias("a"), place).filter("a <> b") for x in "pf"]
     tried = materialize(tried[0].unionByName(tried[1]).groupBy("a", "b").agg(F.count("*").alias("k")), "tried")
     best = tried.groupBy("b").agg(F.max_by("a", F.struct("k", "a")).alias("a"))
     found = _similar(texts, best.select("a", "b"), threshold)
     others = tried.join(found.select(F.struct("id", "no").alias("b")), "b", "left_anti").join(best, ["a", "b"], "left_anti")
     found = found.unionByName(_similar(texts, others.select("a", "b"), threshold))
-    left = shared.join(bounded(found, FEW_LINES, "found"), ["id", "no"], "left_anti")
-    x, y = shared.alias("x"), left.alias("y")
+    # the second line of a pair has no other one before it than those tried
+    left = shared.filter("turn > 2").join(bounded(found, FEW_LINES, "found"), ["id", "no"], "left_anti")
+    x, y = shared.filter("k > 2").alias("x"), left.alias("y")
     both = (F.col("x.pair") == F.col("y.pair")) & (F.struct("x.id", "x.no") < F.struct("y.id", "y.no")) & _fits(threshold, "x.", "y.")
-    rest = x.join(y, both).select(F.struct("x.id", "x.no").alias("a"), F.struct("y.id", "y.no").alias("b")).distinct()
+    rest = x.join(y, both).select(F.struct("x.id", "x.no").alias("a"), F.struct("y.id", "y.no").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     found = found.unionByName(_similar(texts, rest, threshold))
     return materialize(own.filter("equal").select("id", "no").unionByName(found).distinct(), "gone")
 
