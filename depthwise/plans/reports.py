@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import THRESHOLDS, percent
 from ..operators import batch, depth, genes, intervals, reads, runs, stats, uniformity
 from ..operators.reads import ReadOptions, metric_rows
-from .storage import stored
+from ..storage import stored
 
 
 @dataclass

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import depth, genes, runs, stats, uniformity
 from ..sources import fixtures, readers, sinks, validate
 from . import reports
-from .storage import shared_dir
+from ..storage import shared_dir
 
 WIDTH = 4096
 QUERIES = {}

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import stored
+
 #: The genome grows with the reads, so that depth stays alike at every scale.
 CONTIGS = "SELECT contig, CAST(base * {scale} AS INT) AS length, ordinal FROM (VALUES ('chr1', 24000, 0), ('chr2', 20000, 1), ('chr3', 16000, 2), ('chr4', 12000, 3), ('chrX', 18000, 4), ('chrY', 8000, 5)) AS t(contig, base, ordinal)"
 #: Reads for each time that the base lengths count.
@@ -15,7 +17,7 @@ READS = 60_000
 
 ALIGNMENTS = """
 WITH base AS (
-  SELECT c.contig, c.length AS clen, CAST((l_orderkey * 7919 + l_partkey * 104729) % c.length AS INT) AS pos, 50 + CAST(l_quantity AS INT) AS n,
+  SELECT {spread}c.contig, c.length AS clen, CAST((l_orderkey * 7919 + l_partkey * 104729) % c.length AS INT) AS pos, 50 + CAST(l_quantity AS INT) AS n,
     CAST(l_orderkey AS BIGINT) AS ok, CAST(l_partkey AS BIGINT) AS pk, CAST(l_linenumber AS INT) AS ln, l_returnflag AS rf, CAST((l_orderkey + l_partkey) % 401 AS INT) - 200 AS isize
   FROM {lineitem} JOIN ({contigs}) c ON c.ordinal = l_suppkey % 6)
 SELECT contig, pos, CAST(pk % 61 AS INT) AS mapq,
@@ -76,13 +78,26 @@ def sql(name: str, spark: bool = False, scale: str | None = None) -> str:
     words = _SPARK if spark else _DUCKDB
     tables = {t: t for t in ("lineitem", "part", "events", "supplier")}
     contigs = CONTIGS.format(scale=scale or f"(SELECT greatest(1, count(*) // {READS}) FROM lineitem)")
-    return NAMES[name].format(**words, **tables, scale=scale, contigs=contigs, targets=TARGETS.format(**words, **tables, contigs=contigs)) if name != "contigs" else contigs
+    spread = f"/*+ REPARTITION({scale}) */ " if spark else ""
+    return NAMES[name].format(**words, **tables, scale=scale, spread=spread, contigs=contigs, targets=TARGETS.format(**words, **tables, contigs=contigs)) if name != "contigs" else contigs
 
 
 _scales: dict[str, int] = {}
+_written: dict[tuple[str, str], DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A derived table. Alignments are written once in a session: as input files they have columns of their own, which filters
+    can be pushed to, instead of long expressions that each use would repeat."""
+    if name != "alignments":
+        return _derived(spark, sf_dir, name)
+    at = spark.sparkContext.applicationId, sf_dir
+    if at not in _written:
+        _written[at] = stored(_derived(spark, sf_dir, name), name)
+    return _written[at]
+
+
+def _derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if sf_dir not in _scales:
         _scales[sf_dir] = max(1, spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // READS)
     text = sql(name, spark=True, scale=str(_scales[sf_dir]))

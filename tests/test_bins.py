@@ -5,7 +5,7 @@ import random
 import pytest
 
 from depthwise.operators import genes, runs, uniformity
-from depthwise.plans.storage import stored
+from depthwise.storage import stored
 from depthwise.sources import validate
 
 SPAN = "contig string, start int, end int"
