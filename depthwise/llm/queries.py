@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fuzzy_hash, html_text, line_dedup, ngram_join, packing, pii, quality, sharding, suffix_dedup
+from . import decontaminate, exact_dedup, fuzzy_hash, html_text, line_dedup, ngram_join, packing, pii, quality, sharding, suffix_dedup
 from .storage import documents
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
@@ -53,11 +53,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_ngram_join, op3_sharding, op4_pii, op5_html_text, op6_fuzzy_hash, op7_decontamination, op8_suffix_dedup, op9_line_dedup, op10_quality)}
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_ngram_join, op3_sharding, op4_pii, op5_html_text, op6_fuzzy_hash, op7_decontamination, op8_suffix_dedup, op9_line_dedup, op10_quality, op11_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": NGRAM_SQL, "op3_sharding": _sharding_sql(), "op8_suffix_dedup": REPEATS_SQL, "op9_line_dedup": LINE_SQL}
+    return {"op2_ngram_join": NGRAM_SQL, "op3_sharding": _sharding_sql(), "op8_suffix_dedup": REPEATS_SQL, "op9_line_dedup": LINE_SQL, "op11_exact_dedup": EXACT_SQL}
 
 
 def _sharding_sql() -> str:
@@ -112,3 +116,8 @@ gaps AS (SELECT *, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low), 0
 kept AS (SELECT h.doc_id, count(*) AS n_spans, sum(high - low) AS n_removed, string_agg(substr(x, 2 * since + 1, 2 * (low - since)), '' ORDER BY low) || substr(any_value(x), 2 * max(high) + 1) AS x FROM gaps JOIN h ON h.doc_id = gaps.doc_id GROUP BY h.doc_id)
 SELECT h.doc_id, h.n AS n_bytes, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(k.n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k.x, h.x))) AS kept_sha256
 FROM h LEFT JOIN kept k ON k.doc_id = h.doc_id"""
+
+EXACT_SQL = """
+WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS text_sha256, row_number() OVER (ORDER BY doc_id NULLS LAST) AS r FROM documents),
+g AS (SELECT text_sha256, min(doc_id) AS keep_id, min(r) AS r, count(*) AS group_size FROM d GROUP BY text_sha256)
+SELECT d.doc_id, g.keep_id, g.group_size, d.r = g.r AS kept, d.text_sha256 FROM d JOIN g ON g.text_sha256 = d.text_sha256"""
