@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, fuzzy_hash, html_text, line_dedup, ngram_join, packing, pii, quality, sharding, suffix_dedup
+from . import decontaminate, exact_dedup, fuzzy_hash, html_text, line_dedup, ngram_join, packing, pii, quality, sharding, spelling, suffix_dedup
 from .storage import documents
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
@@ -57,11 +57,15 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_ngram_join, op3_sharding, op4_pii, op5_html_text, op6_fuzzy_hash, op7_decontamination, op8_suffix_dedup, op9_line_dedup, op10_quality, op11_exact_dedup)}
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_ngram_join, op3_sharding, op4_pii, op5_html_text, op6_fuzzy_hash, op7_decontamination, op8_suffix_dedup, op9_line_dedup, op10_quality, op11_exact_dedup, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": NGRAM_SQL, "op3_sharding": _sharding_sql(), "op8_suffix_dedup": REPEATS_SQL, "op9_line_dedup": LINE_SQL, "op11_exact_dedup": EXACT_SQL}
+    return {"op2_ngram_join": NGRAM_SQL, "op3_sharding": _sharding_sql(), "op8_suffix_dedup": REPEATS_SQL, "op9_line_dedup": LINE_SQL, "op11_exact_dedup": EXACT_SQL, "op13_spelling_variants": SPELLING_SQL}
 
 
 def _sharding_sql() -> str:
@@ -121,3 +125,33 @@ EXACT_SQL = """
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS text_sha256, row_number() OVER (ORDER BY doc_id NULLS LAST) AS r FROM documents),
 g AS (SELECT text_sha256, min(doc_id) AS keep_id, min(r) AS r, count(*) AS group_size FROM d GROUP BY text_sha256)
 SELECT d.doc_id, g.keep_id, g.group_size, d.r = g.r AS kept, d.text_sha256 FROM d JOIN g ON g.text_sha256 = d.text_sha256"""
+
+#: crc32 of a list of bytes, in SQL: the table of the reversed polynomial by its rule, then a byte at a time.
+CRC_SQL = """crc_table AS (SELECT list(c ORDER BY i) AS t FROM (
+  SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), CAST(range(8) AS BIGINT[])), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM (SELECT unnest(range(256)) AS i)))"""
+
+
+def crc32_sql(text: str) -> str:
+    """SQL of the unsigned crc32 of a text's bytes; `t` of crc_table must be in reach."""
+    bytes_ = f"list_transform(range(length(hex(encode({text}))) // 2), lambda i: CAST('0x' || substr(hex(encode({text})), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bytes_}), lambda c, b: xor(c // 256, t[CAST(xor(c % 256, b) + 1 AS BIGINT)])), 4294967295)"
+
+
+SPELLING_SQL = f"""
+WITH RECURSIVE {CRC_SQL},
+runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+own AS (SELECT doc_id, w, count(*) AS n FROM runs WHERE length(w) >= 7 GROUP BY ALL),
+summed AS (SELECT w, n, {crc32_sql("doc_id || ':' || w")} AS h FROM own, crc_table),
+damaged AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, CAST(h % length(w) AS BIGINT)) || substr(w, CAST(h % length(w) + 2 AS BIGINT)) ELSE w END AS word, n FROM summed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM damaged WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+less AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS d FROM (SELECT *, unnest(range(length(word))) AS i FROM words)),
+pairs AS (
+  SELECT a.word AS a, b.word AS b, b.n FROM less a JOIN less b ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON b.word = a.d
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON b.word = a.d),
+best AS (SELECT a, count(*) AS n_near, max(n) AS top FROM pairs GROUP BY a),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 10 * w.n THEN top END AS form_n FROM words w LEFT JOIN best ON best.a = w.word),
+named AS (SELECT f.word, f.n, f.n_near, f.form_n, min(p.b) AS form FROM forms f LEFT JOIN pairs p ON p.a = f.word AND p.n = f.form_n GROUP BY ALL),
+chain AS (SELECT word, word AS root FROM named UNION ALL SELECT c.word, x.form FROM chain c JOIN named x ON x.word = c.root WHERE x.form IS NOT NULL)
+SELECT n.word, n.form, c.root, n.n, n.n_near, n.form_n FROM named n JOIN chain c ON c.word = n.word JOIN named z ON z.word = c.root AND z.form IS NULL"""
