@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, fuzzy_hash, html_text, line_dedup, ngram_join, packing, pii, quality, sharding, spelling, suffix_dedup
+from . import decontaminate, exact_dedup, fuzzy_hash, html_text, line_dedup, ngram_join, packing, pii, prefix_trie, quality, sharding, spelling, suffix_dedup
 from .storage import documents
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
@@ -57,15 +57,22 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(documents(spark, sf_dir))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trie of the rebuilt conversations: the first turns of each come from that with the next lower number that 5 divides."""
+    conv = F.col("conv_id").cast("bigint")
+    paths = prefix_trie.conversation_paths(spark.read.parquet(f"{sf_dir}/conversations.parquet"), conv - conv % 5, prefix_trie.shared_turns)
+    return prefix_trie.trie(paths).drop("digest")
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_ngram_join, op3_sharding, op4_pii, op5_html_text, op6_fuzzy_hash, op7_decontamination, op8_suffix_dedup, op9_line_dedup, op10_quality, op11_exact_dedup, op13_spelling_variants)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_ngram_join, op3_sharding, op4_pii, op5_html_text, op6_fuzzy_hash, op7_decontamination, op8_suffix_dedup, op9_line_dedup, op10_quality, op11_exact_dedup, op12_prefix_trie, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": NGRAM_SQL, "op3_sharding": _sharding_sql(), "op8_suffix_dedup": REPEATS_SQL, "op9_line_dedup": LINE_SQL, "op11_exact_dedup": EXACT_SQL, "op13_spelling_variants": SPELLING_SQL}
+    return {"op2_ngram_join": NGRAM_SQL, "op3_sharding": _sharding_sql(), "op8_suffix_dedup": REPEATS_SQL, "op9_line_dedup": LINE_SQL, "op11_exact_dedup": EXACT_SQL, "op12_prefix_trie": TRIE_SQL, "op13_spelling_variants": SPELLING_SQL}
 
 
 def _sharding_sql() -> str:
@@ -155,3 +162,26 @@ forms AS (
 named AS (SELECT f.word, f.n, f.n_near, f.form_n, min(p.b) AS form FROM forms f LEFT JOIN pairs p ON p.a = f.word AND p.n = f.form_n GROUP BY ALL),
 chain AS (SELECT word, word AS root FROM named UNION ALL SELECT c.word, x.form FROM chain c JOIN named x ON x.word = c.root WHERE x.form IS NOT NULL)
 SELECT n.word, n.form, c.root, n.n, n.n_near, n.form_n FROM named n JOIN chain c ON c.word = n.word JOIN named z ON z.word = c.root AND z.form IS NULL"""
+
+TRIE_SQL = f"""
+WITH RECURSIVE {CRC_SQL},
+o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS k FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT DISTINCT conv_id FROM o),
+hs AS (SELECT conv_id, {crc32_sql("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM ids, crc_table),
+rebuilt AS (
+  SELECT hs.conv_id, k, role, text FROM hs JOIN o ON o.conv_id = hs.conv_id - hs.conv_id % 5 AND o.k < h
+  UNION ALL SELECT hs.conv_id, k, role, text FROM hs JOIN o ON o.conv_id = hs.conv_id AND o.k >= h),
+occ AS (
+  SELECT conv_id, row_number() OVER w AS d, string_agg(sha256(length(role) || ':' || role || text), '') OVER w AS path, CAST(strlen(text) AS BIGINT) AS size FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY k)
+  UNION ALL SELECT conv_id, 0, '', 0 FROM ids),
+node AS (SELECT d, path, min(conv_id) AS conv_id, count(*) AS n_convs, min(size) AS size FROM occ GROUP BY d, path),
+spot AS (SELECT occ.conv_id AS member, occ.d, node.conv_id FROM occ JOIN node ON node.d = occ.d AND node.path = occ.path),
+full_ AS (SELECT n.conv_id, n.d, n.n_convs, n.size, a.conv_id AS parent FROM node n LEFT JOIN spot a ON a.member = n.conv_id AND a.d = n.d - 1),
+kids AS (SELECT parent AS conv_id, d - 1 AS d, count(*) AS n_children FROM full_ WHERE d > 0 GROUP BY 1, 2),
+sums AS (
+  SELECT a.conv_id, a.d, CAST(sum(CASE WHEN k.n_children IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves, CAST(sum((f.n_convs - 1) * f.size) AS BIGINT) AS saved
+  FROM full_ f JOIN spot a ON a.member = f.conv_id AND a.d <= f.d LEFT JOIN kids k ON k.conv_id = f.conv_id AND k.d = f.d GROUP BY 1, 2),
+lasts AS (SELECT conv_id AS member, max(d) AS d FROM occ GROUP BY conv_id),
+ends AS (SELECT a.conv_id, a.d, string_agg(CAST(a.member AS VARCHAR), ',' ORDER BY a.member) AS ids FROM spot a JOIN lasts l ON l.member = a.member AND l.d = a.d GROUP BY 1, 2)
+SELECT f.conv_id, f.d AS depth, f.parent AS parent_conv_id, f.n_convs, coalesce(k.n_children, 0) AS n_children, s.n_leaves, s.saved AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM full_ f JOIN sums s ON s.conv_id = f.conv_id AND s.d = f.d LEFT JOIN kids k ON k.conv_id = f.conv_id AND k.d = f.d LEFT JOIN ends e ON e.conv_id = f.conv_id AND e.d = f.d"""
