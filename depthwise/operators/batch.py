@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .intervals import BIN, JOIN_BIN, merge, multi_depth, overlap_join
+from .intervals import BIN, JOIN_BIN, merge, overlap_join, runs, sample_sweep
 
 
 def recurrence_threshold(regions: DataFrame, pct: float, sample: str = "sample_id") -> DataFrame:
@@ -16,9 +16,9 @@ def recurrence_threshold(regions: DataFrame, pct: float, sample: str = "sample_i
 
 def recurrent(regions: DataFrame, pct: float, sample: str = "sample_id", width: int = BIN) -> DataFrame:
     """(contig, start, end): where at least that share of the samples has a region, merged."""
-    least = recurrence_threshold(regions, pct, sample).select("threshold")
-    often = multi_depth(regions, sample, width=width).join(F.broadcast(least)).filter(F.col("n_samples") >= F.col("threshold"))
-    return merge(often.select("contig", "start", "end"), width=width)
+    least = recurrence_threshold(regions, pct, sample).select("threshold")  # one row
+    often = sample_sweep(regions, sample, width=width).join(F.broadcast(least)).filter(F.col("n_samples") >= F.col("threshold"))
+    return runs(often.withColumn("kept", F.lit(True)), ["kept"], (), width).select("contig", "start", "end")
 
 
 def exon_coverage(low: DataFrame, cds: DataFrame, width: int = JOIN_BIN) -> DataFrame:

@@ -93,14 +93,17 @@ def islands(df: DataFrame, classes: Sequence[str], keys: Sequence[str], sums: di
 
 def runs(segments: DataFrame, classes: Sequence[str], by: Sequence[str] = (), width: int = BIN, sums: dict[str, str] | None = None) -> DataFrame:
     """Maximal runs of equal classes over segments with bins: first within the bins, then, for the runs that touch an edge of a
-    bin only, across them. `sums` maps result columns to "sum", "min" or "max", of columns of that name."""
+    bin only, across them. `sums` maps result columns to "sum", "min" or "max", of columns of that name.
+
+    The second pass deals the runs out anew once: those at edges (at most two a bin) by contig, the others by their bin, where
+    they are maximal already.
+    """
     keys = [*by, "contig"]
     agg = {n: {"sum": F.sum, "min": F.min, "max": F.max}[f](n) for n, f in (sums or {}).items()}
     inner = islands(segments, classes, [*keys, "bin"], agg)
-    columns = [*keys, *classes, "start", "end", *agg]
     edge = (F.col("start") == F.col("bin") * width) | (F.col("end") == (F.col("bin") + 1) * width)
-    stitched = islands(inner.filter(edge).select(*columns), classes, keys, agg)
-    return inner.filter(~edge).select(*columns).unionByName(stitched.select(*columns))
+    dealt = inner.withColumn("__place", F.when(edge, -1).otherwise(F.col("bin")))
+    return islands(dealt, classes, [*keys, "__place"], agg).select(*keys, *classes, "start", "end", *agg)
 
 
 def merge(df: DataFrame, by: Sequence[str] = (), width: int = BIN) -> DataFrame:
@@ -145,10 +148,56 @@ def group_identical(df: DataFrame, id_col: str, by: Sequence[str] = ()) -> DataF
     return df.groupBy(*by, "contig", "start", "end").agg(F.array_join(F.array_sort(F.collect_set(id_col)), ";").alias("ids"))
 
 
+def sample_sweep(df: DataFrame, sample: str = "sample_id", by: Sequence[str] = (), width: int = BIN, names: Sequence | None = None) -> DataFrame:
+    """Segments (by, contig, bin, start, end, n_samples) with the number of samples that cover, wherever one does; intervals of a
+    sample may overlap. With `names`, all samples' names in an order, also columns set_0, set_1, ... of 64 samples each.
+
+    One shuffle, by bin: within it the sum of a sample's starts and ends says where the sample begins and stops to cover. Each
+    such place turns the sample's bit over, so that the running XOR over a bin is the set of samples that cover.
+    """
+    keys = [*by, "contig"]
+    cut = clipped_to_bins(df.select(*keys, sample, "start", "end"), width)
+    event = lambda at, d: F.struct(F.col(at).cast("bigint").alias("pos"), F.lit(d).alias("d"))
+    events = cut.select(*keys, "bin", sample, F.explode(F.array(event("start", 1), event("end", -1))).alias("e")).select(*keys, "bin", sample, "e.*")
+    events = events.repartition(*keys, "bin").groupBy(*keys, "bin", sample, "pos").agg(F.sum("d").alias("d"))
+    own = Window.partitionBy(*keys, "bin", sample).orderBy("pos")
+    after = F.sum("d").over(own)
+    turn = F.when((after > 0) & (after - F.col("d") <= 0), 1).when((after <= 0) & (after - F.col("d") > 0), -1)
+    turns = events.withColumn("turn", turn).filter("turn is not null")
+    words = -(-len(names) // 64) if names is not None else 0
+    if words:
+        at = turns.sparkSession.createDataFrame([(x, k // 64, 1 << (k % 64) if k % 64 < 63 else -(1 << 63)) for k, x in enumerate(names)], f"{sample} {dict(df.dtypes)[sample]}, word int, bit bigint")
+        turns = turns.join(F.broadcast(at), sample)  # a row for each sample
+    sets = [f"set_{k}" for k in range(words)]
+    moved = turns.groupBy(*keys, "bin", "pos").agg(F.sum("turn").alias("n_samples"), *(F.bit_xor(F.when(F.col("word") == k, F.col("bit")).otherwise(F.lit(0).cast("bigint"))).alias(c) for k, c in enumerate(sets)))
+    w = Window.partitionBy(*keys, "bin").orderBy("pos")
+    running = {"n_samples": F.sum("n_samples").over(w), "end": F.lead("pos").over(w)} | {c: F.bit_xor(c).over(w) for c in sets}
+    return moved.withColumns(running).filter("n_samples > 0").select(*keys, "bin", F.col("pos").alias("start"), "end", "n_samples", *sets)
+
+
 def multi_depth(df: DataFrame, sample: str = "sample_id", by: Sequence[str] = (), width: int = BIN) -> DataFrame:
-    """Maximal runs of equal number of samples that cover, wherever one does; intervals of a sample are merged first."""
-    merged = merge(df, [*by, sample], width)
-    return runs(sweep({"n_samples": merged}, by, width), ["n_samples"], by, width)
+    """Maximal runs of equal number of samples that cover, wherever one does."""
+    return runs(sample_sweep(df, sample, by, width), ["n_samples"], by, width).select(*by, "contig", "start", "end", "n_samples")
+
+
+def multi_sets(df: DataFrame, sample: str = "sample_id", by: Sequence[str] = (), width: int = BIN, names: Sequence | None = None) -> DataFrame:
+    """(by, contig, start, end, n_samples, samples): maximal runs that the same samples cover, with their sorted list.
+
+    `names` are all samples there are, without nulls; else a job lists them, a name for each file of a study. Rows without a
+    sample are left out.
+    """
+    if names is None:
+        names = sorted(r[0] for r in df.select(sample).distinct().collect() if r[0] is not None)
+    kind = dict(df.dtypes)[sample]
+    found = runs(sample_sweep(df, sample, by, width, names), ["n_samples", *(f"set_{k}" for k in range(-(-len(names) // 64)))], by, width)
+
+    def listed_of(k: int) -> Column:
+        bits = F.col(f"set_{k // 64}")
+        of = F.array(*(F.struct(F.lit(1 << j if j < 63 else -(1 << 63)).cast("bigint").alias("bit"), F.lit(x).cast(kind).alias("name")) for j, x in enumerate(names[k : k + 64])))
+        return F.transform(F.filter(of, lambda s: bits.bitwiseAND(s["bit"]) != 0), lambda s: s["name"])
+
+    listed = F.concat(*map(listed_of, range(0, len(names), 64))) if names else F.expr(f"cast(array() as array<{kind}>)")
+    return found.select(*by, "contig", "start", "end", "n_samples", listed.alias("samples"))
 
 
 def buffers(targets: DataFrame, contigs: DataFrame, size: int = 100, by: Sequence[str] = ("set_id",), width: int = BIN) -> DataFrame:

@@ -262,6 +262,9 @@ def oracle_sql() -> dict[str, str]:
         "interval_group_identical": f"{_with('cds')} SELECT contig, CAST(s0 AS BIGINT) AS start_pos, CAST(e0 AS BIGINT) AS end_pos, array_to_string(list_sort(list_distinct(list(transcript))), ';') AS ids FROM cds GROUP BY contig, s0, e0",
         "overlap_join": f"{_with('sample_regions', 'targets')} SELECT s.sample_id, s.contig, CAST(s.s0 AS BIGINT) AS start_pos, CAST(s.e0 AS BIGINT) AS end_pos, t.interval_id AS b_interval_id, CAST(CASE WHEN t.s0 IS NULL THEN 0 ELSE least(s.e0, t.e0) - greatest(s.s0, t.s0) END AS BIGINT) AS overlap FROM (SELECT DISTINCT * FROM sample_regions) s LEFT JOIN (SELECT * FROM targets WHERE set_id = 0) t ON t.contig = s.contig AND s.s0 < t.e0 AND t.s0 < s.e0",
         "multi_sample_depth": f"{_with('spos')}, m AS (SELECT contig, p, count(*) AS n FROM spos GROUP BY ALL) SELECT contig, start_pos, end_pos, cls AS n_samples FROM ({_runs('m', 'contig', 'n')})",
+        "multi_sample_sets": f"""{_with('sample_regions')}, x AS (SELECT DISTINCT concat('s', sample_id, '-', s0 % 19) AS sample, contig, unnest(range(s0, e0)) AS p FROM sample_regions),
+          m AS (SELECT contig, p, count(*) AS n, string_agg(sample, ';' ORDER BY sample) AS samples FROM x GROUP BY ALL)
+          SELECT contig, start_pos, end_pos, n AS n_samples, samples FROM (SELECT contig, n, cls AS samples, start_pos, end_pos FROM ({_runs('m', 'contig, n', 'samples')}))""",
         "region_annotation": f"""{_with('spos', 'cds', 'gene_model')}, {regions}, x AS (SELECT m.contig, m.start_pos, m.end_pos, c.gene, c.type, concat(c.transcript, '_cds_', c.exon_id) AS label, CASE WHEN lower(c.type) = 'snp' THEN 'other' WHEN lower(c.type) = 'mirna' THEN 'mirna' ELSE 'refseq' END AS src FROM merged m JOIN cds c ON c.contig = m.contig AND m.start_pos < c.e0 AND c.s0 < m.end_pos),
           e AS (SELECT contig, start_pos, end_pos, 'exon' AS kind, string_agg(DISTINCT gene, ';' ORDER BY gene) AS genes, string_agg(DISTINCT label, ';' ORDER BY label) FILTER (src = 'refseq') AS refseq, string_agg(DISTINCT label, ';' ORDER BY label) FILTER (src = 'mirna') AS mirna, string_agg(DISTINCT label, ';' ORDER BY label) FILTER (src = 'other') AS other FROM x GROUP BY ALL),
           i AS ({INTRONS}), f AS (SELECT DISTINCT ON (m.contig, m.start_pos, m.end_pos) m.contig, m.start_pos, m.end_pos, 'intron' AS kind, i.gene AS genes, i.name AS refseq FROM (SELECT * FROM merged ANTI JOIN e USING (contig, start_pos, end_pos)) m JOIN i ON i.contig = m.contig AND m.start_pos < i.end_pos AND i.start_pos < m.end_pos ORDER BY m.contig, m.start_pos, m.end_pos, i.start_pos, i.gene, i.name)

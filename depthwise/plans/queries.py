@@ -271,6 +271,14 @@ def multi_sample_depth(spark, sf_dir):
     return _spans(intervals.multi_depth(Tables(spark, sf_dir).sample_regions, width=WIDTH))
 
 
+@query
+def multi_sample_sets(spark, sf_dir):
+    """Segments with the list of their samples, of some 150 samples."""
+    rows = Tables(spark, sf_dir).sample_regions.withColumn("sample", F.concat(F.lit("s"), F.col("sample_id").cast("string"), F.lit("-"), F.pmod("start", F.lit(19)).cast("string")))
+    found = intervals.multi_sets(rows, "sample", width=WIDTH)
+    return _spans(found).withColumn("samples", F.array_join("samples", ";"))
+
+
 def _regions_to_annotate(t: Tables) -> DataFrame:
     return intervals.merge(t.sample_regions, (), WIDTH).select("contig", "start", "end")
 

@@ -90,3 +90,45 @@ def test_stored(spark):
     df = spark.range(5).selectExpr("id", "cast(null as string) as x")
     back = stored(df, "t")
     assert back.dtypes == df.dtypes and back.count() == 5
+
+
+def greedy(rows, factor):
+    """Segments (start, end, depth) -> blocks of the split from the left, a block for each run at least."""
+    out = []
+    for s, e, d in rows:
+        if out and out[-1][1] == s and max(out[-1][3], d) <= min(out[-1][2], d) * factor:
+            b = out[-1]
+            out[-1] = (b[0], e, min(b[2], d), max(b[3], d), b[4] + d * (e - s))
+        else:
+            out.append((s, e, d, d, d * (e - s)))
+    return {(s, e, int(t / (e - s) + 0.5)) for s, e, _, _, t in out}
+
+
+@pytest.mark.parametrize("width,factor", [(4, 2), (7, 1.3), (64, 3), (1000, 2), (5, 1)])
+def test_greedy_split_over_many_bins(spark, width, factor):
+    r = random.Random(width)
+    rows, at = [], 0
+    for k in range(320):  # one run over some fifty bins and more of the small widths, then gaps
+        e = at + r.randint(1, 5)
+        rows.append((at, e, r.choice([5, 11, 12, 14, 20, 23, 30, 41, 60]) if k < 200 or r.random() < 0.9 else 3))
+        at = e
+    cut = [(c, s // width + j, max(s, (s // width + j) * width), min(e, (s // width + j + 1) * width), d) for c in "cd" for s, e, d in rows for j in range((e - 1) // width - s // width + 1)]
+    df = spark.createDataFrame(cut, "contig string, bin int, start int, end int, depth int").repartition(7)
+    got = uniformity.gvcf_blocks(df, 1, 10, factor, (), width).filter("class = 2").collect()
+    want = greedy([x for x in rows if x[2] > 10], factor)
+    assert {x.contig for x in got} == {"c", "d"}
+    for c in "cd":
+        assert sorted((x.start, x.end, x.mean_depth) for x in got if x.contig == c) == sorted(want)
+    assert width > 60 or max((e - 1) // width - s // width for s, e, _ in want) >= 1
+
+
+def test_transfer_of_a_bin_equals_the_walk():
+    r = random.Random(2)
+    for _ in range(300):
+        depth, state, factor = [r.randint(10, 60) for _ in range(r.randint(1, 30))], tuple(sorted((r.randint(10, 60), r.randint(10, 60)))), r.choice([1, 1.5, 2, 4])
+        if state[1] > state[0] * factor:
+            continue
+        low, high = state
+        for d in depth:
+            low, high = (min(low, d), max(high, d)) if max(high, d) <= min(low, d) * factor else (d, d)
+        assert uniformity.through_bin(state, *uniformity.bin_transfer(depth, factor), factor) == (low, high)
