@@ -174,9 +174,10 @@ def _files() -> dict[str, str]:
     return {
         "read_sam": f"""{_with('al')} SELECT contig, count(*) AS n, sum(pos) AS pos, sum(mapq) AS mapq, sum(flag) AS flag, sum(l_qseq) AS l_qseq, sum(mate_pos) AS mate_pos, sum(isize) AS isize, count(mc) AS with_mc, sum(length(cigar)) AS cigar_length,
           sum(list_sum(quals)) AS quals, count(*) FILTER (mate_contig = contig) AS same_contig, count(DISTINCT qname) AS n_names, CAST(max(clen) AS BIGINT) AS length FROM al GROUP BY contig""",
-        "read_contigs": f"{_with('contigs')} SELECT contig, CAST(length AS BIGINT) AS length, CAST(ordinal AS BIGINT) AS ordinal, (SELECT CAST(sum(length) AS BIGINT) FROM contigs) AS genome_size FROM contigs",
-        "read_manifest": f"""{_with('targets', 'cds')} SELECT 'targets' AS kind, CAST(set_id AS BIGINT) AS set_id, contig, count(*) AS n, sum(s0) AS starts, sum(e0) AS ends, 0 AS exons FROM targets GROUP BY ALL
-          UNION ALL SELECT 'annotation', 0, contig, count(*), sum(s0), sum(e0), sum(exon_id) FROM cds WHERE (exon_id % 2 + 2) % 2 = 0 GROUP BY contig""",
+        "read_contigs": f"""{_with('targets')}, c AS (SELECT concat('ctg', lpad(CAST(interval_id % 1000 AS VARCHAR), 3, '0')) AS contig, CAST(sum(e0) AS BIGINT) AS length FROM targets GROUP BY 1)
+          SELECT contig, length, row_number() OVER (ORDER BY contig) - 1 AS ordinal, (SELECT CAST(sum(length) AS BIGINT) FROM c) AS genome_size FROM c""",
+        "read_manifest": f"""{_with('targets', 'cds')} SELECT 'targets' AS kind, CAST(k AS BIGINT) AS set_id, contig, count(*) AS n, sum(s0) AS starts, sum(e0) AS ends, 0 AS exons FROM targets, range(4) r(k) WHERE set_id = 0 AND interval_id % 4 >= k GROUP BY k, contig
+          UNION ALL SELECT 'annotation', k, contig, count(*), sum(s0), sum(e0), sum(exon_id) FROM cds JOIN (VALUES (0, 0), (1, 1), (2, 0)) v(k, part) ON (exon_id % 2 + 2) % 2 = part GROUP BY k, contig""",
         "read_gene_models": f"""{_with('gene_model')} SELECT name, contig, strand, CAST(tx_start AS BIGINT) AS tx_start, CAST(tx_end AS BIGINT) AS tx_end, CAST(cds_start AS BIGINT) AS cds_start, CAST(cds_end AS BIGINT) AS cds_end, CAST(exon_count AS BIGINT) AS exon_count,
           CAST(list_sum(exon_starts) AS BIGINT) AS starts, CAST(list_sum(exon_ends) AS BIGINT) AS ends, symbol FROM gene_model""",
         "read_registry": f"{_with('registry')} SELECT CAST(hgnc_id AS VARCHAR) AS hgnc_id, symbol, prev, refseq FROM registry",
@@ -191,8 +192,13 @@ def _files() -> dict[str, str]:
         "gene_transcripts": f"{_with('cds')} SELECT DISTINCT gene, transcript FROM cds",
         "shared_contigs": f"{_with('sample_regions', 'contigs')} SELECT count(*) > 0 AS shared FROM sample_regions s SEMI JOIN contigs c ON c.contig = s.contig",
         "read_gene_list": f"{_with('cds')} SELECT gene, count(*) AS n FROM cds GROUP BY gene",
-        "unsorted_annotations": f"""{_with('cds')} SELECT contig, count(*) AS n, CAST(sum(s0) AS BIGINT) AS starts
-          FROM (SELECT *, lag(s0) OVER (PARTITION BY contig ORDER BY gene, e0, concat_ws('|', gene, transcript, type)) AS before FROM cds) WHERE before > s0 GROUP BY contig""",
+        "unsorted_annotations": f"""{_with('cds')}, l AS (SELECT gene, contig, s0, CASE WHEN (exon_id % 13 + 13) % 13 = 0 THEN s0 ELSE e0 END AS e0, concat_ws('|', gene, transcript, CASE WHEN exon_id % 11 <> 0 THEN concat('cds_', exon_id) END) AS a FROM cds),
+          o AS (SELECT *, row_number() OVER w AS nr, lag(contig) OVER w AS c1, lag(s0) OVER w AS s1 FROM l WINDOW w AS (PARTITION BY gene ORDER BY e0, contig, s0, a)),
+          f AS (SELECT gene, contig, min(nr) AS nr0 FROM o GROUP BY ALL),
+          x AS (SELECT 'start not above the last' AS problem, contig, s0, e0 FROM o WHERE c1 = contig AND s1 >= s0
+            UNION ALL SELECT 'contig comes again', o.contig, s0, e0 FROM o JOIN f ON f.gene = o.gene AND f.contig = o.contig WHERE c1 <> o.contig AND nr > nr0
+            UNION ALL SELECT 'empty interval', contig, s0, e0 FROM o WHERE s0 >= e0 UNION ALL SELECT 'too few fields', contig, s0, e0 FROM o WHERE len(string_split(a, '|')) < 3)
+          SELECT problem, contig, count(*) AS n, CAST(sum(s0) AS BIGINT) AS starts, CAST(sum(e0) AS BIGINT) AS ends FROM x GROUP BY ALL""",
         "read_coverage_blocks": f"""{_with('depth')}, b AS (SELECT contig, start_pos, end_pos, {MEAN} AS m FROM ({_runs("(SELECT * FROM depth WHERE contig = 'chr2')", 'contig', CLASS30, 'd')})),
           t AS (SELECT 'a' AS sample_id, * FROM b UNION ALL SELECT 'b', * FROM b WHERE m > 0), g AS (SELECT *, lag(end_pos) OVER (PARTITION BY sample_id ORDER BY start_pos) AS prev FROM t)
           SELECT sample_id, contig, start_pos AS pos, CASE WHEN m > 200 THEN 198 ELSE m END AS value FROM t UNION ALL SELECT sample_id, contig, unnest(range(prev, start_pos, 2000)), 0 FROM g WHERE prev < start_pos""",

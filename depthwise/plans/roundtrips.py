@@ -72,24 +72,30 @@ def read_sam(spark, sf_dir):
 
 @query
 def read_contigs(spark, sf_dir):
+    """A contig list of a thousand contigs at most, with lengths from the targets, as BED with comments and empty lines."""
     p = Place(spark, sf_dir)
-    got = readers.contigs_of_bed(spark, p.tsv(p.contigs.orderBy("ordinal").coalesce(1).select("contig", F.lit(0), "length"), "contigs.bed"))
+    rows = p.targets.groupBy(F.concat(F.lit("ctg"), F.lpad(F.pmod("interval_id", F.lit(1000)).cast("string"), 3, "0")).alias("contig")).agg(F.sum("end").alias("length"))
+    line = F.concat_ws("\t", "contig", F.lit("0"), F.col("length").cast("string"))
+    at = p.text(rows.orderBy("contig").coalesce(1).select(F.explode(F.array(F.lit("# next"), F.lit(""), line)).alias("value")), "contigs.bed")
+    got = readers.contigs_of_bed(spark, at)
     return got.withColumn("ordinal", F.col("ordinal").cast("bigint")).join(F.broadcast(readers.genome_size(got)))
 
 
 @query
 def read_manifest(spark, sf_dir):
-    """Target and annotation files of two sets, named in a manifest."""
+    """Target and annotation files of four sets, named in a manifest: files of one name in two folders, a name with signs that are
+    encoded in paths, one annotation file for three target files, and a set without one."""
     p = Place(spark, sf_dir)
     names = []
-    for k in (0, 1):
-        bed = p.tsv(p.targets.filter(F.col("set_id") == k).select("contig", "start", "end"), f"targets{k}")
-        text = F.concat_ws("|", "gene", "transcript", F.concat(F.lit("cds_"), F.col("exon_id").cast("string")), "type")
-        cds = p.tsv(p.cds.filter(F.pmod("exon_id", F.lit(2)) == k).select("contig", "start", "end", text), f"cds{k}")
-        names.append((f"{bed} {cds}" if k == 0 else bed,))
-    targets, annotated = readers.target_sets(spark, p.text(spark.createDataFrame(names, "value string").coalesce(1), "manifest"))
+    for k, name in enumerate(("t.bed", "sub/t.bed", "a%b c.bed", "sub/deep/t.bed")):
+        rows = p.targets.filter((F.col("set_id") == 0) & (F.pmod("interval_id", F.lit(4)) >= k))
+        names.append(p.tsv(rows.select("contig", "start", "end"), name))
+    text = F.concat_ws("|", "gene", "transcript", F.concat(F.lit("cds_"), F.col("exon_id").cast("string")), "type")
+    cds = [p.tsv(p.cds.filter(F.pmod("exon_id", F.lit(2)) == k).select("contig", "start", "end", text), f"{'x/' * k}cds") for k in (0, 1)]
+    lines = [f"{names[0]}\t{cds[0]}", f"{names[1]}\t{cds[1]}", f"{names[2]}\t{cds[0]}", "", "# no annotation", names[3]]
+    targets, annotated = readers.target_sets(spark, p.text(spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1), "manifest"))
     keys = F.lit("targets").alias("kind"), "set_id", "contig"
-    one = targets.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("start").alias("starts"), F.sum("end").alias("ends"), F.lit(0).cast("bigint").alias("exons"))
+    one = targets.groupBy(*keys).agg(F.count_distinct("interval_id").alias("n"), F.sum("start").alias("starts"), F.sum("end").alias("ends"), F.lit(0).cast("bigint").alias("exons"))
     two = annotated.groupBy(F.lit("annotation").alias("kind"), "set_id", "contig").agg(F.count("*").alias("n"), F.sum("start").alias("starts"), F.sum("end").alias("ends"), F.sum("exon_id").alias("exons"))
     return one.unionByName(two).withColumn("set_id", F.col("set_id").cast("bigint"))
 
@@ -215,8 +221,10 @@ def read_gene_list(spark, sf_dir):
 
 @query
 def unsorted_annotations(spark, sf_dir):
-    """Annotation lines out of order or not well formed, of a file in the order of the table."""
+    """Problems of annotation files, one file for each gene, its lines by end; some lines are made too short or empty."""
     p = Place(spark, sf_dir)
-    rows = p.cds.select("contig", "start", "end", F.concat_ws("|", "gene", "transcript", "type").alias("annotation"), F.col("gene").alias("at"))
-    return _spans(validate.out_of_order(rows, ["at", "end", "annotation"])).groupBy("contig").agg(F.count("*").alias("n"), F.sum("start_pos").alias("starts"))
-
+    third = F.when(F.pmod("exon_id", F.lit(11)) != 0, F.concat(F.lit("cds_"), F.col("exon_id").cast("string")))
+    rows = p.cds.select("gene", "contig", "start", F.when(F.pmod("exon_id", F.lit(13)) == 0, F.col("start")).otherwise(F.col("end")).alias("end"), F.concat_ws("|", "gene", "transcript", third).alias("annotation"))
+    rows.repartition("gene").sortWithinPartitions("gene", "end", "contig", "start", "annotation").write.partitionBy("gene").csv(p.path("genes"), sep="\t", quote="")
+    found = validate.annotation_problems(spark, p.path("genes") + "/*")
+    return found.groupBy("problem", "contig").agg(F.count("*").alias("n"), F.sum("start").alias("starts"), F.sum("end").alias("ends"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import takewhile
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,16 +37,49 @@ def alignments(spark: SparkSession, path, contigs: DataFrame | None = None) -> D
     return rows.join(F.broadcast(contigs.select(F.col("contig").alias("__c"))), F.col("contig") == F.col("__c"), "left").filter("contig is null or __c is not null").drop("__c")
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """rows read from files, with the columns __file, __block (where the split starts) and __row (place within the task), which
+    give their order in the file: by block and then by row."""
+    return rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__row"))
+
+
+def with_line_numbers(rows: DataFrame, name: str) -> DataFrame:
+    """rows read from files, numbered from 0 over all files in order of their paths, however they are split: within each split,
+    plus the rows of the splits before it, of which there is one row each."""
+    split = ["__file", "__block"]
+    dealt = placed(rows).repartition(*split)
+    before = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    first = dealt.groupBy(*split).agg(F.count("*").alias("n")).select(*split, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__first"))
+    inside = F.row_number().over(Window.partitionBy(*split).orderBy("__row")) - 1
+    return dealt.withColumn("__at", inside).join(first, split).withColumn(name, F.col("__first") + F.col("__at")).drop(*split, "__row", "__at", "__first")
+
+
+def _header_lines(spark: SparkSession, file: str, first: int = 256) -> list[str]:
+    """The lines of a file before the first one without @. A small job that stops after so many lines of the file's first split;
+    only a longer header takes another one."""
+    while True:
+        lines = [r.value for r in spark.read.text(file).take(first)]
+        header = list(takewhile(lambda x: x.startswith("@"), lines))
+        if len(header) < len(lines) or len(lines) < first:
+            return header
+        first *= 8
+
+
 def contigs_of_header(spark: SparkSession, path) -> DataFrame:
-    """Contig list of the @SQ lines, in their order."""
-    lines = spark.read.text(path).filter(F.col("value").startswith("@SQ")).withColumn("at", F.monotonically_increasing_id())
-    rows = lines.select("at", F.regexp_extract("value", "SN:([^\t]+)", 1).alias("contig"), F.regexp_extract("value", "LN:([0-9]+)", 1).cast("bigint").alias("length"))
-    return _numbered(rows)
+    """Contig list of the @SQ lines of SAM files, in their order, files in order of their paths; a contig of several files counts
+    once. Nothing behind a header is read. The list is held by the driver, as a manifest is: a row for each contig."""
+    found: dict[str, int] = {}
+    for file in sorted(spark.read.text(path).inputFiles()):
+        for line in _header_lines(spark, unquote(file)):
+            fields = dict(x.split(":", 1) for x in line.split("\t")[1:] if ":" in x)
+            if line.startswith("@SQ") and "SN" in fields:
+                found.setdefault(fields["SN"], int(fields.get("LN", 0)))
+    return spark.createDataFrame([(c, n, k) for k, (c, n) in enumerate(found.items())], "contig string, length bigint, ordinal int")
 
 
 def contigs_of_bed(spark: SparkSession, path) -> DataFrame:
-    """Contig list of a BED file; length is end - start."""
-    rows = _tsv(spark, path, BED).filter("contig is not null").withColumn("at", F.monotonically_increasing_id())
+    """Contig list of BED files; length is end - start."""
+    rows = with_line_numbers(_tsv(spark, path, BED), "at").filter("contig is not null")
     return _numbered(rows.select("at", "contig", (F.col("end") - F.col("start")).cast("bigint").alias("length")))
 
 
@@ -58,8 +94,8 @@ def genome_size(contigs: DataFrame) -> DataFrame:
 
 
 def intervals(spark: SparkSession, path, contigs: DataFrame | None = None) -> DataFrame:
-    """Intervals of BED files, on the contigs wanted."""
-    rows = _tsv(spark, path, BED).filter("contig is not null").withColumn("interval_id", F.monotonically_increasing_id())
+    """Intervals of BED files, on the contigs wanted; interval_id counts the rows of all files, whatever the splits."""
+    rows = with_line_numbers(_tsv(spark, path, BED), "interval_id").filter("contig is not null")
     return rows if contigs is None else rows.join(F.broadcast(contigs.select("contig")), "contig", "left_semi")
 
 
@@ -70,28 +106,49 @@ def annotation_columns(annotation: Column) -> list[Column]:
     return [F.get(f, F.lit(0)).alias("gene"), F.get(f, F.lit(1)).alias("transcript"), F.when(number == "", -1).otherwise(number.try_cast("int")).alias("exon_id"), F.coalesce(F.get(f, F.lit(3)), F.lit("gene")).alias("type")]
 
 
+def _annotated(rows: DataFrame, *more: str) -> DataFrame:
+    start = F.when(F.col("start") == F.col("end"), F.col("start") - 1).otherwise(F.col("start"))
+    return rows.filter("contig is not null").select("contig", start.alias("start"), "end", *annotation_columns(F.col("annotation")), *more)
+
+
 def annotations(spark: SparkSession, path) -> DataFrame:
     """(contig, start, end, gene, transcript, exon_id, type); an empty interval is widened by one base to the left."""
-    rows = _tsv(spark, path, BED + ", annotation string").filter("contig is not null")
-    start = F.when(F.col("start") == F.col("end"), F.col("start") - 1).otherwise(F.col("start"))
-    return rows.select("contig", start.alias("start"), "end", *annotation_columns(F.col("annotation")))
+    return _annotated(_tsv(spark, path, BED + ", annotation string"))
 
 
-def target_sets(spark: SparkSession, manifest) -> tuple[DataFrame, DataFrame]:
-    """(targets, annotations) of a manifest with a target file and perhaps an annotation file on each line, each row with the
-    set_id of its line. The manifest is a handful of lines and is read by the driver, the files in one read each of targets and
-    annotations; a target file may occur once."""
-    lines = [r.value.split() for r in spark.read.text(manifest).collect() if r.value.strip() and not r.value.startswith("#")]
+def manifest_lines(spark: SparkSession, manifest) -> list[list[str]]:
+    """[target] or [target, annotation] of each line of a manifest, tab-separated; it is read by the driver."""
+    lines = [r.value.rstrip("\r").split("\t") for r in spark.read.text(manifest).collect() if r.value.strip() and not r.value.startswith("#")]
+    if any(not x[0].strip() for x in lines):
+        raise ValueError("an annotation file without a target file in the manifest")
     if len({x[0] for x in lines}) < len(lines):
         raise ValueError("a target file occurs twice in the manifest")
-    number = F.create_map(*(v for k, x in enumerate(lines) for v in (F.lit(x[0]), F.lit(k)))) if lines else None
-    pair = F.create_map(*(v for k, x in enumerate(lines) if len(x) > 1 for v in (F.lit(x[1]), F.lit(k)))) if any(len(x) > 1 for x in lines) else None
-    tail = lambda name: F.concat(F.lit("/"), F.regexp_replace(name, "^([a-z]+:)?/*", ""))
-    here = lambda name: F.input_file_name().endswith(tail(name)) | F.contains(F.input_file_name(), F.concat(tail(name), F.lit("/")))
-    at = lambda of: F.element_at(F.map_values(F.map_filter(of, lambda name, _: here(name))), 1)
-    targets = intervals(spark, [x[0] for x in lines]).withColumn("set_id", at(number))
-    annotated = annotations(spark, [x[1] for x in lines if len(x) > 1]).withColumn("set_id", at(pair)) if pair is not None else None
-    return targets, annotated
+    return [[f for f in x[:2] if f.strip()] for x in lines]
+
+
+def _by_file(spark: SparkSession, rows: DataFrame, sets: list[tuple[str, int]]) -> DataFrame:
+    """rows (of a read of all the paths of `sets`) with the set_id of each path that its file belongs to; a path may be a folder.
+    Files are listed as Spark names them and matched by equality; one that serves several sets gives its rows to each."""
+    one_form = lambda c: F.regexp_replace(c, "^([A-Za-z][A-Za-z0-9+.-]*):/+", "$1:/")  # noqa: E731  file:/ and file:/// are the same
+    files = [(f, k) for path, k in sets for f in spark.read.text(path).inputFiles()]
+    listed = spark.createDataFrame(files, "__file string, set_id int").withColumn("__file", one_form(F.col("__file")))
+    return rows.withColumn("__file", one_form(F.col("__file"))).join(F.broadcast(listed), "__file").drop("__file", "__block", "__row")
+
+
+def target_sets(spark: SparkSession, manifest) -> tuple[DataFrame, DataFrame | None]:
+    """(targets, annotations) of a manifest with a target file and perhaps an annotation file on each line, each row with the
+    set_id of its line. The files are read in one read each of targets and annotations; a target file may occur once, an
+    annotation file often. Without annotation files there are no annotations (None). interval_id counts within a set's files."""
+    lines = manifest_lines(spark, manifest)
+    sets, pairs = [(x[0], k) for k, x in enumerate(lines)], [(x[1], k) for k, x in enumerate(lines) if len(x) > 1]
+    beds = placed(_tsv(spark, [x for x, _ in sets], BED)).filter("contig is not null")
+    number = F.row_number().over(Window.partitionBy("__file", "__block").orderBy("__row")) - 1
+    # splits of a file start at different bytes, and a split has no more rows than bytes, so that this tells the rows of a file apart
+    targets = _by_file(spark, beds.withColumn("interval_id", F.col("__block") + number), sets)
+    if not pairs:
+        return targets, None
+    texts = placed(_tsv(spark, sorted({x for x, _ in pairs}), BED + ", annotation string"))
+    return targets, _by_file(spark, _annotated(texts, "__file", "__block", "__row"), pairs)
 
 
 def annotation_table(spark: SparkSession, path: str | None = None, contig: str | None = None, **jdbc) -> DataFrame:

@@ -32,11 +32,6 @@ def test_unmerged(spark, width):
     assert sure <= got <= sure | twins and all(len({x for x in got if rows[x][1:] == rows[k][1:]}) + 1 >= sum(v[1:] == rows[k][1:] for v in rows) for k in twins)
 
 
-def test_out_of_order(spark):
-    rows = [(1, "c", 5, 9), (2, "c", 3, 4), (3, "d", 1, 2), (4, "c", 3, 8), (5, "d", 0, 1)]
-    assert {x.id for x in validate.out_of_order(spark.createDataFrame(rows, f"id int, {SPAN}"), ["id"]).collect()} == {2, 5}
-
-
 @pytest.mark.parametrize("width", [8, 64])
 def test_plot_points(spark, width):
     r = random.Random(3)
