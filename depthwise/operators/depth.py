@@ -45,6 +45,8 @@ def n_bases(n_regions: DataFrame, contigs: DataFrame, by: Sequence[str] = ()) ->
 
 
 def target_depth(rle: DataFrame, targets: DataFrame, by: Sequence[str] = (), width: int = JOIN_BIN) -> DataFrame:
-    """(by, set_id, contig, interval_id, t_start, t_end, bin, start, end, depth): depth segments clipped to each target."""
-    pairs = overlap_join(targets.select(*by, "set_id", "contig", "interval_id", "start", "end"), rle.select(*by, "contig", "bin", "start", "end", "depth"), by, width)
-    return pairs.select(*by, "set_id", "contig", "interval_id", F.col("start").alias("t_start"), F.col("end").alias("t_end"), F.col("b_bin").alias("bin"), F.col("lo").alias("start"), F.col("hi").alias("end"), F.col("b_depth").alias("depth"))
+    """(by, set_id, contig, interval_id, t_start, t_end, bin, start, end, depth): depth segments clipped to each target. Targets are
+    those of every sample."""
+    segments = rle.select(*(F.col(c).alias(f"k_{c}") for c in by), "contig", "bin", "start", "end", "depth")
+    pairs = overlap_join(targets.select("set_id", "contig", "interval_id", "start", "end"), segments, (), width)
+    return pairs.select(*(F.col(f"b_k_{c}").alias(c) for c in by), "set_id", "contig", "interval_id", F.col("start").alias("t_start"), F.col("end").alias("t_end"), F.col("b_bin").alias("bin"), F.col("lo").alias("start"), F.col("hi").alias("end"), F.col("b_depth").alias("depth"))

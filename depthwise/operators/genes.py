@@ -7,18 +7,32 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import JOIN_BIN, merge, overlap_join
+from .intervals import JOIN_BIN, overlap_join
 
 CDS = ["contig", "gene", "transcript", "exon_id", "start", "end"]
 
 
+def _united(pieces: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, bases, parts) of pieces (keys, lo, hi): bases of their union, and it as an array of disjoint (p0, p1) in order. All in
+    one shuffle by the keys."""
+    w = Window.partitionBy(*keys).orderBy("lo", "hi")
+    before = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    runs = pieces.withColumn("__before", before).withColumn("__run", F.sum(F.when(F.col("lo") <= F.col("__before"), 0).otherwise(1)).over(w))
+    joined = runs.groupBy(*keys, "__run").agg(F.min("lo").alias("p0"), F.max("hi").alias("p1"))
+    return joined.groupBy(*keys).agg(F.sum(F.col("p1") - F.col("p0")).cast("bigint").alias("bases"), F.array_sort(F.collect_list(F.struct("p0", "p1"))).alias("parts"))
+
+
+def _text(parts: str) -> Column:
+    return F.array_join(F.transform(parts, lambda s: F.concat_ws("-", s["p0"].cast("string"), s["p1"].cast("string"))), ";")
+
+
 def cds_in_targets(cds: DataFrame, targets: DataFrame, width: int = JOIN_BIN) -> DataFrame:
-    """cds cut to the first target, in order of place, that each overlaps; those outside of all targets go. (Targets of one set are
-    disjoint; what a CDS has in a second target doesn't count.)"""
+    """The distinct rows of cds that overlap targets, with `pieces` (what of them lies in targets, all pieces, as an array) and
+    `targeted` (the bases of these). Targets that overlap or touch count once."""
     rows = cds.distinct()
     pairs = overlap_join(rows, targets.select("contig", "start", "end"), width=width)
-    first = pairs.groupBy(*rows.columns).agg(F.min(F.struct("lo", "hi")).alias("p"))
-    return first.withColumns({"start": F.col("p.lo"), "end": F.col("p.hi")}).drop("p")
+    found = _united(pairs.select(*rows.columns, "lo", "hi"), rows.columns)
+    return found.select(*rows.columns, F.col("bases").alias("targeted"), F.col("parts").alias("pieces"))
 
 
 def exon_label(exon_id: Column) -> Column:
@@ -26,28 +40,28 @@ def exon_label(exon_id: Column) -> Column:
     return F.when(exon_id == -1, "_").otherwise(F.concat(F.lit("cds_"), exon_id.cast("string")))
 
 
-def cds_coverage(cds: DataFrame, low: DataFrame, by: Sequence[str] = (), width: int = JOIN_BIN) -> DataFrame:
+def cds_coverage(cds: DataFrame, low: DataFrame, by: Sequence[str] = (), width: int = JOIN_BIN, samples: DataFrame | None = None) -> DataFrame:
     """(by, contig, gene, transcript, exon_id, start, end, length, low_bases, pct, low_regions) of each distinct CDS of a
     transcript; of several exon ids at one place the highest counts.
 
-    `low` (by, contig, start, end) are the low runs inside the targets, so that bases outside of them count as covered. An
-    exon id of -1 has no number of its own; below -1 the exon was not designed, and its percentage is 0.
+    `low` (by, contig, start, end) are the low runs inside the targets, so that bases outside of them count as covered; of rows
+    from cds_in_targets only what lies in targets counts as length, and the pieces stay as a further column. An exon id of -1 has
+    no number of its own; below -1 the exon was not designed, and its percentage is 0. With `by`, `samples` (distinct keys) says
+    whose rows there are, also where nothing is low; it is a row for each sample.
     """
-    rows = cds.groupBy(*(c for c in CDS if c != "exon_id")).agg(F.max("exon_id").alias("exon_id")).select(*CDS)
-    if by:
-        rows = rows.join(low.select(*by).distinct())
-    pieces = overlap_join(rows, low.select(*by, "contig", "start", "end"), by, width)
+    more = ["targeted", "pieces"] if "pieces" in cds.columns else []
+    rows = cds.groupBy(*(c for c in CDS if c != "exon_id")).agg(F.max("exon_id").alias("exon_id"), *(F.first(c).alias(c) for c in more)).select(*CDS, *more)
     keys = [*by, *CDS]
-    tagged = pieces.select(*by, F.struct(*CDS).alias("cds"), "contig", F.col("lo").alias("start"), F.col("hi").alias("end"))
-    merged = merge(tagged, [*by, "cds"]).select(*by, "cds.*", F.col("start").alias("p0"), F.col("end").alias("p1"))
-    lows = merged.groupBy(*keys).agg(F.sum(F.col("p1") - F.col("p0")).cast("bigint").alias("low_bases"), F.array_sort(F.collect_list(F.struct("p0", "p1"))).alias("parts"))
-    length = F.col("end") - F.col("start")
-    covered = length - F.col("low_bases")
-    text = F.array_join(F.transform("parts", lambda s: F.concat_ws("-", s["p0"].cast("string"), s["p1"].cast("string"))), ";")
-    out = rows.join(lows, keys, "left").withColumn("low_bases", F.coalesce("low_bases", F.lit(0)).cast("bigint"))
-    pct = F.when(F.col("exon_id") < -1, 0.0).otherwise(covered * 100.0 / length)
-    low_text = F.when(F.col("exon_id") < -1, "NOT_Designed").otherwise(text)
-    return out.select(*keys, length.cast("bigint").alias("length"), "low_bases", pct.alias("pct"), low_text.alias("low_regions"))
+    pieces = overlap_join(rows.select(*CDS), low.select(*(F.col(c).alias(f"k_{c}") for c in by), "contig", "start", "end"), (), width)
+    lows = _united(pieces.select(*(F.col(f"b_k_{c}").alias(c) for c in by), *CDS, "lo", "hi"), keys).withColumnRenamed("bases", "low_bases")
+    if by:
+        every = (samples if samples is not None else low).select(*by).distinct().agg(F.collect_list(F.struct(*by)).alias("__all"))  # one row
+        rows = rows.join(F.broadcast(every)).select(*CDS, *more, F.explode("__all").alias("__key")).select("__key.*", *CDS, *more)
+    size = (F.col("targeted") if more else F.col("end") - F.col("start")).cast("bigint")
+    out = rows.join(lows, keys, "left").withColumns({"low_bases": F.coalesce("low_bases", F.lit(0)).cast("bigint"), "length": size})
+    pct = F.when(F.col("exon_id") < -1, 0.0).otherwise((F.col("length") - F.col("low_bases")) * 100.0 / F.col("length"))
+    low_text = F.when(F.col("exon_id") < -1, "NOT_Designed").otherwise(_text("parts"))
+    return out.select(*keys, "length", "low_bases", pct.alias("pct"), low_text.alias("low_regions"), *([_text("pieces").alias("pieces")] if more else []))
 
 
 def transcript_coverage(cds_rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:

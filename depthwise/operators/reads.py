@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import has, percent
+from ..storage import stored
 from .intervals import JOIN_BIN, overlap_join
 
 #: Beyond the end of any contig.
@@ -130,33 +131,35 @@ def cigar_pieces(cigar: Column) -> Column:
     return F.aggregate(F.regexp_extract_all(cigar, F.lit(_CIGAR), F.lit(0)), start, step, lambda acc: acc["out"])
 
 
-def blocks(used: DataFrame, contigs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """(keep, read_id, contig, kind, start, end, q_start, n): a row for each run of aligned bases (kind M, half-open on the
-    contig and clipped to its end) and each insertion (kind I, start = end, n bases).
+def cigar_forms(reads: DataFrame) -> DataFrame | None:
+    """(cigar, pieces): the different CIGARs of reads, taken apart once each and written, to be broadcast; None if they have more
+    bytes than CIGAR_BYTES. Short reads share few of them. To be made once for all that uses the same reads."""
+    forms = stored(reads.filter(F.col("cigar").isNotNull()).select("cigar").distinct(), "cigars")
+    if (forms.agg(F.sum(F.length("cigar") + 64)).first()[0] or 0) > CIGAR_BYTES:
+        return None
+    return stored(forms.withColumn("pieces", cigar_pieces(F.col("cigar"))), "cigars")
 
-    Short reads share few CIGARs: those are taken apart once each and broadcast, if a sum of their lengths shows that they are
-    few; else each read's own is taken apart.
-    """
-    long = used.join(F.broadcast(contigs.select("contig", F.col("length").alias("clen"))), "contig")
-    forms = used.select("cigar").distinct()
-    if (forms.agg(F.sum(F.length("cigar") + 64)).first()[0] or 0) <= CIGAR_BYTES:
-        long = long.join(F.broadcast(forms.withColumn("pieces", cigar_pieces(F.col("cigar")))), "cigar")
-    else:
-        long = long.withColumn("pieces", cigar_pieces(F.col("cigar")))
+
+def blocks(used: DataFrame, contigs: DataFrame, keep: Sequence[str] = (), forms: DataFrame | None = None) -> DataFrame:
+    """(keep, read_id, contig, kind, start, end, q_start, n): a row for each run of aligned bases (kind M, half-open on the
+    contig and clipped to its end) and each insertion (kind I, start = end, n bases). With `forms` (cigar_forms of these reads or
+    more) CIGARs are looked up, else each read's own is taken apart."""
+    long = used.join(F.broadcast(contigs.select("contig", F.col("length").alias("clen"))), "contig")  # a row for each contig
+    long = long.join(F.broadcast(forms), "cigar") if forms is not None else long.withColumn("pieces", cigar_pieces(F.col("cigar")))
     pieces = long.select(*keep, "read_id", "contig", "pos", "clen", F.inline("pieces")).filter(F.col("pos") + F.col("r") < F.col("clen"))
     start = F.col("pos") + F.col("r")
     end = F.when(F.col("kind") == "M", F.least(start + F.col("n"), F.col("clen"))).otherwise(start)
     return pieces.select(*keep, "read_id", "contig", "kind", start.alias("start"), end.alias("end"), F.col("q").alias("q_start"), "n")
 
 
-def depth_blocks(used: DataFrame, contigs: DataFrame, options: ReadOptions = ReadOptions(), keep: Sequence[str] = ()) -> DataFrame:
+def depth_blocks(used: DataFrame, contigs: DataFrame, options: ReadOptions = ReadOptions(), keep: Sequence[str] = (), forms: DataFrame | None = None) -> DataFrame:
     """(keep, contig, start, end) of what adds depth, after mate overlap and base quality where the options ask for them."""
     more = ["quals"] * (options.min_base_qual > 0)
     if not options.exclude_overlap:
-        got = blocks(used, contigs, [*keep, *more]).filter("kind = 'M'")
+        got = blocks(used, contigs, [*keep, *more], forms).filter("kind = 'M'")
     else:
         marked = mate_overlap(used).filter("not inside_mate")
-        got = _outside(blocks(marked, contigs, [*keep, *more, "cut_from", "cut_to"]).filter("kind = 'M'"))
+        got = _outside(blocks(marked, contigs, [*keep, *more, "cut_from", "cut_to"], forms).filter("kind = 'M'"))
     if options.min_base_qual > 0:
         got = passing(got, options.min_base_qual)
     return got.select(*keep, "read_id", "contig", "start", "end", "q_start")
@@ -213,16 +216,16 @@ def _outside(pieces: DataFrame) -> DataFrame:
     return pieces.select(*rest, F.inline(kept))
 
 
-def quality_counts(used: DataFrame, contigs: DataFrame, options: ReadOptions = ReadOptions(), by: Sequence[str] = ()) -> DataFrame:
+def quality_counts(used: DataFrame, contigs: DataFrame, options: ReadOptions = ReadOptions(), by: Sequence[str] = (), forms: DataFrame | None = None) -> DataFrame:
     """(by, q20_bases, q30_bases, q40_bases, aligned_bases): bases of quality at least 20, 30 and 40, over aligned and inserted
     bases, and the aligned ones, whatever the minimum base quality; aligned bases in a mate overlap don't count, inserted ones
     always do."""
     if options.exclude_overlap:
-        found = blocks(mate_overlap(used).filter("not inside_mate"), contigs, [*by, "quals", "cut_from", "cut_to"])
+        found = blocks(mate_overlap(used).filter("not inside_mate"), contigs, [*by, "quals", "cut_from", "cut_to"], forms)
         aligned = _outside(found.filter("kind = 'M'"))
         pieces = aligned.select(*by, "kind", "quals", "q_start", (F.col("end") - F.col("start")).alias("n")).unionByName(found.filter("kind = 'I'").select(*by, "kind", "quals", "q_start", "n"))
     else:
-        found = blocks(used, contigs, [*by, "quals"])
+        found = blocks(used, contigs, [*by, "quals"], forms)
         pieces = found.select(*by, "kind", "quals", "q_start", F.when(F.col("kind") == "M", F.col("end") - F.col("start")).otherwise(F.col("n")).alias("n"))
     # a row for each base, summed before it leaves the task
     bases = pieces.select(*by, (F.col("kind") == "M").alias("aligned"), F.explode(F.slice("quals", F.col("q_start") + 1, F.col("n"))).alias("q"))
@@ -232,14 +235,15 @@ def quality_counts(used: DataFrame, contigs: DataFrame, options: ReadOptions = R
 # ---- targets -----------------------------------------------------------------------------------------------------------------------
 
 
-def target_classes(used: DataFrame, contigs: DataFrame, targets: DataFrame, buffers: DataFrame, options: ReadOptions = ReadOptions(), width: int = JOIN_BIN) -> DataFrame:
-    """(set_id, on_target, in_buffer, off_target): reads by set; a read is on target if any of its aligned bases is, else in the
-    buffer if any is, else off target. Bases count whatever their quality or mate overlap; reads inside their mate don't."""
+def target_classes(used: DataFrame, contigs: DataFrame, targets: DataFrame, buffers: DataFrame, options: ReadOptions = ReadOptions(), width: int = JOIN_BIN, by: Sequence[str] = (), forms: DataFrame | None = None) -> DataFrame:
+    """(by, set_id, on_target, in_buffer, off_target): reads by set; a read is on target if any of its aligned bases is, else in
+    the buffer if any is, else off target. Bases count whatever their quality or mate overlap; reads inside their mate don't."""
     rows = mate_overlap(used).filter("not inside_mate") if options.exclude_overlap else used
-    aligned = blocks(rows, contigs).filter("kind = 'M'").select("read_id", "contig", "start", "end")
+    aligned = blocks(rows, contigs, by, forms).filter("kind = 'M'").select(*by, "read_id", "contig", "start", "end")
     regions = targets.select("set_id", "contig", "start", "end", F.lit(2).alias("rank")).unionByName(buffers.select("set_id", "contig", "start", "end", F.lit(1).alias("rank")))
-    best = overlap_join(aligned, regions, width=width).groupBy("read_id", "b_set_id").agg(F.max("b_rank").alias("rank"))
-    hits = best.groupBy(F.col("b_set_id").alias("set_id")).agg(F.count_if(F.col("rank") == 2).alias("on_target"), F.count_if(F.col("rank") == 1).alias("in_buffer"))
-    total = rows.join(F.broadcast(contigs.select("contig")), "contig", "left_semi").agg(F.count("*").alias("reads"))
-    sets = targets.select("set_id").distinct().join(hits, "set_id", "left").na.fill(0, ["on_target", "in_buffer"])
-    return sets.join(F.broadcast(total)).select("set_id", "on_target", "in_buffer", (F.col("reads") - F.col("on_target") - F.col("in_buffer")).alias("off_target"))
+    best = overlap_join(aligned, regions, width=width).groupBy(*by, "read_id", "b_set_id").agg(F.max("b_rank").alias("rank"))
+    hits = best.groupBy(*by, F.col("b_set_id").alias("set_id")).agg(F.count_if(F.col("rank") == 2).alias("on_target"), F.count_if(F.col("rank") == 1).alias("in_buffer"))
+    total = rows.join(F.broadcast(contigs.select("contig")), "contig", "left_semi").groupBy(*by).agg(F.count("*").alias("reads"))
+    sets = targets.select("set_id").distinct().join(F.broadcast(total))  # a row for each set and sample
+    every = sets.join(hits, [*by, "set_id"], "left").na.fill(0, ["on_target", "in_buffer"])
+    return every.select(*by, "set_id", "on_target", "in_buffer", (F.col("reads") - F.col("on_target") - F.col("in_buffer")).alias("off_target"))

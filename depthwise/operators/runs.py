@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import half_up
-from .intervals import BIN, runs, sweep
+from .intervals import BIN, runs, sample_sweep, sweep
 
 
 def depth_runs(segments: DataFrame, keep: Column, by: Sequence[str] = (), width: int = BIN) -> DataFrame:
@@ -28,22 +28,27 @@ def high_runs(segments: DataFrame, high: int = 10_000, by: Sequence[str] = (), w
     return depth_runs(segments, F.col("depth") >= high, by, width)
 
 
-def off_target(rle: DataFrame, targets: DataFrame, level: int = 20, pad: int = 500, width: int = BIN) -> DataFrame:
-    """(set_id, contig, start, end, max_depth): runs of depth outside of all targets of this and the earlier sets, padded by `pad`
-    bases (one more after the end), that exceed `level` somewhere; each is reported from its first base that does."""
+def off_target(rle: DataFrame, targets: DataFrame, level: int = 20, pad: int = 500, width: int = BIN, by: Sequence[str] = (), samples: DataFrame | None = None) -> DataFrame:
+    """(by, set_id, contig, start, end, max_depth): runs of depth outside of all targets of this and the earlier sets, padded by
+    `pad` bases (one more after the end), that exceed `level` somewhere; each is reported from its first base that does. With
+    `by`, `samples` has the distinct keys, a row for each sample.
+
+    A base is free for the sets before the lowest one that covers it. So the targets of all sets make one table of stretches with
+    their lowest set, and one sweep cuts the depth at its edges, however many sets there are.
+    """
     padded = targets.select("set_id", "contig", F.greatest(F.col("start") - pad, F.lit(0)).alias("start"), (F.col("end") + pad + 1).alias("end"))
     sets = sorted(r.set_id for r in targets.select("set_id").distinct().collect())  # the lines of a manifest
     if not sets:
-        return rle.filter("false").select(F.lit(None).cast(dict(targets.dtypes)["set_id"]).alias("set_id"), "contig", "start", "end", F.col("depth").alias("max_depth"))
-    # one sweep over the depth and the targets of all sets; each set then reads the same segments
-    inputs = {"depth": rle.filter("depth > 0").select("contig", "start", "end", F.col("depth").alias("weight"))}
-    inputs |= {f"set_{k}": padded.filter(F.col("set_id") == s) for k, s in enumerate(sets)}
-    segments = sweep(inputs, (), width).filter("depth > 0")
-    free, clear = [], F.lit(True)
-    for k, s in enumerate(sets):
-        clear = clear & (F.col(f"set_{k}") == 0)
-        free.append(F.when(clear, F.lit(s)))
-    rows = segments.select("contig", "bin", "start", "end", "depth", F.explode(F.array_compact(F.array(*free))).alias("set_id"))
+        return rle.filter("false").select(*by, F.lit(None).cast(dict(targets.dtypes)["set_id"]).alias("set_id"), "contig", "start", "end", F.col("depth").alias("max_depth"))
+    low_bit = lambda c: F.log2(F.col(c).bitwiseAND(-F.col(c)).cast("double")).cast("int")  # noqa: E731  (the 64th bit is negative)
+    place = [F.when(F.col(c) == -(1 << 63), 63).when(F.col(c) != 0, low_bit(c)) + 64 * k + 1 for k, c in enumerate(f"set_{k}" for k in range(-(-len(sets) // 64)))]
+    cover = sample_sweep(padded, "set_id", (), width, sets).select("contig", "start", "end", F.coalesce(*place).alias("weight"))
+    if by:
+        cover = cover.join(F.broadcast(samples.select(*by)))
+    deep = rle.filter("depth > 0").select(*by, "contig", "start", "end", F.col("depth").alias("weight"))
+    segments = sweep({"depth": deep, "cover": cover}, by, width).filter("depth > 0")
+    free = F.slice(F.array(*map(F.lit, sets)), F.lit(1), F.when(F.col("cover") == 0, len(sets)).otherwise(F.col("cover") - 1).cast("int"))
+    rows = segments.select(*by, "contig", "bin", "start", "end", "depth", F.explode(free).alias("set_id"))
     rows = rows.withColumns({"free": F.lit(True), "max_depth": F.col("depth"), "first": F.when(F.col("depth") > level, F.col("start"))})
-    found = runs(rows, ["free"], ["set_id"], width, {"max_depth": "max", "first": "min"})
-    return found.filter(F.col("max_depth") > level).select("set_id", "contig", F.col("first").alias("start"), "end", "max_depth")
+    found = runs(rows, ["free"], [*by, "set_id"], width, {"max_depth": "max", "first": "min"})
+    return found.filter(F.col("max_depth") > level).select(*by, "set_id", "contig", F.col("first").alias("start"), "end", "max_depth")

@@ -71,14 +71,22 @@ def all_sites(on_target: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return total.select(*keys, (F.col("t_end") - F.col("t_start")).alias("length"), half_up(F.col("s") / (F.col("t_end") - F.col("t_start"))).alias("mean_depth"))
 
 
-def target_hits(on_target: DataFrame, rle: DataFrame, targets: DataFrame, size: int = 100, width: int = JOIN_BIN) -> DataFrame:
-    """(set_id, n_targets, n_hit, n_buffer_only): targets with depth, and those without whose `size` bases upstream have some."""
+def target_hits(on_target: DataFrame, rle: DataFrame, targets: DataFrame, size: int = 100, width: int = JOIN_BIN, by: Sequence[str] = (), samples: DataFrame | None = None) -> DataFrame:
+    """(by, set_id, n_targets, n_hit, n_buffer_only): targets with depth, and those without whose `size` bases upstream have some.
+    With `by`, `samples` has the distinct keys, a row for each sample.
+
+    Both are found in one pass: depth on a target and depth upstream of it are two kinds of hits of the target.
+    """
     keys = ["set_id", "contig", "interval_id"]
-    hit = on_target.filter("depth > 0").select(*keys).distinct().withColumn("hit", F.lit(True))
-    upstream = targets.join(hit, keys, "left_anti").select(*keys, F.greatest(F.col("start") - size, F.lit(0)).alias("start"), F.col("start").alias("end"))
-    near = overlap_join(upstream, rle.filter("depth > 0").select("contig", "start", "end"), width=width).select(*keys).distinct().withColumn("near", F.lit(True))
-    rows = targets.select(*keys).join(hit, keys, "left").join(near, keys, "left")
-    return rows.groupBy("set_id").agg(F.count("*").alias("n_targets"), F.count("hit").alias("n_hit"), F.count("near").alias("n_buffer_only"))
+    deep = rle.filter("depth > 0").select(*(F.col(c).alias(f"k_{c}") for c in by), "contig", "start", "end")
+    upstream = targets.select(*keys, F.greatest(F.col("start") - size, F.lit(0)).alias("start"), F.col("start").alias("end"))
+    near = overlap_join(upstream, deep, width=width).select(*(F.col(f"b_k_{c}").alias(c) for c in by), *keys, F.lit(False).alias("hit"))
+    found = on_target.filter("depth > 0").select(*by, *keys, F.lit(True).alias("hit")).unionByName(near).groupBy(*by, *keys).agg(F.max("hit").alias("hit"))
+    counts = found.groupBy(*by, "set_id").agg(F.count_if("hit").alias("n_hit"), F.count_if(~F.col("hit")).alias("n_buffer_only"))
+    every = targets.groupBy("set_id").agg(F.count("*").alias("n_targets"))
+    if by:
+        every = every.join(F.broadcast(samples.select(*by)))
+    return every.join(counts, [*by, "set_id"], "left").select(*by, "set_id", "n_targets", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_hit", "n_buffer_only")))
 
 
 def flank_profile(rle: DataFrame, targets: DataFrame, reach: int = 1000, shortest: int = 100, width: int = JOIN_BIN) -> DataFrame:

@@ -41,11 +41,11 @@ def _with(*names: str, used: str = USED) -> str:
             count(*) FILTER (good AND flag & 1024 = 0 AND flag & 2048 > 0) AS supplementary, sum(n) FILTER (good) AS mapped_bases,
             (SELECT n FROM al WHERE {used} ORDER BY ordinal, pos, n LIMIT 1) AS read_length FROM (SELECT *, flag & (4 | 256 | 512) = 0 AS good FROM al)"""),
         "low": ("tdepth", "SELECT DISTINCT contig, p FROM tdepth WHERE set_id = 0 AND d < 20"),
-        "cds_rows": ("cds low", """SELECT x.*, x.e0 - x.s0 AS length, coalesce(y.n, 0) AS low_bases, y.regions FROM (SELECT DISTINCT contig, gene, transcript, exon_id, s0, e0 FROM cds) x LEFT JOIN (
+        "cds_rows": ("cds low", """SELECT x.*, x.e0 - x.s0 AS length, coalesce(y.n, 0) AS low_bases, y.regions FROM (SELECT contig, gene, transcript, max(exon_id) AS exon_id, s0, e0 FROM cds GROUP BY contig, gene, transcript, s0, e0) x LEFT JOIN (
             SELECT contig, gene, transcript, exon_id, s0, e0, sum(e - s) AS n, string_agg(concat(s, '-', e), ';' ORDER BY s) AS regions FROM (
               SELECT contig, gene, transcript, exon_id, s0, e0, min(p) AS s, max(p) + 1 AS e FROM (
                 SELECT c.contig, c.gene, c.transcript, c.exon_id, c.s0, c.e0, l.p, l.p - row_number() OVER (PARTITION BY c.contig, c.gene, c.transcript, c.exon_id, c.s0, c.e0 ORDER BY l.p) AS g0
-                FROM (SELECT DISTINCT contig, gene, transcript, exon_id, s0, e0 FROM cds) c JOIN low l ON l.contig = c.contig AND l.p >= c.s0 AND l.p < c.e0) GROUP BY contig, gene, transcript, exon_id, s0, e0, g0) GROUP BY ALL) y
+                FROM (SELECT contig, gene, transcript, max(exon_id) AS exon_id, s0, e0 FROM cds GROUP BY contig, gene, transcript, s0, e0) c JOIN low l ON l.contig = c.contig AND l.p >= c.s0 AND l.p < c.e0) GROUP BY contig, gene, transcript, exon_id, s0, e0, g0) GROUP BY ALL) y
             USING (contig, gene, transcript, exon_id, s0, e0)"""),
         "tx_rows": ("cds_rows", "SELECT contig, gene, transcript, sum(length) AS length, count(*) AS n_cds, (sum(length) - sum(CASE WHEN exon_id < -1 THEN length ELSE low_bases END)) * 100.0::DOUBLE / sum(length) AS pct FROM cds_rows GROUP BY ALL"),
         "spos": ("sample_regions", "SELECT DISTINCT sample_id, contig, unnest(range(s0, e0)) AS p FROM sample_regions"),
@@ -169,6 +169,12 @@ def _capture_summary() -> str:
     return f"{_with('tdepth', 'flank', 'counts')}, {facts} {_union(rows + _breadth_rows('bases'), 'facts', 'set_id, ')}"
 
 
+def _cohort(text: str) -> str:
+    """The SQL of one sample for each of three, whose reads are told apart by the order's number."""
+    join = "a JOIN contigs c ON c.contig = a.contig"
+    return " UNION ALL ".join(f"SELECT 's{k}' AS sample, x.* FROM ({text.replace(join, f'{join} WHERE a.ok % 3 = {k}')}) x" for k in range(3))
+
+
 def _files() -> dict[str, str]:
     """What the round trips through files must give: the derived tables themselves."""
     return {
@@ -277,14 +283,15 @@ def oracle_sql() -> dict[str, str]:
           SELECT m.contig, m.start_pos, m.end_pos, coalesce(e.kind, f.kind, 'intergenic') AS kind, coalesce(e.genes, f.genes) AS genes, CASE WHEN e.kind IS NULL THEN f.refseq ELSE e.refseq END AS refseq, CAST(NULL AS VARCHAR) AS ccds, CAST(NULL AS VARCHAR) AS vega, e.mirna, e.other FROM merged m LEFT JOIN e USING (contig, start_pos, end_pos) LEFT JOIN f USING (contig, start_pos, end_pos)""",
         "cds_pct": f"{_with('cds_rows')} SELECT contig, gene, transcript, CAST(exon_id AS BIGINT) AS exon_id, CAST(s0 AS BIGINT) AS start_pos, CAST(e0 AS BIGINT) AS end_pos, CAST(length AS BIGINT) AS length, CAST(low_bases AS BIGINT) AS low_bases, {CDS_PCT} AS pct, CASE WHEN exon_id < -1 THEN 'NOT_Designed' ELSE regions END AS low_regions FROM cds_rows",
         "cds_target_pct": f"""{_with('cds', 'targets', 'low')}, one AS (SELECT DISTINCT contig, gene, transcript, exon_id, s0, e0 FROM cds),
-            hit AS (SELECT c.*, greatest(c.s0, t.s0) AS a, least(c.e0, t.e0) AS b FROM one c JOIN targets t ON t.set_id = 0 AND t.contig = c.contig AND t.s0 < c.e0 AND c.s0 < t.e0),
-            cut AS (SELECT DISTINCT contig, gene, transcript, exon_id, a, b FROM (SELECT *, row_number() OVER (PARTITION BY contig, gene, transcript, exon_id, s0, e0 ORDER BY a) AS r FROM hit) WHERE r = 1),
-            p AS (SELECT c.*, l.p, l.p - row_number() OVER (PARTITION BY c.contig, c.gene, c.transcript, c.exon_id, c.a, c.b ORDER BY l.p) AS g FROM cut c JOIN low l ON l.contig = c.contig AND l.p >= c.a AND l.p < c.b),
-            r AS (SELECT contig, gene, transcript, exon_id, a, b, min(p) AS s, max(p) + 1 AS e FROM p GROUP BY contig, gene, transcript, exon_id, a, b, g),
-            lows AS (SELECT contig, gene, transcript, exon_id, a, b, sum(e - s) AS low_bases, string_agg(concat(s, '-', e), ';' ORDER BY s) AS regions FROM r GROUP BY ALL),
-            rows_ AS (SELECT cut.*, b - a AS length, coalesce(low_bases, 0) AS low_bases, regions FROM cut LEFT JOIN lows USING (contig, gene, transcript, exon_id, a, b))
-            SELECT contig, gene, transcript, CASE WHEN exon_id = -1 THEN '_' ELSE concat('cds_', exon_id) END AS label, CAST(a AS BIGINT) AS start_pos, CAST(b AS BIGINT) AS end_pos, CAST(length AS BIGINT) AS length,
-              CAST(low_bases AS BIGINT) AS low_bases, {CDS_PCT} AS pct, CASE WHEN exon_id < -1 THEN 'NOT_Designed' ELSE regions END AS low_regions FROM rows_""",
+            area AS (SELECT DISTINCT contig, unnest(list_concat(range(s0, e0 + 5), range(s0 - 12, s0 - 4))) AS p FROM targets),
+            base AS (SELECT o.*, a.p, l.p IS NOT NULL AS low FROM one o JOIN area a ON a.contig = o.contig AND a.p >= o.s0 AND a.p < o.e0 LEFT JOIN low l ON l.contig = a.contig AND l.p = a.p),
+            sums AS (SELECT contig, gene, transcript, s0, e0, max(exon_id) AS exon_id, count(DISTINCT p) AS length, count(DISTINCT p) FILTER (low) AS low_bases FROM base GROUP BY ALL),
+            spans AS (SELECT contig, gene, transcript, s0, e0, kind, min(p) AS a, max(p) + 1 AS b FROM (
+              SELECT *, p - row_number() OVER (PARTITION BY contig, gene, transcript, s0, e0, kind ORDER BY p) AS g FROM (
+                SELECT DISTINCT contig, gene, transcript, s0, e0, p, 'piece' AS kind FROM base UNION ALL SELECT DISTINCT contig, gene, transcript, s0, e0, p, 'low' FROM base WHERE low)) GROUP BY contig, gene, transcript, s0, e0, kind, g),
+            texts AS (SELECT contig, gene, transcript, s0, e0, string_agg(concat(a, '-', b), ';' ORDER BY a) FILTER (kind = 'piece') AS pieces, string_agg(concat(a, '-', b), ';' ORDER BY a) FILTER (kind = 'low') AS regions FROM spans GROUP BY ALL)
+            SELECT contig, gene, transcript, CASE WHEN exon_id = -1 THEN '_' ELSE concat('cds_', exon_id) END AS label, CAST(s0 AS BIGINT) AS start_pos, CAST(e0 AS BIGINT) AS end_pos, length,
+              low_bases, {CDS_PCT} AS pct, CASE WHEN exon_id < -1 THEN 'NOT_Designed' ELSE regions END AS low_regions, pieces FROM sums JOIN texts USING (contig, gene, transcript, s0, e0)""",
         "transcript_pct": f"{_with('tx_rows')} SELECT contig, gene, transcript, CAST(length AS BIGINT) AS length, n_cds, pct FROM tx_rows",
         "gene_pct": f"{_with('tx_rows')} SELECT gene, count(*) AS n_transcripts, avg(pct) AS pct, string_agg(item, ';' ORDER BY item) AS transcripts FROM (SELECT *, concat(transcript, printf('(%.2f)', floor(pct * 100 + 0.5) / 100)) AS item FROM tx_rows) GROUP BY gene",
         "preferred_gene_pct": f"{_with('tx_rows')} SELECT gene, count(*) AS n_transcripts, avg(pct) AS pct FROM tx_rows x WHERE transcript LIKE 'NR%' OR NOT EXISTS (SELECT 1 FROM tx_rows y WHERE y.gene = x.gene AND y.transcript LIKE 'NR%') GROUP BY gene",
@@ -307,6 +314,7 @@ def oracle_sql() -> dict[str, str]:
           SELECT 'unmerged' AS problem, contig, count(*) AS n, CAST(sum(s0) AS BIGINT) AS sum_start FROM u GROUP BY contig UNION ALL SELECT 'contig_name', contig, count(*), CAST(sum(s0) AS BIGINT) FROM r GROUP BY contig""",
         "depth_lines": f"{_with('depth')} SELECT contig, CAST(floor(p / 100.0) AS BIGINT) AS line, string_agg(CAST(d AS VARCHAR), ' ' ORDER BY p) AS text FROM depth GROUP BY contig, floor(p / 100.0)",
     }
+    sql |= {f"cohort_{name}": _cohort(sql[name]) for name in ("wgs_summary", "capture_summary", "uniformity_metric", "gene_pct")}
     return sql | _files()
 
 

@@ -27,6 +27,11 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return fixtures.table(*self._at, name)
 
+    def cohort(self) -> reports.Sample:
+        """Three samples, told apart by the order's number."""
+        reads_of = self.alignments.withColumn("sample", F.concat(F.lit("s"), (F.col("ok") % 3).cast("string")))
+        return reports.Sample(reads_of, self.contigs, self.n_regions, width=WIDTH, by=("sample",))
+
     def sample(self, **options) -> reports.Sample:
         return reports.Sample(self.alignments, self.contigs, self.n_regions, ReadOptions(**options), WIDTH)
 
@@ -298,7 +303,9 @@ def cds_pct(spark, sf_dir):
 @query
 def cds_target_pct(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    rows = reports.cds_report(t.sample(), t.targets, genes.cds_in_targets(t.cds, t.targets.filter("set_id = 0"), WIDTH))
+    # of all sets, so that a CDS has pieces in several targets, some of which overlap
+    regions = t.targets.unionByName(t.targets.withColumns({"start": F.col("end") - 20, "end": F.col("end") + 5})).unionByName(t.targets.withColumns({"end": F.col("start") - 4, "start": F.col("start") - 12}))
+    rows = reports.cds_report(t.sample(), t.targets, genes.cds_in_targets(t.cds, regions, WIDTH))
     return _spans(rows.withColumn("label", genes.exon_label(F.col("exon_id")))).drop("exon_id")
 
 
@@ -322,6 +329,29 @@ def preferred_gene_pct(spark, sf_dir):
     return genes.gene_coverage(genes.preferred_only(rows, preferred)).select("gene", "n_transcripts", "pct")
 
 
+@query
+def cohort_wgs_summary(spark, sf_dir):
+    return reports.wgs_summary(Tables(spark, sf_dir).cohort())
+
+
+@query
+def cohort_capture_summary(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return reports.capture_summary(t.cohort(), t.targets)
+
+
+@query
+def cohort_uniformity_metric(spark, sf_dir):
+    return reports.uniformity_metric(Tables(spark, sf_dir).cohort()).withColumns({c: F.col(c).cast("bigint") for c in ("mode", "peak_area", "total_area")})
+
+
+@query
+def cohort_gene_pct(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    by = ["sample"]
+    return genes.gene_coverage(genes.transcript_coverage(reports.cds_report(t.cohort(), t.targets, t.cds), by), by)
+
+
 @query
 def coverage_categories(spark, sf_dir):
     t = Tables(spark, sf_dir)

@@ -30,9 +30,12 @@ SELECT contig, pos, CAST(pk % 61 AS INT) AS mapq,
   CASE WHEN pk % 3 = 0 THEN NULL ELSE concat(n, 'M') END AS mc, concat('r', ok, ':', ln) AS qname, pk, ok, ln{more}
 FROM base"""
 
+#: Every row of part belongs to a place, a target to each place of a contig that has rows.
+PLACES = """
+SELECT c.contig, c.length, CAST(FLOOR(p_partkey / 6.0) AS INT) % CAST(FLOOR(c.length / 400.0) AS INT) AS place, p_partkey, CAST(p_size AS INT) AS p_size, p_brand FROM {part} JOIN ({contigs}) c ON c.ordinal = p_partkey % 6"""
+
 TARGETS = """
-WITH s AS (SELECT p_partkey AS interval_id, p_size, c.contig, c.length, CAST(FLOOR(p_partkey / 6.0) AS INT) * 400 + CAST(p_size AS INT) AS s FROM {part} JOIN ({contigs}) c ON c.ordinal = p_partkey % 6),
-t AS (SELECT interval_id, contig, s, s + 50 + CAST(p_size AS INT) * 3 AS e, length FROM s)
+WITH t AS (SELECT contig, length, place, MIN(p_partkey) AS interval_id, place * 400 + MIN(p_size) AS s, place * 400 + MIN(p_size) + 50 + MAX(p_size) * 3 AS e FROM ({places}) p GROUP BY contig, length, place)
 SELECT k.set_id, contig, s AS {start}, e AS {end}, interval_id FROM t CROSS JOIN (SELECT * FROM (VALUES (0), (1)) AS v(set_id)) k WHERE e < length AND (k.set_id = 0 OR interval_id % 2 = 0)"""
 
 N_REGIONS = """
@@ -40,10 +43,10 @@ SELECT contig, 0 AS {start}, 300 AS {end} FROM ({contigs}) a
 UNION ALL SELECT contig, CAST(FLOOR(length / 2.0) AS INT), CAST(FLOOR(length / 2.0) AS INT) + 1500 FROM ({contigs}) b"""
 
 CDS = """
-WITH t AS (SELECT x.contig, GREATEST(x.{start} - 30, 0) AS s, x.{end} + 15 AS e, p.p_brand AS gene, x.interval_id, p.p_size FROM ({targets}) x JOIN {part} p ON p.p_partkey = x.interval_id WHERE x.set_id = 0)
-SELECT contig, s AS {start}, e AS {end}, gene, concat(k.prefix, interval_id % 50) AS transcript, CAST(CASE WHEN p_size % 17 = 0 THEN -1 WHEN p_size % 13 = 0 THEN -2 - FLOOR(interval_id / 6.0) ELSE FLOOR(interval_id / 6.0) END AS INT) AS exon_id,
+WITH t AS (SELECT x.contig, GREATEST(x.{start} - 30 - p.p_size % 7, 0) AS s, x.{end} + 15 AS e, p.p_brand AS gene, p.p_partkey AS k0, p.p_size FROM ({targets}) x JOIN ({places}) p ON p.contig = x.contig AND p.place = CAST(FLOOR(x.interval_id / 6.0) AS INT) WHERE x.set_id = 0)
+SELECT contig, s AS {start}, e AS {end}, gene, concat(k.prefix, k0 % 50) AS transcript, CAST(CASE WHEN p_size % 17 = 0 THEN -1 WHEN p_size % 13 = 0 THEN -2 - FLOOR(k0 / 6.0) ELSE FLOOR(k0 / 6.0) END AS INT) AS exon_id,
   CASE WHEN p_size % 17 = 0 THEN 'snp' WHEN p_size % 19 = 0 THEN 'miRNA' ELSE 'gene' END AS type
-FROM t JOIN (SELECT * FROM (VALUES ('NM_', 1), ('NR_', 2)) AS v(prefix, every)) k ON interval_id % k.every = 0"""
+FROM t JOIN (SELECT * FROM (VALUES ('NM_', 1), ('NR_', 2)) AS v(prefix, every)) k ON k0 % k.every = 0"""
 
 SAMPLE_REGIONS = """
 SELECT CAST(user_id % 8 AS INT) AS sample_id, c.contig, CAST((event_id * 7919) % (c.length - 400) AS INT) AS {start},
@@ -51,10 +54,10 @@ SELECT CAST(user_id % 8 AS INT) AS sample_id, c.contig, CAST((event_id * 7919) %
 FROM {events} JOIN ({contigs}) c ON c.ordinal = event_id % 6"""
 
 GENE_MODEL = """
-SELECT concat('NM_', s_suppkey % 40) AS name, c.contig, CASE WHEN s_suppkey % 2 = 0 THEN '+' ELSE '-' END AS strand, t0 AS tx_start, t0 + n * 300 + 120 AS tx_end,
+SELECT concat('NM_', s_suppkey % 40) AS name, contig, CASE WHEN s_suppkey % 2 = 0 THEN '+' ELSE '-' END AS strand, t0 AS tx_start, t0 + n * 300 + 120 AS tx_end,
   CASE WHEN s_suppkey % 10 = 9 THEN t0 + n * 300 + 120 ELSE t0 + 40 END AS cds_start, CASE WHEN s_suppkey % 10 = 9 THEN t0 + n * 300 + 120 ELSE t0 + n * 300 + 80 END AS cds_end,
   n + 1 AS exon_count, {exon_starts} AS exon_starts, {exon_ends} AS exon_ends, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_name END AS symbol
-FROM (SELECT s_suppkey, s_name, CAST((s_suppkey * 731) % 6000 AS INT) AS t0, CAST(s_suppkey % 4 AS INT) + 1 AS n FROM {supplier}) s JOIN ({contigs}) c ON c.ordinal = s_suppkey % 6"""
+FROM (SELECT s_suppkey, s_name, c.contig, CAST((s_suppkey * 731) % (c.length - 2000) AS INT) AS t0, CAST(s_suppkey % 4 AS INT) + 1 AS n FROM {supplier} JOIN ({contigs}) c ON c.ordinal = s_suppkey % 6) s"""
 
 REGISTRY = """
 SELECT s_suppkey AS hgnc_id, concat('G', s_suppkey) AS symbol, CASE WHEN s_suppkey % 2 = 1 THEN NULL ELSE concat('P', s_suppkey) END AS prev,
@@ -78,20 +81,21 @@ def sql(name: str, spark: bool = False, scale: str | None = None) -> str:
     words = _SPARK if spark else _DUCKDB
     tables = {t: t for t in ("lineitem", "part", "events", "supplier")}
     contigs = CONTIGS.format(scale=scale or f"(SELECT greatest(1, count(*) // {READS}) FROM lineitem)")
+    places = PLACES.format(**tables, contigs=contigs)
     spread = f"/*+ REPARTITION({scale}) */ " if spark else ""
-    return NAMES[name].format(**words, **tables, scale=scale, spread=spread, contigs=contigs, targets=TARGETS.format(**words, **tables, contigs=contigs)) if name != "contigs" else contigs
+    return NAMES[name].format(**words, **tables, scale=scale, spread=spread, contigs=contigs, places=places, targets=TARGETS.format(**words, contigs=contigs, places=places)) if name != "contigs" else contigs
 
 
 _scales: dict[str, int] = {}
-_written: dict[tuple[str, str], DataFrame] = {}
+_written: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived table. Alignments are written once in a session: as input files they have columns of their own, which filters
-    can be pushed to, instead of long expressions that each use would repeat."""
-    if name != "alignments":
+    """A derived table. Those of many uses are written once in a session: as input files they have columns of their own, which
+    filters can be pushed to, instead of long expressions that each use would repeat."""
+    if name not in ("alignments", "targets", "cds"):
         return _derived(spark, sf_dir, name)
-    at = spark.sparkContext.applicationId, sf_dir
+    at = spark.sparkContext.applicationId, sf_dir, name
     if at not in _written:
         _written[at] = stored(_derived(spark, sf_dir, name), name)
     return _written[at]

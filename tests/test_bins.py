@@ -71,14 +71,22 @@ def test_off_target(spark, width):
     assert runs.off_target(rle, spark.createDataFrame([], f"set_id int, {SPAN}"), 20, 2, width).collect() == []
 
 
-def test_cds_in_targets(spark):
-    cds = spark.createDataFrame([("c", 0, 30, "g", "t", 1), ("c", 40, 50, "g", "t", -1), ("c", 60, 70, "g", "t", -5), ("d", 0, 9, "g", "t", 2)], f"{SPAN}, gene string, transcript string, exon_id int")
-    targets = spark.createDataFrame([("c", 5, 10), ("c", 20, 45), ("c", 65, 99)], SPAN)
+def test_cds_in_several_targets(spark):
+    cds = spark.createDataFrame([("c", 0, 100, "g", "t", 1), ("c", 0, 100, "g", "t", 1), ("c", 40, 50, "g", "t", -1), ("c", 60, 70, "g", "t", -5), ("d", 0, 9, "g", "t", 2)], f"{SPAN}, gene string, transcript string, exon_id int")
+    targets = spark.createDataFrame([("c", 10, 20), ("c", 50, 60), ("c", 55, 65), ("c", 65, 66)], SPAN)
     cut = genes.cds_in_targets(cds, targets)
-    assert sorted((x.start, x.end, x.exon_id) for x in cut.collect()) == [(5, 10, 1), (40, 45, -1), (65, 70, -5)]
-    low = spark.createDataFrame([("c", 7, 8), ("c", 40, 45)], SPAN)
-    got = {x.start: (x.pct, x.low_regions, x.label) for x in genes.cds_coverage(cut, low).withColumn("label", genes.exon_label(genes.F.col("exon_id"))).collect()}
-    assert got == {5: (80.0, "7-8", "cds_1"), 40: (0.0, "40-45", "_"), 65: (0.0, "NOT_Designed", "cds_-5")}
+    assert sorted((x.start, x.end, x.targeted, [tuple(p) for p in x.pieces]) for x in cut.collect()) == [(0, 100, 26, [(10, 20), (50, 66)]), (60, 70, 6, [(60, 66)])]
+    low = spark.createDataFrame([("c", 12, 14), ("c", 50, 56), ("c", 55, 60)], SPAN)
+    got = {x.start: (x.length, x.low_bases, x.pct, x.low_regions, x.label, x.pieces) for x in genes.cds_coverage(cut, low).withColumn("label", genes.exon_label(genes.F.col("exon_id"))).collect()}
+    assert got == {0: (26, 12, 14 * 100 / 26, "12-14;50-60", "cds_1", "10-20;50-66"), 60: (6, 0, 0.0, "NOT_Designed", "cds_-5", "60-66")}
+
+
+def test_cds_of_a_cohort_has_all_samples(spark):
+    cds = spark.createDataFrame([("c", 0, 10, "g", "t", 1), ("c", 20, 30, "g", "t", 2)], f"{SPAN}, gene string, transcript string, exon_id int")
+    low = spark.createDataFrame([("a", "c", 0, 5), ("a", "c", 22, 24), ("b", "c", 8, 12)], f"who string, {SPAN}")
+    samples = spark.createDataFrame([("a",), ("b",), ("z",)], "who string")
+    got = {(x.who, x.start, x.low_bases) for x in genes.cds_coverage(cds, low, ["who"], samples=samples).collect()}
+    assert got == {("a", 0, 5), ("a", 20, 2), ("b", 0, 2), ("b", 20, 0), ("z", 0, 0), ("z", 20, 0)}
 
 
 def test_stored(spark):
