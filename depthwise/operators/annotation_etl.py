@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import plain_contig, primary, source_of
-from .intervals import group_identical, map_ids, merge, overlap_join, partition, subtract
+from .annotate import SOURCES
+from .intervals import group_identical, merge, overlap_join, partition, subtract
 
 
 def exon_rows(models: DataFrame) -> DataFrame:
@@ -71,18 +72,44 @@ def unique_names(models: DataFrame, name: str = "name") -> DataFrame:
     return models.withColumn("__k", k).withColumn(name, F.when(F.col("__k") > 0, F.concat_ws("-", name, F.col("__k").cast("string"))).otherwise(F.col(name))).drop("__k")
 
 
+#: What a name begins with -> the registry's list that has such ids, and the table's column for them.
+PREFIXES = (("N", "refseq", "refseq"), ("X", "refseq", "refseq"), ("uc", "ucsc", "vega"), ("EN", "ensembl", "vega"), ("OTT", "vega", "vega"), ("CCDS", "ccds", "ccds"), ("hsa", "mirbase", "mirna"))
+
+
+def _by_prefix(name: Column, which: int, otherwise: str | None) -> Column:
+    out = F.when(F.lit(False), "")
+    for row in PREFIXES:
+        out = out.when(name.startswith(row[0]), row[which])
+    return out.otherwise(F.lit(otherwise))
+
+
+def names_of_ids(names: DataFrame, registry: DataFrame) -> DataFrame:
+    """(name, symbols, prevs): of each distinct name the symbols and the previous symbols of all registry entries whose list for
+    that kind of id has it. Versions are left off, and of RefSeq ids the number that tells equal names apart."""
+    lists = sorted({row[1] for row in PREFIXES} & set(registry.columns))
+    ids = lambda c: F.transform(F.split(F.coalesce(F.col(c), F.lit("")), ","), lambda x: F.struct(F.lit(c).alias("list"), F.trim(x).alias("id")))
+    entries = registry.select("symbol", F.col("prev"), F.inline(F.concat(*map(ids, lists)))).filter("id <> ''")
+    plain = F.substring_index("name", ".", 1)
+    kind = _by_prefix(F.col("name"), 1, None)
+    keyed = names.select("name").distinct().withColumns({"list": kind, "id": F.when(kind == "refseq", F.regexp_replace(plain, "-[0-9]+$", "")).otherwise(plain)})
+    return keyed.join(entries, ["list", "id"]).groupBy("name").agg(F.collect_set("symbol").alias("symbols"), F.collect_set("prev").alias("prevs"))
+
+
 def exon_table(models: DataFrame, registry: DataFrame) -> DataFrame:
-    """(contig, start, end, ids, symbols, prev): disjoint segments of the exons with the ids over each and their names."""
-    rows = exon_rows(models).select("contig", "start", "end", F.concat_ws("|", "name", F.col("exon_id").cast("string")).alias("id"))
-    return _table(rows, partition(group_identical(rows, "id")), registry)
+    """(contig, start, end, symbol, synonyms, prev, refseq, ccds, vega, mirna, other): disjoint segments of the exons. Of the
+    symbols that the models over a segment and the registry give, the first is the symbol, the others are synonyms; the models'
+    labels `name|exon_<id>|gene` stand in the column of their kind. Lists are sorted, distinct and joined by semicolons; null
+    where there is nothing."""
+    rows = exon_rows(models).select("contig", "start", "end", "name", "symbol", F.concat("name", F.lit("|exon_"), F.col("exon_id").cast("string"), F.lit("|gene")).alias("label"))
+    return _table(rows, partition(group_identical(rows, "label")), registry)
 
 
 def intron_table(models: DataFrame, registry: DataFrame) -> DataFrame:
-    """As exon_table, for what introns cover and no exon does."""
-    rows = introns(models).select("contig", "start", "end", F.concat_ws("|", "name", F.col("intron_id").cast("string")).alias("id"))
+    """As exon_table, for what introns cover and no exon does; previous symbols that are symbols of the segment are left out."""
+    rows = introns(models).select("contig", "start", "end", "name", F.col("gene").alias("symbol"), F.concat("name", F.lit("|intron_"), F.col("intron_id").cast("string"), F.lit("|gene")).alias("label"))
     outside = subtract(rows, exon_rows(models))
-    cut = partition(group_identical(rows, "id").select("contig", "start", "end").unionByName(outside.select("contig", "start", "end")))
-    return _table(rows, subtract_segments(cut, exon_rows(models)), registry)
+    cut = partition(group_identical(rows, "label").select("contig", "start", "end").unionByName(outside.select("contig", "start", "end")))
+    return _table(rows, subtract_segments(cut, exon_rows(models)), registry, only_new=True)
 
 
 def subtract_segments(segments: DataFrame, other: DataFrame) -> DataFrame:
@@ -92,9 +119,16 @@ def subtract_segments(segments: DataFrame, other: DataFrame) -> DataFrame:
     return pieces.select("contig", F.col("lo").alias("start"), F.col("hi").alias("end"))
 
 
-def _table(rows: DataFrame, segments: DataFrame, registry: DataFrame) -> DataFrame:
-    mapped = map_ids(segments, rows, "id")
-    ids = mapped.select("contig", "start", "end", "ids", F.explode(F.split("ids", ";")).alias("id")).withColumn("name", F.substring_index("id", "|", 1))
-    joined = named(ids, registry)
-    text = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ";")
-    return joined.groupBy("contig", "start", "end", "ids").agg(text("hgnc_symbol").alias("symbols"), text("hgnc_prev").alias("prev"))
+def _table(rows: DataFrame, segments: DataFrame, registry: DataFrame, only_new: bool = False) -> DataFrame:
+    """Names are looked up once each, before they meet the segments; a segment's rows are then folded in one grouped pass."""
+    none = F.expr("cast(array() as array<string>)")
+    named_rows = rows.join(names_of_ids(rows, registry), "name", "left").select(
+        "contig", "start", "end", "label", _by_prefix(F.col("name"), 2, "other").alias("kind"), F.concat(F.array("symbol"), F.coalesce("symbols", none)).alias("genes"), F.coalesce("prevs", none).alias("prevs")
+    )
+    pairs = overlap_join(segments.select("contig", "start", "end"), named_rows)
+    listed = lambda c: F.array_sort(F.array_distinct(F.filter(F.flatten(F.collect_list(c)), lambda x: x.isNotNull() & ~x.isin("", "."))))
+    kinds = [F.array_sort(F.collect_set(F.when(F.col("b_kind") == k, F.col("b_label")))).alias(k) for k in SOURCES]
+    found = pairs.groupBy("contig", "start", "end").agg(listed("b_genes").alias("genes"), listed("b_prevs").alias("prev"), *kinds)
+    text = lambda c: F.when(F.size(c) > 0, F.array_join(c, ";"))
+    prev = F.array_except("prev", "genes") if only_new else F.col("prev")
+    return found.select("contig", "start", "end", F.get("genes", F.lit(0)).alias("symbol"), text(F.slice("genes", 2, 1 << 30)).alias("synonyms"), text(prev).alias("prev"), *(text(F.col(k)).alias(k) for k in SOURCES))

@@ -121,6 +121,6 @@ def target_profile(on_target: DataFrame, shortest: int = 100) -> DataFrame:
 def coverage_categories(rows: DataFrame, pct: str = "pct", by: Sequence[str] = ("level",)) -> DataFrame:
     """(by, category, n, share): how many rows are covered by 100, at least 97, at least 90 and less than 90 per cent."""
     category = F.when(F.col(pct) >= 100, "100").when(F.col(pct) >= 97, ">=97").when(F.col(pct) >= 90, ">=90").otherwise("<90")
-    plain = rows.filter(~F.col("contig").rlike("(?i)_alt|_random")) if "contig" in rows.columns else rows
+    plain = rows.filter(~F.coalesce("contig", F.lit("")).rlike("(?i)_alt|_random")) if "contig" in rows.columns else rows
     n = plain.groupBy(*by, category.alias("category")).agg(F.count("*").alias("n"))
     return n.withColumn("share", percent(F.col("n"), F.sum("n").over(Window.partitionBy(*by))))

@@ -22,6 +22,12 @@ def _with(*names: str, used: str = USED) -> str:
         "sample_regions": ("", fixtures.sql("sample_regions")),
         "gene_model": ("", fixtures.sql("gene_model")),
         "registry": ("", fixtures.sql("registry")),
+        "models": ("", fixtures.sql("models")),
+        "genes": ("", fixtures.sql("genes")),
+        "mexons": ("models", "SELECT name, contig, symbol, CASE WHEN strand = '-' THEN exon_count - k - 1 ELSE k END AS exon_id, s0, e0 FROM (SELECT *, unnest(range(0, exon_count)) AS k, unnest(exon_starts) AS s0, unnest(exon_ends) AS e0 FROM models)"),
+        "mintrons": ("models", "SELECT name, contig, coalesce(symbol, '.') AS symbol, j AS intron_id, exon_ends[j] AS s0, exon_starts[j + 1] AS e0 FROM (SELECT *, unnest(range(1, exon_count)) AS j FROM models)"),
+        "lists": ("genes", " UNION ALL ".join(f"SELECT '{c}' AS kind, symbol, prev, unnest(string_split({c}, ',')) AS id FROM genes" for c in ("refseq", "ucsc", "ensembl", "vega", "ccds", "mirbase"))),
+        "typed": ("models", "SELECT name, CASE WHEN name[1] IN ('N', 'X') THEN 'refseq' WHEN name LIKE 'uc%' THEN 'ucsc' WHEN name LIKE 'EN%' THEN 'ensembl' WHEN name LIKE 'OTT%' THEN 'vega' WHEN name LIKE 'CCDS%' THEN 'ccds' WHEN name LIKE 'hsa%' THEN 'mirbase' END AS kind, string_split(name, '.')[1] AS id FROM (SELECT DISTINCT name FROM models)"),
         "al": ("contigs", f"SELECT a.*, l_qseq AS n, c.length AS clen, c.ordinal FROM ({fixtures.sql('alignments')}) a JOIN contigs c ON c.contig = a.contig"),
         "ends": ("al", "SELECT *, pos + CASE ln % 5 WHEN 1 THEN n - 5 WHEN 2 THEN n - 2 WHEN 3 THEN n + 3 ELSE n END AS rend, isize > 0 AND contig = mate_contig AS pair, mate_pos + n AS mend FROM al"),
         "mated": ("ends", f"""SELECT *, CASE WHEN pair AND mc IS NOT NULL AND rend > mate_pos AND mend > pos THEN least(rend, mend) - greatest(pos, mate_pos)
@@ -195,6 +201,20 @@ def _files() -> dict[str, str]:
         "write_coverage_report": f"{_with('tx_rows')} SELECT contig, gene, transcript, CAST(length AS BIGINT) AS length, n_cds, pct FROM tx_rows",
         "write_wig": f"""{_with('depth', 'targets')}, {_off_target('targets', 30)} SELECT h.set_id, count(DISTINCT (h.contig, h.start_pos)) AS regions, count(*) AS bases, CAST(sum(d.d) AS BIGINT) AS depths
           FROM hot h JOIN depth d ON d.contig = h.contig AND d.p >= h.start_pos AND d.p < h.end_pos GROUP BY h.set_id""",
+        "region_report": f"""{_with('depth', 'mexons', 'mintrons', 'genes')}, reg AS (SELECT contig, start_pos, end_pos, {MEAN} AS mean_depth FROM ({_runs('(SELECT * FROM depth WHERE d < 20)', 'contig', 'true', 'd')} UNION ALL {_runs('(SELECT * FROM depth WHERE d >= 60)', 'contig', 'true', 'd')})),
+          k AS (SELECT name, CASE WHEN n LIKE '%nm!_%' ESCAPE '!' OR n LIKE '%nr!_%' ESCAPE '!' OR n LIKE '%xm!_%' ESCAPE '!' THEN 'refseq' WHEN n LIKE '%ccds%' OR n LIKE '%uc%' THEN 'ccds' WHEN n LIKE '%ott%' OR n LIKE '%enst%' THEN 'vega' WHEN n LIKE '%hsa-%' OR n LIKE '%mir%' THEN 'mirna' ELSE 'other' END AS src FROM (SELECT DISTINCT name, lower(name) AS n FROM models)),
+          h AS (SELECT r.contig, r.start_pos, r.end_pos, coalesce(m.symbol, '.') AS gene, concat(m.name, '_cds_', m.exon_id) AS label, k.src FROM reg r JOIN mexons m ON m.contig = r.contig AND r.start_pos < m.e0 AND m.s0 < r.end_pos JOIN k ON k.name = m.name),
+          i AS (SELECT DISTINCT ON (r.contig, r.start_pos, r.end_pos) r.contig, r.start_pos, r.end_pos, m.symbol AS gene, m.name AS label, k.src FROM (SELECT * FROM reg ANTI JOIN h USING (contig, start_pos, end_pos)) r JOIN mintrons m ON m.contig = r.contig AND r.start_pos < m.e0 AND m.s0 < r.end_pos JOIN k ON k.name = m.name ORDER BY r.contig, r.start_pos, r.end_pos, m.s0, m.symbol, m.name),
+          a AS (SELECT * FROM h UNION ALL SELECT * FROM i), gn AS (SELECT DISTINCT contig, start_pos, end_pos, gene FROM a WHERE gene <> '.'),
+          other AS (SELECT gn.*, unnest(list_concat(list_transform(string_split(g.alias, ','), lambda x: struct_pack(t := 's', x := x)), CASE WHEN g.prev IS NULL THEN [] ELSE [struct_pack(t := 'p', x := g.prev)] END)) AS o FROM gn JOIN genes g ON g.symbol = gn.gene),
+          kept AS (SELECT DISTINCT contig, start_pos, end_pos, o.t AS t, o.x AS x FROM other WHERE NOT EXISTS (SELECT 1 FROM gn WHERE gn.contig = other.contig AND gn.start_pos = other.start_pos AND gn.end_pos = other.end_pos AND gn.gene = other.o.x)),
+          l1 AS (SELECT contig, start_pos, end_pos, string_agg(gene, ';' ORDER BY gene) AS genes FROM gn GROUP BY ALL),
+          l2 AS (SELECT contig, start_pos, end_pos, string_agg(x, ';' ORDER BY x) FILTER (t = 's') AS synonyms, string_agg(x, ';' ORDER BY x) FILTER (t = 'p') AS prev FROM kept GROUP BY ALL),
+          l3 AS (SELECT contig, start_pos, end_pos, {", ".join(f"string_agg(DISTINCT label, ';' ORDER BY label) FILTER (src = '{c}') AS {c}" for c in ("refseq", "ccds", "vega", "mirna", "other"))} FROM a GROUP BY ALL)
+          SELECT row_number() OVER (ORDER BY ordinal, start_pos, end_pos) AS line, contig, start_pos, end_pos, end_pos - start_pos AS length, mean_depth, genes, synonyms, prev, refseq, ccds, vega, mirna, other
+          FROM (SELECT reg.*, c.ordinal FROM reg JOIN contigs c ON c.contig = reg.contig) r LEFT JOIN l1 USING (contig, start_pos, end_pos) LEFT JOIN l2 USING (contig, start_pos, end_pos) LEFT JOIN l3 USING (contig, start_pos, end_pos)""",
+        "annotation_tables": f"""WITH x AS ({_table(EXON_ROWS, False)}) SELECT contig, count(*) AS n, CAST(sum(start_pos) AS BIGINT) AS starts, CAST(sum(end_pos) AS BIGINT) AS ends, count(synonyms) AS with_synonyms,
+          (SELECT count(DISTINCT string_split(name, '.')[1]) FROM ({fixtures.sql('models')})) AS names FROM x WHERE contig IN ('chr1', 'chr3', 'chrX') GROUP BY contig""",
         "gene_transcripts": f"{_with('cds')} SELECT DISTINCT gene, transcript FROM cds",
         "shared_contigs": f"{_with('sample_regions', 'contigs')} SELECT count(*) > 0 AS shared FROM sample_regions s SEMI JOIN contigs c ON c.contig = s.contig",
         "read_gene_list": f"{_with('cds')} SELECT gene, count(*) AS n FROM cds GROUP BY gene",
@@ -295,7 +315,7 @@ def oracle_sql() -> dict[str, str]:
         "transcript_pct": f"{_with('tx_rows')} SELECT contig, gene, transcript, CAST(length AS BIGINT) AS length, n_cds, pct FROM tx_rows",
         "gene_pct": f"{_with('tx_rows')} SELECT gene, count(*) AS n_transcripts, avg(pct) AS pct, string_agg(item, ';' ORDER BY item) AS transcripts FROM (SELECT *, concat(transcript, printf('(%.2f)', floor(pct * 100 + 0.5) / 100)) AS item FROM tx_rows) GROUP BY gene",
         "preferred_gene_pct": f"{_with('tx_rows')} SELECT gene, count(*) AS n_transcripts, avg(pct) AS pct FROM tx_rows x WHERE transcript LIKE 'NR%' OR NOT EXISTS (SELECT 1 FROM tx_rows y WHERE y.gene = x.gene AND y.transcript LIKE 'NR%') GROUP BY gene",
-        "coverage_categories": f"""{_with('tx_rows')}, l AS (SELECT 'exon' AS level, {CDS_PCT} AS pct FROM cds_rows UNION ALL SELECT 'transcript', pct FROM tx_rows UNION ALL SELECT 'gene', avg(pct) FROM tx_rows GROUP BY gene),
+        "coverage_categories": f"""{_with('tx_rows')}, l AS (SELECT 'exon' AS level, {CDS_PCT} AS pct FROM cds_rows WHERE length % 7 <> 0 UNION ALL SELECT 'transcript', pct FROM tx_rows WHERE length % 7 <> 0 UNION ALL SELECT 'gene', avg(pct) FROM tx_rows GROUP BY gene),
           c AS (SELECT level, CASE WHEN pct >= 100 THEN '100' WHEN pct >= 97 THEN '>=97' WHEN pct >= 90 THEN '>=90' ELSE '<90' END AS category, count(*) AS n FROM l GROUP BY ALL) SELECT level, category, n, {_pct('n', '(sum(n) OVER (PARTITION BY level))')} AS share FROM c""",
         "batch_recurrence": f"{_with('often')} SELECT contig, start_pos, end_pos FROM ({_runs('often', 'contig', 'true')})",
         "batch_exon_pct": f"{_with('bex')} SELECT contig, gene, transcript, CAST(exon_id AS BIGINT) AS exon_id, CAST(s0 AS BIGINT) AS start_pos, CAST(e0 AS BIGINT) AS end_pos, CAST(length AS BIGINT) AS length, CAST(low_bases AS BIGINT) AS low_bases, CAST((length - low_bases) * 100.0 AS DOUBLE) / length AS pct FROM bex",
@@ -308,8 +328,11 @@ def oracle_sql() -> dict[str, str]:
         "introns": f"{_with('gene_model')} SELECT name, contig, gene, intron_id, start_pos, end_pos FROM ({INTRONS})",
         "registry_lookup": f"{_with('gene_model', 'known')} SELECT g.name, g.contig, CAST(g.tx_start AS BIGINT) AS tx_start, k.symbol AS hgnc_symbol, k.prev AS hgnc_prev FROM gene_model g LEFT JOIN known k ON k.id = g.name",
         "unique_names": f"{_with('gene_model')} SELECT CASE WHEN r > 1 THEN concat(name, '-', r - 1) ELSE name END AS name, contig, CAST(tx_start AS BIGINT) AS tx_start FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY contig, tx_start, tx_end) AS r FROM gene_model)",
-        "exon_table": _table("SELECT contig, concat(name, '|', CASE WHEN strand = '-' THEN exon_count - k - 1 ELSE k END) AS id, name, s0, e0 FROM exons", ""),
-        "intron_table": _table(f"SELECT contig, concat(name, '|', intron_id) AS id, name, start_pos AS s0, end_pos AS e0 FROM ({INTRONS})", "AND NOT EXISTS (SELECT 1 FROM exons x WHERE x.contig = g.contig AND x.s0 < g.e AND g.s < x.e0)"),
+        "exon_table": _table(EXON_ROWS, False),
+        "intron_table": _table(INTRON_ROWS, True),
+        "annotated_contigs": f"{_with('cds')} SELECT contig, count(*) AS n FROM cds GROUP BY contig",
+        "overlap_report": f"""{_with('msegs', 'counts')}, b AS ({overlap_bases}), f AS (SELECT (SELECT count(*) FROM b WHERE {kept}) AS unique_bases, (SELECT sum(shared) FROM mated) AS shared, mapped_bases FROM counts)
+          {_union([("Total_Mapped_Bases", "mapped_bases"), ("Total_Uniquely_Aligned_Bases", "unique_bases"), ("Total_Overlapped_Aligned_Bases", "shared"), ("PCT_Overlapped_Aligned_Bases", _pct("shared", "mapped_bases"))], "f")}""",
         "validate_intervals": f"""{_with('sample_regions')}, r AS (SELECT *, row_number() OVER () AS id FROM sample_regions), u AS (SELECT DISTINCT a.id, a.contig, a.s0 FROM r a JOIN r b ON a.sample_id = b.sample_id AND a.contig = b.contig AND b.e0 >= a.s0 AND (b.s0 < a.s0 OR b.s0 = a.s0 AND (b.e0 < a.e0 OR b.e0 = a.e0 AND b.id < a.id)))
           SELECT 'unmerged' AS problem, contig, count(*) AS n, CAST(sum(s0) AS BIGINT) AS sum_start FROM u GROUP BY contig UNION ALL SELECT 'contig_name', contig, count(*), CAST(sum(s0) AS BIGINT) FROM r GROUP BY contig""",
         "depth_lines": f"{_with('depth')} SELECT contig, CAST(floor(p / 100.0) AS BIGINT) AS line, string_agg(CAST(d AS VARCHAR), ' ' ORDER BY p) AS text FROM depth GROUP BY contig, floor(p / 100.0)",
@@ -322,11 +345,25 @@ PARTITION = "pts AS (SELECT DISTINCT contig, unnest([s0, e0]) AS s FROM cds), g
 INTRONS = "SELECT name, contig, coalesce(symbol, '.') AS gene, CAST(j AS BIGINT) AS intron_id, CAST(exon_ends[j] AS BIGINT) AS start_pos, CAST(exon_starts[j + 1] AS BIGINT) AS end_pos FROM (SELECT *, unnest(range(1, exon_count)) AS j FROM gene_model)"
 
 
-def _table(rows: str, outside: str) -> str:
-    return f"""{_with('exons', 'known')}, rows AS ({rows}), pts AS (SELECT DISTINCT contig, unnest([s0, e0]) AS s FROM (SELECT contig, s0, e0 FROM rows {"UNION ALL SELECT contig, s0, e0 FROM exons" if outside else ""})),
-      g AS (SELECT contig, s, lead(s) OVER (PARTITION BY contig ORDER BY s) AS e FROM pts)
-      SELECT g.contig, CAST(g.s AS BIGINT) AS start_pos, CAST(g.e AS BIGINT) AS end_pos, array_to_string(list_sort(list_distinct(list(r.id))), ';') AS ids, array_to_string(list_sort(list_distinct(list(k.symbol))), ';') AS symbols
-      FROM g JOIN rows r ON r.contig = g.contig AND r.s0 <= g.s AND r.e0 >= g.e LEFT JOIN known k ON k.id = r.name WHERE true {outside} GROUP BY g.contig, g.s, g.e"""
+def _table(rows: str, introns: bool) -> str:
+    """Segments between all starts and ends of rows (and of exons, for introns) that rows cover and, for introns, exons don't."""
+    more, outside = ("UNION ALL SELECT contig, s0, e0 FROM mexons", "AND NOT EXISTS (SELECT 1 FROM mexons x WHERE x.contig = g.contig AND x.s0 < g.e AND g.s < x.e0)") if introns else ("", "")
+    column = "CASE WHEN kind = 'refseq' THEN 'refseq' WHEN kind = 'ccds' THEN 'ccds' WHEN kind = 'mirbase' THEN 'mirna' WHEN kind IS NULL THEN 'other' ELSE 'vega' END"
+    kinds = ", ".join(f"string_agg(DISTINCT label, ';' ORDER BY label) FILTER (col = '{k}') AS {k}" for k in ("refseq", "ccds", "vega", "mirna", "other"))
+    return f"""{_with('mexons', 'mintrons', 'lists', 'typed')}, rows AS ({rows}), pts AS (SELECT DISTINCT contig, unnest([s0, e0]) AS s FROM (SELECT contig, s0, e0 FROM rows {more})),
+      g AS (SELECT contig, s, lead(s) OVER (PARTITION BY contig ORDER BY s) AS e FROM pts),
+      hit AS (SELECT g.contig, g.s, g.e, r.name, r.symbol, r.label, t.kind, t.id, {column} AS col FROM g JOIN rows r ON r.contig = g.contig AND r.s0 <= g.s AND r.e0 >= g.e JOIN typed t ON t.name = r.name WHERE true {outside}),
+      sym AS (SELECT contig, s, e, symbol AS x FROM hit UNION SELECT h.contig, h.s, h.e, l.symbol FROM hit h JOIN lists l ON l.kind = h.kind AND l.id = h.id),
+      syms AS (SELECT contig, s, e, list_sort(list(x)) AS xs FROM sym WHERE x <> '.' AND x <> '' GROUP BY ALL),
+      prv AS (SELECT DISTINCT h.contig, h.s, h.e, l.prev AS x FROM hit h JOIN lists l ON l.kind = h.kind AND l.id = h.id WHERE l.prev IS NOT NULL),
+      prvs AS (SELECT p.contig, p.s, p.e, string_agg(p.x, ';' ORDER BY p.x) AS prev FROM prv p LEFT JOIN syms y ON y.contig = p.contig AND y.s = p.s AND y.e = p.e {"WHERE NOT list_contains(coalesce(y.xs, []), p.x)" if introns else ""} GROUP BY ALL),
+      base AS (SELECT contig, s, e, {kinds} FROM hit GROUP BY contig, s, e)
+      SELECT b.contig, CAST(b.s AS BIGINT) AS start_pos, CAST(b.e AS BIGINT) AS end_pos, y.xs[1] AS symbol, CASE WHEN len(y.xs) > 1 THEN array_to_string(y.xs[2:], ';') END AS synonyms, p.prev, b.refseq, b.ccds, b.vega, b.mirna, b.other
+      FROM base b LEFT JOIN syms y ON y.contig = b.contig AND y.s = b.s AND y.e = b.e LEFT JOIN prvs p ON p.contig = b.contig AND p.s = b.s AND p.e = b.e"""
+
+
+EXON_ROWS = "SELECT contig, concat(name, '|exon_', exon_id, '|gene') AS label, name, symbol, s0, e0 FROM mexons"
+INTRON_ROWS = "SELECT contig, concat(name, '|intron_', intron_id, '|gene') AS label, name, symbol, s0, e0 FROM mintrons"
 
 
 def _split(lower: int, upper: int, factor: float) -> str:

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import depth, genes, runs, stats, uniformity
+from ..operators import annotate, annotation_etl, depth, genes, runs, stats, uniformity
 from ..sources import fixtures, readers, sinks, validate
 from . import reports
 from ..storage import shared_dir
@@ -201,6 +201,32 @@ def write_wig(spark, sf_dir):
     return back.groupBy("set_id").agg(F.count_if(head).alias("regions"), F.count_if(~head).alias("bases"), F.sum(F.when(~head, F.col("value").try_cast("bigint"))).alias("depths"))
 
 
+@query
+def region_report(spark, sf_dir):
+    """Low and high regions of the genome, annotated with exons and introns of all sources and with the genes' other names, written
+    as the 13-column report and read back by line."""
+    p = Place(spark, sf_dir)
+    rle = p.rle()
+    regions = runs.low_runs(rle, 20, (), WIDTH).unionByName(runs.high_runs(rle, 60, (), WIDTH))
+    exons = annotation_etl.exon_rows(p.models).select("contig", "start", "end", F.coalesce("symbol", F.lit(".")).alias("gene"), F.col("name").alias("transcript"), "exon_id", F.lit("gene").alias("type"))
+    names = p.genes.select(F.col("symbol").alias("gene"), F.split("alias", ",").alias("synonyms"), F.array_compact(F.array("prev")).alias("prev"))
+    found = annotate.annotate(regions, annotate.annotated_exons(exons), annotation_etl.introns(p.models), synonyms=names)
+    sinks.write_regions(found, p.path("regions"), p.contigs)
+    return _spans(readers.region_reports(spark, p.path("regions")))
+
+
+@query
+def annotation_tables(spark, sf_dir):
+    """The exon table written in a folder for each contig and read for some contigs only, with the preferred names of its models."""
+    p = Place(spark, sf_dir)
+    sinks.write_annotation(annotation_etl.exon_table(p.models, p.genes), p.path("exons"))
+    wanted = p.contigs.filter("ordinal % 2 = 0").select("contig")
+    some = readers.annotation_table(spark, p.path("exons")).join(F.broadcast(wanted), "contig")
+    counts = some.groupBy("contig").agg(F.count("*").alias("n"), F.sum("start").alias("starts"), F.sum("end").alias("ends"), F.count("synonyms").alias("with_synonyms"))
+    names = readers.preferred_transcripts(p.models, "name").agg(F.count("*").alias("names"))
+    return counts.join(F.broadcast(names))
+
+
 @query
 def gene_transcripts(spark, sf_dir):
     return genes.gene_transcripts(Place(spark, sf_dir).cds)

@@ -54,7 +54,7 @@ SELECT CAST(user_id % 8 AS INT) AS sample_id, c.contig, CAST((event_id * 7919) %
 FROM {events} JOIN ({contigs}) c ON c.ordinal = event_id % 6"""
 
 GENE_MODEL = """
-SELECT concat('NM_', s_suppkey % 40) AS name, contig, CASE WHEN s_suppkey % 2 = 0 THEN '+' ELSE '-' END AS strand, t0 AS tx_start, t0 + n * 300 + 120 AS tx_end,
+SELECT {name} AS name, contig, CASE WHEN s_suppkey % 2 = 0 THEN '+' ELSE '-' END AS strand, t0 AS tx_start, t0 + n * 300 + 120 AS tx_end,
   CASE WHEN s_suppkey % 10 = 9 THEN t0 + n * 300 + 120 ELSE t0 + 40 END AS cds_start, CASE WHEN s_suppkey % 10 = 9 THEN t0 + n * 300 + 120 ELSE t0 + n * 300 + 80 END AS cds_end,
   n + 1 AS exon_count, {exon_starts} AS exon_starts, {exon_ends} AS exon_ends, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_name END AS symbol
 FROM (SELECT s_suppkey, s_name, c.contig, CAST((s_suppkey * 731) % (c.length - 2000) AS INT) AS t0, CAST(s_suppkey % 4 AS INT) + 1 AS n FROM {supplier} JOIN ({contigs}) c ON c.ordinal = s_suppkey % 6) s"""
@@ -63,6 +63,14 @@ REGISTRY = """
 SELECT s_suppkey AS hgnc_id, concat('G', s_suppkey) AS symbol, CASE WHEN s_suppkey % 2 = 1 THEN NULL ELSE concat('P', s_suppkey) END AS prev,
   concat('NM_', s_suppkey % 40, ',NM_', (s_suppkey + 1) % 40) AS refseq FROM {supplier}"""
 
+#: The gene models again, with names of all kinds, and a registry with lists of each.
+MODEL_NAMES = """concat(CASE s_suppkey % 8 WHEN 0 THEN 'NM_' WHEN 1 THEN 'XR_' WHEN 2 THEN 'CCDS' WHEN 3 THEN 'ENST0' WHEN 4 THEN 'OTTHUMT0' WHEN 5 THEN 'uc0' WHEN 6 THEN 'hsa-mir-' ELSE 'pseudo' END, s_suppkey % 40, CASE WHEN s_suppkey % 8 = 3 THEN '.2' ELSE '' END)"""
+
+GENES = """
+SELECT s_suppkey AS hgnc_id, s_name AS symbol, concat('A', s_suppkey % 30, ',Supplier#', lpad(CAST(s_suppkey + 6 AS STRING), 9, '0')) AS alias, CASE WHEN s_suppkey % 3 = 1 THEN NULL ELSE concat('P', s_suppkey % 50) END AS prev,
+  concat('ENST0', s_suppkey % 40) AS ensembl, concat('OTTHUMT0', s_suppkey % 40, ',OTTHUMT0', (s_suppkey + 2) % 40) AS vega, concat('uc0', s_suppkey % 40) AS ucsc, concat('NM_', s_suppkey % 40, ',XR_', (s_suppkey + 1) % 40) AS refseq,
+  CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE concat('CCDS', s_suppkey % 40) END AS ccds, concat('hsa-mir-', s_suppkey % 40) AS mirbase FROM {supplier}"""
+
 _SPARK = {
     "start": "`start`", "end": "`end`",
     "exon_starts": "transform(sequence(0, n), k -> t0 + k * 300)", "exon_ends": "transform(sequence(0, n), k -> t0 + k * 300 + 120)",
@@ -73,7 +81,7 @@ _DUCKDB = {
     "exon_starts": "list_transform(range(0, n + 1), lambda k: t0 + k * 300)", "exon_ends": "list_transform(range(0, n + 1), lambda k: t0 + k * 300 + 120)",
     "more": ", row_number() OVER () AS read_id, list_transform(range(0, n), lambda i: CAST((pk * 31 + i * 17) % 42 AS TINYINT)) AS quals",
 }
-NAMES = {"contigs": CONTIGS, "alignments": ALIGNMENTS, "targets": TARGETS, "n_regions": N_REGIONS, "cds": CDS, "sample_regions": SAMPLE_REGIONS, "gene_model": GENE_MODEL, "registry": REGISTRY}
+NAMES = {"contigs": CONTIGS, "alignments": ALIGNMENTS, "targets": TARGETS, "n_regions": N_REGIONS, "cds": CDS, "sample_regions": SAMPLE_REGIONS, "gene_model": GENE_MODEL, "registry": REGISTRY, "models": GENE_MODEL, "genes": GENES}
 
 
 def sql(name: str, spark: bool = False, scale: str | None = None) -> str:
@@ -83,7 +91,7 @@ def sql(name: str, spark: bool = False, scale: str | None = None) -> str:
     contigs = CONTIGS.format(scale=scale or f"(SELECT greatest(1, count(*) // {READS}) FROM lineitem)")
     places = PLACES.format(**tables, contigs=contigs)
     spread = f"/*+ REPARTITION({scale}) */ " if spark else ""
-    return NAMES[name].format(**words, **tables, scale=scale, spread=spread, contigs=contigs, places=places, targets=TARGETS.format(**words, contigs=contigs, places=places)) if name != "contigs" else contigs
+    return NAMES[name].format(**words, **tables, name=MODEL_NAMES if name == "models" else "concat('NM_', s_suppkey % 40)", scale=scale, spread=spread, contigs=contigs, places=places, targets=TARGETS.format(**words, contigs=contigs, places=places)) if name != "contigs" else contigs
 
 
 _scales: dict[str, int] = {}

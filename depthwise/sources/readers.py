@@ -117,8 +117,10 @@ def annotations(spark: SparkSession, path) -> DataFrame:
 
 
 def manifest_lines(spark: SparkSession, manifest) -> list[list[str]]:
-    """[target] or [target, annotation] of each line of a manifest, tab-separated; it is read by the driver."""
-    lines = [r.value.rstrip("\r").split("\t") for r in spark.read.text(manifest).collect() if r.value.strip() and not r.value.startswith("#")]
+    """[target] or [target, annotation] of each line of a manifest; it is read by the driver. If any line has a tab, tabs separate
+    and names may have spaces, else spaces do."""
+    texts = [r.value.rstrip("\r") for r in spark.read.text(manifest).collect() if r.value.strip() and not r.value.startswith("#")]
+    lines = [x.split("\t") for x in texts] if any("\t" in x for x in texts) else [x.split() for x in texts]
     if any(not x[0].strip() for x in lines):
         raise ValueError("an annotation file without a target file in the manifest")
     if len({x[0] for x in lines}) < len(lines):
@@ -152,7 +154,8 @@ def target_sets(spark: SparkSession, manifest) -> tuple[DataFrame, DataFrame | N
 
 
 def annotation_table(spark: SparkSession, path: str | None = None, contig: str | None = None, **jdbc) -> DataFrame:
-    """An annotation table from Parquet, or from a database with the options of the JDBC source; a contig is a pushed filter."""
+    """An annotation table from Parquet, or from a database with the options of the JDBC source; a contig is a pushed filter. A
+    table of write_annotation that is joined by contig is read for the contigs of the other side only."""
     df = spark.read.parquet(path) if path else spark.read.format("jdbc").options(**jdbc).load()
     return df if contig is None else df.filter(F.col("contig") == contig)
 
@@ -193,6 +196,15 @@ def low_coverage_reports(spark: SparkSession, path, folders: bool = False) -> Da
     return rows.select(F.element_at(F.split(F.input_file_name(), "/"), -2 if folders else -1).alias("sample_id"), "contig", "start", "end")
 
 
+def region_reports(spark: SparkSession, path) -> DataFrame:
+    """(line, 13 columns) of region reports, in the order of their lines; dots are nulls."""
+    names = ("contig", "start", "end", "length", "mean_depth", "genes", "synonyms", "prev", "refseq", "ccds", "vega", "mirna", "other")
+    rows = with_line_numbers(spark.read.text(path), "line").filter(~F.col("value").startswith("#"))
+    fields = F.split("value", "\t")
+    value = lambda k: F.when(F.get(fields, F.lit(k)) != ".", F.get(fields, F.lit(k)))
+    return rows.select("line", *(value(k).cast("bigint" if 0 < k < 5 else "string").alias(c) for k, c in enumerate(names)))
+
+
 def coverage_blocks(spark: SparkSession, path, contig: str | None = None) -> DataFrame:
     rows = _tsv(spark, path, BED + ", length int, mean_depth bigint")
     return rows if contig is None else rows.filter(F.col("contig") == contig)

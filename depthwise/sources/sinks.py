@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from ..operators.depth import base_depth
 from ..operators.intervals import clipped_to_bins, overlap_join
 
-#: Columns of the region report.
+#: Columns of the region report, and its header.
 REGION_COLUMNS = ("contig", "start", "end", "length", "mean_depth", "genes", "synonyms", "prev", "refseq", "ccds", "vega", "mirna", "other")
 
+REGION_HEADER = ("Chr", "Start", "End", "Length", "Coverage", "Gene_Symbol", "Synonyms", "Prev_Gene_Symbol", "RefSeq", "CCDS", "VEGA", "miRNA", "Others (SNP, Pseudo-Gene etc.)")
+
 
 def depth_lines(rle: DataFrame, values: int = 100) -> DataFrame:
     """(contig, line, text): depths of the bases, `values` on a line, joined by spaces."""
@@ -44,10 +46,19 @@ def dotted(df: DataFrame) -> DataFrame:
     return df.select(*(F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) == "", ".").otherwise(F.col(c).cast("string")).alias(c) for c in df.columns))
 
 
-def write_regions(rows: DataFrame, path: str) -> None:
-    """The 13-column region report, in order of place; columns that rows lack are dots."""
+def write_regions(rows: DataFrame, path: str, contigs: DataFrame | None = None) -> None:
+    """The 13-column region report as text, in order of contig (as in `contigs`, else by name), start and end over all files in
+    order of their names, with one header line; columns that rows lack, nulls and empty values are dots. Sorted by range
+    partitions, each of which writes one file."""
     full = rows.select(*(F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in REGION_COLUMNS))
-    dotted(full.orderBy("contig", "start", "end")).write.csv(path, sep="\t", header=True)
+    if contigs is not None:
+        full = full.join(F.broadcast(contigs.select("contig", "ordinal")), "contig")  # a row for each contig
+    place = [F.col("ordinal" if contigs is not None else "contig").alias("a"), F.col("start").cast("bigint").alias("b"), F.col("end").cast("bigint").alias("c")]
+    text = lambda c: F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) == "", ".").otherwise(F.col(c).cast("string"))
+    lines = full.select(*place, F.concat_ws("\t", *map(text, REGION_COLUMNS)).alias("value"))
+    kinds = ", ".join(f"{c} {k}" for c, k in lines.dtypes)
+    head = rows.sparkSession.createDataFrame([(None, None, None, "##" + "\t".join(REGION_HEADER))], kinds)  # nulls sort first
+    lines.unionByName(head).repartitionByRange("a", "b", "c").sortWithinPartitions("a", "b", "c").select("value").write.text(path)
 
 
 def write_report(metrics: DataFrame, histogram: DataFrame | None, path: str) -> None:
@@ -76,5 +87,9 @@ def write_wig(hot: DataFrame, rle: DataFrame, path: str) -> None:
     wig_lines(hot, rle).select("set_id", "text").write.partitionBy("set_id").text(path)
 
 
-def write_annotation(rows: DataFrame, path: str) -> None:
-    rows.repartition("contig").sortWithinPartitions("contig", "start").write.partitionBy("contig").parquet(path)
+def write_annotation(rows: DataFrame, path: str, files: int | None = None) -> None:
+    """An annotation table as Parquet in a folder for each contig, so that readers see the contigs they want only. Rows are dealt by
+    ranges of contig and start, to `files` tasks or as many as the session shuffles to: a large contig is written by several."""
+    place = ["contig", "start"]
+    dealt = rows.repartitionByRange(files, *place) if files else rows.repartitionByRange(*place)
+    dealt.sortWithinPartitions(*place).write.partitionBy("contig").parquet(path)

@@ -5,7 +5,8 @@ from contextlib import contextmanager
 
 import pytest
 
-from depthwise.sources import readers, validate
+from depthwise.operators import annotation_etl, intervals, runs
+from depthwise.sources import readers, sinks, validate
 
 
 @contextmanager
@@ -122,3 +123,76 @@ def test_bad_manifests(spark, tmp_path):
         (tmp_path / "m").write_text(text)
         with pytest.raises(ValueError):
             readers.target_sets(spark, str(tmp_path / "m"))
+
+
+def test_a_region_report_of_many_files_is_in_order(spark, tmp_path):
+    r = random.Random(1)
+    rows = [(c, s, s + 7, 7, k, None if k % 3 else f"G{k}") for k, (c, s) in enumerate((c, s) for c in ("x", "a", "m") for s in r.sample(range(10_000), 150))]
+    df = spark.createDataFrame(rows, "contig string, start int, end int, length int, mean_depth int, genes string").repartition(5)
+    contigs = spark.createDataFrame([("x", 0), ("m", 1), ("a", 2)], "contig string, ordinal int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    sinks.write_regions(df, str(tmp_path / "r"), contigs)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "r").glob("part-*"))) > 2
+    with splits(spark, 700):
+        back = sorted(readers.region_reports(spark, str(tmp_path / "r")).collect(), key=lambda x: x.line)
+    assert [x.line for x in back] == list(range(1, 451))
+    want = sorted(rows, key=lambda x: ("xma".index(x[0]), x[1]))
+    assert [(x.contig, x.start, x.end, x.length, x.mean_depth, x.genes) for x in back] == want and back[0].other is None
+
+
+def test_annotation_tables_are_written_by_ranges_and_pruned(spark, tmp_path):
+    rows = spark.range(3000).selectExpr("concat('c', id % 2) as contig", "cast(id as int) as start", "cast(id + 5 as int) as end")
+    sinks.write_annotation(rows, str(tmp_path / "t"), 6)
+    assert all(len(list((tmp_path / "t" / f"contig=c{k}").glob("*.parquet"))) > 1 for k in (0, 1))
+    wanted = spark.createDataFrame([("c1", 5), ("c0", 1)], "contig string, n int").filter("n > 3")
+    got = readers.annotation_table(spark, str(tmp_path / "t")).join(wanted.hint("broadcast"), "contig")
+    assert got.count() == 1500 and "dynamicpruning" in got._jdf.queryExecution().executedPlan().toString().lower()
+    assert readers.annotation_table(spark, str(tmp_path / "t"), "c0").count() == 1500
+
+
+def test_exon_table_columns(spark):
+    models = spark.createDataFrame(
+        [("NM_1-2", "c", "+", 0, 20, 0, 20, 1, [0], [20], "S9"), ("ENST7.3", "c", "+", 10, 30, 10, 30, 1, [10], [30], None), ("hsa-mir-21", "c", "-", 10, 20, 10, 20, 1, [10], [20], "."), ("odd", "c", "+", 25, 30, 25, 30, 1, [25], [30], "B")],
+        "name string, contig string, strand string, tx_start int, tx_end int, cds_start int, cds_end int, exon_count int, exon_starts array<int>, exon_ends array<int>, symbol string",
+    )
+    registry = spark.createDataFrame([(1, "S1", "P1", "NM_1,NM_2", "ENST7", "hsa-mir-21"), (2, "S2", "P1", "NM_1", None, None), (3, "S0", None, None, "ENST7", "hsa-mir")], "hgnc_id int, symbol string, prev string, refseq string, ensembl string, mirbase string")
+    got = {(r.start, r.end): tuple(r)[3:] for r in annotation_etl.exon_table(models, registry).collect()}
+    assert got == {
+        (0, 10): ("S1", "S2;S9", "P1", "NM_1-2|exon_0|gene", None, None, None, None),
+        (10, 20): ("S0", "S1;S2;S9", "P1", "NM_1-2|exon_0|gene", None, "ENST7.3|exon_0|gene", "hsa-mir-21|exon_0|gene", None),
+        (20, 25): ("S0", "S1", "P1", None, None, "ENST7.3|exon_0|gene", None, None),
+        (25, 30): ("B", "S0;S1", "P1", None, None, "ENST7.3|exon_0|gene", None, "odd|exon_0|gene"),
+    }
+
+
+@pytest.mark.parametrize("n,width", [(5, 8), (130, 16), (64, 1000), (0, 8)])
+def test_sets_of_many_samples(spark, n, width):
+    r = random.Random(n)
+    rows = [(f"s{k:03d}", c, s, s + r.randint(1, 30)) for k in range(n) for c in "cd" for s in (r.randrange(60) for _ in range(3))]
+    df = spark.createDataFrame(rows, "sample_id string, contig string, start int, end int").repartition(4)
+    got = sorted((x.contig, x.start, x.end, x.n_samples, tuple(x.samples)) for x in intervals.multi_sets(df, width=width).collect())
+    want = []
+    for c in "cd":
+        for p in range(100):
+            names = tuple(sorted({s for s, k, a, b in rows if k == c and a <= p < b}))
+            if names and want and want[-1][0] == c and want[-1][2] == p and want[-1][4] == names:
+                want[-1] = (c, want[-1][1], p + 1, len(names), names)
+            elif names:
+                want.append((c, p, p + 1, len(names), names))
+    assert got == want
+    count = sorted((x.contig, x.start, x.end, x.n_samples) for x in intervals.multi_depth(df, width=width).collect())
+    assert sum((e - s) * k for _, s, e, k in count) == sum((e - s) * k for _, s, e, k, _ in want)
+
+
+def test_off_target_of_many_sets(spark):
+    """A hundred sets, each with a target of its own: a base is free for the sets before the lowest that covers it."""
+    rle = spark.createDataFrame([("c", k, k * 100, (k + 1) * 100, 30) for k in range(20)], "contig string, bin int, start int, end int, depth int")
+    targets = spark.createDataFrame([(k, "c", 17 * k + 5, 17 * k + 10) for k in range(100)], "set_id int, contig string, start int, end int")
+    got = {}
+    for x in runs.off_target(rle, targets, 20, 2, 100).collect():
+        got.setdefault(x.set_id, []).append((x.start, x.end))
+    for k in range(100):
+        free = [p for p in range(2000) if not any(17 * j + 3 <= p < 17 * j + 13 for j in range(k + 1))]
+        edges = [p for p in free if p - 1 not in set(free)]
+        assert sorted(s for s, _ in got[k]) == edges

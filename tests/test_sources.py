@@ -89,7 +89,7 @@ def test_sinks(spark, tmp_path):
     sinks.write_wig(hot, rle, f"{tmp_path}/wig")
     sinks.write_regions(spark.createDataFrame([("c", 1, 5, 4, 2, None)], "contig string, start int, end int, length int, mean_depth int, genes string"), f"{tmp_path}/regions")
     lines = [r.value for r in spark.read.text(f"{tmp_path}/regions").collect()]
-    assert lines[0].split("\t") == list(sinks.REGION_COLUMNS) and lines[1] == "c\t1\t5\t4\t2" + "\t." * 8
+    assert lines[0] == "##" + "\t".join(sinks.REGION_HEADER) and lines[1] == "c\t1\t5\t4\t2" + "\t." * 8
     metrics = spark.createDataFrame([("Average_Coverage", 12.5)], "metric string, value double")
     sinks.write_report(metrics, spark.createDataFrame([(0, 4), (1, 2)], "depth int, n_bases long"), f"{tmp_path}/report")
     assert sorted(r.value for r in spark.read.text(f"{tmp_path}/report").collect()) == [">>4,2", "Average_Coverage\t12.500"]
