@@ -1,6 +1,7 @@
 """Fingerprints and line windows against plain second versions."""
 
 import random
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -53,22 +54,78 @@ def test_fingerprint(n):
         assert fuzzy_hash.fingerprint(text) == plain_fingerprint(text)
 
 
+def plain_runs(size, threshold):
+    """Lines that some window of enough text covers, windows next to each other together, without weightless lines at the edges."""
+    strong = [k for k in range(len(size)) if sum(size[k : k + html_text.WINDOW]) >= threshold]
+    stretches = []
+    for k in strong:
+        if stretches and stretches[-1][-1] == k - 1:
+            stretches[-1].append(k)
+        else:
+            stretches.append([k])
+    out = []
+    for s in stretches:
+        covered = [k for k in range(s[0], min(s[-1] + html_text.WINDOW, len(size))) if size[k]]
+        if covered and out and covered[0] < out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], covered[-1] + 1))
+        elif covered:
+            out.append((covered[0], covered[-1] + 1))
+    return out
+
+
 def test_runs():
-    """A run of lines starts at the first with text and ends before as many empty ones as the window has."""
     r = np.random.default_rng(2)
+    for _ in range(500):
+        size = [int(x) if r.random() < 0.5 else 0 for x in r.integers(1, 40, int(r.integers(0, 25)))]
+        for threshold in (1, 10, 45, 200):
+            assert html_text.runs(size, threshold) == plain_runs(size, threshold)
+
+
+class Reader(HTMLParser):
+    """Lines of well-formed markup by the library's own parser: text, characters outside links, distribution."""
+
+    def __init__(self):
+        super().__init__()
+        self.open, self.lines, self.text, self.free = [], [], "", ""
+
+    def end(self):
+        text = " ".join(self.text.split())
+        if text:
+            kinds = [k for _, k in self.open if k is not None]
+            kind = 2 if "x" in kinds else kinds[-1] if kinds else 1
+            self.lines.append((text, kind))
+        self.text = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("b", "i", "a", "span"):
+            return
+        self.end()
+        names = dict(attrs).get("class") or ""
+        kind = "x" if "comments" in names else 2 if tag in ("nav", "footer", "aside") or "site-nav" in names or "ad" in names.split() else 0 if tag == "article" else None
+        self.open.append((tag, kind))
+
+    def handle_endtag(self, tag):
+        if tag in ("b", "i", "a", "span"):
+            return
+        self.end()
+        self.open.pop()
+
+    def handle_data(self, data):
+        self.text += data
+
+
+def test_lines_of_a_page():
+    r = random.Random(6)
+
+    def element(depth):
+        if depth == 0 or r.random() < 0.2:
+            inner = "".join(r.choice(["word ", "a &amp; b ", "<b>bold</b> ", "<a href='x'>link</a> ", "\n ", "é&lt;p&gt; "]) for _ in range(r.randint(0, 6)))
+            return f"<p>{inner}</p>"
+        tag, attributes = r.choice([("div", ""), ("div", " class='ad'"), ("div", ' class="site-nav x"'), ("section", " class=comments"), ("article", ""), ("nav", ""), ("aside", ""), ("footer", ""), ("div", " class='adventure'"), ("ul", "")])
+        return f"<{tag}{attributes}>" + "".join(element(depth - 1) for _ in range(r.randint(0, 4))) + f"</{tag}>"
+
     for _ in range(300):
-        size = [int(x) for x in r.integers(1, 9, int(r.integers(0, 25))) * (r.random() < 0.9) * (r.random(25)[: 1] < 2)]
-        size = [x if r.random() < 0.5 else 0 for x in size]
-        want, start, empty = [], None, 0
-        for k, x in enumerate(size):
-            if x:
-                start, empty = (k if start is None else start), 0
-            elif start is not None:
-                empty += 1
-                if empty == html_text.WINDOW:
-                    want.append((start, k - empty + 1))
-                    start = None
-        if start is not None:
-            want.append((start, len(size)))
-        got = html_text.runs(size)
-        assert [(a, max(k for k in range(a, b) if size[k]) + 1) for a, b in got] == [(a, max(k for k in range(a, b) if size[k]) + 1) for a, b in want]
+        page = "<body>" + "".join(element(4) for _ in range(4)) + "</body>"
+        reader = Reader()
+        reader.feed(page)
+        assert [(text, kind) for text, _, kind, _ in html_text.lines(page)] == reader.lines
