@@ -225,12 +225,12 @@ def _files() -> dict[str, str]:
             UNION ALL SELECT 'contig comes again', o.contig, s0, e0 FROM o JOIN f ON f.gene = o.gene AND f.contig = o.contig WHERE c1 <> o.contig AND nr > nr0
             UNION ALL SELECT 'empty interval', contig, s0, e0 FROM o WHERE s0 >= e0 UNION ALL SELECT 'too few fields', contig, s0, e0 FROM o WHERE len(string_split(a, '|')) < 3)
           SELECT problem, contig, count(*) AS n, CAST(sum(s0) AS BIGINT) AS starts, CAST(sum(e0) AS BIGINT) AS ends FROM x GROUP BY ALL""",
-        "read_coverage_blocks": f"""{_with('depth')}, b AS (SELECT contig, start_pos, end_pos, {MEAN} AS m FROM ({_runs("(SELECT * FROM depth WHERE contig = 'chr2')", 'contig', CLASS30, 'd')})),
-          t AS (SELECT 'a' AS sample_id, * FROM b UNION ALL SELECT 'b', * FROM b WHERE m > 0), g AS (SELECT *, lag(end_pos) OVER (PARTITION BY sample_id ORDER BY start_pos) AS prev FROM t)
-          SELECT sample_id, contig, start_pos AS pos, CASE WHEN m > 200 THEN 198 ELSE m END AS value FROM t UNION ALL SELECT sample_id, contig, unnest(range(prev, start_pos, 2000)), 0 FROM g WHERE prev < start_pos""",
-        "read_summary_reports": f"""WITH w AS ({_wgs_summary()}), h AS ({_with('depth')} SELECT least(d, 1000) AS x, count(*) AS n FROM depth GROUP BY ALL),
+        "read_coverage_blocks": f"""SELECT * FROM (WITH t AS ({_cohort(f"""{_with('depth')} SELECT contig, start_pos, end_pos, {MEAN} AS m FROM ({_runs("(SELECT * FROM depth WHERE contig = 'chr2')", 'contig', CLASS30, 'd')})""")}),
+          k AS (SELECT * FROM t WHERE m > 0 OR sample <> 's1'), g AS (SELECT *, lag(end_pos) OVER (PARTITION BY sample ORDER BY start_pos) AS prev FROM k)
+          SELECT sample, contig, start_pos AS pos, CASE WHEN m > 200 THEN 198 ELSE m END AS value FROM k UNION ALL SELECT sample, contig, unnest(range(prev, start_pos, 2000)), 0 FROM g WHERE prev < start_pos)""",
+        "read_summary_reports": _cohort(f"""WITH w AS ({_wgs_summary()}), h AS ({_with('depth')} SELECT least(d, 1000) AS x, count(*) AS n FROM depth GROUP BY ALL),
           lim AS (SELECT CASE WHEN value <= 30 THEN 60 WHEN value <= 55 THEN 100 WHEN value <= 80 THEN 150 WHEN value <= 120 THEN 200 WHEN value <= 160 THEN 250 ELSE 300 END AS k FROM w WHERE metric = 'Average_Coverage')
-          SELECT metric, round(value, 3) AS value FROM w UNION ALL SELECT concat('depth_', r.k), round(coalesce(h.n, 0) * 100.0::DOUBLE / (SELECT sum(n) FROM h), 6) FROM (SELECT unnest(range(0, (SELECT k + 1 FROM lim))) AS k) r LEFT JOIN h ON h.x = r.k""",
+          SELECT metric, round(value, 3) AS value FROM w UNION ALL SELECT concat('depth_', r.k), round(coalesce(h.n, 0) * 100.0::DOUBLE / (SELECT sum(n) FROM h), 6) FROM (SELECT unnest(range(0, (SELECT k + 1 FROM lim))) AS k) r LEFT JOIN h ON h.x = r.k"""),
     }
 
 
@@ -246,7 +246,8 @@ def oracle_sql() -> dict[str, str]:
         "wgs_histogram": f"{_with('depth')} SELECT CAST(r.k AS BIGINT) AS depth, count(d.d) AS n_bases FROM (SELECT unnest(range(0, 1001)) AS k) r LEFT JOIN depth d ON least(d.d, 1000) = r.k GROUP BY r.k",
         "wgs_summary": _wgs_summary(),
         "depth_summary": f"{_with('depth')} SELECT {GENOME} AS bases, CAST(sum(d) AS BIGINT) AS sum_depth, sum(d) / {GENOME} AS mean_depth, max(m.median) AS median_depth, max(d) AS max_depth, (SELECT count(*) FROM depth WHERE d = (SELECT max(d) FROM depth)) AS bases_at_max FROM depth, ({_median('depth', '', f'floor({GENOME} / 2)', 'FILTER (NOT in_n)')}) m",
-        "n_region_bases": f"{_with('in_n')} SELECT count(*) AS n_total, count(*) FILTER (contig = 'chrX') AS n_x, count(*) FILTER (contig = 'chrY') AS n_y FROM in_n",
+        "n_region_bases": f"""{_with('in_n', 'tpos')}, x AS (SELECT -1 AS set_id, contig FROM in_n UNION ALL SELECT set_id, contig FROM tpos)
+          SELECT set_id, count(*) AS n_total, count(*) FILTER (contig = 'chrX') AS n_x, count(*) FILTER (contig = 'chrY') AS n_y FROM x GROUP BY set_id""",
         "read_stats": f"{_with('counts')} {_union(_read_rows(), 'counts')}",
         "read_stats_by_contig": f"""{_with('al')}, x AS (SELECT *, flag & 4 = 0 AND mapq >= 10 AND flag & 512 = 0 AND flag & 256 = 0 AS good FROM al)
           SELECT contig, count(*) AS reads_produced, count(*) FILTER (good) AS reads_aligned, count(*) FILTER (good AND flag & 1 > 0) AS reads_paired, count(*) FILTER (good AND flag & 1 > 0 AND flag & 8 = 0) AS paired_with_mapped_mate, count(*) FILTER (good AND flag & 1024 > 0) AS duplicate_reads,

@@ -27,11 +27,6 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return fixtures.table(*self._at, name)
 
-    def cohort(self) -> reports.Sample:
-        """Three samples, told apart by the order's number."""
-        reads_of = self.alignments.withColumn("sample", F.concat(F.lit("s"), (F.col("ok") % 3).cast("string")))
-        return reports.Sample(reads_of, self.contigs, self.n_regions, width=WIDTH, by=("sample",))
-
     def sample(self, **options) -> reports.Sample:
         return reports.Sample(self.alignments, self.contigs, self.n_regions, ReadOptions(**options), WIDTH)
 
@@ -69,8 +64,10 @@ def depth_summary(spark, sf_dir):
 
 @query
 def n_region_bases(spark, sf_dir):
+    """Bases of the N regions (set -1) and of the targets of each set inside the contigs, and on the sex contigs."""
     t = Tables(spark, sf_dir)
-    return depth.n_bases(t.n_regions, t.contigs)
+    regions = t.targets.select("set_id", "contig", "start", "end").unionByName(t.n_regions.select(F.lit(-1).alias("set_id"), "contig", "start", "end"))
+    return depth.n_bases(regions, t.contigs, ["set_id"])
 
 
 @query
@@ -331,25 +328,25 @@ def preferred_gene_pct(spark, sf_dir):
 
 @query
 def cohort_wgs_summary(spark, sf_dir):
-    return reports.wgs_summary(Tables(spark, sf_dir).cohort())
+    return reports.wgs_summary(roundtrips.Place(spark, sf_dir).cohort())
 
 
 @query
 def cohort_capture_summary(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return reports.capture_summary(t.cohort(), t.targets)
+    return reports.capture_summary(roundtrips.Place(spark, sf_dir).cohort(), t.targets)
 
 
 @query
 def cohort_uniformity_metric(spark, sf_dir):
-    return reports.uniformity_metric(Tables(spark, sf_dir).cohort()).withColumns({c: F.col(c).cast("bigint") for c in ("mode", "peak_area", "total_area")})
+    return reports.uniformity_metric(roundtrips.Place(spark, sf_dir).cohort()).withColumns({c: F.col(c).cast("bigint") for c in ("mode", "peak_area", "total_area")})
 
 
 @query
 def cohort_gene_pct(spark, sf_dir):
     t = Tables(spark, sf_dir)
     by = ["sample"]
-    return genes.gene_coverage(genes.transcript_coverage(reports.cds_report(t.cohort(), t.targets, t.cds), by), by)
+    return genes.gene_coverage(genes.transcript_coverage(reports.cds_report(roundtrips.Place(spark, sf_dir).cohort(), t.targets, t.cds), by), by)
 
 
 @query

@@ -42,6 +42,11 @@ class Place:
         rows.write.text(self.path(name))
         return self.path(name)
 
+    def cohort(self) -> reports.Sample:
+        """Three samples, told apart by the order's number."""
+        reads_of = self.alignments.withColumn("sample", F.concat(F.lit("s"), (F.col("ok") % 3).cast("string")))
+        return reports.Sample(reads_of, self.contigs, self.n_regions, width=WIDTH, by=("sample",))
+
     def rle(self) -> DataFrame:
         return reports.Sample(self.alignments, self.contigs, self.n_regions, width=WIDTH).depth()
 
@@ -140,27 +145,26 @@ def read_region_reports(spark, sf_dir):
 
 @query
 def read_coverage_blocks(spark, sf_dir):
-    """Blocks written as a report and read back for one contig, as the plot series of two samples."""
+    """Blocks of three samples written as reports and read back for one contig, as the samples' plot series."""
     p = Place(spark, sf_dir)
-    found = uniformity.classed_blocks(p.rle(), 1, 30, (), WIDTH)
-    at = p.tsv(found.select("contig", "start", "end", "length", "mean_depth"), "blocks")
-    back = readers.coverage_blocks(spark, at, "chr2")
-    two = back.select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("sample_id"), "*").filter("sample_id = 'a' or mean_depth > 0")
-    return uniformity.compare_samples(two, "chr2")
+    found = uniformity.classed_blocks(p.cohort().rle(), 1, 30, ["sample"], WIDTH)
+    found.select("sample", "contig", "start", "end", "length", "mean_depth").write.partitionBy("sample").csv(p.path("blocks"), sep="\t")
+    back = readers.coverage_blocks(spark, p.path("blocks"), "chr2")
+    return uniformity.compare_samples(back.filter("mean_depth > 0 or sample <> 's1'"), "chr2", "sample")
 
 
 @query
 def read_summary_reports(spark, sf_dir):
-    """Report and histogram written for a sample, read back: metrics, and shares of the depths up to the axis limit."""
+    """Reports and histograms written for three samples, read back: metrics, and shares of the depths up to the axis limit."""
     p = Place(spark, sf_dir)
-    s = reports.Sample(p.alignments, p.contigs, p.n_regions, width=WIDTH)
-    counts = stats.depth_counts(s.depth())
-    sinks.write_report(reports.wgs_summary(s), stats.histogram(counts), p.path("report"))
-    metrics, numbers = readers.summary_reports(spark, p.path("report"))
-    one = F.lit("s").alias("sample_id")
-    average = metrics.filter("metric = 'Average_Coverage'").select(one, F.col("value").alias("average"))
-    shares = readers.histogram_shares(numbers.filter("not smoothed").select(one, "depth", "n_bases"), average)
-    return metrics.select("metric", "value").unionByName(shares.select(F.concat(F.lit("depth_"), F.col("depth").cast("string")).alias("metric"), F.round("pct", 6).alias("value")))
+    s = p.cohort()
+    counts = stats.depth_counts(s.depth(), ["sample"])
+    sinks.write_reports(reports.wgs_summary(s), stats.histogram(counts, ["sample"]), "sample", p.path("report"))
+    metrics, numbers = readers.summary_reports(spark, p.path("report") + "/*", folders=True)
+    average = metrics.filter("metric = 'Average_Coverage'").select("sample_id", F.col("value").alias("average"))
+    shares = readers.histogram_shares(numbers.filter("not smoothed").select("sample_id", "depth", "n_bases"), average)
+    depths = shares.select("sample_id", F.concat(F.lit("depth_"), F.col("depth").cast("string")).alias("metric"), F.round("pct", 6).alias("value"))
+    return metrics.unionByName(depths).select(F.regexp_replace("sample_id", "^sample=", "").alias("sample"), "metric", "value")
 
 
 @query

@@ -206,14 +206,15 @@ def region_reports(spark: SparkSession, path) -> DataFrame:
 
 
 def coverage_blocks(spark: SparkSession, path, contig: str | None = None) -> DataFrame:
+    """(contig, start, end, length, mean_depth) of block reports; folders <name>=<sample> below the path give a further column."""
     rows = _tsv(spark, path, BED + ", length int, mean_depth bigint")
     return rows if contig is None else rows.filter(F.col("contig") == contig)
 
 
-def summary_reports(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
+def summary_reports(spark: SparkSession, path, folders: bool = False) -> tuple[DataFrame, DataFrame]:
     """Of many samples' summary reports: (sample_id, metric, value), and (sample_id, smoothed, depth, n_bases) from the histogram
-    lines (>> as counted, == smoothed)."""
-    lines = spark.read.text(path).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("sample_id"), "value")
+    lines (>> as counted, == smoothed). The sample is the name of the file, or of its folder."""
+    lines = spark.read.text(path).select(F.element_at(F.split(F.input_file_name(), "/"), -2 if folders else -1).alias("sample_id"), "value")
     metrics = lines.filter(F.col("value").rlike("^[^#>=\t]+\t")).select("sample_id", F.split("value", "\t")[0].alias("metric"), F.regexp_replace(F.split("value", "\t")[1], "%", "").try_cast("double").alias("value"))
     numbers = lines.filter(F.col("value").rlike("^(>>|==)"))
     items = F.filter(F.split(F.substr("value", F.lit(3)), ","), lambda x: x != "")
@@ -222,7 +223,7 @@ def summary_reports(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
 
 def histogram_shares(histogram: DataFrame, average: DataFrame) -> DataFrame:
     """(sample_id, depth, pct) up to the x-axis limit that goes with the sample's average depth (column average)."""
-    limit = F.when(F.col("average") <= 30, 60)
+    limit = F.when(F.col("average") <= 30, 60)  # fixed values: up to such an average, an axis that long
     for mean, end in ((55, 100), (80, 150), (120, 200), (160, 250)):
         limit = limit.when(F.col("average") <= mean, end)
     rows = histogram.withColumn("pct", F.col("n_bases") * 100.0 / F.sum("n_bases").over(Window.partitionBy("sample_id"))).join(F.broadcast(average), "sample_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,13 +63,23 @@ def write_regions(rows: DataFrame, path: str, contigs: DataFrame | None = None)
     lines.unionByName(head).repartitionByRange("a", "b", "c").sortWithinPartitions("a", "b", "c").select("value").write.text(path)
 
 
+def report_lines(metrics: DataFrame, histogram: DataFrame | None, by: Sequence[str] = ()) -> DataFrame:
+    """(by, place, value): metric<TAB>value lines; then the histogram on one line, after >>."""
+    lines = metrics.select(*by, F.lit(0).alias("place"), F.concat_ws("\t", "metric", F.format_string("%.3f", "value")).alias("value"))
+    if histogram is None:
+        return lines
+    values = F.transform(F.array_sort(F.collect_list(F.struct("depth", "n_bases"))), lambda s: s["n_bases"].cast("string"))  # of the capped depths
+    return lines.unionByName(histogram.groupBy(*by).agg(F.lit(1).alias("place"), F.concat(F.lit(">>"), F.array_join(values, ",")).alias("value")))
+
+
 def write_report(metrics: DataFrame, histogram: DataFrame | None, path: str) -> None:
-    """metric<TAB>value lines; then the histogram on one line, after >>."""
-    lines = metrics.select(F.concat_ws("\t", "metric", F.format_string("%.3f", "value")).alias("value"))
-    if histogram is not None:
-        values = F.transform(F.array_sort(F.collect_list(F.struct("depth", "n_bases"))), lambda s: s["n_bases"].cast("string"))
-        lines = lines.unionByName(histogram.agg(F.concat(F.lit(">>"), F.array_join(values, ",")).alias("value")))
-    lines.write.text(path)
+    report_lines(metrics, histogram).select("value").write.text(path)
+
+
+def write_reports(metrics: DataFrame, histogram: DataFrame | None, by: str, path: str) -> None:
+    """The reports of a cohort: a folder <by>=<sample> with one file for each sample."""
+    lines = report_lines(metrics, histogram, [by]).repartition(by).sortWithinPartitions(by, "place")
+    lines.select(by, "value").write.partitionBy(by).text(path)
 
 
 def write_coverage(rows: DataFrame, path: str) -> None:
@@ -75,16 +87,22 @@ def write_coverage(rows: DataFrame, path: str) -> None:
     dotted(rows).write.csv(path, sep="\t", header=True)
 
 
-def wig_lines(hot: DataFrame, rle: DataFrame) -> DataFrame:
-    """(set_id, contig, start, text): a fixedStep header and the depths of each off-target region."""
+def wig_lines(hot: DataFrame, rle: DataFrame, values: int = 1000) -> DataFrame:
+    """(set_id, contig, start, piece, text): the depths of each off-target region, one on a line and at most `values` in a row; the
+    first piece of a region has the fixedStep header."""
     pairs = overlap_join(hot.select("set_id", "contig", "start", "end"), rle.select("contig", "start", "end", "depth"))
-    listed = pairs.withColumnRenamed("b_depth", "depth").groupBy("set_id", "contig", "start").agg(_repeated("lo", "hi", "\n"))
+    piece = lambda at: F.floor((at - F.col("start")) / values).cast("int")
+    low = F.col("start") + F.col("piece") * values
+    cut = pairs.withColumn("piece", F.explode(F.sequence(piece(F.col("lo")), piece(F.col("hi") - 1)))).withColumns({"lo": F.greatest("lo", low), "hi": F.least("hi", low + values)})
+    listed = cut.withColumnRenamed("b_depth", "depth").groupBy("set_id", "contig", "start", "piece").agg(_repeated("lo", "hi", "\n"))
     head = F.concat(F.lit("fixedStep chrom_name="), "contig", F.lit(" start="), F.col("start").cast("string"), F.lit(" step=1"))
-    return listed.select("set_id", "contig", "start", F.concat_ws("\n", head, "text").alias("text"))
+    return listed.select("set_id", "contig", "start", "piece", F.concat_ws("\n", F.when(F.col("piece") == 0, head), "text").alias("text"))
 
 
 def write_wig(hot: DataFrame, rle: DataFrame, path: str) -> None:
-    wig_lines(hot, rle).select("set_id", "text").write.partitionBy("set_id").text(path)
+    """Text files in a folder for each set, regions in order over all files."""
+    place = ["set_id", "contig", "start", "piece"]
+    wig_lines(hot, rle).repartitionByRange(*place).sortWithinPartitions(*place).select("set_id", "text").write.partitionBy("set_id").text(path)
 
 
 def write_annotation(rows: DataFrame, path: str, files: int | None = None) -> None:
