@@ -11,7 +11,9 @@ fixed size that stands in the plan as one small number a bucket. A token is writ
 hash in one number, so that numbers sort by rarity and no join is needed to rank them. Pairs of tokens are much rarer than
 tokens, so that most stand in one line only and go no further. Of the lines just before it and those that come first at its
 pairs, a line is compared with the one that it shares most with, then with the others; a line that is similar to none of them
-goes on to all earlier lines of its pairs, and by then the large families of similar lines are settled.
+goes on to all earlier lines of its pairs, and by then the large families of similar lines are settled. In that last join both
+sides carry bitmaps of their tokens: as many bits as differ, at least so many tokens do, so that pairs beyond what the threshold
+allows are left out within the join.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ SHORTEST = 1
 BUCKETS = 1 << 18
 #: Bounds of broadcast tables, in lines; a line takes a dozen bytes there.
 FEW_LINES = 1_000_000
+#: Words of a line's bitmap, a power of two.
+BITMAP = 4
 _BREAKS = "[\x20\t\x0b\x0c\r]+"
 
 
@@ -73,14 +77,18 @@ def _fits(threshold: float, x: str, y: str) -> Column:
     return (i - common <= n - need) & (j - common <= m - need)
 
 
+def _lines_at(texts: DataFrame, places: DataFrame) -> DataFrame:
+    """(place, line): the lines at the places (a struct of id and no, each once)."""
+    wanted = materialize(places.groupBy(F.col("place.id").alias("id")).agg(F.collect_set("place.no").alias("nos")), "wanted")
+    few = (wanted.agg(F.sum(F.size("nos") + 1)).first()[0] or 0) <= FEW_LINES
+    picked = texts.join(F.broadcast(wanted) if few else wanted, "id").select("id", F.split("text", "\n").alias("lines"), F.explode("nos").alias("no"))
+    return picked.select(F.struct("id", "no").alias("place"), F.get("lines", F.col("no")).alias("line")).dropDuplicates(["place"])
+
+
 def _similar(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """Places (id, no) of the lines b of the pairs (a, b) that are similar on the whole sets."""
     pairs = materialize(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("place")).distinct()
-    wanted = materialize(wanted.groupBy(F.col("place.id").alias("id")).agg(F.collect_set("place.no").alias("nos")), "wanted")
-    few = (wanted.agg(F.sum(F.size("nos") + 1)).first()[0] or 0) <= FEW_LINES
-    picked = texts.join(F.broadcast(wanted) if few else wanted, "id").select("id", F.split("text", "\n").alias("lines"), F.explode("nos").alias("no"))
-    picked = picked.select(F.struct("id", "no").alias("place"), F.get("lines", F.col("no")).alias("line")).dropDuplicates(["place"])
+    picked = _lines_at(texts, pairs.select(F.explode(F.array("a", "b")).alias("place")).distinct())
     a, b = (picked.select(F.col("place").alias(k), F.col("line").alias(f"line_{k}")) for k in "ab")
     sets = pairs.join(a, "a").join(b, "b").select("b", _tokens(F.col("line_a")).alias("x"), _tokens(F.col("line_b")).alias("y"))
     sizes = sets.select("b", (F.size("x") + F.size("y")).alias("total"), F.size(F.array_intersect("x", "y")).alias("both"))
@@ -88,6 +96,22 @@ def _similar(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     return materialize(sizes.filter(enough).select("b.id", "b.no").distinct(), "similar")
 
 
+def _bitmaps(texts: DataFrame, places: DataFrame) -> DataFrame:
+    """(id, no, bits_0, ...): for each line a bitmap of BITMAP words of 64 bits, with a bit for each of its tokens."""
+    tokens = _lines_at(texts, places).select("place", F.explode(_tokens(F.col("line"))).alias("t"))
+    bit = F.expr("shiftleft(1L, cast((t >> 8) & 63 as int))")
+    words = [F.bit_or(F.when(F.col("t").bitwiseAND(F.lit(BITMAP - 1)) == k, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"bits_{k}") for k in range(BITMAP)]
+    return tokens.groupBy("place").agg(*words).select("place.id", "place.no", *(f"bits_{k}" for k in range(BITMAP)))
+
+
+def _may_agree(threshold: float, x: str, y: str) -> Column:
+    """Whether the bitmaps of two lines (columns n and bits with the prefixes x and y) leave them a chance: a token that only one
+    of them has sets one bit at most, so that as many bits as differ, at least so many tokens do."""
+    n, m = F.col(x + "n"), F.col(y + "n")
+    differ = sum((F.bit_count(F.col(f"{x}bits_{k}").bitwiseXOR(F.col(f"{y}bits_{k}"))) for k in range(BITMAP)), F.lit(0))
+    return differ <= n + m - 2 * _ceil((n + m) * (threshold / (1 + threshold)))
+
+
 def line_decisions(docs: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD, shortest: int = SHORTEST) -> DataFrame:
     """(id, no) of the lines to remove."""
     if not 0.75 <= threshold <= 1:
@@ -132,8 +156,12 @@ def line_decisions(docs: DataFrame, id_col: str, text_col: str, threshold: float
     found = found.unionByName(_similar(texts, others.select("a", "b"), threshold))
     # the second line of a pair has no other one before it than those tried
     left = shared.filter("turn > 2").join(bounded(found, FEW_LINES, "found"), ["id", "no"], "left_anti")
-    x, y = shared.filter("k > 2").alias("x"), left.alias("y")
-    both = (F.col("x.pair") == F.col("y.pair")) & (F.struct("x.id", "x.no") < F.struct("y.id", "y.no")) & _fits(threshold, "x.", "y.")
+    left = materialize(left.select("pair", "id", "no", "n", "at"), "left")
+    earlier = shared.filter("k > 2").join(left.select("pair").distinct(), "pair", "left_semi").select("pair", "id", "no", "n", "at")
+    earlier = materialize(earlier, "earlier")
+    bits = materialize(_bitmaps(texts, earlier.unionByName(left).select(F.struct("id", "no").alias("place")).distinct()), "bits")
+    x, y = earlier.join(bits, ["id", "no"]).alias("x"), left.join(bits, ["id", "no"]).alias("y")
+    both = (F.col("x.pair") == F.col("y.pair")) & (F.struct("x.id", "x.no") < F.struct("y.id", "y.no")) & _fits(threshold, "x.", "y.") & _may_agree(threshold, "x.", "y.")
     rest = x.join(y, both).select(F.struct("x.id", "x.no").alias("a"), F.struct("y.id", "y.no").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     found = found.unionByName(_similar(texts, rest, threshold))
     return materialize(own.filter("equal").select("id", "no").unionByName(found).distinct(), "gone")
