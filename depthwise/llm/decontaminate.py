@@ -26,7 +26,7 @@ MASKS, WEIGHT = 4, 9
 SPAN = 32
 #: Tokens of an overlap, and the share of them that must be equal.
 OVERLAP, AGREEMENT = 16, 0.8
-#: Items with fewer tokens aren't looked for: such short runs occur by chance.
+#: Items with fewer tokens aren't looked for unless asked: such short runs occur by chance.
 SHORTEST = 5
 #: Benchmark tokens that are broadcast at once; larger benchmarks go block by block.
 BLOCK_TOKENS = 500_000
@@ -51,9 +51,13 @@ def substitutions(overlap: int, agreement: float) -> int:
 @lru_cache(None)
 def covering_masks(overlap: int, substituted: int) -> tuple[str, ...]:
     """Masks (positions with 1 count) of which, for any `substituted` positions of an overlap, one has a place in the overlap
-    where none of its own positions is among them. Of the heaviest weight at which few masks do, found greedily; for overlaps
-    with too many patterns to count, the run that is left between any substitutions.
+    where none of its own positions is among them. Of the heaviest weight at which few masks do, found greedily. An overlap with
+    too many patterns to count is cut into equal parts, of which one has no more than its share of the substitutions: the masks
+    of such a part do for the whole. Where few masks don't do, the run that is left between any substitutions.
     """
+    parts = max(-(-overlap // 16), 1 if substituted <= 4 else -(-substituted // 4))
+    if substituted and parts > 1 and overlap >= parts:
+        return covering_masks(overlap // parts, substituted // parts)
     if overlap <= 16 and 0 < substituted <= 4:
         patterns = np.array([sum(1 << k for k in c) for c in combinations(range(overlap), substituted)])
         for weight in range(min(overlap - substituted, WEIGHT), 1, -1):
@@ -94,8 +98,9 @@ class SeedTable:
         users: dict[str, set[int]] = {}
         for k in sorted(set(allowed.values())):
             lengths = [n for n in allowed if allowed[n] == k]
-            for mask in covering_masks(min(lengths), k):
-                users.setdefault(mask, set()).update(lengths)
+            for group in [lengths] if k else [[n] for n in lengths]:  # without substitutions each length has a mask of its own
+                for mask in covering_masks(min(group), k):
+                    users.setdefault(mask, set()).update(group)
         found = []
         for mask, lengths in users.items():
             seeds = [(k, seed_hashes(w, mask)) for k, w in enumerate(self.words) if needs[k] in lengths]
@@ -134,13 +139,13 @@ class SeedTable:
 
 
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-                      item_text_col: str = "text", overlap: int = OVERLAP, agreement: float = AGREEMENT) -> DataFrame:
+                      item_text_col: str = "text", overlap: int = OVERLAP, agreement: float = AGREEMENT, shortest: int = SHORTEST) -> DataFrame:
     """(id, item, matched, at): each pair of a document and a benchmark item of which it holds `overlap` aligned tokens (or all,
     of a shorter item), at least a share `agreement` of them equal. matched: equal tokens on the best alignment; at: first
     token of the overlap in the document.
 
-    Tokens are runs of letters and digits, in lower case. Null or empty texts match nothing, nor do items of fewer than five
-    tokens. Repeated rows give repeated results. Documents are never shuffled: a benchmark beyond BLOCK_TOKENS tokens is
+    Tokens are runs of letters and digits, in lower case. Null or empty texts match nothing, nor do items of fewer than
+    `shortest` tokens; with 1 every item with a token is looked for, those below five tokens without substitutions. Repeated rows give repeated results. Documents are never shuffled: a benchmark beyond BLOCK_TOKENS tokens is
     matched in blocks of items, each broadcast within that bound (a longer item is a block of its own).
     """
     spark = docs.sparkSession
@@ -149,7 +154,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     block, size, blocks = [], 0, []
     for r in items.toLocalIterator():
         w = tokens(r.text)
-        if len(w) < SHORTEST:
+        if len(w) < max(1, shortest):
             continue
         if block and size + len(w) > BLOCK_TOKENS:
             blocks.append(spark.sparkContext.broadcast(SeedTable(block, overlap, agreement)))

@@ -36,5 +36,7 @@ def test_all_patterns_are_found(length):
 
 
 def test_longer_overlaps():
-    assert decontaminate.substitutions(50, 0.8) == 10 and decontaminate.covering_masks(50, 10) == ("1111",)
+    assert decontaminate.substitutions(50, 0.8) == 10
+    # in parts, of which one has its share of the substitutions at most; a run of ones alone would have four positions
+    assert decontaminate.covering_masks(50, 10) == decontaminate.covering_masks(12, 2) and all(m.count("1") >= 6 for m in decontaminate.covering_masks(50, 10))
     assert decontaminate.covering_masks(40, 0) == ("1" * 32,)
