@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import bounded, materialize
+from .storage import bounded, free_name, materialize
 
 #: Counters of a summary, and the bound of the broadcast table of heavy digests (50 bytes each).
 COUNTERS = 1024
@@ -95,12 +95,13 @@ def unique_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The rows of docs that are kept, whole. Rows that share an id and a text are told apart by nothing: the first that comes to
     hand stays. The ids of dropped rows are broadcast only behind a check of their number."""
     found = materialize(groups(docs, id_col, text_col, counters), "groups")
-    marked = docs.withColumn("__sha", F.lower(F.hex(digest(F.col(text_col)))))
-    dropped = found.filter(~F.col("kept") & ~F.col(id_col).eqNullSafe(F.col("keep_id"))).select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__gone")).distinct()
+    sha, key, gone = (free_name(docs, n) for n in ("__sha", "__id", "__gone"))
+    marked = docs.withColumn(sha, F.lower(F.hex(digest(F.col(text_col)))))
+    dropped = found.filter(~F.col("kept") & ~F.col(id_col).eqNullSafe(F.col("keep_id"))).select(F.col(id_col).alias(key), F.col("text_sha256").alias(gone)).distinct()
     dropped = bounded(dropped, FEW_ROWS, "dropped")
-    left = marked.join(dropped, marked[id_col].eqNullSafe(dropped["__id"]) & (marked["__sha"] == dropped["__gone"]), "left_anti")
-    again = bounded(found.filter(~F.col("kept") & F.col(id_col).eqNullSafe(F.col("keep_id"))).select(F.col("text_sha256").alias("__sha")).distinct(), FEW_ROWS, "again")
+    left = marked.join(dropped, marked[id_col].eqNullSafe(dropped[key]) & (marked[sha] == dropped[gone]), "left_anti")
+    again = bounded(found.filter(~F.col("kept") & F.col(id_col).eqNullSafe(F.col("keep_id"))).select(F.col("text_sha256").alias(sha)).distinct(), FEW_ROWS, "again")
     if again.isEmpty():
-        return left.drop("__sha")
-    once = left.join(again, "__sha", "left_semi").dropDuplicates([id_col, "__sha"])
-    return left.join(again, "__sha", "left_anti").unionByName(once).drop("__sha")
+        return left.drop(sha)
+    once = left.join(again, sha, "left_semi").dropDuplicates([id_col, sha])
+    return left.join(again, sha, "left_anti").unionByName(once).drop(sha)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import bounded, materialize
+from .storage import bounded, free_name, materialize
 
 THRESHOLD = 0.8
 #: Lines with fewer different words are left alone; 1: those without words.
@@ -148,13 +148,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Lines of rows with a null id stay.
     """
     gone = line_decisions(docs, id_col, text_col, threshold, shortest)
-    runs = gone.groupBy(F.col("id").alias("__id")).agg(F.collect_list("no").alias("__gone"))
-    joined = docs.join(F.broadcast(runs) if gone.count() <= FEW_LINES else runs, docs[id_col] == runs["__id"], "left")
+    key, lost = free_name(docs, "__id"), free_name(docs, "__gone")
+    runs = gone.groupBy(F.col("id").alias(key)).agg(F.collect_list("no").alias(lost))
+    joined = docs.join(F.broadcast(runs) if gone.count() <= FEW_LINES else runs, docs[id_col] == runs[key], "left")
     lines = F.split(F.col(text_col), "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    kept = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda no: F.get(lines, no)), "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(lost))
+    kept = F.when(F.col(lost).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda no: F.get(lines, no)), "\n"))
     counts = {
         "n_lines": F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("bigint"),
-        "n_removed": F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone")).cast("bigint"),
+        "n_removed": F.when(F.col(lost).isNull(), F.lit(0)).otherwise(F.size(lost)).cast("bigint"),
     }
-    return joined.withColumns(counts).withColumn(text_col, kept).drop("__id", "__gone")
+    return joined.withColumns(counts).withColumn(text_col, kept).drop(key, lost)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .numtext import BYTE_VALUES, POSITION_FACTORS, U64, as_bytes, mix, word_hashes
-from .storage import materialize
+from .storage import free_name, materialize
 
 FEATURES = 1 << 18
 ORDERS = (1, 2, 3, 4)
@@ -218,4 +218,5 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """The rows of docs that the model does not reject, with their own columns."""
     model = train(docs, labels, id_col, text_col, label_col)
-    return score(docs, model, text_col, "__score").filter(F.col("__score") >= THRESHOLD).drop("__score")
+    name = free_name(docs, "__score")
+    return score(docs, model, text_col, name).filter(F.col(name) >= THRESHOLD).drop(name)

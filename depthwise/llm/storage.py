@@ -41,6 +41,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
 def bounded(df: DataFrame, rows: int, name: str = "few") -> DataFrame:
     """df, written out, with a hint to broadcast it only if it has at most `rows` rows; beyond, joins with it shuffle."""
     df = materialize(df, name)

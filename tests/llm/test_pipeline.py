@@ -3,6 +3,8 @@
 import random
 import zlib
 
+import pytest
+
 import corpus_pipeline
 from depthwise.llm import quality
 from test_joins import brute_components, brute_lines
@@ -42,3 +44,35 @@ def test_stages(spark, words, tmp_path):
     assert sum(p.length for p in pieces) == sum({p.doc_id: p.doc_tokens for p in pieces}.values())
     empty = [p for p in pieces if not seen["benchmark"][p.doc_id]]
     assert all(p.ids_crc32 == zlib.crc32(b"\0\0\0\0") for p in empty)
+
+
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def tables(spark, at, rows, labels=(), items=(), more=()):
+    spark.createDataFrame(rows, DOCUMENTS).selectExpr("*", *more).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame(list(items), "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+
+
+def test_no_documents(spark, tmp_path):
+    tables(spark, tmp_path, [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+@pytest.mark.parametrize("more", [(), ("1 as id", "2 as no", "'k' as key", "3 as n", "0.5 as score", "'l' as label", "4 as start", "5 as item_id", "'x' as __id")])
+def test_empty_labels_and_benchmark_and_clashing_columns(spark, tmp_path, words, more):
+    r = random.Random(3)
+    text = lambda: "\n".join(" ".join(r.choice(words) for _ in range(12)) for _ in range(3))
+    rows = [(k, t, None if k % 4 == 0 else "en", None if k % 5 == 0 else "s", len(t)) for k, t in enumerate(text() for _ in range(20))]
+    rows += [(20, None, None, None, None), (21, "", "en", "s", 0), (22, rows[0][1], "en", "s", 3), rows[1], (None, "no id at all here", "en", "s", 17)]
+    tables(spark, tmp_path, rows, more=more)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == spark.read.parquet(f"{tmp_path}/documents.parquet").columns, name
+    kept = [(x.doc_id, x.text) for x in docs.collect()]
+    # nothing is rejected, the copy loses its lines and stays as a document without words
+    assert {d for d, _ in kept} == {*range(23), None} and dict(kept)[22] == "" and dict(kept)[20] is None
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {p.doc_id for p in pieces} == {d for d, _ in kept}
