@@ -14,28 +14,35 @@ from depthwise.llm.storage import documents, materialize
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject."""
+    """Documents that the classifier does not reject. Null and empty texts have the score of a text without any indicator; equal
+    texts have equal scores, so that copies and repeated rows go or stay together. Without labels of both classes every score is
+    the share of label 1, and 0.5 without any, so that all documents stay or all go."""
     return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the lines that repeat earlier ones; one whose lines all go stays, with an empty text."""
+    """Every document, without the lines that repeat earlier ones; one whose lines all go stays, with an empty text. A null text
+    stays null, with a length of 0. Of lines that are equally similar to a later one none is chosen: the later one goes if there
+    is any. Lines of rows that share an id count once for each place; rows with a null id stay as they are."""
     kept = line_dedup.dedup_lines(docs)
     return kept.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest id."""
+    """One document of each group of near duplicates, that with the smallest id. Documents without words are like no other; rows
+    that repeat an id stay or go together; rows with a null id stay."""
     return ngram_join.keep_one_of_each(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage."""
+    """Documents that hold no benchmark passage. Null and empty texts hold none; rows that repeat an id go if one of them holds a
+    passage; rows with a null id stay. An empty benchmark, or null items, match nothing."""
     return decontaminate.without_matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in windows of 1024 tokens."""
+    """Pieces of the documents in windows of 1024 tokens. A null or empty text is the one token that ends each document; repeated
+    rows are documents of their own; a null source is a source."""
     return packing.pack(docs)
 
 
