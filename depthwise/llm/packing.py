@@ -124,7 +124,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 
     A document is its token ids and a closing id 0, so that null and empty texts have one token. `weights` gives the sources'
     target shares, each source that it names having a queue of its own, and other sources coming in as late as can be; by default
-    the shares are those of the corpus. A null source is a source of its own. sequence_id and offset depend on how the input is
+    the shares are those of the corpus, the QUEUES largest sources have queues of their own, and the others share some queues,
+    packed at their joint share (name them in `weights` to keep them apart). A null source is a source of its own. sequence_id and offset depend on how the input is
     dealt to tasks: of one source, documents follow each other in the order of tasks and rows. Repeated rows are packed
     as often as they occur; an empty table gives no pieces; other columns are ignored. `ranks` is the path of the vocabulary.
     """
