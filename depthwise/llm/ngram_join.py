@@ -8,7 +8,9 @@ largest possible overlap is too small. What reaches the leaves is verified on th
 
 How it scales:
 
-- Equal sets are one member (their key), so a group of copies costs one member.
+- Equal sets are one member (their 64-bit key), so a group of copies costs one member. That sets of one key are equal is checked
+  by 64 bits of their SHA-256 too; sets that share a key but aren't equal (two or three pairs are to be expected among ten thousand
+  million sets, so their list comes to the driver) go by those bits instead.
 - Frequent shingles come last in the order, so that they seldom are in a prefix. Their list has at most HOT_SHINGLES entries
   and only changes the order, never the result.
 - A group is split by classes of set sizes; what shares a shingle with no set of a similar size goes no further.
@@ -24,6 +26,7 @@ How it scales:
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -64,8 +67,27 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
     return bits
 
 
-def _profiles(batches):
-    """(id, n, key) of every document, and the shingles that are frequent within this task's run of documents."""
+def _check(s: np.ndarray) -> int:
+    """64 bits of the SHA-256 of a set, next to its key."""
+    return int.from_bytes(hashlib.sha256(s.tobytes()).digest()[:8], "little", signed=True)
+
+
+def _name(s: np.ndarray, bits: int, mixed: frozenset[int]) -> int:
+    """The key of a set; of one whose key other sets have too (mixed), its check."""
+    key = set_key(s) >> (64 - bits)
+    return _check(s) if key in mixed else key
+
+
+def _profiles(key_bits):
+    """(id, n, key, check) of every document, and the shingles that are frequent within this task's run of documents."""
+
+    def run(batches):
+        yield from _profiled(batches, key_bits)
+
+    return run
+
+
+def _profiled(batches, key_bits):
     held, size = [], 0
 
     def frequent():
@@ -75,17 +97,18 @@ def _profiles(batches):
         keep = hits >= 8
         k = int(keep.sum())
         return pa.RecordBatch.from_arrays(
-            [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(shingle[keep].view(np.int64)), pa.array(hits[keep].astype(np.int64))],
-            ["id", "n", "key", "bits", "hot", "hits"],
+            [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(shingle[keep].view(np.int64)), pa.array(hits[keep].astype(np.int64))],
+            ["id", "n", "key", "check", "bits", "hot", "hits"],
         )
 
     for batch in batches:
-        sizes, keys, bits = [], [], []
+        sizes, keys, checks, bits = [], [], [], []
         for text in batch.column(1).to_pylist():
             s = shingle_set(text, WORDS)
             sizes.append(len(s))
             bits.append(bitmap(s).tobytes())
-            keys.append(set_key(s) if len(s) else None)
+            keys.append(_name(s, key_bits, frozenset()) if len(s) else None)
+            checks.append(_check(s))
             held.append(s)
             size += len(s)
             if size > _FLUSH:
@@ -93,8 +116,8 @@ def _profiles(batches):
                 held, size = [], 0
         k = len(sizes)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int32()), pa.array(keys, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())],
-            ["id", "n", "key", "bits", "hot", "hits"],
+            [batch.column(0), pa.array(sizes, pa.int32()), pa.array(keys, pa.int64()), pa.array(checks, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())],
+            ["id", "n", "key", "check", "bits", "hot", "hits"],
         )
     if (rest := frequent()) is not None:
         yield rest
@@ -104,7 +127,7 @@ def prefix_length(n: int, threshold: float) -> int:
     return n - math.ceil(threshold * n - 1e-9) + 1
 
 
-def _prefixes(hot_list, threshold):
+def _prefixes(hot_list, threshold, key_bits, mixed):
     def run(batches):
         hot, seen = hot_list.value, set()
         for batch in batches:
@@ -112,7 +135,7 @@ def _prefixes(hot_list, threshold):
             for text in batch.column(0).to_pylist():
                 s = shingle_set(text, WORDS)
                 n = len(s)
-                if not n or (key := set_key(s)) in seen:
+                if not n or (key := _name(s, key_bits, mixed)) in seen:
                     continue
                 seen.add(key)
                 common = np.zeros(n, bool)
@@ -278,23 +301,35 @@ def components(edges: DataFrame) -> DataFrame:
 # ---- the join ----------------------------------------------------------------------------------------------------------------
 
 
-def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def _keys(found: DataFrame) -> DataFrame:
+    """(key, id, low, high) of each set: the smallest id that has it, and the range of the checks, which are equal unless different
+    sets share the key."""
+    return found.filter("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.min("check").alias("low"), F.max("check").alias("high"))
+
+
+def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, key_bits: int = 64) -> DataFrame:
     """(id, n_shingles, component_id) of every row; component_id is the smallest id that links reach.
 
     Null and empty texts and texts of white space have no shingles and link with nothing. Rows with equal sets link. Repeated
-    ids give repeated rows. Other columns are ignored. The ids must be integers.
+    ids give repeated rows. Other columns are ignored. The ids must be integers. `key_bits` is the length of the keys of sets;
+    the result doesn't depend on it.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    found = materialize(rows.mapInArrow(_profiles, "id bigint, n int, key bigint, bits binary, hot bigint, hits bigint"), "profiles")
+    found = materialize(rows.mapInArrow(_profiles(key_bits), "id bigint, n int, key bigint, check bigint, bits binary, hot bigint, hits bigint"), "profiles")
+    keys = materialize(_keys(found), "keys")
+    mixed = frozenset(r.key for r in keys.filter("low <> high").select("key").toLocalIterator())
+    if mixed:
+        found = found.withColumn("key", F.when(F.col("key").isin(*mixed), F.col("check")).otherwise(F.col("key")))
+        keys = materialize(_keys(found), "keys")
+    keys = keys.select("key", "id")
     profiles = found.filter("hot is null").select("id", "n", "key")
-    keys = materialize(profiles.filter("key is not null").groupBy("key").agg(F.min("id").alias("id")), "keys")
     bits = found.filter("key is not null").join(keys, ["id", "key"]).select("key", "n", "bits").dropDuplicates(["key"])
     hot = found.filter("hot is not null").groupBy("hot").agg(F.sum("hits").alias("hits")).orderBy(F.desc("hits"), "hot").limit(HOT_SHINGLES)
     hot = spark.sparkContext.broadcast(np.sort(np.array([r.hot for r in hot.collect()], np.int64).view(U64)))
 
     # units (s, class): the sets of a size class with those of the next one, for each shared prefix shingle
-    prefix = rows.select("text").mapInArrow(_prefixes(hot, threshold), "s bigint, key bigint, n int").repartition("s").dropDuplicates(["s", "key"])
+    prefix = rows.select("text").mapInArrow(_prefixes(hot, threshold, key_bits, mixed), "s bigint, key bigint, n int").repartition("s").dropDuplicates(["s", "key"])
     own = F.floor(F.log("n") / math.log(1 / threshold)).cast("int")
     shared = prefix.withColumn("cnt", F.count("*").over(Window.partitionBy("s"))).filter("cnt > 1")
     unit = Window.partitionBy("s", "class")

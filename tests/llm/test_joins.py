@@ -147,3 +147,10 @@ def test_benchmark_in_blocks(spark, words, monkeypatch):
     whole = sorted(decontaminate.benchmark_matches(df, bench).collect())
     monkeypatch.setattr(decontaminate, "BLOCK_TOKENS", 70)
     assert sorted(decontaminate.benchmark_matches(df, bench).collect()) == whole and len(whole) == 10
+
+
+def test_sets_that_share_a_key(corpus):
+    """With keys of three bits many different sets share one; none are taken as equal for that."""
+    rows, df = corpus
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_components(df, key_bits=3).collect()}
+    assert got == brute_components(rows)
