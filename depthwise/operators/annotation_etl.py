@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import plain_contig, primary, source_of
 from .annotate import SOURCES
-from .intervals import group_identical, merge, overlap_join, partition, subtract
+from .intervals import overlap_join, partition
 
 
 def exon_rows(models: DataFrame) -> DataFrame:
@@ -101,22 +101,13 @@ def exon_table(models: DataFrame, registry: DataFrame) -> DataFrame:
     labels `name|exon_<id>|gene` stand in the column of their kind. Lists are sorted, distinct and joined by semicolons; null
     where there is nothing."""
     rows = exon_rows(models).select("contig", "start", "end", "name", "symbol", F.concat("name", F.lit("|exon_"), F.col("exon_id").cast("string"), F.lit("|gene")).alias("label"))
-    return _table(rows, partition(group_identical(rows, "label")), registry)
+    return _table(rows, partition(rows), registry)
 
 
 def intron_table(models: DataFrame, registry: DataFrame) -> DataFrame:
     """As exon_table, for what introns cover and no exon does; previous symbols that are symbols of the segment are left out."""
     rows = introns(models).select("contig", "start", "end", "name", F.col("gene").alias("symbol"), F.concat("name", F.lit("|intron_"), F.col("intron_id").cast("string"), F.lit("|gene")).alias("label"))
-    outside = subtract(rows, exon_rows(models))
-    cut = partition(group_identical(rows, "label").select("contig", "start", "end").unionByName(outside.select("contig", "start", "end")))
-    return _table(rows, subtract_segments(cut, exon_rows(models)), registry, only_new=True)
-
-
-def subtract_segments(segments: DataFrame, other: DataFrame) -> DataFrame:
-    """Segments (disjoint) without what `other` covers; cuts between neighbours stay."""
-    free = subtract(segments, other)
-    pieces = overlap_join(segments.select("contig", "start", "end"), merge(free))
-    return pieces.select("contig", F.col("lo").alias("start"), F.col("hi").alias("end"))
+    return _table(rows, partition(rows, outside=exon_rows(models)), registry, only_new=True)
 
 
 def _table(rows: DataFrame, segments: DataFrame, registry: DataFrame, only_new: bool = False) -> DataFrame:

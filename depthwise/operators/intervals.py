@@ -123,11 +123,17 @@ def intersect(a: DataFrame, b: DataFrame, by: Sequence[str] = (), width: int = J
     return overlap_join(a, b, by, width).withColumns({"start": F.col("lo"), "end": F.col("hi")}).select(*a.columns)
 
 
-def partition(df: DataFrame, by: Sequence[str] = (), width: int = BIN) -> DataFrame:
-    """Disjoint segments between all neighbouring starts and ends, where at least one interval covers, with their number."""
+def partition(df: DataFrame, by: Sequence[str] = (), width: int = BIN, outside: DataFrame | None = None) -> DataFrame:
+    """Disjoint segments between all neighbouring starts and ends, where at least one interval covers, with their number. What
+    `outside` covers is left out, in the same sweep; cuts between neighbours stay."""
     keys = [*by, "contig"]
-    points = df.filter("start < end").select(*keys, F.explode(F.array("start", "end")).alias("start")).distinct().withColumn("real", F.lit(True))
-    cut = sweep({"depth": df}, by, width, all_breaks=True)
+    points, inputs = df.filter("start < end").select(*keys, F.explode(F.array("start", "end")).alias("start")), {"depth": df}
+    if outside is not None:  # a segment may begin where one of these ends
+        points, inputs["outside"] = points.unionByName(outside.filter("start < end").select(*keys, F.col("end").alias("start"))), outside
+    points = points.distinct().withColumn("real", F.lit(True))
+    cut = sweep(inputs, by, width, all_breaks=True)
+    if outside is not None:
+        cut = cut.filter("depth > 0 and outside = 0")
     cut = cut.join(points, [*keys, "start"], "left").withColumn("real", F.coalesce("real", F.lit(False)))
     whole = (F.col("start") != F.col("bin") * width) & (F.col("end") != (F.col("bin") + 1) * width)
     w = Window.partitionBy(*keys).orderBy("start")

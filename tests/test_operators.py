@@ -65,6 +65,15 @@ def test_set_operators(spark, width):
             if n:
                 want.append((c, s, e, n))
     assert got(intervals.partition(da, width=width)) == sorted(want)
+    taken = positions(b)
+    pieces = [(c, p, p + 1) for c, s, e, _ in want for p in range(s, e) if (c, p) not in taken]
+    left, starts = [], {(c, s) for c, s, _, _ in want}
+    for c, p, q in sorted(pieces):  # cuts of a stay, what b covers is gone
+        if left and left[-1][0] == c and left[-1][2] == p and (c, p) not in starts:
+            left[-1] = (c, left[-1][1], q)
+        else:
+            left.append((c, p, q))
+    assert got(intervals.partition(da, width=width, outside=db), "contig", "start", "end") == left
 
 
 def test_left_join_keeps_rows_without_partner(spark):
