@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .numtext import POSITION_FACTORS, PUNCTUATION, U64, as_bytes, mix, word_hashes
+from .numtext import POSITION_FACTORS, PUNCTUATION, U64, as_bytes, mix, small, word_hashes
 from .storage import bounded
 
 #: Masks for one length of overlap at most, and positions that count in one.
@@ -173,7 +173,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 def _matched(table):
     def run(batches):
         t = table.value
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for k, (matched, at) in t.matches(tokens(text)).items():

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .numtext import U64, set_key, shingle_set
+from .numtext import U64, set_key, shingle_set, small
 from .storage import bounded, materialize
 
 WORDS = 5
@@ -101,7 +101,7 @@ def _profiled(batches, key_bits):
             ["id", "n", "key", "check", "bits", "hot", "hits"],
         )
 
-    for batch in batches:
+    for batch in small(batches):
         sizes, keys, checks, bits = [], [], [], []
         for text in batch.column(1).to_pylist():
             s = shingle_set(text, WORDS)
@@ -130,7 +130,7 @@ def prefix_length(n: int, threshold: float) -> int:
 def _prefixes(hot_list, threshold, key_bits, mixed):
     def run(batches):
         hot, seen = hot_list.value, set()
-        for batch in batches:
+        for batch in small(batches):
             shingles, keys, sizes = [], [], []
             for text in batch.column(0).to_pylist():
                 s = shingle_set(text, WORDS)
@@ -155,7 +155,7 @@ def _prefixes(hot_list, threshold, key_bits, mixed):
 
 
 def _sets(batches):
-    for batch in batches:
+    for batch in small(batches):
         sets = [shingle_set(text, WORDS) for text in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "members"])
 
@@ -267,7 +267,7 @@ def _tree_pairs(threshold):
 
 def _verified(threshold):
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             a, x, b, y = (c.to_pylist() for c in batch.columns)
             ok = [similar(np.frombuffer(p, U64), np.frombuffer(q, U64), threshold) for p, q in zip(x, y)]
             yield pa.RecordBatch.from_arrays([pa.array([v for v, k in zip(c, ok) if k], pa.int64()) for c in (a, b)], ["a", "b"])

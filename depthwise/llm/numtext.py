@@ -25,6 +25,15 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 PUNCTUATION = np.ones(256, bool)
 PUNCTUATION[128:] = False
 PUNCTUATION[48:58] = PUNCTUATION[65:91] = PUNCTUATION[97:123] = False
+#: Rows of a batch of texts that a task takes apart at once: whole batches as Python objects would be most of a worker's memory.
+TOGETHER = 500
+
+
+def small(batches):
+    """Batches of at most TOGETHER rows, without copies."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, TOGETHER):
+            yield batch.slice(k, TOGETHER)
 
 
 def powers(n: int, base: int = _BASE) -> np.ndarray:

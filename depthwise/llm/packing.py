@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numtext import small
 from .storage import materialize
 from .tokens import encoder
 
@@ -37,7 +38,7 @@ def _tokenised(path, names):
 
     def run(batches):
         enc, lane, so_far = encoder(path), TaskContext.get().partitionId(), {}
-        for batch in batches:
+        for batch in small(batches):
             ids, queues, before, lengths = [], [], [], []
             for source, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 q = queue_of.get(source)

@@ -9,7 +9,7 @@ import re
 import numpy as np
 
 #: Bound of the words that one Python worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: Characters among which the re module's classes and the vocabulary's word pattern agree.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e¡-±´-¸º»¿-ɏ]*")
 _WORDS = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
