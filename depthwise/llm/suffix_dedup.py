@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .numtext import BYTE_VALUES, U64, as_bytes, inverse_powers, mix, powers, prefix_polynomial
+from .numtext import BYTE_VALUES, U64, as_bytes, inverse_powers, mix, powers, prefix_polynomial, small
 from .storage import bounded, materialize
 
 DEPTH = 100
@@ -96,22 +96,22 @@ def _surroundings(batches):
     """(id, text, anchors) -> the bytes around each anchor. Anchors with many surroundings make a unit by the nearer half on
     either side each: two that match DEPTH bytes agree in one of them."""
     half = AROUND // 2
-    for batch in batches:
+    for batch in small(batches):
         out = []
         for doc, text, found in zip(*(c.to_pylist() for c in batch.columns)):
             data = as_bytes(text).tobytes()
             for f in found:
                 p, anchor = f["at"], f["anchor"]
                 left = max(p - AROUND, 0)
-                row = (doc, p, p - left, data[left : p + DEPTH], anchor)
+                row = (doc, p, p - left, data[left : p + DEPTH], f["many"])
                 if f["many"]:
                     for side, part in ((1, data[p - half : p] if p >= half else b""), (2, data[p + GRAM : p + GRAM + half])):
                         if len(part) == half:
                             out.append((int.from_bytes(hashlib.blake2b(part, digest_size=8, salt=bytes([side])).digest(), "little", signed=True) ^ anchor, *row))
                 else:
                     out.append((anchor, *row))
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], ["unit", "id", "at", "lead", "bytes", "anchor"])
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], ["unit", "id", "at", "lead", "bytes", "many"])
 
 
 def _windows(batches):
@@ -336,21 +336,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = materialize(found.select("anchor", "id", "at", "nth", "kinds"), "anchors")
     settled = found.filter("nth > 1").join(ids.select("id", "n_bytes").distinct(), "id").select("id", F.greatest(F.col("at") - AROUND, F.lit(0)).alias("low"), F.least(F.col("at") + DEPTH, F.col("n_bytes").cast("int")).alias("high"))
 
-    def surroundings(rows):
-        mixed = rows.groupBy("id").agg(F.collect_list(F.struct("at", "anchor", (F.col("kinds") > UNIT).alias("many"))).alias("found"))
-        return own.join(mixed, "id").select("id", "text", "found").mapInArrow(_surroundings, "unit bigint, id bigint, at int, lead int, bytes binary, anchor bigint").drop("anchor")
-
-    mixed = found.filter("nth = 1 and kinds > 1")
-    many = mixed.filter(F.col("kinds") > UNIT)
-    units = surroundings(mixed.filter(F.col("kinds") <= UNIT))
-    runs = settled
-    if not many.isEmpty():
-        many = materialize(surroundings(many), "many")
-        hot = bounded(many.groupBy("unit").count().filter(F.col("count") > UNIT).select("unit"), FEW_IDS, "hot")
-        units = units.unionByName(many.join(hot, "unit", "left_anti"))
+    # the texts are shuffled once for all surroundings, and once more for what is removed, if few only those that lose something
+    mixed = found.filter("nth = 1 and kinds > 1").groupBy("id").agg(F.collect_list(F.struct("at", "anchor", (F.col("kinds") > UNIT).alias("many"))).alias("found"))
+    around = own.join(mixed, "id").select("id", "text", "found").mapInArrow(_surroundings, "unit bigint, id bigint, at int, lead int, bytes binary, many boolean")
+    around = materialize(around, "around")
+    units, many, runs = around.drop("many"), around.filter("many").drop("many"), settled
+    hot = bounded(many.groupBy("unit").count().filter(F.col("count") > UNIT).select("unit"), FEW_IDS, "hot")
+    if not hot.isEmpty():
+        units = around.join(hot.withColumn("many", F.lit(True)), ["unit", "many"], "left_anti").drop("many")
         runs = runs.unionByName(_hot_runs(many.join(hot, "unit", "left_semi")))
     runs = runs.unionByName(units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_covered_rows, "id bigint, low int, high int"))
-    runs = runs.groupBy("id").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
+    runs = materialize(runs.groupBy("id").agg(F.collect_list(F.struct("low", "high")).alias("runs")), "runs")
+    if runs.count() <= FEW_IDS:
+        own = own.join(F.broadcast(runs.select("id")), "id", "left_semi")
     kept = own.join(runs, "id").select("id", "text", "runs").mapInArrow(_kept_rows, "id bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary").drop("kept")
     nothing = F.sha2(F.lit("").cast("binary"), 256)
     removed = F.when(F.col("copy"), F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0)))

@@ -17,3 +17,15 @@ def test_hot_units(spark, monkeypatch, unit):
     got = {r[0]: tuple(r[1:]) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute(rows)
     assert split[0] and all(r["count"] > unit for r in split[0])
+
+
+def test_one_read_of_texts(spark, monkeypatch):
+    """All surroundings come from one join with the texts, whether or not their anchors make several units."""
+    monkeypatch.setattr(suffix_dedup, "UNIT", 3)
+    written = []
+    write = suffix_dedup.materialize
+    monkeypatch.setattr(suffix_dedup, "materialize", lambda df, name: written.append(df) or write(df, name))
+    last = suffix_dedup.remove_repeats(spark.createDataFrame(corpus(), "doc_id long, text string"))
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in [*written, last]]
+    assert sum(p.count("_surroundings(") for p in plans) == 1
+    assert plans[-1].count("LeftSemi") == 1
