@@ -3,21 +3,25 @@
 A line is the set of its lower-cased words. A line goes if an earlier one (smaller id, or same text and smaller line number) is
 similar. The join orders the tokens of each line by rarity and looks for two tokens that stand next to each other in both
 lines. Two similar lines have few tokens that the other lacks, and each of these parts at most one pair of neighbours, so that
-some pair near the front is the same in both: the prefix filter bounds how far from the front, the positional filter how far
-the two places can differ, the length filter the sizes. The Jaccard similarity is then verified on the whole sets.
+some pair near the front is the same in both: the prefix filter bounds how far from the front, the length filter the sizes, and
+64 bits of parity of each line's tokens how many tokens the two can differ in. The Jaccard similarity is then verified on the whole sets.
 
 How it scales: equal lines are one member of the join. Rarity comes from counts of all tokens in 2**18 hash buckets, a table of
 fixed size that stands in the plan as one small number a bucket. A token is written as its bucket's level and 55 bits of its
 hash in one number, so that numbers sort by rarity and no join is needed to rank them. Pairs of tokens are much rarer than
-tokens, so that most stand in one line only and go no further. Of the lines just before it and those that come first at its
-pairs, a line is compared with the one that it shares most with, then with the others; a line that is similar to none of them
-goes on to all earlier lines of its pairs, and by then the large families of similar lines are settled.
+tokens, so that most stand in one line only and go no further. A line is compared with the first line at each of its pairs and
+with some just before it; one that is similar to none of them goes on to all earlier lines of its pairs, and by then the large
+families of similar lines are settled. The words of two lines are compared only if the parities of their tokens allow it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .storage import bounded, free_name, materialize
 
@@ -27,12 +31,23 @@ SHORTEST = 1
 BUCKETS = 1 << 18
 #: Bounds of broadcast tables, in lines; a line takes a dozen bytes there.
 FEW_LINES = 1_000_000
-_BREAKS = "[\x20\t\x0b\x0c\r]+"
+RARE_BREAKS = "\t\x0b\x0c\r"
+#: Rows of pairs of tokens are dealt with in up to so many slices, each of at least so many rows.
+SLICES, SLICE_ROWS = 4, 4_000_000
+#: Lines just before a line, of those that have the same pair of tokens, that it is compared with first.
+BEFORE = 12
+
+
+def _words(text: Column) -> Column:
+    """Lower-cased words of a text, with empty ones between breaks in a row. A split at one plain character takes no regular
+    expression; the rare breaks are replaced before it, where there are any."""
+    rare = reduce(Column.__or__, (text.contains(c) for c in RARE_BREAKS))
+    return F.split(F.lower(F.when(rare, F.translate(text, RARE_BREAKS, " " * len(RARE_BREAKS))).otherwise(text)), " ")
 
 
 def _tokens(line: Column) -> Column:
     """Hashes of the distinct lower-cased words of a line."""
-    hashes = F.transform(F.split(F.lower(line), _BREAKS), lambda w: F.xxhash64(w))
+    hashes = F.transform(_words(line), lambda w: F.xxhash64(w))
     return F.array_except(hashes, F.array(F.xxhash64(F.lit(""))))
 
 
@@ -49,7 +64,7 @@ def _ranked(tokens: Column, levels: Column) -> Column:
 def _levels(texts: DataFrame) -> Column:
     """For each bucket its level: 0 up to one and a half times the average count, then three steps for each doubling. The table
     is one literal of BUCKETS small numbers, whatever the data's size."""
-    words = texts.select(F.explode(F.split(F.lower("text"), "[\x20\t\n\x0b\x0c\r]")).alias("w"))
+    words = texts.select(F.explode(_words(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")))).alias("w"))
     counted = words.groupBy(_bucket(F.xxhash64("w")).alias("bucket")).agg(F.count("*").alias("c"))
     mean = F.greatest(F.coalesce(F.sum("c").over(Window.partitionBy(F.lit(0))), F.lit(0)) / BUCKETS, F.lit(8.0))
     level = F.when(F.col("c") > 1.5 * mean, F.least(F.lit(127), F.greatest(F.lit(1), F.floor(3 * F.log2(F.col("c") / mean))))).otherwise(F.lit(0)).cast("int")
@@ -59,33 +74,48 @@ def _levels(texts: DataFrame) -> Column:
     return F.from_json(F.lit(table), "array<tinyint>")
 
 
-def _ceil(x: Column) -> Column:
-    return F.ceil(x - 1e-9).cast("int")
+def _differ(threshold: float, total: Column) -> Column:
+    """How many tokens two similar lines of `total` tokens together may not have in common."""
+    return total - 2 * F.ceil(total * (threshold / (1 + threshold)) - 1e-9).cast("int")
 
 
 def _fits(threshold: float, x: str, y: str) -> Column:
-    """Whether two lines (columns n, at with the prefixes x and y) can be similar, if the pair of neighbouring tokens at their
-    places is the first that both have. Of the c common tokens before it, each is parted from the next by a token that one line
-    lacks, so that 3 * c is at most the sum of the places; the other tokens before it count against the overlap needed."""
-    n, i, m, j = (F.col(c) for c in (x + "n", x + "at", y + "n", y + "at"))
-    need = _ceil((n + m) * (threshold / (1 + threshold)))
-    common = F.least(i, j, F.floor((i + j) / 3))
-    return (i - common <= n - need) & (j - common <= m - need)
-
-
-def _similar(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """Places (id, no) of the lines b of the pairs (a, b) that are similar on the whole sets."""
+    """Whether two lines (columns n, parity with the prefixes x and y) can be similar. Each token that one of them lacks changes one
+    bit of the parities, so that these differ in no more bits than the lines in tokens."""
+    n, m = F.col(f"{x}n"), F.col(f"{y}n")
+    most = _differ(threshold, n + m)
+    return (F.abs(n - m) <= most) & (F.bit_count(F.col(f"{x}parity").bitwiseXOR(F.col(f"{y}parity"))) <= most)
+
+
+def _numbered(own: DataFrame) -> tuple[DataFrame, Callable[[DataFrame, str], DataFrame]]:
+    """own with a bigint `place` that is in order of (id, no), and what turns a column of places into columns id and no again. Where
+    ids aren't whole numbers, or their range is too wide for both to fit, lines are numbered by a sort of their ids."""
+    kind = own.schema["id"].dataType
+    if isinstance(kind, IntegralType):
+        low, high, last = own.agg(F.min("id"), F.max("id"), F.max("no")).first()
+        low, bits = low or 0, (last or 0).bit_length()
+        if ((high or 0) - low + 1) << bits < 1 << 63:
+            place = F.shiftleft(F.col("id").cast("bigint") - low, bits).bitwiseOR(F.col("no").cast("bigint"))
+            there = lambda df, c: df.withColumns({"id": (F.shiftright(c, bits) + low).cast(kind), "no": F.col(c).bitwiseAND(F.lit((1 << bits) - 1).cast("bigint")).cast("int")})
+            return own.withColumn("place", place), there
+    numbers = materialize(own.select("id", "no").sort("id", "no").withColumn("place", F.monotonically_increasing_id()), "numbers")
+    return own.join(numbers, ["id", "no"]), lambda df, c: df.join(numbers.withColumnRenamed("place", c), c)
+
+
+def _similar(texts: DataFrame, pairs: DataFrame, there: Callable[[DataFrame, str], DataFrame], threshold: float) -> DataFrame:
+    """Places of the lines b of the pairs (a, b) that are similar on the whole sets."""
     pairs = materialize(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("place")).distinct()
-    wanted = materialize(wanted.groupBy(F.col("place.id").alias("id")).agg(F.collect_set("place.no").alias("nos")), "wanted")
-    few = (wanted.agg(F.sum(F.size("nos") + 1)).first()[0] or 0) <= FEW_LINES
-    picked = texts.join(F.broadcast(wanted) if few else wanted, "id").select("id", F.split("text", "\n").alias("lines"), F.explode("nos").alias("no"))
-    picked = picked.select(F.struct("id", "no").alias("place"), F.get("lines", F.col("no")).alias("line")).dropDuplicates(["place"])
-    a, b = (picked.select(F.col("place").alias(k), F.col("line").alias(f"line_{k}")) for k in "ab")
-    sets = pairs.join(a, "a").join(b, "b").select("b", _tokens(F.col("line_a")).alias("x"), _tokens(F.col("line_b")).alias("y"))
-    sizes = sets.select("b", (F.size("x") + F.size("y")).alias("total"), F.size(F.array_intersect("x", "y")).alias("both"))
+    wanted = there(pairs.select(F.explode(F.array("a", "b")).alias("place")).distinct(), "place")
+    wanted = materialize(wanted.groupBy("id").agg(F.collect_list(F.struct("place", "no")).alias("spots")), "wanted")
+    few = (wanted.agg(F.sum(F.size("spots") + 1)).first()[0] or 0) <= FEW_LINES
+    picked = texts.join(F.broadcast(wanted) if few else wanted, "id").select(F.split("text", "\n").alias("lines"), "spots")
+    picked = picked.select(F.explode(F.transform("spots", lambda s: F.struct(s["place"].alias("place"), F.get("lines", s["no"]).alias("line")))).alias("s"))
+    picked = picked.select("s.place", _tokens(F.col("s.line")).alias("set")).dropDuplicates(["place"])
+    a, b = (picked.select(F.col("place").alias(k), F.col("set").alias(f"set_{k}")) for k in "ab")
+    sets = pairs.join(a, "a").join(b, "b")
+    sizes = sets.select("b", (F.size("set_a") + F.size("set_b")).alias("total"), F.size(F.array_intersect("set_a", "set_b")).alias("both"))
     enough = F.col("both") * 10_000 >= round(threshold * 10_000) * (F.col("total") - F.col("both"))
-    return materialize(sizes.filter(enough).select("b.id", "b.no").distinct(), "similar")
+    return materialize(sizes.filter(enough).select("b").distinct(), "similar")
 
 
 def line_decisions(docs: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD, shortest: int = SHORTEST) -> DataFrame:
@@ -100,43 +130,58 @@ def line_decisions(docs: DataFrame, id_col: str, text_col: str, threshold: float
     n = F.size("ranked")
     reach = F.floor(n * (2 * (1 - threshold)) + 1e-9).cast("int") + 2
     low = lambda t: t.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("bigint"), t.bitwiseAND(F.lit(63)).cast("int"))
     sets = sets.select(
         "id", "no", n.alias("n"), F.xxhash64("ranked").alias("key"), F.xxhash64(F.lit(1), "ranked").alias("key2"),
         F.transform(F.slice("ranked", 1, reach), low).alias("head"),
+        F.aggregate("ranked", F.lit(0).cast("bigint"), lambda x, t: x.bitwiseXOR(bit(t))).alias("parity"),
     )
     equal = Window.partitionBy("key", "key2").orderBy("id", "no")
     own = sets.withColumn("turn", F.row_number().over(equal)).filter((F.col("turn") == 1) | (F.col("n") >= shortest))
-    own = materialize(own.select("id", "no", "n", (F.col("turn") > 1).alias("equal"), F.when(F.col("turn") == 1, F.col("head")).alias("head")), "lines")
+    own = materialize(own.select("id", "no", "n", (F.col("turn") > 1).alias("equal"), *(F.when(F.col("turn") == 1, F.col(c)).alias(c) for c in ("head", "parity"))), "lines")
 
     # below so many tokens only equal lines are similar
     members = own.filter(~F.col("equal") & (F.col("n") >= max(shortest, int(threshold / (1 - threshold) + 1e-9) if threshold < 1 else 1 << 30)))
+    members, there = _numbered(members)
+    shared = _shared(members)
+    lines = members.select("place", "n", "parity")
+    of = lambda k: lines.select(F.col("place").alias(k), F.struct("n", "parity").alias(f"of_{k}"))
+    twos = shared.filter("k = 2").select(F.col("low").alias("a"), F.col("place").alias("b")).distinct()
+    twos = twos.join(of("a"), "a").join(of("b"), "b").filter(_fits(threshold, "of_a.", "of_b.")).select("a", "b")
+
+    order = Window.partitionBy("pair").orderBy("place")
+    line = F.struct("place", "n", "parity")
+    seen = {"turn": F.row_number().over(order), "first": F.first(line).over(order)} | {f"last{k}": F.lag(line, k).over(order) for k in range(1, BEFORE + 1)}
+    # turn k has only k - 1 lines before it
+    near = [F.when((F.col("turn") > max(k, 1)) & _fits(threshold, f"{c}.", ""), F.col(f"{c}.place")) for k, c in enumerate(["first", *list(seen)[2:]])]
+    crowd = shared.filter("k > 2").select("pair", "place").join(lines, "place").withColumns(seen)
+    crowd = materialize(crowd.select("pair", "place", "n", "parity", "turn", F.array_compact(F.array_distinct(F.array(*near))).alias("near")), "crowd")
+    some = crowd.filter(F.size("near") > 0).select(F.explode("near").alias("a"), F.col("place").alias("b"))
+    tried = materialize(twos.unionByName(some).distinct(), "tried")
+    found = _similar(texts, tried, there, threshold)
+    # lines up to this turn have no others before them than those tried
+    left = crowd.filter(F.col("turn") > BEFORE + 2).select("pair", "place", "n", "parity", "turn").join(bounded(found.withColumnRenamed("b", "place"), FEW_LINES, "found"), "place", "left_anti")
+    x, y = crowd.filter("turn > 1").select("pair", "place", "n", "parity", "turn").alias("x"), bounded(left, FEW_LINES // 4, "left").alias("y")
+    both = (F.col("x.pair") == F.col("y.pair")) & (F.col("x.turn") + BEFORE < F.col("y.turn")) & _fits(threshold, "x.", "y.")
+    rest = x.join(y, both).select(F.col("x.place").alias("a"), F.col("y.place").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    found = found.unionByName(_similar(texts, rest, there, threshold))
+    return materialize(own.filter("equal").select("id", "no").unionByName(there(found, "b").select("id", "no")).distinct(), "gone")
+
+
+def _shared(members: DataFrame) -> DataFrame:
+    """(pair, place, k, low) of the pairs of neighbouring tokens that k > 1 lines have, the first of them at `low`; if k is 2, of the
+    second line only. The pairs are dealt with in slices, one after the other, so that only one slice's rows are on disk at once."""
     near = F.arrays_zip(F.slice("head", 1, F.size("head") - 1).alias("x"), F.slice("head", 2, F.size("head")).alias("y"))
-    rows = members.select("id", "no", "n", F.posexplode(near).alias("at", "two"))
     pair = F.shiftleft(F.col("two.x").cast("bigint"), 32).bitwiseOR(F.col("two.y").cast("bigint"))
-    rows = rows.select(pair.alias("pair"), "id", "no", "n", "at").repartition("pair")
-    # pairs of tokens that more than one line has: one row a pair, from the shuffle that the lines' rows come from
-    often = rows.groupBy("pair").agg(F.count("*").alias("k"), F.min("id").alias("low"), F.max("no").alias("high"), F.min("n").alias("least"), F.max("at").alias("last"))
-    often = often.filter((F.col("k") > 1) & (F.coalesce("low", "high", "least", "last").isNotNull())).select("pair", "k")
-    shared = rows.join(often.hint("shuffle_hash"), "pair")
-
-    order = Window.partitionBy("pair").orderBy("id", "no")
-    line, place = F.struct("id", "no", "n", "at"), F.struct("id", "no").alias("b")
-    seen = shared.withColumns({"turn": F.row_number().over(order), "p": F.lag(line).over(order), "f": F.first(line).over(order)})
-    fit = lambda x: F.when((F.col("turn") > 1) & _fits(threshold, f"{x}.", ""), F.struct(f"{x}.id", f"{x}.no")).alias(x)
-    shared = materialize(seen.select("pair", "id", "no", "n", "at", "k", "turn", fit("p"), fit("f")), "shared")
-    tried = [shared.filter(F.col(x).isNotNull()).select(F.col(x).alias("a"), place).filter("a <> b") for x in "pf"]
-    tried = materialize(tried[0].unionByName(tried[1]).groupBy("a", "b").agg(F.count("*").alias("k")), "tried")
-    best = tried.groupBy("b").agg(F.max_by("a", F.struct("k", "a")).alias("a"))
-    found = _similar(texts, best.select("a", "b"), threshold)
-    others = tried.join(found.select(F.struct("id", "no").alias("b")), "b", "left_anti").join(best, ["a", "b"], "left_anti")
-    found = found.unionByName(_similar(texts, others.select("a", "b"), threshold))
-    # the second line of a pair has no other one before it than those tried
-    left = shared.filter("turn > 2").join(bounded(found, FEW_LINES, "found"), ["id", "no"], "left_anti")
-    x, y = shared.filter("k > 2").alias("x"), left.alias("y")
-    both = (F.col("x.pair") == F.col("y.pair")) & (F.struct("x.id", "x.no") < F.struct("y.id", "y.no")) & _fits(threshold, "x.", "y.")
-    rest = x.join(y, both).select(F.struct("x.id", "x.no").alias("a"), F.struct("y.id", "y.no").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    found = found.unionByName(_similar(texts, rest, threshold))
-    return materialize(own.filter("equal").select("id", "no").unionByName(found).distinct(), "gone")
+    every = members.select("place", F.explode(near).alias("two")).select(pair.alias("pair"), "place")
+    count = members.agg(F.sum(F.size("head"))).first()[0] or 0
+    slices, done = min(SLICES, 1 + count // SLICE_ROWS), []
+    for k in range(slices):
+        rows = every.filter(F.pmod("pair", F.lit(slices)) == k).repartition("pair")
+        often = rows.groupBy("pair").agg(F.count("*").alias("k"), F.min("place").alias("low"), F.max("place").alias("high")).filter("k > 1")
+        mine = rows.join(often.hint("shuffle_hash"), "pair").filter("k > 2 or place = high").select("pair", "place", "k", "low")
+        done.append(materialize(mine, "shared"))
+    return reduce(DataFrame.unionByName, done)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shortest: int = SHORTEST) -> DataFrame:
@@ -151,11 +196,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key, lost = free_name(docs, "__id"), free_name(docs, "__gone")
     runs = gone.groupBy(F.col("id").alias(key)).agg(F.collect_list("no").alias(lost))
     joined = docs.join(F.broadcast(runs) if gone.count() <= FEW_LINES else runs, docs[id_col] == runs[key], "left")
-    lines = F.split(F.col(text_col), "\n")
+    # the lines are a column of their own, used more than once, so that Spark splits a text once and not for each of its lines
+    lines = free_name(joined, "__lines")
+    joined = joined.withColumn(lines, F.when(F.col(lost).isNotNull(), F.split(F.col(text_col), "\n")))
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(lost))
     kept = F.when(F.col(lost).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda no: F.get(lines, no)), "\n"))
+    breaks = F.octet_length(text_col) - F.octet_length(F.replace(F.col(text_col), F.lit("\n"), F.lit("")))
     counts = {
-        "n_lines": F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("bigint"),
+        "n_lines": F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(breaks + 1).cast("bigint"),
         "n_removed": F.when(F.col(lost).isNull(), F.lit(0)).otherwise(F.size(lost)).cast("bigint"),
     }
-    return joined.withColumns(counts).withColumn(text_col, kept).drop(key, lost)
+    return joined.withColumns(counts).withColumn(text_col, kept).drop(key, lost, lines)
