@@ -35,14 +35,18 @@ RARE_BREAKS = "\t\x0b\x0c\r"
 #: Rows of pairs of tokens are dealt with in up to so many slices, each of at least so many rows.
 SLICES, SLICE_ROWS = 4, 4_000_000
 #: Lines just before a line, of those that have the same pair of tokens, that it is compared with first.
-BEFORE = 12
+BEFORE = 4
+#: Shared pairs of tokens that a row of a line knows of before its own; two lines that have one of them in common meet there.
+KNOWN = 16
 
 
-def _words(text: Column) -> Column:
-    """Lower-cased words of a text, with empty ones between breaks in a row. A split at one plain character takes no regular
-    expression; the rare breaks are replaced before it, where there are any."""
+def _words(text: Column, lines: bool = False) -> Column:
+    """Lower-cased words of a line, or a text of several lines, with empty ones between breaks in a row. A split at one plain
+    character takes no regular expression; the rare breaks are replaced before it, where there are any."""
     rare = reduce(Column.__or__, (text.contains(c) for c in RARE_BREAKS))
-    return F.split(F.lower(F.when(rare, F.translate(text, RARE_BREAKS, " " * len(RARE_BREAKS))).otherwise(text)), " ")
+    breaks = RARE_BREAKS + "\n" * lines
+    plain = F.replace(text, F.lit("\n"), F.lit(" ")) if lines else text
+    return F.split(F.lower(F.when(rare, F.translate(text, breaks, " " * len(breaks))).otherwise(plain)), " ")
 
 
 def _tokens(line: Column) -> Column:
@@ -57,21 +61,20 @@ def _bucket(token: Column) -> Column:
 
 def _ranked(tokens: Column, levels: Column) -> Column:
     """Tokens as (level of the bucket, hash) in one number, rarest first."""
-    level = lambda t: F.coalesce(F.get(levels, _bucket(t)), F.lit(0).cast("tinyint")).cast("bigint")
-    return F.sort_array(F.transform(tokens, lambda t: F.shiftleft(level(t), 55).bitwiseOR(F.shiftrightunsigned(t, 9))))
+    return F.sort_array(F.transform(tokens, lambda t: F.get(levels, _bucket(t)).bitwiseOR(F.shiftrightunsigned(t, 9))))
 
 
 def _levels(texts: DataFrame) -> Column:
-    """For each bucket its level: 0 up to one and a half times the average count, then three steps for each doubling. The table
-    is one literal of BUCKETS small numbers, whatever the data's size."""
-    words = texts.select(F.explode(_words(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")))).alias("w"))
+    """For each bucket its level: 0 up to one and a half times the average count, then three steps for each doubling; in the
+    highest bits of a number. The table is one literal of BUCKETS numbers, whatever the data's size."""
+    words = texts.select(F.explode(_words(F.col("text"), lines=True)).alias("w"))
     counted = words.groupBy(_bucket(F.xxhash64("w")).alias("bucket")).agg(F.count("*").alias("c"))
     mean = F.greatest(F.coalesce(F.sum("c").over(Window.partitionBy(F.lit(0))), F.lit(0)) / BUCKETS, F.lit(8.0))
     level = F.when(F.col("c") > 1.5 * mean, F.least(F.lit(127), F.greatest(F.lit(1), F.floor(3 * F.log2(F.col("c") / mean))))).otherwise(F.lit(0)).cast("int")
     every = texts.sparkSession.range(0, BUCKETS, 1, 1).select(F.col("id").cast("int").alias("bucket"))
     dense = every.join(F.broadcast(counted), "bucket", "left").select("bucket", F.coalesce(level, F.lit(0)).alias("level"))
-    table = dense.agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "level"))), lambda s: s["level"])).alias("table")).first().table
-    return F.from_json(F.lit(table), "array<tinyint>")
+    table = dense.agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "level"))), lambda s: F.shiftleft(s["level"].cast("bigint"), 55))).alias("table")).first().table
+    return F.from_json(F.lit(table), "array<bigint>")
 
 
 def _differ(threshold: float, total: Column) -> Column:
@@ -161,13 +164,27 @@ def line_decisions(docs: DataFrame, id_col: str, text_col: str, threshold: float
     found = _similar(texts, tried, there, threshold)
     # lines up to this turn have no others before them than those tried
     left = crowd.filter(F.col("turn") > BEFORE + 2).select("pair", "place", "n", "parity", "turn").join(bounded(found.withColumnRenamed("b", "place"), FEW_LINES, "found"), "place", "left_anti")
-    x, y = crowd.filter("turn > 1").select("pair", "place", "n", "parity", "turn").alias("x"), bounded(left, FEW_LINES // 4, "left").alias("y")
-    both = (F.col("x.pair") == F.col("y.pair")) & (F.col("x.turn") + BEFORE < F.col("y.turn")) & _fits(threshold, "x.", "y.")
-    rest = x.join(y, both).select(F.col("x.place").alias("a"), F.col("y.place").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    rest = _rest(crowd.filter("turn > 1").drop("near"), left, threshold).distinct().join(tried, ["a", "b"], "left_anti")
     found = found.unionByName(_similar(texts, rest, there, threshold))
     return materialize(own.filter("equal").select("id", "no").unionByName(there(found, "b").select("id", "no")).distinct(), "gone")
 
 
+def _rest(crowd: DataFrame, left: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of lines b that are left and lines a of crowd before them, beyond those tried, that may be similar.
+
+    Lines of a family have many pairs of tokens in common; two lines meet at the first of these only. Each row has the KNOWN pairs
+    of its line before its own, and two rows with one of them in common make nothing: either the two lines meet there, or they have been
+    tried. A row knows a bounded number, so that lines with more of them can meet more than once, but never less."""
+    known = F.collect_list("pair").over(Window.partitionBy("place").orderBy("pair").rowsBetween(-KNOWN, -1))
+    left = materialize(left, "left")
+    y = bounded(left.withColumn("known", known), FEW_LINES // 4, "left").alias("y")
+    wanted = bounded(left.groupBy("pair").agg(F.max("turn").alias("last")), FEW_LINES // 4, "wanted")
+    x = crowd.join(wanted, "pair").filter(F.col("turn") + BEFORE < F.col("last")).drop("last").withColumn("known", known).alias("x")
+    both = (F.col("x.pair") == F.col("y.pair")) & (F.col("x.turn") + BEFORE < F.col("y.turn")) & _fits(threshold, "x.", "y.")
+    met = F.arrays_overlap("x.known", "y.known")
+    return x.join(y, both & ~met).select(F.col("x.place").alias("a"), F.col("y.place").alias("b"))
+
+
 def _shared(members: DataFrame) -> DataFrame:
     """(pair, place, k, low) of the pairs of neighbouring tokens that k > 1 lines have, the first of them at `low`; if k is 2, of the
     second line only. The pairs are dealt with in slices, one after the other, so that only one slice's rows are on disk at once."""
