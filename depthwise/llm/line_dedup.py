@@ -1,14 +1,16 @@
 """Removal of repeated lines by an exact set-similarity join, with DataFrame functions only.
 
 A line is the set of its lower-cased words. A line goes if an earlier one (smaller id, or same text and smaller line number) is
-similar. The join orders the tokens of each line by rarity and looks for two tokens that stand next to each other in both
-lines. Two similar lines have few tokens that the other lacks, and each of these parts at most one pair of neighbours, so that
-some pair near the front is the same in both: the prefix filter bounds how far from the front, the length filter the sizes, and
-64 bits of parity of each line's tokens how many tokens the two can differ in. The Jaccard similarity is then verified on the whole sets.
+similar. The join orders the tokens of each line by rarity and looks for tokens that stand next to each other in both lines: two
+where both are rare, else three. Two similar lines have few tokens that the other lacks, and each of these parts at most two pairs or
+three triples of neighbours, so that some near the front are the same in both: the prefix filter bounds how far from the front, the
+length filter the sizes, and 64 bits of parity of each line's tokens how many tokens the two can differ in. The Jaccard similarity is
+then verified on the whole sets. Below, "pair" is the key of such neighbours, two or three.
 
 How it scales: equal lines are one member of the join. Rarity comes from counts of all tokens in 2**18 hash buckets, a table of
 fixed size that stands in the plan as one small number a bucket. A token is written as its bucket's level and 55 bits of its
-hash in one number, so that numbers sort by rarity and no join is needed to rank them. Pairs of tokens are much rarer than
+hash in one number, so that numbers sort by rarity and no join is needed to rank them. Which tokens are rare goes by the root of
+the number of all words, so that two rare ones seldom meet by chance, whatever the data's size; neighbours are much rarer than
 tokens, so that most stand in one line only and go no further. A line is compared with the first line at each of its pairs and
 with some just before it; one that is similar to none of them goes on to all earlier lines of its pairs, and by then the large
 families of similar lines are settled. The words of two lines are compared only if the parities of their tokens allow it.
@@ -31,9 +33,15 @@ SHORTEST = 1
 BUCKETS = 1 << 18
 #: Bounds of broadcast tables, in lines; a line takes a dozen bytes there.
 FEW_LINES = 1_000_000
+#: Stands twice behind the last token of a line.
+END = (1 << 31) - 1
 RARE_BREAKS = "\t\x0b\x0c\r"
+#: A token is rare if its bucket's count is at most RARE times the root of all words, but 12 at least.
+RARE = 1 / 16
+#: In one number of a token: its level above bits of its hash. Number of those bits for sorting, and in what is kept of it.
+LEVEL, KEPT_LEVEL = 55, 24
 #: Rows of pairs of tokens are dealt with in up to so many slices, each of at least so many rows.
-SLICES, SLICE_ROWS = 4, 4_000_000
+SLICES, SLICE_ROWS = 2, 4_000_000
 #: Lines just before a line, of those that have the same pair of tokens, that it is compared with first.
 BEFORE = 4
 #: Shared pairs of tokens that a row of a line knows of before its own; two lines that have one of them in common meet there.
@@ -61,19 +69,21 @@ def _bucket(token: Column) -> Column:
 
 def _ranked(tokens: Column, levels: Column) -> Column:
     """Tokens as (level of the bucket, hash) in one number, rarest first."""
-    return F.sort_array(F.transform(tokens, lambda t: F.get(levels, _bucket(t)).bitwiseOR(F.shiftrightunsigned(t, 9))))
+    # without nulls Spark sorts plain numbers
+    level = lambda t: F.shiftleft(F.coalesce(F.get(levels, _bucket(t)), F.lit(0).cast("bigint")), LEVEL)
+    return F.sort_array(F.transform(tokens, lambda t: level(t).bitwiseOR(F.shiftrightunsigned(t, 64 - LEVEL))))
 
 
 def _levels(texts: DataFrame) -> Column:
-    """For each bucket its level: 0 up to one and a half times the average count, then three steps for each doubling; in the
-    highest bits of a number. The table is one literal of BUCKETS numbers, whatever the data's size."""
+    """For each bucket its level: 0 for rare ones, then three steps for each doubling. The table is one literal of BUCKETS numbers,
+    whatever the data's size."""
     words = texts.select(F.explode(_words(F.col("text"), lines=True)).alias("w"))
     counted = words.groupBy(_bucket(F.xxhash64("w")).alias("bucket")).agg(F.count("*").alias("c"))
-    mean = F.greatest(F.coalesce(F.sum("c").over(Window.partitionBy(F.lit(0))), F.lit(0)) / BUCKETS, F.lit(8.0))
-    level = F.when(F.col("c") > 1.5 * mean, F.least(F.lit(127), F.greatest(F.lit(1), F.floor(3 * F.log2(F.col("c") / mean))))).otherwise(F.lit(0)).cast("int")
+    rare = F.greatest(F.sqrt(F.coalesce(F.sum("c").over(Window.partitionBy(F.lit(0))), F.lit(0))) * RARE, F.lit(12.0))
+    level = F.when(F.col("c") > rare, F.least(F.lit(127), 1 + F.floor(3 * F.log2(F.col("c") / rare)))).otherwise(F.lit(0)).cast("int")
     every = texts.sparkSession.range(0, BUCKETS, 1, 1).select(F.col("id").cast("int").alias("bucket"))
     dense = every.join(F.broadcast(counted), "bucket", "left").select("bucket", F.coalesce(level, F.lit(0)).alias("level"))
-    table = dense.agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "level"))), lambda s: F.shiftleft(s["level"].cast("bigint"), 55))).alias("table")).first().table
+    table = dense.agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "level"))), lambda s: s["level"])).alias("table")).first().table
     return F.from_json(F.lit(table), "array<bigint>")
 
 
@@ -82,6 +92,20 @@ def _differ(threshold: float, total: Column) -> Column:
     return total - 2 * F.ceil(total * (threshold / (1 + threshold)) - 1e-9).cast("int")
 
 
+def _rare(token: Column) -> Column:
+    return token < 1 << KEPT_LEVEL
+
+
+def _keys(threshold: float, n: Column, rare: Column) -> Column:
+    """How many keys a line of n tokens needs from the front, of which `rare` are rare, to have one in common with each similar line.
+
+    A similar line lacks at most b = n * (1 - threshold) of its tokens; each that it has instead counts as `threshold` of one of these.
+    One that is missing parts two keys among the rare tokens and three behind them, so that b part up to 2 b keys if some among the
+    rare - 1 first stay whole. Else parting all of these takes (rare - 1) / 2 of b, and the rest parts three each."""
+    b = (1 - threshold) * n + 1e-9
+    return F.floor(F.greatest(2 * b, 3 * b - F.greatest(rare - 1, F.lit(0)) / 2)).cast("int") + 1
+
+
 def _fits(threshold: float, x: str, y: str) -> Column:
     """Whether two lines (columns n, parity with the prefixes x and y) can be similar. Each token that one of them lacks changes one
     bit of the parities, so that these differ in no more bits than the lines in tokens."""
@@ -131,14 +155,15 @@ def line_decisions(docs: DataFrame, id_col: str, text_col: str, threshold: float
     # the size is filtered only behind the exchange, else the tokens would be made once more for the filter
     sets = lines.select("id", "no", _ranked(_tokens(F.col("line")), _levels(texts)).alias("ranked"))
     n = F.size("ranked")
-    reach = F.floor(n * (2 * (1 - threshold)) + 1e-9).cast("int") + 2
-    low = lambda t: t.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+    kept = lambda t: F.shiftright(t, LEVEL - KEPT_LEVEL).cast("int")
+    most = F.floor(3 * (1 - threshold) * n + 1e-9).cast("int") + 3
     bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("bigint"), t.bitwiseAND(F.lit(63)).cast("int"))
     sets = sets.select(
         "id", "no", n.alias("n"), F.xxhash64("ranked").alias("key"), F.xxhash64(F.lit(1), "ranked").alias("key2"),
-        F.transform(F.slice("ranked", 1, reach), low).alias("head"),
+        F.concat(F.transform(F.slice("ranked", 1, most), kept), F.array(F.lit(END), F.lit(END))).alias("head"),
         F.aggregate("ranked", F.lit(0).cast("bigint"), lambda x, t: x.bitwiseXOR(bit(t))).alias("parity"),
     )
+    sets = sets.withColumn("head", F.slice("head", 1, _keys(threshold, F.col("n"), F.size(F.filter("head", _rare))) + 2))
     equal = Window.partitionBy("key", "key2").orderBy("id", "no")
     own = sets.withColumn("turn", F.row_number().over(equal)).filter((F.col("turn") == 1) | (F.col("n") >= shortest))
     own = materialize(own.select("id", "no", "n", (F.col("turn") > 1).alias("equal"), *(F.when(F.col("turn") == 1, F.col(c)).alias(c) for c in ("head", "parity"))), "lines")
@@ -186,12 +211,13 @@ def _rest(crowd: DataFrame, left: DataFrame, threshold: float) -> DataFrame:
 
 
 def _shared(members: DataFrame) -> DataFrame:
-    """(pair, place, k, low) of the pairs of neighbouring tokens that k > 1 lines have, the first of them at `low`; if k is 2, of the
-    second line only. The pairs are dealt with in slices, one after the other, so that only one slice's rows are on disk at once."""
-    near = F.arrays_zip(F.slice("head", 1, F.size("head") - 1).alias("x"), F.slice("head", 2, F.size("head")).alias("y"))
-    pair = F.shiftleft(F.col("two.x").cast("bigint"), 32).bitwiseOR(F.col("two.y").cast("bigint"))
-    every = members.select("place", F.explode(near).alias("two")).select(pair.alias("pair"), "place")
-    count = members.agg(F.sum(F.size("head"))).first()[0] or 0
+    """(pair, place, k, low) of the keys that k > 1 lines have, the first of them at `low`; if k is 2, of the second line only. Keys are
+    dealt with in slices, one after the other, so that only one slice's rows are on disk at once."""
+    x, y, z = (F.get("head", F.col("i") + k) for k in range(3))
+    # a hash of a null is that of what is before it
+    pair = F.xxhash64(x, y, F.when(~(_rare(x) & _rare(y)), z))
+    every = members.select("place", "head", F.explode(F.sequence(F.lit(0), F.size("head") - 3)).alias("i")).select(pair.alias("pair"), "place")
+    count = members.agg(F.sum(F.size("head") - 2)).first()[0] or 0
     slices, done = min(SLICES, 1 + count // SLICE_ROWS), []
     for k in range(slices):
         rows = every.filter(F.pmod("pair", F.lit(slices)) == k).repartition("pair")
