@@ -21,9 +21,9 @@ def _div(x: Column | str, width: int) -> Column:
     return F.floor(x / width).cast("int")
 
 
-def binned(df: DataFrame, width: int) -> DataFrame:
-    """A row for each bin that an interval touches; empty intervals touch none."""
-    return df.filter("start < end").withColumn("bin", F.explode(F.sequence(_div("start", width), _div(F.col("end") - 1, width))))
+def binned(df: DataFrame, width: int, name: str = "bin") -> DataFrame:
+    """A row for each bin that an interval touches, its number in the column `name`; empty intervals touch none."""
+    return df.filter("start < end").withColumn(name, F.explode(F.sequence(_div("start", width), _div(F.col("end") - 1, width))))
 
 
 def clipped_to_bins(df: DataFrame, width: int) -> DataFrame:
@@ -36,13 +36,14 @@ def overlap_join(a: DataFrame, b: DataFrame, by: Sequence[str] = (), width: int
     intersection as lo, hi.
 
     An equality join on the bins; a pair that shares several bins is kept in the one where its intersection starts. With how
-    "left" rows of a without a partner stay, with nulls; they must then be told apart by the columns `ids`.
+    "left" rows of a without a partner stay, with nulls; they must then be told apart by the columns `ids`. A column `bin` of a or
+    b is theirs, of another width, and stays as it is.
     """
     keys = [*by, "contig"]
-    right = binned(b, width).select(*keys, "bin", *(F.col(c).alias(f"b_{c}") for c in b.columns if c not in keys))
-    pairs = binned(a, width).join(right, [*keys, "bin"])
+    right = binned(b, width, "__bin").select(*keys, "__bin", *(F.col(c).alias(f"b_{c}") for c in b.columns if c not in keys))
+    pairs = binned(a, width, "__bin").join(right, [*keys, "__bin"])
     lo, hi = F.greatest("start", "b_start"), F.least("end", "b_end")
-    pairs = pairs.filter((lo < hi) & (_div(lo, width) == F.col("bin"))).withColumns({"lo": lo, "hi": hi}).drop("bin").select(*a.columns, *(c for c in right.columns if c.startswith("b_")), "lo", "hi")
+    pairs = pairs.filter((lo < hi) & (_div(lo, width) == F.col("__bin"))).withColumns({"lo": lo, "hi": hi}).drop("__bin").select(*a.columns, *(c for c in right.columns if c.startswith("b_")), "lo", "hi")
     if how == "inner":
         return pairs
     extra = pairs.columns[len(a.columns) :]

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from depthwise.operators import genes, runs, uniformity
+from depthwise.operators import depth, genes, intervals, runs, uniformity
 from depthwise.storage import stored
 from depthwise.sources import validate
 
@@ -71,6 +71,28 @@ def test_off_target(spark, width):
     assert runs.off_target(rle, spark.createDataFrame([], f"set_id int, {SPAN}"), 20, 2, width).collect() == []
 
 
+@pytest.mark.parametrize("width,join", [(8, 32), (32, 8), (8, 8)])
+def test_low_runs_in_targets_cross_all_bins(spark, width, join):
+    """The bins of the depth and those of the join with the targets differ; runs are cut at neither."""
+    r = random.Random(width + join)
+    d = [r.choice([5, 5, 5, 30]) for _ in range(300)]
+    rle = spark.createDataFrame([("c", p // width, p, p + 1, d[p]) for p in range(300)], "contig string, bin int, start int, end int, depth long")
+    targets = [(k % 2, "c", k, s, s + r.randint(1, 70)) for k, s in enumerate(r.randint(0, 230) for _ in range(12))]
+    on = depth.target_depth(rle, spark.createDataFrame(targets, "set_id int, contig string, interval_id int, start int, end int"), (), join)
+    want = []
+    for k, _, i, s, e in targets:
+        low = [p for p in range(s, e) if d[p] < 20]
+        starts, ends = [p for p in low if p - 1 not in low], [p + 1 for p in low if p + 1 not in low]
+        want += [(k, i, a, b, 5) for a, b in zip(starts, ends)]
+    assert sorted((x.set_id, x.interval_id, x.start, x.end, x.mean_depth) for x in runs.low_runs(on, 20, ["set_id", "interval_id"], width).collect()) == sorted(want)
+    assert {x.bin * width <= x.start < x.end <= (x.bin + 1) * width for x in on.collect()} == {True}
+
+
+def test_a_bin_of_the_left_side_stays(spark):
+    a, b = spark.createDataFrame([("c", 3, 10, 20)], "contig string, bin int, start int, end int"), spark.createDataFrame([("c", 15, 40)], SPAN)
+    assert [tuple(x) for x in intervals.overlap_join(a, b, (), 4).collect()] == [("c", 3, 10, 20, 15, 40, 15, 20)]
+
+
 def test_cds_in_several_targets(spark):
     cds = spark.createDataFrame([("c", 0, 100, "g", "t", 1), ("c", 0, 100, "g", "t", 1), ("c", 40, 50, "g", "t", -1), ("c", 60, 70, "g", "t", -5), ("d", 0, 9, "g", "t", 2)], f"{SPAN}, gene string, transcript string, exon_id int")
     targets = spark.createDataFrame([("c", 10, 20), ("c", 50, 60), ("c", 55, 65), ("c", 65, 66)], SPAN)
