@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import plain_contig, primary, source_of
+from ..storage import stored
 from .annotate import SOURCES
 from .intervals import overlap_join, partition
 
@@ -83,16 +84,27 @@ def _by_prefix(name: Column, which: int, otherwise: str | None) -> Column:
     return out.otherwise(F.lit(otherwise))
 
 
-def names_of_ids(names: DataFrame, registry: DataFrame) -> DataFrame:
-    """(name, symbols, prevs): of each distinct name the symbols and the previous symbols of all registry entries whose list for
-    that kind of id has it. Versions are left off, and of RefSeq ids the number that tells equal names apart."""
-    lists = sorted({row[1] for row in PREFIXES} & set(registry.columns))
-    ids = lambda c: F.transform(F.split(F.coalesce(F.col(c), F.lit("")), ","), lambda x: F.struct(F.lit(c).alias("list"), F.trim(x).alias("id")))
-    entries = registry.select("symbol", F.col("prev"), F.inline(F.concat(*map(ids, lists)))).filter("id <> ''")
-    plain = F.substring_index("name", ".", 1)
-    kind = _by_prefix(F.col("name"), 1, None)
-    keyed = names.select("name").distinct().withColumns({"list": kind, "id": F.when(kind == "refseq", F.regexp_replace(plain, "-[0-9]+$", "")).otherwise(plain)})
-    return keyed.join(entries, ["list", "id"]).groupBy("name").agg(F.collect_set("symbol").alias("symbols"), F.collect_set("prev").alias("prevs"))
+def _ids(name: Column, registry: DataFrame) -> Column:
+    """`list:id` of a name, null for a name that none of the registry's lists can have. Versions are left off, and of RefSeq ids
+    the number that tells equal names apart."""
+    kind, plain = _by_prefix(name, 1, None), F.substring_index(name, ".", 1)
+    return F.when(kind.isin(*_lists(registry)), F.concat(kind, F.lit(":"), F.when(kind == "refseq", F.regexp_replace(plain, "-[0-9]+$", "")).otherwise(plain)))
+
+
+def _lists(registry: DataFrame) -> list[str]:
+    return sorted({row[1] for row in PREFIXES} & set(registry.columns))
+
+
+def entries_of_ids(registry: DataFrame) -> DataFrame:
+    """(id, symbol, prev): a row for each `list:id` of each registry entry."""
+    ids = lambda c: F.transform(F.split(F.coalesce(F.col(c), F.lit("")), ","), lambda x: F.struct(F.lit(f"{c}:").alias("list"), F.trim(x).alias("id")))
+    return registry.select("symbol", "prev", F.inline(F.concat(*map(ids, _lists(registry))))).filter("id <> ''").select(F.concat("list", "id").alias("id"), "symbol", "prev")
+
+
+def exon_parts(models: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The exon table as segments and lists, to be put together by `whole_table`."""
+    rows = exon_rows(models).select("contig", "start", "end", "name", "symbol", F.concat("name", F.lit("|exon_"), F.col("exon_id").cast("string"), F.lit("|gene")).alias("label"))
+    return _parts(rows, partition(rows), registry)
 
 
 def exon_table(models: DataFrame, registry: DataFrame) -> DataFrame:
@@ -100,26 +112,68 @@ def exon_table(models: DataFrame, registry: DataFrame) -> DataFrame:
     symbols that the models over a segment and the registry give, the first is the symbol, the others are synonyms; the models'
     labels `name|exon_<id>|gene` stand in the column of their kind. Lists are sorted, distinct and joined by semicolons; null
     where there is nothing."""
-    rows = exon_rows(models).select("contig", "start", "end", "name", "symbol", F.concat("name", F.lit("|exon_"), F.col("exon_id").cast("string"), F.lit("|gene")).alias("label"))
-    return _table(rows, partition(rows), registry)
+    return whole_table(*exon_parts(models, registry))
 
 
 def intron_table(models: DataFrame, registry: DataFrame) -> DataFrame:
     """As exon_table, for what introns cover and no exon does; previous symbols that are symbols of the segment are left out."""
     rows = introns(models).select("contig", "start", "end", "name", F.col("gene").alias("symbol"), F.concat("name", F.lit("|intron_"), F.col("intron_id").cast("string"), F.lit("|gene")).alias("label"))
-    return _table(rows, partition(rows, outside=exon_rows(models)), registry, only_new=True)
-
-
-def _table(rows: DataFrame, segments: DataFrame, registry: DataFrame, only_new: bool = False) -> DataFrame:
-    """Names are looked up once each, before they meet the segments; a segment's rows are then folded in one grouped pass."""
+    return whole_table(*_parts(rows, partition(rows, outside=exon_rows(models)), registry, only_new=True))
+
+
+#: Segments of one set of ids that meet one copy of its lists.
+SEGMENTS_OF_A_COPY = 4_000
+
+
+def _parts(rows: DataFrame, segments: DataFrame, registry: DataFrame, only_new: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The segments (contig, start, end, ids, own, copy, five kinds), written once, with the ids of the names over them and those of
+    the models' own symbols that the registry does not give for the model's id; and for each different set of ids (ids, copy) its
+    lists: symbols, its first symbol, its synonyms as text, prevs, these as text.
+
+    An id may have very many symbols and be that of very many models: only ids are shuffled with the segments, and lists are made
+    once for each set of ids. A set of more than SEGMENTS_OF_A_COPY segments has several copies of its lists, so that its segments needn't
+    meet them in one task.
+    """
+    good = lambda c: ~F.col(c).isin("", ".")
+    entries = entries_of_ids(registry)
+    given = entries.filter(good("symbol")).select("id", "symbol", F.lit(True).alias("given")).distinct()
+    keyed = rows.select("contig", "start", "end", "label", _by_prefix(F.col("name"), 2, "other").alias("kind"), _ids(F.col("name"), registry).alias("id"), F.when(good("symbol"), F.col("symbol")).alias("symbol"))
+    keyed = keyed.join(given, ["id", "symbol"], "left").select("contig", "start", "end", "label", "kind", "id", F.when(F.col("given").isNull(), F.col("symbol")).alias("own"))
+    pairs = overlap_join(segments.select("contig", "start", "end"), keyed)
+    kinds = [F.array_join(F.array_sort(F.collect_set(F.when(F.col("b_kind") == k, F.col("b_label")))), ";").alias(k) for k in SOURCES]
+    sets = [F.array_sort(F.collect_set(f"b_{c}")).alias(n) for c, n in (("id", "ids"), ("own", "own"))]
+    found = pairs.groupBy("contig", "start", "end").agg(*sets, *kinds).withColumns({k: F.when(F.col(k) != "", F.col(k)) for k in SOURCES})
+    found = stored(found, "segments")
+
+    counts = found.filter("size(ids) > 0").groupBy("ids").agg(F.ceil(F.count("*") / SEGMENTS_OF_A_COPY).cast("int").alias("copies"))
+    large = counts.filter("copies > 1")  # at most a row for each SEGMENTS_OF_A_COPY segments
+    dealt = found.join(F.broadcast(large), "ids", "left").withColumn("copy", F.pmod(F.xxhash64("contig", "start"), F.coalesce("copies", F.lit(1))).cast("int"))
+    of_ids = entries.groupBy("id").agg(*(F.sort_array(F.collect_set(F.when(good(c), F.col(c)))).alias(f"{c}s") for c in ("symbol", "prev")))
+    all_of = lambda c: F.sort_array(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    lists = counts.select("ids", "copies", F.explode("ids").alias("id")).join(of_ids, "id").groupBy("ids", "copies").agg(all_of("symbols"), all_of("prevs"))
+    if only_new:
+        lists = lists.withColumn("prevs", F.array_except("prevs", "symbols"))
+    lists = lists.select("ids", "copies", "symbols", F.get("symbols", F.lit(0)).alias("symbol"), _joined(F.slice("symbols", 2, 1 << 30)).alias("synonyms"), "prevs", _joined(F.col("prevs")).alias("prev"), F.lit(only_new).alias("only_new"))
+    lists = lists.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    return dealt.select("contig", "start", "end", "ids", "own", "copy", *SOURCES), lists
+
+
+def _joined(c: Column) -> Column:
+    """A list as text, null if it is empty."""
+    return F.when(F.size(c) > 0, F.array_join(c, ";"))
+
+
+def whole_table(segments: DataFrame, lists: DataFrame) -> DataFrame:
+    """The table of the segments with their lists. Own symbols, which few segments have, are put into the lists here; a long list
+    is not hashed for that, but searched for each of them and sorted, being in order but for their end."""
     none = F.expr("cast(array() as array<string>)")
-    named_rows = rows.join(names_of_ids(rows, registry), "name", "left").select(
-        "contig", "start", "end", "label", _by_prefix(F.col("name"), 2, "other").alias("kind"), F.concat(F.array("symbol"), F.coalesce("symbols", none)).alias("genes"), F.coalesce("prevs", none).alias("prevs")
+    found = segments.join(lists, ["ids", "copy"], "left").withColumn("symbols", F.coalesce("symbols", none))
+    found = found.withColumn("new", F.filter("own", lambda x: ~F.array_contains("symbols", x)))
+    more = F.size("new") > 0
+    found = found.withColumn("genes", F.when(more, F.sort_array(F.concat("symbols", "new"))))
+    prevs = F.array_except("prevs", "own")
+    return found.select(
+        "contig", "start", "end", F.when(more, F.get("genes", F.lit(0))).otherwise(F.col("symbol")).alias("symbol"),
+        F.when(more, F.when(F.size("genes") > 1, F.array_join(F.slice("genes", 2, 1 << 30), ";"))).otherwise(F.col("synonyms")).alias("synonyms"),
+        F.when(more & F.col("only_new"), _joined(prevs)).otherwise(F.col("prev")).alias("prev"), *SOURCES,
     )
-    pairs = overlap_join(segments.select("contig", "start", "end"), named_rows)
-    listed = lambda c: F.array_sort(F.array_distinct(F.filter(F.flatten(F.collect_list(c)), lambda x: x.isNotNull() & ~x.isin("", "."))))
-    kinds = [F.array_sort(F.collect_set(F.when(F.col("b_kind") == k, F.col("b_label")))).alias(k) for k in SOURCES]
-    found = pairs.groupBy("contig", "start", "end").agg(listed("b_genes").alias("genes"), listed("b_prevs").alias("prev"), *kinds)
-    text = lambda c: F.when(F.size(c) > 0, F.array_join(c, ";"))
-    prev = F.array_except("prev", "genes") if only_new else F.col("prev")
-    return found.select("contig", "start", "end", F.get("genes", F.lit(0)).alias("symbol"), text(F.slice("genes", 2, 1 << 30)).alias("synonyms"), text(prev).alias("prev"), *(text(F.col(k)).alias(k) for k in SOURCES))
