@@ -8,6 +8,8 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.annotation_etl import whole_table
+
 BED = "contig string, start int, end int"
 
 
@@ -160,6 +162,15 @@ def annotation_table(spark: SparkSession, path: str | None = None, contig: str |
     return df if contig is None else df.filter(F.col("contig") == contig)
 
 
+def annotation_table_of_parts(spark: SparkSession, path: str, contigs: DataFrame | None = None) -> DataFrame:
+    """An annotation table of write_annotation_parts, with the lists in its rows again; of the contigs of `contigs` (contig, a row for
+    each) only, if given, whose folders alone are read."""
+    segments = annotation_table(spark, f"{path}/segments")
+    if contigs is not None:
+        segments = segments.join(F.broadcast(contigs.select("contig")), "contig")
+    return whole_table(segments, spark.read.parquet(f"{path}/lists"))
+
+
 def preferred_transcripts(df: DataFrame, name: str = "transcript") -> DataFrame:
     """Transcript names without their version."""
     return df.select(F.substring_index(name, ".", 1).alias("transcript")).distinct()

@@ -111,3 +111,10 @@ def write_annotation(rows: DataFrame, path: str, files: int | None = None) -> No
     place = ["contig", "start"]
     dealt = rows.repartitionByRange(files, *place) if files else rows.repartitionByRange(*place)
     dealt.sortWithinPartitions(*place).write.partitionBy("contig").parquet(path)
+
+
+def write_annotation_parts(segments: DataFrame, lists: DataFrame, path: str, files: int | None = None) -> None:
+    """An annotation table in its two parts: the segments as by `write_annotation`, and beside them the lists that they share, each
+    once. Put together, the text of a table can be many times as long."""
+    write_annotation(segments, f"{path}/segments", files)
+    lists.write.parquet(f"{path}/lists")

@@ -8,6 +8,7 @@ import pytest
 
 from depthwise.operators import annotation_etl
 from depthwise.operators.annotation_etl import PREFIXES
+from depthwise.sources import readers, sinks
 
 MODELS = "name string, contig string, strand string, tx_start int, tx_end int, cds_start int, cds_end int, exon_count int, exon_starts array<int>, exon_ends array<int>, symbol string"
 REGISTRY = "hgnc_id int, symbol string, prev string, refseq string, ensembl string, ccds string"
@@ -86,3 +87,19 @@ def test_lists_are_not_shuffled_with_every_row(spark, table):
     rows = table(spark.createDataFrame(models, MODELS), spark.createDataFrame(registry, REGISTRY)).selectExpr("length(synonyms) as n").groupBy("n").count().collect()
     assert [(x.n, x["count"]) for x in rows] == [(999 * 33 + 1, 2000 if table is annotation_etl.exon_table else 1000)]
     assert shuffled(spark) - before < 3_000_000
+
+
+def test_a_table_in_parts_is_whole_and_small(spark, tmp_path):
+    """1,000 symbols of one id on 2,000 segments: 66 MB of text, whose lists are written once, and read for one contig's folder."""
+    models = [("NM_1", "cd"[k % 2], "+", k * 100, k * 100 + 60, 0, 0, 2, [k * 100, k * 100 + 40], [k * 100 + 20, k * 100 + 60], None) for k in range(1000)]
+    registry = [(k, hashlib.md5(str(k).encode()).hexdigest(), "P", "NM_1", None, None) for k in range(1000)]
+    m, r = spark.createDataFrame(models, MODELS), spark.createDataFrame(registry, REGISTRY)
+    path = tmp_path / "t"
+    sinks.write_annotation_parts(*annotation_etl.exon_parts(m, r), str(path), 3)
+    assert sum(f.stat().st_size for f in path.rglob("*") if f.is_file()) < 1_000_000
+    assert {f.name for f in (path / "segments").iterdir() if f.is_dir()} == {"contig=c", "contig=d"}
+    whole = sorted(map(tuple, annotation_etl.exon_table(m, r).collect()))
+    assert len(whole) == 2000 and sorted(map(tuple, readers.annotation_table_of_parts(spark, str(path)).collect())) == whole
+    some = readers.annotation_table_of_parts(spark, str(path), spark.createDataFrame([("d", 1), ("x", 2)], "contig string, n int").filter("n > 0"))
+    assert "dynamicpruning" in some._jdf.queryExecution().executedPlan().toString().lower()
+    assert sorted(map(tuple, some.collect())) == [x for x in whole if x[0] == "d"]
